@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuetable.plans.folders import new_folder
 from cuetable.plans.ordered import by_position, ordered
 
 ORIGIN_DATE = "2024-01-01"
@@ -21,8 +22,25 @@ def millis(ts: Column) -> Column:
             + F.minute(ts) * 60_000 + second).cast("bigint")
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def written_once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived relation, written on first use and read by every later query of the session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        path = new_folder(spark, name)
+        build().write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as captions laid end to end, 60 ms a character."""
+    return written_once(spark, sf_dir, "captions", lambda: _captions(spark, sf_dir))
+
+
+def _captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("video_id"), F.col("turn").alias("id"), "text",
         (F.length("text") * 60).cast("bigint").alias("_len"))
@@ -52,6 +70,10 @@ def intervals(spark: SparkSession, sf_dir: str, ms_per_unit: int = 500_000) -> D
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as clips of the order they belong to."""
+    return written_once(spark, sf_dir, "clips", lambda: _clips(spark, sf_dir))
+
+
+def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("video_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
         (F.col("l_quantity") * 1000).cast("bigint").alias("_len"))

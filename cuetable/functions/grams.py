@@ -1,15 +1,27 @@
-"""Substrings of a text as rows, the basis of equi-joins on contained terms."""
+"""Substrings of texts as rows, the basis of equi-joins on contained terms."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BLOCK = 256
 
-def grams(text: Column, widths: Column) -> Column:
-    """Array of ``struct(position, width, gram)`` over every width in an array; positions are 1-based."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    fitting = F.filter(widths, lambda w: w <= F.length(text))
-    return F.flatten(F.transform(fitting, lambda w: F.transform(
-        F.sequence(F.lit(1), F.length(text) - w + 1),
-        lambda i: F.struct(i.cast("int").alias("position"), w.cast("int").alias("width"), F.array_join(F.slice(chars, i, w), "").alias("gram")))))
+
+def gram_rows(rows: DataFrame, text: str, widths: Column, longest: Column) -> DataFrame:
+    """``rows`` without ``text``, once per substring: ``position`` (1-based), ``width``, ``gram``.
+
+    Long texts are opened in blocks first, overlapping by the longest width less one, so
+    the work stays linear in the text.
+    """
+    kept = [c for c in rows.columns if c != text]
+    blocks = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)), F.lit(BLOCK)),
+        lambda at: F.struct(at.alias("at"), F.substr(F.col(text), at, longest + (BLOCK - 1)).alias("block")))
+    opened = rows.select(*kept, widths.alias("_widths"), F.explode(blocks).alias("_b")).select(
+        *kept, F.explode("_widths").alias("width"), F.col("_b.at").alias("_at"), F.col("_b.block").alias("_block"))
+    opened = opened.filter(F.col("width") <= F.length("_block"))
+    starts = F.sequence(F.lit(1), F.least(F.lit(BLOCK), F.length("_block") - F.col("width") + 1))
+    opened = opened.select(*kept, F.col("width").cast("int").alias("width"), "_at", "_block", F.explode(starts).alias("_i"))
+    return opened.select(*kept, (F.col("_at") + F.col("_i") - 1).cast("int").alias("position"), "width",
+                         F.substr(F.col("_block"), F.col("_i"), F.col("width")).alias("gram"))

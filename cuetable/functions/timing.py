@@ -36,7 +36,7 @@ def tempo_chain(src_ms: Column, dst_ms: Column) -> Column:
     halves = F.greatest(F.lit(0), F.ceil(-F.log2(rate)) - 1).cast("int")
     doubles = F.greatest(F.lit(0), F.ceil(F.log2(rate)) - 1).cast("int")
     rest = rate * F.pow(F.lit(2.0), halves) / F.pow(F.lit(2.0), doubles)
-    return F.concat(F.array_repeat(F.lit(0.5), halves), F.array_repeat(F.lit(2.0), doubles), F.array(F.round(rest, 6)))
+    return F.concat(F.array_repeat(F.lit(0.5), halves), F.array_repeat(F.lit(2.0), doubles), F.array(F.bround(rest, 6)))
 
 
 def snap_to_frame(ms: Column, fps_num: Column, fps_den: Column) -> Column:

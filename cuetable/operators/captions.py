@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuetable import fixed
 from cuetable.functions.text import PUNCT_CLASS, WORD_CHAR, char_class, normalize_text, text_limit, word_continues
 from cuetable.operators.timeline import allocate_time
+from cuetable.plans.folders import cut_lineage
 from cuetable.plans.ordered import by_position, by_time, ordered
 
 EDGE_MARKS = "，。！？；,.!?; "
@@ -110,6 +111,7 @@ def segment_captions(
     first = marks.filter("pos = 0").select(*key, F.col("pos"), F.col("mark").alias("_head"))
     c = (chars.select(*key, F.col("pos").cast("bigint").alias("pos"), F.col("text").alias("char"), "start_ms", "end_ms")
          .join(after, [*key, "pos"], "left").join(first, [*key, "pos"], "left").join(spans, key))
+    c = cut_lineage(c, "marked-chars")
     c = ordered(c, key, ["pos"], by_position("pos", rows), lead={"_next_start": F.col("start_ms"), "_next_char": F.col("char")},
                 lag={"_prev_start": F.col("start_ms")})
     mark = F.coalesce(F.col("_after"), F.lit(""))
@@ -118,8 +120,9 @@ def segment_captions(
     c = c.withColumn("_signal", ends | mark.rlike(char_class(fixed.STRONG_MARKS)) | (F.col("_next_start") - F.col("end_ms") >= gap_ms))
     c = ordered(c, key, ["pos"], by_position("pos", rows),
                 before={"_piece": F.when(F.col("_signal") & F.col("_boundary"), 1).otherwise(0)})
+    c = cut_lineage(c, "stretches")
     breaks = _breaks(c.withColumn("_final", ends), longest_ms, rows)
-    c = c.join(breaks, [*key, "pos"], "left")
+    c = cut_lineage(c.join(breaks, [*key, "pos"], "left"), "broken-chars")
     c = ordered(c, key, ["pos"], by_position("pos", rows), before={"_caption": F.when(F.col("_break"), 1).otherwise(0)})
 
     piece = F.concat(F.coalesce(F.col("_head"), F.lit("")), F.col("char"), mark)
@@ -132,7 +135,7 @@ def segment_captions(
     timed = grouped.select(*key, "piece", F.btrim("_text").alias("text"), start.alias("start_ms"),
                            F.least(F.col("seg_end_ms"), F.greatest(start + 60, end)).alias("end_ms"), "_limit")
     if lone_tail:
-        timed = merge_short_tail(timed, "_limit", rows)
+        timed = merge_short_tail(cut_lineage(timed, "timed-captions"), "_limit", rows)
     timed = timed.select(*key, "piece", "text", "start_ms", "end_ms", F.lit(timestamp_source).alias("timestamp_source"))
     silent = texts.join(chars.select(*key).distinct(), key, "left_anti")
     return timed.unionByName(estimated_captions(silent, limit, rows).withColumn("piece", F.col("piece").cast("bigint")))
@@ -165,7 +168,7 @@ def _breaks(c: DataFrame, longest_ms: int, rows: int) -> DataFrame:
         *key, "_piece", F.col("_r0.breaks").alias("_b0"), F.col("_r1.breaks").alias("_b1"),
         F.least(F.col("_r0.n"), F.lit(1)).alias("_x0"), F.least(F.col("_r1.n"), F.lit(1)).alias("_x1"))
     swaps = F.when((F.col("_x0") == 1) & (F.col("_x1") == 0), 1).otherwise(0)
-    runs = ordered(runs, key, ["_piece"], by_position("_piece", rows), before={"_swaps": swaps})
+    runs = ordered(cut_lineage(runs, "stretch-runs"), key, ["_piece"], by_position("_piece", rows), before={"_swaps": swaps})
     fixed_exit = F.when(F.col("_x0") == F.col("_x1"), F.struct(F.col("_x0").alias("exit"), F.col("_swaps").alias("swaps")))
     runs = _entry_states(runs, key, fixed_exit, rows)
     chosen = F.when(F.col("_entry") == 0, F.col("_b0")).otherwise(F.col("_b1"))
@@ -174,9 +177,7 @@ def _breaks(c: DataFrame, longest_ms: int, rows: int) -> DataFrame:
 
 def _entry_states(runs: DataFrame, key: list[str], settled: Column, rows: int) -> DataFrame:
     """Characters waiting at the start of each stretch: the last settled exit, flipped once per swap since."""
-    seen = ordered(runs.withColumn("_settled", settled), key, ["_piece"], by_position("_piece", rows),
-                   last_seen={"_latest": F.col("_settled")})
-    seen = ordered(seen, key, ["_piece"], by_position("_piece", rows), lag={"_from": F.col("_latest")})
+    seen = ordered(runs, key, ["_piece"], by_position("_piece", rows), seen_before={"_from": settled})
     since = F.col("_swaps") - F.coalesce(F.col("_from.swaps"), F.lit(0))
     return seen.withColumn("_entry", (F.coalesce(F.col("_from.exit"), F.lit(0)) + since) % 2)
 

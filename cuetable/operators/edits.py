@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuetable import fixed
 from cuetable.functions.timing import remap, snap_to_frame
+from cuetable.plans.folders import cut_lineage
 from cuetable.plans.ordered import by_position, ordered
 from cuetable.plans.ranges import point_join
 
@@ -177,7 +178,6 @@ def apply_edits(project: dict[str, DataFrame], cuts: DataFrame, rows: int = 50_0
     One round per step of the longest history; the tables are written between rounds so that
     the plan does not grow with it.
     """
-    from cuetable.plans.folders import cut_lineage
     steps = ordered(cuts, ["video_id"], ["seq"], by_position("seq", rows), number="_step")
     last = steps.agg(F.max("_step")).first()[0]
     for step in range(-1 if last is None else last + 1):
@@ -223,7 +223,10 @@ def trim_clip(project: dict[str, DataFrame], bounds: DataFrame, media: DataFrame
         "video_id", (base + F.col("_out")).alias("cut_start_ms"), F.col("out_end_ms").alias("cut_end_ms"))
     head = laid.filter(F.col("_in") > F.col("src_start_ms") + 1).select(
         "video_id", F.col("out_start_ms").alias("cut_start_ms"), (base + F.col("_in")).alias("cut_end_ms"))
-    return ripple_delete(ripple_delete(project, tail, rows), head, rows)
+    cuts = cut_lineage(tail.select("*", F.lit("tail").alias("part")).unionByName(head.select("*", F.lit("head").alias("part"))), "trims")
+    without_tail = ripple_delete(project, cuts.filter("part = 'tail'"), rows)
+    without_tail = {name: cut_lineage(df, f"trim-{name}") for name, df in without_tail.items()}
+    return ripple_delete(without_tail, cuts.filter("part = 'head'"), rows)
 
 
 def edit_history(snapshots: DataFrame, state: str = "state") -> DataFrame:

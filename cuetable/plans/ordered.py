@@ -41,6 +41,7 @@ def ordered(
     lead: Mapping[str, Column] | None = None,
     before: Mapping[str, Column] | None = None,
     last_seen: Mapping[str, Column] | None = None,
+    seen_before: Mapping[str, Column] | None = None,
     next_seen: Mapping[str, Column] | None = None,
     total: Mapping[str, Column] | None = None,
     is_last: str | None = None,
@@ -52,18 +53,23 @@ def ordered(
     ``lead``      value of the next row, null on the last
     ``before``    sum over all earlier rows (this row excluded), 0 on the first
     ``last_seen`` latest non-null value over earlier rows and this one
+    ``seen_before`` latest non-null value over earlier rows only
     ``next_seen`` earliest non-null value over later rows and this one
     ``total``     sum over the whole key
     ``is_last``   whether this is the key's last row
 
     ``order`` must be a total order inside the key and ascending; ``chunk`` must never
     decrease along it. ``chunk=None`` means the key is known to be small.
+
+    ``df`` is read twice, for the rows and for the edges. Operators that stack several
+    passes write the table in between (``cut_lineage``), so reads do not multiply.
     """
     lag, lead, before = dict(lag or {}), dict(lead or {}), dict(before or {})
-    last_seen, next_seen, total = dict(last_seen or {}), dict(next_seen or {}), dict(total or {})
+    last_seen, seen_before = dict(last_seen or {}), dict(seen_before or {})
+    next_seen, total = dict(next_seen or {}), dict(total or {})
     by = list(by)
     inputs = {}
-    for group in (lag, lead, before, last_seen, next_seen, total):
+    for group in (lag, lead, before, last_seen, seen_before, next_seen, total):
         for name, expr in group.items():
             inputs[f"_in_{name}"] = expr
     kept = df.columns
@@ -84,6 +90,7 @@ def ordered(
     local += [F.lead(f"_in_{n}").over(w).alias(f"_lead_{n}") for n in lead]
     local += [F.coalesce(F.sum(f"_in_{n}").over(past), F.lit(0)).alias(f"_before_{n}") for n in before]
     local += [F.last(f"_in_{n}", True).over(upto).alias(f"_seen_{n}") for n in last_seen]
+    local += [F.last(f"_in_{n}", True).over(past).alias(f"_seen_{n}") for n in seen_before]
     local += [F.first(f"_in_{n}", True).over(onward).alias(f"_next_{n}") for n in next_seen]
     if chunk is None:
         local += [F.sum(f"_in_{n}").over(whole).alias(f"_total_{n}") for n in total]
@@ -96,14 +103,14 @@ def ordered(
         out += [F.col(f"_lag_{n}").alias(n) for n in lag]
         out += [F.col(f"_lead_{n}").alias(n) for n in lead]
         out += [F.col(f"_before_{n}").alias(n) for n in before]
-        out += [F.col(f"_seen_{n}").alias(n) for n in last_seen]
+        out += [F.col(f"_seen_{n}").alias(n) for n in {**last_seen, **seen_before}]
         out += [F.col(f"_next_{n}").alias(n) for n in next_seen]
         out += [F.col(f"_total_{n}").alias(n) for n in total]
         if is_last:
             out.append(F.col("_end").alias(is_last))
         return rows.select(*out)
 
-    edges = _edges(src, by, order, number, lag, lead, before, last_seen, next_seen, total, is_last)
+    edges = _edges(src, by, order, number, lag, lead, before, {**last_seen, **seen_before}, next_seen, total, is_last)
     joined = rows.join(edges, [*by, CHUNK], "left")
     first = F.col("_n") == 1
     out = [F.col(c) for c in kept]
@@ -112,7 +119,7 @@ def ordered(
     out += [F.when(first, F.col(f"_e_lag.{n}")).otherwise(F.col(f"_lag_{n}")).alias(n) for n in lag]
     out += [F.when(F.col("_end"), F.col(f"_e_lead.{n}")).otherwise(F.col(f"_lead_{n}")).alias(n) for n in lead]
     out += [(F.col(f"_before_{n}") + F.col(f"_e_before_{n}")).alias(n) for n in before]
-    out += [F.coalesce(f"_seen_{n}", f"_e_seen_{n}").alias(n) for n in last_seen]
+    out += [F.coalesce(f"_seen_{n}", f"_e_seen_{n}").alias(n) for n in {**last_seen, **seen_before}]
     out += [F.coalesce(f"_next_{n}", f"_e_next_{n}").alias(n) for n in next_seen]
     out += [F.col(f"_e_total_{n}").alias(n) for n in total]
     if is_last:

@@ -75,6 +75,10 @@ def main():
     from cuetable.checks.registry import collect
     queries, sqls = collect("QUERIES"), collect("SQL")
     wanted = args[1:]
+    if wanted and wanted[0].startswith("@"):
+        from importlib import import_module
+        module = import_module(f"cuetable.checks.{wanted[0][1:]}")
+        queries, sqls, wanted = module.QUERIES, module.SQL, wanted[1:]
     spark, con = session(), duck(sf_dir)
     failed = []
     for name, query in queries.items():
