@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuetable import bindings as b
+from cuetable import fixed
 from cuetable.checks.captions import CUES, LABELS, PATTERNS, TERMS, PLAIN
 from cuetable.checks.timeline import DAY
 from cuetable.operators import captions, classify, markers
@@ -40,7 +41,7 @@ def plan(spark, sf):
 WHOLE = b.with_sql("captions") + f", {LABELS}" + """,
 plan AS (SELECT video_id, max(end_ms) AS d, 5000 AS h FROM captions GROUP BY video_id),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_ms, id) - 1 AS index FROM labelled JOIN plan USING (video_id)),
-scored AS (SELECT *, CASE WHEN label IN ('benefit', 'selling_point') THEN 400 ELSE 100 END + CASE WHEN len(words) > 0 THEN 100 ELSE 0 END + least(20, length(trim(text))) AS score
+scored AS (SELECT *, CASE WHEN label IN ('benefit', 'selling_point') THEN 400 ELSE 100 END + CASE WHEN len(words) > 0 THEN 100 ELSE 0 END + least(20, length(trim(text))) AS pts
   FROM numbered WHERE label <> 'remove' AND start_ms >= h + 300 AND start_ms < d),
 candidates AS (SELECT * FROM scored WHERE label IN ('benefit', 'selling_point') OR (length(trim(text)) >= 4 AND (len(words) > 0 OR regexp_matches(text, '""" + CANDIDATE + """') OR """ + " OR ".join(
     f"regexp_matches({PLAIN.format('text')}, '(?i)\\b(?:{p})\\b')" for p in PATTERNS.values()) + """)))"""
@@ -51,14 +52,14 @@ def _whole(spark, sf):
     return rows, b.media_of(rows).withColumn("hook_end_ms", F.lit(5000).cast("bigint"))
 
 
-@check("eligible_candidates", WHOLE + " SELECT video_id, id, index, score FROM candidates")
+@check("eligible_candidates", WHOLE + " SELECT video_id, id, index, pts AS score FROM candidates")
 def _(spark, sf):
     return markers.eligible_candidates(*_whole(spark, sf), PATTERNS, CANDIDATE).select("video_id", "id", "index", "score")
 
 
 @check("best_per_slot", WHOLE + """, s AS (SELECT *, least(9, (start_ms - h - 300) * 10 // (d - h - 300)) AS slot FROM candidates),
-r AS (SELECT *, row_number() OVER (PARTITION BY video_id, slot ORDER BY -score, abs((start_ms - h - 300) * 20 - (slot * 2 + 1) * (d - h - 300)), index) AS k FROM s)
-SELECT video_id, slot, index, start_ms, score FROM r WHERE k = 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY video_id, slot ORDER BY -pts, abs((start_ms - h - 300) * 20 - (slot * 2 + 1) * (d - h - 300)), index) AS k FROM s)
+SELECT video_id, slot, index, start_ms, pts AS score FROM r WHERE k = 1""")
 def _(spark, sf):
     rows = markers.eligible_candidates(*_whole(spark, sf), PATTERNS, CANDIDATE)
     return markers.best_per_slot(rows, F.lit(10).cast("bigint"))
@@ -87,13 +88,6 @@ def _(spark, sf):
                    F.count_if(F.col("first") < F.col("hook_end_ms") + 290).cast("int").alias("in_hook"))
 
 
-@check("effect_catalog")
-def _(spark, sf):
-    """Every effect with how often the placed markers use it."""
-    used = placed(spark, sf).groupBy(F.col("type").alias("id")).agg(F.count(F.lit(1)).alias("used"))
-    return markers.effect_catalog(spark).join(used, "id", "left")
-
-
 KINDS = "CASE kind WHEN 'view' THEN 'pop' WHEN 'click' THEN 'chime' WHEN 'purchase' THEN 'cash' WHEN 'signup' THEN 'nothing' ELSE 'typing' END"
 NATURAL = "natural_length AS (SELECT * FROM (VALUES ('pop', 160), ('chime', 540), ('cash', 1410), ('typing', 1000)) AS t(type, ms))"
 
@@ -106,6 +100,18 @@ def event_markers(spark, sf):
                                       (F.round(F.col("weight")) / 40).alias("volume"), own.alias("duration_ms"))
 
 
+CATALOG = ", ".join(f"('{i}', '{l}', '{g}', {d})" for i, l, g, d in fixed.EFFECTS)
+
+
+@check("effect_catalog", b.with_sql("points") + f", used AS (SELECT {KINDS} AS id, count(*) AS used FROM points GROUP BY ALL)" + f"""
+SELECT id, label, c.group, duration_ms, coalesce(used, 0) AS used FROM (VALUES {CATALOG}) AS c(id, label, "group", duration_ms) LEFT JOIN used USING (id)""")
+def _(spark, sf):
+    """Every effect with how often the events ask for it."""
+    used = event_markers(spark, sf).groupBy(F.col("type").alias("id")).agg(F.count(F.lit(1)).alias("used"))
+    rows = markers.effect_catalog(spark).join(used, "id", "left")
+    return rows.select("id", "label", "group", "duration_ms", F.coalesce("used", F.lit(0)).alias("used"))
+
+
 @check("with_duration", b.with_sql("points") + f", {NATURAL}, m AS (SELECT video_id, id, {KINDS} AS type, weight FROM points)" + """
 SELECT video_id, id, type, CASE WHEN weight > 100 THEN CAST(floor(weight * 100) AS BIGINT) ELSE coalesce(ms, 300) END AS duration_ms FROM m LEFT JOIN natural_length USING (type)""")
 def _(spark, sf):
@@ -132,9 +138,9 @@ def _(spark, sf):
 
 
 @check("concurrency_mix", SCHEDULE + """, opened AS (SELECT *, unnest(generate_series(start_ms // 1000, (start_ms + length_ms - 1) // 1000)) AS block FROM schedule)
-SELECT video_id, block, count(*) AS active, round(sum(gain * (least(start_ms + length_ms, (block + 1) * 1000) - greatest(start_ms, block * 1000))), 3) AS gain_ms FROM opened GROUP BY ALL""")
+SELECT video_id, block, count(*) AS active, round(sum(gain * (least(start_ms + length_ms, (block + 1) * 1000) - greatest(start_ms, block * 1000))), 6) AS gain_ms FROM opened GROUP BY ALL""")
 def _(spark, sf):
-    return markers.concurrency_mix(_schedule(spark, sf)).withColumn("gain_ms", F.round("gain_ms", 3))
+    return markers.concurrency_mix(_schedule(spark, sf)).withColumn("gain_ms", F.round("gain_ms", 6))
 
 
 @check("marker_order", b.with_sql("points") + """, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY time_ms, id) - 1 AS position, count(*) OVER (PARTITION BY video_id) // 2 AS target FROM points)

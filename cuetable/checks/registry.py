@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("timeline", "captions", "markers")
+MODULES = ("timeline", "captions", "markers", "quality")
 
 
 def collect(attribute: str) -> dict:
