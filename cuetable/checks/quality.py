@@ -88,14 +88,14 @@ def _(spark, sf):
     return quality.all_attempts(rows, rows.filter("text = ''")).select("video_id", "seg_id", "attempt")
 
 
-REGIONS = b.with_sql("intervals") + """, chars AS (SELECT video_id, id AS pos, start_ms, end_ms FROM intervals WHERE end_ms > start_ms),
+REGIONS = b.with_sql("intervals") + """, chars AS (SELECT video_id, id AS pos, start_ms, end_ms, kind FROM intervals WHERE end_ms > start_ms),
 regions AS (SELECT video_id, id AS region_id, start_ms - 20000000 AS rs, start_ms + 10000000 AS re FROM intervals WHERE kind = 'purchase'),
-selected AS (SELECT video_id, pos, start_ms, end_ms, region_id FROM chars JOIN regions USING (video_id) WHERE end_ms > rs AND start_ms < re)"""
+selected AS (SELECT video_id, pos, start_ms, end_ms, kind, region_id FROM chars JOIN regions USING (video_id) WHERE end_ms > rs AND start_ms < re)"""
 
 
 def _regions(spark, sf):
     rows = b.intervals(spark, sf)
-    chars = rows.filter("end_ms > start_ms").select("video_id", F.col("id").alias("pos"), "start_ms", "end_ms")
+    chars = rows.filter("end_ms > start_ms").select("video_id", F.col("id").alias("pos"), "start_ms", "end_ms", "kind")
     regions = rows.filter("kind = 'purchase'").select("video_id", F.col("id").alias("region_id"), (F.col("start_ms") - 20_000_000).alias("start_ms"),
                                                       (F.col("start_ms") + 10_000_000).alias("end_ms"))
     return chars, quality.chars_in_regions(chars, regions, bin_ms=20_000_000)
@@ -108,12 +108,12 @@ def _(spark, sf):
 
 @check("alignment_accept", REGIONS + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY video_id, region_id ORDER BY start_ms, pos) - 1 AS k,
   count(*) OVER (PARTITION BY video_id, region_id) AS want FROM selected),
-aligned AS (SELECT * FROM numbered WHERE NOT (pos % 3 = 0 AND want > 3)),
+aligned AS (SELECT * FROM numbered WHERE NOT (kind = 'view' AND want > 3)),
 renum AS (SELECT *, row_number() OVER (PARTITION BY video_id, region_id ORDER BY k) - 1 AS ak, count(*) OVER (PARTITION BY video_id, region_id) AS have FROM aligned),
 good AS (SELECT video_id, region_id, any_value(want) AS want, any_value(have) AS have FROM renum WHERE have >= greatest(1, floor(want * 0.8)) GROUP BY ALL),
 anchors AS (SELECT video_id, region_id, arg_min(start_ms, k) AS anchor FROM numbered GROUP BY ALL),
 firsts AS (SELECT video_id, region_id, arg_min(start_ms + 77, ak) AS f FROM renum GROUP BY ALL),
-video AS (SELECT n.video_id, coalesce(g.a, 0) >= greatest(1, floor(n * 0.9)) AS enough FROM (SELECT video_id, count(*) AS n FROM chars GROUP BY video_id) n
+video AS (SELECT n.video_id, coalesce(g.a, 0) >= greatest(1, floor(n * 0.45)) AS enough FROM (SELECT video_id, count(*) AS n FROM chars GROUP BY video_id) n
   LEFT JOIN (SELECT video_id, sum(least(have, want)) AS a FROM good GROUP BY video_id) g USING (video_id))
 SELECT r.video_id, CAST(r.region_id AS BIGINT) AS region_id, ak AS pos, start_ms + 77 - f + anchor AS start_ms, end_ms + 77 - f + anchor AS end_ms, 'fa_zh_vad_corrected' AS timestamp_mode
 FROM renum r JOIN good USING (video_id, region_id) JOIN anchors USING (video_id, region_id) JOIN firsts USING (video_id, region_id) JOIN video USING (video_id) WHERE enough
@@ -122,13 +122,13 @@ def _(spark, sf):
     from pyspark.sql import Window
     chars, found = _regions(spark, sf)
     w = Window.partitionBy("video_id", "region_id")
-    rows = found.select("video_id", "region_id", F.col("pos").alias("char"), "start_ms", "end_ms",
+    rows = found.select("video_id", "region_id", "kind", "start_ms", "end_ms",
                         (F.row_number().over(w.orderBy("start_ms", "pos")) - 1).cast("bigint").alias("pos"), F.count(F.lit(1)).over(w).alias("want"))
-    # The aligner drops every third character of the larger regions.
-    kept = rows.filter(~((F.col("char") % 3 == 0) & (F.col("want") > 3)))
+    # The aligner misses the views of the larger regions.
+    kept = rows.filter(~((F.col("kind") == "view") & (F.col("want") > 3)))
     aligned = kept.select("video_id", "region_id", (F.row_number().over(w.orderBy("pos")) - 1).cast("bigint").alias("pos"),
                           (F.col("start_ms") + 77).alias("rel_start_ms"), (F.col("end_ms") + 77).alias("rel_end_ms"))
-    return quality.alignment_accept(rows, aligned, chars)
+    return quality.alignment_accept(rows, aligned, chars, video_share=0.45)
 
 
 @check("frame_risk", """SELECT l_orderkey AS video_id, l_linenumber AS time_ms, round(coalesce(max(CASE WHEN l_suppkey % 3 <> 0 AND l_quantity >= 100 * 0.035 AND l_quantity <= 100 * 0.55

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("timeline", "captions", "markers", "quality")
+MODULES = ("timeline", "captions", "markers", "quality", "review")
 
 
 def collect(attribute: str) -> dict:
