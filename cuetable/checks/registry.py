@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("timeline", "captions", "markers", "quality", "review")
+MODULES = ("timeline", "captions", "markers", "quality", "review", "projects")
 
 
 def collect(attribute: str) -> dict:
