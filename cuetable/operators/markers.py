@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +18,7 @@ LEAD_IN_MS = 300
 SPACING_MS = 4000
 CLOSEST_MS = 3000
 SPAN_MS = 3_600_000
+GAP_ROWS = 50_000
 
 
 def effect_catalog(spark) -> DataFrame:
@@ -98,57 +97,99 @@ def best_per_slot(candidates: DataFrame, plan_target: Column | None = None) -> D
         "video_id", "slot", "best.*")
 
 
-def _first_free(slots: pd.DataFrame) -> pd.DataFrame:
-    """Slot by slot, the first preferred option far enough from those taken before it."""
-    taken, chosen = -SPACING_MS, []
-    for _, options in slots.sort_values(["slot", "score", "off_centre", "index"], ascending=[True, False, True, True]).groupby("slot", sort=False):
-        free = options[options["start_ms"] - taken >= SPACING_MS] if taken >= 0 else options
-        if len(free):
-            taken = int(free["start_ms"].iloc[0])
-            chosen.append((options["video_id"].iloc[0], int(free["index"].iloc[0])))
-    return pd.DataFrame(chosen, columns=["video_id", "index"])
-
-
-def _by_score(group: pd.DataFrame) -> pd.DataFrame:
-    """Best score first, then earliest, each kept if no kept one is too near."""
-    kept, rows = [], []
-    for video, index, at in group.sort_values(["score", "start_ms", "index"], ascending=[False, True, True])[["video_id", "index", "start_ms"]].itertuples(index=False):
-        i = bisect_left(kept, at)
-        if (i == 0 or at - kept[i - 1] >= SPACING_MS) and (i == len(kept) or kept[i] - at >= SPACING_MS):
-            insort(kept, at)
-            rows.append((video, index))
-    return pd.DataFrame(rows, columns=["video_id", "index"])
-
-
-def _farthest_first(group: pd.DataFrame) -> pd.DataFrame:
-    """Fills one gap between chosen markers: always the caption farthest from any marker."""
-    group = group.sort_values(["start_ms", "index"])
-    at, index, video = group["start_ms"].to_numpy(), group["index"].to_numpy(), group["video_id"].iloc[0]
-    before, after = group["_before"].iloc[0], group["_after"].iloc[0]
-    far = int(group["duration_ms"].iloc[0])
-    gaps = [(0, len(at), None if pd.isna(before) else int(before), None if pd.isna(after) else int(after))]
-    rows = []
-    while gaps:
-        lo, hi, left, right = gaps.pop()
-        if lo >= hi:
-            continue
-        times = at[lo:hi]
-        distance = pd.Series(far, index=range(len(times)))
-        if left is not None:
-            distance = pd.Series(times - left)
-        if right is not None:
-            distance = distance.clip(upper=pd.Series(right - times)) if left is not None else pd.Series(right - times)
-        best = int(distance.to_numpy().argmax())
-        if distance[best] < CLOSEST_MS:
-            continue
-        rows.append((video, int(index[lo + best]), int(distance[best])))
-        gaps += [(lo, lo + best, left, int(times[best])), (lo + best + 1, hi, int(times[best]), right)]
+def _first_free(candidates: DataFrame, runs: DataFrame) -> DataFrame:
+    """Slot by slot of a run, the first preferred option far enough from those taken before it."""
+    option = F.struct("slot", (-F.col("score")).alias("rank"), "off_centre", "index", "start_ms")
+    sorted_runs = (candidates.join(runs, ["video_id", "slot"]).groupBy("video_id", "_run")
+                   .agg(F.sort_array(F.collect_list(option)).alias("_options")))
+    begin = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(-1).cast("bigint").alias("filled"), F.array().cast("array<bigint>").alias("picks"))
+
+    def take(state: Column, o: Column) -> Column:
+        fits = (o["slot"] != state["filled"]) & F.coalesce(o["start_ms"] - state["last"] >= SPACING_MS, F.lit(True))
+        return F.when(fits, F.struct(o["start_ms"].alias("last"), o["slot"].alias("filled"), F.array_append(state["picks"], o["index"]).alias("picks"))).otherwise(state)
+
+    return sorted_runs.select("video_id", F.explode(F.aggregate("_options", begin, take)["picks"]).alias("index"))
+
+
+def _by_score(clusters: DataFrame) -> DataFrame:
+    """Of each cluster the best score first, then the earliest, each kept if no kept one is too near."""
+    option = F.struct((-F.col("score")).alias("rank"), "start_ms", "index")
+    grouped = clusters.groupBy("video_id", "_cluster").agg(F.sort_array(F.collect_list(option)).alias("_options"))
+
+    def keep(kept: Column, o: Column) -> Column:
+        near = F.exists(kept, lambda k: F.abs(k["start_ms"] - o["start_ms"]) < SPACING_MS)
+        return F.when(near, kept).otherwise(F.array_append(kept, o))
+
+    picks = F.aggregate("_options", F.slice("_options", 1, 0), keep)
+    return grouped.select("video_id", F.explode(F.transform(picks, lambda k: k["index"])).alias("index"))
+
+
+def _split_long_gaps(rows: DataFrame, gap_rows: int) -> tuple[DataFrame | None, DataFrame]:
+    """Picks of gaps holding more than ``gap_rows`` captions, and the rows left to fill.
+
+    A gap's next pick depends on that gap alone, so each round every long gap gives up its
+    farthest caption by an aggregate and falls apart in two there.
+    """
+    key = ["video_id", "_before", "_after"]
+    # Gaps are named by their ends; a missing end, at the rim of a video, by a time no caption has.
+    rows = rows.withColumn("_before", F.coalesce("_before", F.lit(OPEN))).withColumn("_after", F.coalesce("_after", F.lit(OPEN)))
+    done = None
+    while True:
+        long_gaps = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"), F.max_by(
+            F.struct("index", "start_ms"), F.struct(_distance().alias("d"), (-F.col("start_ms")).alias("t"), (-F.col("index")).alias("i"))).alias("_pick"),
+            F.max(_distance()).alias("distance")).filter(F.col("_rows") > gap_rows)
+        long_gaps = cut_lineage(long_gaps, "marker-long-gaps")
+        if long_gaps.isEmpty():
+            return done, rows
+        picked = long_gaps.select("video_id", F.col("_pick.index").alias("index"), "distance").filter(F.col("distance") >= CLOSEST_MS)
+        done = picked if done is None else done.unionByName(picked)
+        at, start = F.col("_pick.start_ms"), F.col("start_ms")
+        split = rows.join(long_gaps.select(*key, "_pick"), key, "left")
+        split = split.withColumn("_after2", F.when(at.isNotNull() & (start < at), at).otherwise(F.col("_after"))).withColumn(
+            "_before", F.when(at.isNotNull() & (start >= at), at).otherwise(F.col("_before"))).withColumn("_after", F.col("_after2")).drop("_after2", "_pick")
+        rows = cut_lineage(split.filter(_distance() >= CLOSEST_MS), "marker-gaps")
+
+
+OPEN = -1
+
+
+def _distance() -> Column:
+    start = F.col("start_ms")
+    left = F.when(F.col("_before") != OPEN, start - F.col("_before"))
+    right = F.when(F.col("_after") != OPEN, F.col("_after") - start)
+    return F.coalesce(F.least(left, right), F.col("duration_ms"))
+
+
+def _fill_gaps(group: pd.DataFrame) -> pd.DataFrame:
+    """Fills gaps between chosen markers: in each, always the caption farthest from any marker."""
+    group = group.sort_values(["_before", "_after", "start_ms", "index"])
+    video = group["video_id"].iloc[0]
+    columns = [group[c].tolist() for c in ("_before", "_after", "start_ms", "index", "duration_ms")]
+    before, after, at, index, duration = columns
+    rows, lo = [], 0
+    while lo < len(at):
+        hi = lo
+        while hi < len(at) and before[hi] == before[lo] and after[hi] == after[lo]:
+            hi += 1
+        spans = [(lo, hi, None if before[lo] == OPEN else before[lo], None if after[lo] == OPEN else after[lo])]
+        while spans:
+            first, stop, left, right = spans.pop()
+            best, far = None, CLOSEST_MS - 1
+            for i in range(first, stop):
+                ends = [abs(at[i] - end) for end in (left, right) if end is not None]
+                near = min(ends) if ends else duration[i]
+                if near > far:
+                    best, far = i, near
+            if best is not None:
+                rows.append((video, index[best], far))
+                spans += [(first, best, left, at[best]), (best + 1, stop, at[best], right)]
+        lo = hi
     return pd.DataFrame(rows, columns=["video_id", "index", "distance"])
 
 
 def place_markers(
     captions: DataFrame, plan: DataFrame, *, max_markers: int | None = None, patterns=None, cues=None,
-    candidate_pattern: str | None = None, span_ms: int = SPAN_MS,
+    candidate_pattern: str | None = None, span_ms: int = SPAN_MS, gap_rows: int = GAP_ROWS,
 ) -> DataFrame:
     """Effects spread over each video after its hook, four seconds apart.
 
@@ -172,14 +213,13 @@ def place_markers(
     # 1. One per slot. A slot whose preferred option clears everything earlier starts a new run.
     rank = F.struct((-F.col("score")).alias("a"), F.col("off_centre").alias("b"), F.col("index").alias("c"))
     slots = candidates.groupBy("video_id", "slot").agg(F.min_by("start_ms", rank).alias("_top"), F.max("start_ms").alias("_latest"))
-    slots = cut_lineage(slots, "marker-slots")
+    slots = cut_lineage(slots, "marker-slots")  # a small table, read by both passes below
     chunk = by_time("slot", 10_000)
     slots = ordered(slots, ["video_id"], ["slot"], chunk, lag={"_past": F.col("_latest")})
     apart = F.coalesce(F.col("_top") - F.col("_past") >= SPACING_MS, F.lit(True))
     slots = ordered(slots.withColumn("_apart", F.when(apart, 1).otherwise(0)), ["video_id"], ["slot"], chunk, before={"_runs": F.col("_apart")})
     runs = slots.select("video_id", "slot", (F.col("_runs") + F.col("_apart")).alias("_run"))
-    first = (candidates.join(runs, ["video_id", "slot"]).select("video_id", "_run", "slot", "index", "start_ms", "score", "off_centre")
-             .groupBy("video_id", "_run").applyInPandas(_first_free, "video_id string, index bigint"))
+    first = _first_free(candidates, runs)
     state = cut_lineage(rows.join(first.withColumn("_first", F.lit(True)), ["video_id", "index"], "left"), "marker-first")
 
     # 2. By score among candidates the first step left room for, cluster by cluster.
@@ -193,8 +233,7 @@ def place_markers(
     open_ = ordered(open_, ["video_id"], order, chunk, lag={"_prev": start})
     parts = F.when(F.coalesce(start - F.col("_prev") >= SPACING_MS, F.lit(True)), 1).otherwise(0)
     open_ = ordered(open_.withColumn("_part", parts), ["video_id"], order, chunk, before={"_parts": F.col("_part")})
-    second = (open_.withColumn("_cluster", F.col("_parts") + F.col("_part")).groupBy("video_id", "_cluster")
-              .applyInPandas(_by_score, "video_id string, index bigint"))
+    second = _by_score(open_.withColumn("_cluster", F.col("_parts") + F.col("_part")))
     counts = state.groupBy("video_id").agg(F.count_if(F.col("_first")).alias("_n"), F.first("target").alias("_target"))
     second = second.join(state.select("video_id", "index", "start_ms", "score"), ["video_id", "index"])
     second = _first_ranked(cut_lineage(second, "marker-second"), counts, [(-F.col("score")).alias("_rank")], span_ms)
@@ -209,8 +248,12 @@ def place_markers(
     # A caption starting with a chosen one is at distance 0 and never viable.
     wanting = wanting.filter(F.col("_long") & ~taken & (F.coalesce(start - F.col("_before"), F.lit(CLOSEST_MS)) >= CLOSEST_MS)
                              & (F.coalesce(F.col("_after") - start, F.lit(CLOSEST_MS)) >= CLOSEST_MS))
-    third = (wanting.select("video_id", "index", "start_ms", "_before", "_after", "duration_ms")
-             .groupBy("video_id", "_before", "_after").applyInPandas(_farthest_first, "video_id string, index bigint, distance bigint"))
+    gaps = cut_lineage(wanting.select("video_id", "index", "start_ms", "_before", "_after", "duration_ms"), "marker-wanting")
+    early, gaps = _split_long_gaps(gaps, gap_rows)
+    # Gaps of one span of a video share a call; together they are as bounded as the span.
+    third = (gaps.withColumn("_span", by_time("_before", span_ms)).groupBy("video_id", "_span")
+             .applyInPandas(_fill_gaps, "video_id string, index bigint, distance bigint"))
+    third = third if early is None else third.unionByName(early)
     third = third.join(state.select("video_id", "index", "start_ms"), ["video_id", "index"])
     third = _first_ranked(cut_lineage(third, "marker-third"), counts, [(-F.col("distance")).alias("_rank")], span_ms)
 
