@@ -458,6 +458,13 @@ def _(spark, sf):
     return b.table(spark, sf, "events").select("event_id", F.get_json_object(text.extract_json(raw), "$.k").cast("bigint").alias("k"))
 
 
+@check("name_score", r"""SELECT page_id, round(len(list_intersect(q, n)) / len(q) + CASE WHEN contains(nk, qk) OR contains(qk, nk) THEN 1.0 ELSE 0.0 END, 6) AS score FROM (
+  SELECT page_id, list_distinct(string_split(qk, '')) AS q, list_distinct(string_split(nk, '')) AS n, qk, nk FROM (SELECT page_id, 'tionexample' AS qk, regexp_replace(lower(url), '[^\p{L}\p{N}]', '', 'g') AS nk FROM pages))""")
+def _(spark, sf):
+    score = text.name_score(F.lit("tionexample"), text.highlight_key(F.col("url")))
+    return b.table(spark, sf, "pages").select("page_id", F.round(score, 6).alias("score"))
+
+
 @check("highlight_key", r"SELECT page_id, regexp_replace(lower(url), '[^\p{L}\p{N}]', '', 'g') AS name_key FROM pages")
 def _(spark, sf):
     return b.table(spark, sf, "pages").select("page_id", text.highlight_key(F.col("url")).alias("name_key"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuetable.functions.text import distinct_chars, highlight_key, name_score
+from cuetable.functions.text import distinct_chars, highlight_key
 
 THRESHOLD = 0.32
 
@@ -18,19 +18,27 @@ def folder_scores(products: DataFrame, folders: DataFrame, threshold: float = TH
     query must share its own rarest character; pairs sharing neither are never formed, the
     rest are scored exactly. Folders without letters or digits never match.
     """
-    p = products.select("product", highlight_key(F.col("product")).alias("_pk")).filter("_pk <> ''").distinct()
-    f = folders.select("folder", highlight_key(F.col("folder")).alias("_fk")).filter("_fk <> ''").distinct()
-    pc = p.select("product", "_pk", F.explode(distinct_chars(F.col("_pk"))).alias("char"))
-    fc = f.select("folder", "_fk", F.explode(distinct_chars(F.col("_fk"))).alias("char"))
+    p = products.select("product", highlight_key(F.col("product")).alias("_pk")).filter("_pk <> ''").distinct().withColumn("_q", distinct_chars(F.col("_pk")))
+    f = folders.select("folder", highlight_key(F.col("folder")).alias("_fk")).filter("_fk <> ''").distinct().withColumn("_n", distinct_chars(F.col("_fk")))
+    pc, fc = p.select("*", F.explode("_q").alias("char")), f.select("*", F.explode("_n").alias("char"))
     rarity = fc.groupBy("char").agg(F.count(F.lit(1)).alias("_df"))
     place = F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("char").alias("char"))
-    ranked = pc.join(rarity, "char", "left").groupBy("product", "_pk").agg(F.sort_array(F.collect_list(place)).alias("_chars"))
-    need = F.ceil(F.size("_chars") * F.lit(threshold) - 1e-9).cast("int")
-    telling = ranked.select("product", "_pk", F.explode(F.slice("_chars", 1, F.size("_chars") - need + 1)).alias("c")).select("product", "_pk", F.col("c.char").alias("char"))
-    rarest = fc.join(rarity, "char").groupBy("folder", "_fk").agg(F.min(place).alias("_c")).select("folder", "_fk", F.col("_c.char").alias("char"))
-    pairs = telling.join(fc, "char").drop("char").unionByName(pc.join(rarest, "char").drop("char")).distinct()
-    score = name_score(F.col("_pk"), F.col("_fk"))
-    return pairs.withColumn("score", score).filter(F.col("score") >= threshold).select("product", "folder", "score")
+    ranked = pc.join(rarity, "char", "left").groupBy("product", "_pk").agg(F.sort_array(F.collect_list(place)).alias("_r"))
+    chars = F.transform("_r", lambda c: c["char"])
+    need = F.ceil(F.size("_r") * F.lit(threshold) - 1e-9).cast("int")
+    ranked = ranked.select("product", "_pk", chars.alias("_q"), F.slice(chars, 1, F.size("_r") - need + 1).alias("_t"))
+    rarest = fc.join(rarity, "char").groupBy("folder", "_fk").agg(F.min(place).alias("_c"), F.collect_list("char").alias("_n")).select(
+        "folder", "_fk", "_n", F.col("_c.char").alias("char"))
+    # A pair is formed once: at the first telling character the two share, or, sharing none, at the folder's rarest.
+    first = F.get(F.array_intersect("_t", "_n"), 0)
+    telling = ranked.select("*", F.explode("_t").alias("char")).join(fc, "char").filter(first == F.col("char"))
+    held = ranked.select("*", F.explode("_q").alias("char")).join(rarest, "char").filter(first.isNull())
+    columns = ["product", "folder", "_pk", "_fk", "_q", "_n"]
+    pairs = telling.select(*columns).unionByName(held.select(*columns))
+    share = F.size(F.array_intersect("_q", "_n")) / F.size("_q")
+    holds = F.contains(F.col("_fk"), F.col("_pk")) | F.contains(F.col("_pk"), F.col("_fk"))
+    score = share + F.when(holds, 1.0).otherwise(0.0)
+    return pairs.select("product", "folder", score.alias("score")).filter(F.col("score") >= threshold)
 
 
 def match_assets(products: DataFrame, folders: DataFrame, files: DataFrame, n_folders: int = 5, n_files: int = 40) -> DataFrame:

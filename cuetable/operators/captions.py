@@ -54,21 +54,37 @@ def estimated_captions(texts: DataFrame, limit: int = 13, rows: int = 50_000) ->
     return allocate_time(split_text(texts, limit), rows).withColumn("timestamp_source", F.lit("estimated_segment"))
 
 
-def strip_marks(texts: DataFrame, rows: int = 50_000) -> DataFrame:
-    """Punctuation runs with their position in the text without punctuation."""
-    runs = F.regexp_extract_all("text", F.lit(f"{PUNCT_CLASS}+|[^{PUNCT_CLASS[1:]}+"), F.lit(0))
-    opened = texts.select("video_id", "seg_id", F.posexplode(runs).alias("run", "mark"))
-    is_mark = F.col("mark").rlike(f"^{PUNCT_CLASS}")
-    placed = ordered(opened, ["video_id", "seg_id"], ["run"], by_position("run", rows),
-                     before={"pos": F.when(is_mark, 0).otherwise(F.length("mark"))})
-    return placed.filter(is_mark).select("video_id", "seg_id", F.col("pos").cast("bigint").alias("pos"), "mark")
+def prefix_sums(sizes: Column, block: int = 256) -> Column:
+    """Sums of all earlier elements of an array, by blocks so that long arrays stay near linear."""
+    zero = lambda: F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<bigint>").alias("out"))
+    add = lambda acc, x: F.struct((acc["total"] + x).alias("total"), F.array_append(acc["out"], acc["total"]).alias("out"))
+    local = lambda all_: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(all_)), F.lit(block)), lambda at: F.aggregate(F.slice(all_, at, block), zero(), add))
+    bases = lambda parts: F.aggregate(F.transform(parts, lambda part: part["total"]), zero(), add)["out"]
+    joined = lambda parts: F.flatten(F.zip_with(parts, bases(parts), lambda part, base: F.transform(part["out"], lambda v: v + base)))
+    return _once(_once(sizes, local), joined)
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out a single time however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def strip_marks(texts: DataFrame) -> DataFrame:
+    """Punctuation runs with their position in the text without punctuation. Row by row, no shuffle."""
+    marks = F.regexp_extract_all("text", F.lit(f"{PUNCT_CLASS}+"), F.lit(0))
+    sizes = F.transform(F.split("text", f"{PUNCT_CLASS}+", -1), lambda part: F.length(part).cast("bigint"))
+    # The k-th mark follows the first k + 1 stretches of content.
+    done = _once(prefix_sums(sizes), lambda sums: F.slice(sums, 2, F.size(sums)))
+    placed = F.zip_with(marks, done, lambda mark, at: F.struct(at.alias("pos"), mark.alias("mark")))
+    return texts.select("video_id", "seg_id", F.explode(placed).alias("r")).select("video_id", "seg_id", "r.pos", "r.mark")
 
 
 def _fingerprint(pos: Column, char: Column) -> Column:
     return F.xxhash64(pos.cast("bigint"), F.lower(char))
 
 
-def matching_marks(chars: DataFrame, texts: DataFrame, rows: int = 50_000) -> DataFrame:
+def matching_marks(chars: DataFrame, texts: DataFrame) -> DataFrame:
     """Marks to set between the characters of each segment.
 
     They come from the punctuated text where that, without its marks, spells the same
@@ -82,7 +98,7 @@ def matching_marks(chars: DataFrame, texts: DataFrame, rows: int = 50_000) -> Da
     heard = chars.groupBy("video_id", "seg_id").agg(
         F.count(F.lit(1)).alias("_cn"), F.bit_xor(_fingerprint(F.col("pos"), F.col("text"))).alias("_ch"))
     same = spelled.join(heard, ["video_id", "seg_id"]).filter((F.col("_tn") == F.col("_cn")) & (F.col("_th") == F.col("_ch")))
-    written = strip_marks(texts, rows).join(same.select("video_id", "seg_id"), ["video_id", "seg_id"], "left_semi")
+    written = strip_marks(texts).join(same.select("video_id", "seg_id"), ["video_id", "seg_id"], "left_semi")
     spaced = chars.filter(F.coalesce(F.col("prefix"), F.lit("")) != "").select(
         "video_id", "seg_id", F.col("pos").cast("bigint").alias("pos"), F.col("prefix").alias("mark"))
     spaced = spaced.join(written.select("video_id", "seg_id").distinct(), ["video_id", "seg_id"], "left_anti")
@@ -106,7 +122,7 @@ def segment_captions(
     key = ["video_id", "seg_id"]
     spans = texts.select(*key, F.col("start_ms").alias("seg_start_ms"), F.col("end_ms").alias("seg_end_ms"),
                          text_limit(F.col("text"), limit).alias("_limit"))
-    marks = matching_marks(chars, texts, rows)
+    marks = matching_marks(chars, texts)
     after = marks.filter("pos > 0").select(*key, (F.col("pos") - 1).alias("pos"), F.col("mark").alias("_after"))
     first = marks.filter("pos = 0").select(*key, F.col("pos"), F.col("mark").alias("_head"))
     c = (chars.select(*key, F.col("pos").cast("bigint").alias("pos"), F.col("text").alias("char"), "start_ms", "end_ms")
