@@ -8,6 +8,7 @@ from cuetable import bindings as b
 from cuetable.checks.timeline import DAY
 from cuetable.functions import ids, text, timing
 from cuetable.operators import captions, classify, model, names
+from cuetable.plans.ordered import by_position, ordered
 
 QUERIES, SQL = {}, {}
 
@@ -272,7 +273,6 @@ WHERE regexp_replace(text, '[，。！？；、,.!?; \\n\\r\\t]', '', 'g') <> ''
 def _(spark, sf):
     """Every letter of a turn is kept, in order, and its pieces tile its time."""
     rows = split_rows(spark, sf)
-    from cuetable.plans.ordered import by_position, ordered
     rows = ordered(rows, ["video_id", "seg_id"], ["piece"], by_position("piece"), lag={"prev_end": F.col("end_ms")})
     letters = F.regexp_replace(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "text"))), lambda p: p["text"]), ""),
                                "[，。！？；、,.!?; \\n\\r\\t]", "")
@@ -446,9 +446,8 @@ def _(spark, sf):
 
 @check("text_ratio")
 def _(spark, sf):
-    from pyspark.sql import Window
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = b.table(spark, sf, "conversations").select("conv_id", "turn", "text", F.lag("text").over(w).alias("previous"))
+    rows = ordered(b.table(spark, sf, "conversations").select("conv_id", "turn", "text"), ["conv_id"], ["turn"], by_position("turn"),
+                   lag={"previous": F.col("text")})
     return rows.select("conv_id", "turn", text.text_ratio(F.col("text"), F.col("previous")).alias("ratio"))
 
 
