@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuetable import bindings as b
-from cuetable import fixed
-from cuetable.checks.captions import LABELS, PATTERNS, TERMS
-from cuetable.checks.markers import event_markers
 from cuetable.checks.review import LOG, log_columns
-from cuetable.operators import assets, classify, projects, review
+from cuetable.operators import assets, projects, review
 from cuetable.plans.folders import new_folder
 from cuetable.sources import documents, media
 from cuetable.streaming import streams

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from cuetable import bindings as b
 from cuetable.checks.captions import LABELS, PATTERNS, TERMS
-from cuetable.checks.timeline import DAY
 from cuetable.operators import classify, quality
 
 QUERIES, SQL = {}, {}

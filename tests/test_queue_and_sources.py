@@ -2,7 +2,6 @@ import datetime as dt
 import json
 
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cuetable.operators import review
