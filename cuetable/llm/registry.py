@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "pii", "token_counts", "language", "packing", "line_dedup", "mixing")
+MODULES = ("neighbours", "exact_dedup", "pii", "token_counts", "language", "packing", "line_dedup", "mixing")
 
 
 def collect(attribute: str) -> dict:
