@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import cuetable
 from cuetable.plans.folders import cut_lineage
+from cuetable.plans.sizes import broadcast_if_small
 
 cloudpickle.register_pickle_by_value(cuetable)  # workers need no copy of the package
 
@@ -34,9 +35,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, name)
 
 
-def partitions(df: DataFrame) -> int:
-    """Shuffle partitions of the session; tasks that feed Python get as many."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` less the rows named by ``doc_id`` and ``place`` in ``dropped``."""
+    gone = broadcast_if_small(written(dropped.select(F.col("doc_id").alias("_doc"), F.col("place").alias("_place")).distinct(), "dropped"))
+    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc")) & (place_of(docs) == F.col("_place")), "left_anti")
+
+
+def place_of(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuetable.llm.common import table, texts, written
@@ -104,48 +104,40 @@ def _marked(print_of: Callable[[bytes], int], with_text: bool):
             normal = pc.ascii_lower(batch.column("text"))
             raw = [v.encode() for v in normal.to_pylist()]
             prints = np.fromiter((print_of(v) for v in raw), np.uint64, len(raw)).view(np.int64)
-            columns = [batch.column("doc_id"), pa.array(prints, pa.int64())]
-            if with_text:
-                yield pa.RecordBatch.from_arrays([*columns, normal.cast(pa.string())], ["doc_id", "print", "normal"])
-            else:
-                digest = pa.array([hashlib.sha256(v).hexdigest() for v in raw], pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, digest], ["doc_id", "print", "text_sha256"])
+            last = normal.cast(pa.string()) if with_text else pa.array([hashlib.sha256(v).hexdigest() for v in raw], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(prints, pa.int64()), last],
+                                             ["doc_id", "place", "print", "normal" if with_text else "text_sha256"])
     return run
 
 
 def exact_groups(docs: DataFrame, print_of: Callable[[bytes], int] = xxhash.xxh3_64_intdigest) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
+    """One row per row of ``docs``: ``doc_id, place, keep_id, group_size, kept, text_sha256``; ``place`` is a hash of the raw text.
 
     Texts are equal when identical after lower-casing A-Z; a null text is empty, and empty texts equal each other. The row with
     the largest ``doc_id`` stays; rows that repeat this ``doc_id`` stay with it. A null ``doc_id`` stays only where its group has no other.
     ``print_of`` gives the fingerprint; a weak one costs time, not correctness. Other columns are not read.
     """
-    docs = texts(docs)
-    marks = written(docs.mapInArrow(_marked(print_of, False), "doc_id bigint, print bigint, text_sha256 string"), "marks")
+    docs = texts(docs).withColumn("place", F.xxhash64("text"))
+    marks = written(docs.mapInArrow(_marked(print_of, False), "doc_id bigint, place bigint, print bigint, text_sha256 string"), "marks")
     repeated = written(repeated_fingerprints(marks, marks.count()), "repeated")
-    candidates = docs.mapInArrow(_marked(print_of, True), "doc_id bigint, print bigint, normal string")
+    candidates = docs.mapInArrow(_marked(print_of, True), "doc_id bigint, place bigint, print bigint, normal string")
     candidates = candidates.join(broadcast_if_small(repeated.select("print")), "print", "left_semi")
     versions = candidates.groupBy("print", "normal").agg(F.lit(1).alias("one")).groupBy("print").agg(F.sum("one").alias("versions"))
     versions = written(versions, "versions")
-    mixed = versions.filter("versions > 1").select("print")
+    accidental = versions.filter("versions > 1").select("print")
     same = versions.filter("versions = 1").select("print")
     groups = marks.join(broadcast_if_small(same), "print", "left_semi").groupBy("print").agg(
         F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    grouped = marks
-    if not mixed.isEmpty():  # fingerprints that met by accident: their texts are the key
-        grouped = marks.join(mixed, "print", "left_anti")
-    out = grouped.join(groups, "print", "left").select(
-        "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+    met = not accidental.isEmpty()  # different texts with one fingerprint: the texts themselves are their key
+    own = marks.join(accidental, "print", "left_anti") if met else marks
+    out = own.join(groups, "print", "left").select(
+        "doc_id", "place", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"), "text_sha256")
-    if grouped is not marks:
-        met = candidates.join(mixed, "print", "left_semi").select("doc_id", "normal")
-        by_text = met.groupBy("normal").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        out = out.unionByName(met.join(by_text, "normal").select("doc_id", "keep_id", "group_size", F.sha2("normal", 256).alias("text_sha256")))
-    return out.withColumn("kept", _same(F.col("doc_id"), F.col("keep_id")))
-
-
-def _same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+    if met:
+        rows = candidates.join(accidental, "print", "left_semi").select("doc_id", "place", "normal")
+        by_text = rows.groupBy("normal").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        out = out.unionByName(rows.join(by_text, "normal").select("doc_id", "place", "keep_id", "group_size", F.sha2("normal", 256).alias("text_sha256")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

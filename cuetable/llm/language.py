@@ -139,6 +139,33 @@ def viterbi(scores: np.ndarray, words: np.ndarray, switch: float) -> np.ndarray:
     return out
 
 
+def labeller(model: dict, switch: float = SWITCH):
+    """A function from texts to their languages, scores and spans."""
+    languages, logs, in_script = model["languages"], model["logs"], model["written"]
+
+    def label_texts(values: list[str]) -> tuple[list[str], np.ndarray, list[list[dict]]]:
+        x, n = Letters(values), len(values)
+        pred, score, spans = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
+        if languages and len(x.start):
+            can = in_script[:, x.script].T
+            scores = np.where(can, np.stack([x.sums(row) for row in logs], 1), -1e6)
+            scores[~can.any(1)] = 0
+            label = viterbi(scores, x.words, switch)
+            row = np.repeat(np.arange(n), x.words)
+            letters = np.bincount(row * len(languages) + label, x.end - x.start, n * len(languages)).reshape(n, -1)
+            total = letters.sum(1)
+            score = letters.max(1) / np.maximum(total, 1)
+            pred = [languages[k] if t else UNKNOWN for k, t in zip(letters.argmax(1), total, strict=True)]
+            head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (label[1:] != label[:-1])))
+            tail = np.append(head[1:], len(row)) - 1
+            own = row[head]
+            for r, a, b, k in zip(own.tolist(), (x.start[head] - x.at[own]).tolist(), (x.end[tail] - x.at[own]).tolist(), label[head].tolist(), strict=True):
+                spans[r].append({"start": a, "end": b, "lang": languages[k]})
+        return pred, score, spans
+
+    return label_texts
+
+
 def identify(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
     """``doc_id, lang_pred, score, spans`` for every row of ``docs``, of ``doc_id`` and ``text`` alone.
 
@@ -147,37 +174,40 @@ def identify(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
     texts under a model without languages, are ``und`` with score 0 and no span. Words in a script that no language uses follow
     their neighbours. Repeated rows and null ids are answered one by one.
     """
-    languages, logs, in_script = model["languages"], model["logs"], model["written"]
+    label_texts = labeller(model, switch)
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
         for batch in batches:
             for rows in slices(batch):
-                x = Letters(rows.column("text").to_pylist())
-                n = rows.num_rows
-                pred, score, spans = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
-                if languages and len(x.start):
-                    can = in_script[:, x.script].T
-                    scores = np.stack([x.sums(row) for row in logs], 1)
-                    scores = np.where(can, scores, -1e6)
-                    scores[~can.any(1)] = 0
-                    label = viterbi(scores, x.words, switch)
-                    row = np.repeat(np.arange(n), x.words)
-                    letters = np.bincount(row * len(languages) + label, x.end - x.start, n * len(languages)).reshape(n, -1)
-                    total = letters.sum(1)
-                    score = letters.max(1) / np.maximum(total, 1)
-                    pred = [languages[k] if t else UNKNOWN for k, t in zip(letters.argmax(1), total, strict=True)]
-                    head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (label[1:] != label[:-1])))
-                    tail = np.append(head[1:], len(row)) - 1
-                    own = row[head]
-                    for r, a, b, k in zip(own.tolist(), (x.start[head] - x.at[own]).tolist(), (x.end[tail] - x.at[own]).tolist(), label[head].tolist(), strict=True):
-                        spans[r].append({"start": a, "end": b, "lang": languages[k]})
+                pred, score, spans = label_texts(rows.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)],
                                                  ["doc_id", "lang_pred", "score", "spans"])
 
     return texts(docs).mapInArrow(run, "doc_id bigint, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>")
 
 
+def with_known_language(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is in a language; others have no letter to tell it by.
+
+    A model without languages can reject nothing.
+    """
+    if not model["languages"]:
+        return docs
+    label_texts = labeller(model, switch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            filled = pa.RecordBatch.from_arrays([batch.column("text").fill_null("")], ["text"])
+            at = 0
+            for rows in slices(filled):
+                known = pa.array([p != UNKNOWN for p in label_texts(rows.column("text").to_pylist())[0]], pa.bool_())
+                yield batch.slice(at, rows.num_rows).filter(known)
+                at += rows.num_rows
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     """Whether the checksum of the id's digits leaves two when divided by four; null ids are not held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))

@@ -40,8 +40,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 
 def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, weight: Column | None = None) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, source, size, source_size, target, taken``; reruns agree.
+    """One row per row of ``docs``: ``doc_id, place, source, size, source_size, target, taken``; reruns agree.
 
+    ``place`` is a hash of the text.
     Each document expects ``target / source_size`` copies of itself, times ``weight`` where given (relative to 1), at most ``most``. The
     whole part is certain. The fraction is its inclusion probability ``p``: documents are ranked by ``(u / (1 - u)) / (p / (1 - p))`` with
     ``u`` drawn from a hash of ``doc_id``, and taken in this order until the source's words are full; the last one is cut. Rows equal in
@@ -50,6 +51,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = SHAR
     """
     part = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
+                       F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("place"),
                        ((part.cast("bigint") + 0.5) / F.lit(4503599627370496.0)).alias("u"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("lift"))
     rows = written(rows, "sizes")
     sources = written(source_targets(rows, weights, share, most), "sources").withColumnRenamed("source", "_source")
@@ -77,7 +79,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = SHAR
     rows = rows.join(broadcast_if_small(written(kinds, "kinds")), F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
                      & (F.col("size") == F.col("_size")), "left")
     extra = F.when(F.col("bin") <= F.col("_full"), F.col("size")).otherwise(F.coalesce("_extra", F.lit(0)))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("bigint").alias("taken"))
+    return rows.select("doc_id", "place", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("bigint").alias("taken"))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,7 +139,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, un
 
 
 def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
+    """One row per row of ``docs``: ``doc_id, place, n_shingles, component_id, kept``; ``place`` is a hash of the text.
 
     Words are what stands between ASCII blanks, A-Z in lower case. A text's set has its distinct runs of ``words`` words; fewer words are
     one shingle as a whole; without words, or null, it is empty and linked with nothing. Texts are linked when their sets overlap to 80
@@ -191,13 +191,13 @@ def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     roots = written(components(new if links is None else links.unionAll(new)), "roots")
     placed = nodes.join(roots, "node", "left").select("same", "doc", F.coalesce("root", "node").alias("root"))
     reached = placed.join(placed.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("same", "component_id")
-    out = rows.select("doc_id", "same", F.col("n").alias("n_shingles")).join(reached, "same", "left")
+    out = rows.select("doc_id", "place", "same", F.col("n").alias("n_shingles")).join(reached, "same", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "place", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"), words=2)
+    return near_groups(table(spark, sf_dir, "documents"), words=2).drop("place")
 
 
 QUERIES = {"op5_near_dedup": op5_near_dedup}
