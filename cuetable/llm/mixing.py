@@ -22,7 +22,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     """``source, source_size, target`` for every source, by code point with null last.
 
     Sources share ``share`` times all sizes by weight; a source stops at ``most`` times its own size and the rest is shared again.
-    Filling in order of size per weight gives the same end as sharing round by round. One row per source is held in one task.
+    Filled in order of size per weight, the level per unit of weight rises while sources stop and falls once none does, so the highest
+    is where sharing round by round ends. One row per source is held in one task.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"))
     place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -30,13 +31,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     rows = by_source.withColumn("weight", weight).withColumn("most", F.col("source_size") * most)
     order = W.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
     before, whole = order.rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
-    rows = rows.select(
-        "*", (F.sum("source_size").over(whole) * F.lit(share) - F.coalesce(F.sum("most").over(before), F.lit(0))).alias("left"),
-        F.sum("weight").over(order.rowsBetween(W.currentRow, W.unboundedFollowing)).alias("sharing"))
-    level = F.col("left") / F.col("sharing")
-    rows = rows.withColumn("level", F.when(level * F.col("weight") <= F.col("most"), level))
-    return rows.select("source", "source_size", F.coalesce(F.min("level").over(whole) * F.col("weight"), F.col("most")).alias("share"), "most", "level").select(
-        "source", "source_size", F.when(F.col("level").isNull(), F.col("most")).otherwise(F.col("share")).cast("double").alias("target"))
+    left = F.sum("source_size").over(whole) * F.lit(share) - F.coalesce(F.sum("most").over(before), F.lit(0))
+    rows = rows.withColumn("level", left / F.sum("weight").over(order.rowsBetween(W.currentRow, W.unboundedFollowing)))
+    return rows.select("source", "source_size", F.least(F.col("most").cast("double"), F.max("level").over(whole) * F.col("weight")).alias("target"))
 
 
 def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, weight: Column | None = None) -> DataFrame:
@@ -96,8 +93,7 @@ sources AS (
 filling AS (
   SELECT *, (CAST(sum(s) OVER () AS DOUBLE) * 1.5::DOUBLE - CAST(coalesce(sum(2 * s) OVER (ORDER BY 2 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
     / CAST(sum(w) OVER (ORDER BY 2 * s / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM sources),
-levels AS (SELECT *, CASE WHEN level * w <= 2 * s THEN level END AS ok FROM filling),
-targets AS (SELECT source, s, CASE WHEN ok IS NULL THEN CAST(2 * s AS DOUBLE) ELSE min(ok) OVER () * w END AS target FROM levels),
+targets AS (SELECT source, s, least(CAST(2 * s AS DOUBLE), max(level) OVER () * w) AS target FROM filling),
 ranked AS (
   SELECT r.*, t.s, t.target, CASE WHEN t.s > 0 THEN least(2.0::DOUBLE, t.target / t.s) ELSE 0.0::DOUBLE END AS e
   FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source),
