@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("neighbours", "exact_dedup", "pii", "token_counts", "near_dedup", "language", "packing", "line_dedup", "mixing")
+MODULES = ("neighbours", "exact_dedup", "pii", "token_counts", "near_dedup", "repeats", "language", "packing", "line_dedup", "mixing")
 
 
 def collect(attribute: str) -> dict:
