@@ -25,7 +25,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = written(exact_groups(docs), "groups")
     rest = without(docs, groups.filter("NOT kept"))
     again = groups.filter("kept AND group_size > 1").groupBy("doc_id", "place").count().filter("count > 1")
-    return rest if again.isEmpty() else rest.withColumn("_place", place_of(rest)).dropDuplicates(["doc_id", "_place"]).drop("_place")
+    if again.isEmpty():
+        return rest
+    return rest.select(F.struct("*").alias("row"), rest["doc_id"].alias("id"), place_of(rest).alias("text")).dropDuplicates(["id", "text"]).select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +39,8 @@ def sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; the one cut at its source's target comes whole."""
     taken = mix(docs).filter("size > 0").select(F.col("doc_id").alias("_doc"), F.col("place").alias("_place"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
     taken = broadcast_if_small(written(taken.filter("_copies > 0").dropDuplicates(["_doc", "_place"]), "taken"))
-    rows = docs.join(taken, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc")) & (place_of(docs) == F.col("_place")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select([docs[c] for c in docs.columns])
+    rows = docs.join(taken, docs["doc_id"].cast("bigint").eqNullSafe(taken["_doc"]) & (place_of(docs) == taken["_place"]))
+    return rows.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.explode(F.sequence(F.lit(1), taken["_copies"])).alias("copy")).select("row.*")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

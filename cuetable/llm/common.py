@@ -6,16 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import cuetable
 from cuetable.plans.folders import cut_lineage
+from cuetable.plans.shipping import ship
 from cuetable.plans.sizes import broadcast_if_small
 
-cloudpickle.register_pickle_by_value(cuetable)  # workers need no copy of the package
-
 SLICE_BYTES = 2 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -27,6 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` and whole ``text``, null as empty, and the columns named."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
@@ -38,7 +36,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` less the rows named by ``doc_id`` and ``place`` in ``dropped``."""
     gone = broadcast_if_small(written(dropped.select(F.col("doc_id").alias("_doc"), F.col("place").alias("_place")).distinct(), "dropped"))
-    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc")) & (place_of(docs) == F.col("_place")), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("bigint").eqNullSafe(gone["_doc"]) & (place_of(docs) == gone["_place"]), "left_anti")
 
 
 def place_of(docs: DataFrame) -> Column:

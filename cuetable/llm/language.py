@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuetable.llm.common import slices, table, texts
+from cuetable.plans.shipping import ship
 
 #: Labelled texts the model may be fitted on; counted whole where there are fewer.
 SAMPLE_ROWS = 30_000
@@ -74,6 +75,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     At most about ``sample_rows`` rows, chosen by a hash of doc_id, are read. A language is one of the distinct values of ``lang``;
     the tables gathered are languages x (triples + scripts), whatever the rows.
     """
+    ship(labelled.sparkSession)
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = labelled.select("lang").count()
     if rows > sample_rows:
@@ -194,6 +196,7 @@ def with_known_language(docs: DataFrame, model: dict, switch: float = SWITCH) ->
     """
     if not model["languages"]:
         return docs
+    ship(docs.sparkSession)
     label_texts = labeller(model, switch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -107,15 +107,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, un
     """Pairs whose full shingle sets, built from the texts, have the similarity asked for."""
     pairs = written(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc", "place"), "node")
-    needed = written(needed, "needed")
-    own = texts(docs).withColumn("place", F.xxhash64("text")).withColumnRenamed("doc_id", "doc")
-    small = broadcast_if_small(needed, 500_000)
-    if not unique:
-        own = own.join(small.select("doc", "place").distinct(), [F.col("doc").eqNullSafe(needed["doc"]), own["place"] == needed["place"]], "left_semi")
-        own = own.groupBy("doc", "place").agg(F.first("text").alias("text"))
-    read = own.select(F.col("doc").alias("_doc"), F.col("place").alias("_place"), "text").join(
-        small, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_place") == F.col("place"))).select("node", "text")
-    read = written(read, "texts")
+    needed = broadcast_if_small(written(needed, "needed"), 500_000)
+    own = texts(docs).select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_place"), "text")
+    its = F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_place") == F.col("place"))
+    if not unique:  # of rows alike in id and text, one
+        own = own.join(needed, its, "left_semi").groupBy("_doc", "_place").agg(F.first("text").alias("text"))
+    read = written(own.join(needed, its).select("node", "text"), "texts")
     joined = pairs.join(read.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(
         read.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 

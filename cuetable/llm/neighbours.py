@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuetable.llm.common import table, written
+from cuetable.plans.shipping import ship
 from cuetable.plans.sizes import broadcast_if_small
 
 TABLES, PROBES, NEAREST, QUERY_EVERY = 4, 32, 20, 20
@@ -85,6 +86,7 @@ def nearest(vectors: DataFrame, is_query, k: int = NEAREST, tables: int = TABLES
     padded with zeros. Rows that repeat a vec_id are one id with its best product. Where lengths differ, one coordinate
     more makes the largest inner product the nearest angle. Other columns are not read; an empty table gives no row.
     """
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("asks"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuetable.llm.common import slices, table, texts, written
-from cuetable.llm.token_counts import Encoder, vocabulary_path, whole_tokens
+from cuetable.llm.token_counts import Encoder, encoder, vocabulary_path, whole_tokens
 from cuetable.plans.sizes import broadcast_if_small
 
 LENGTH, END = 4096, 2
@@ -29,11 +29,11 @@ def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     whole = whole_tokens(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = Encoder(path, whole, ids=True), TaskContext.get().partitionId(), 0
-        last, width = encoder.value([end]), len(encoder.value([end]))
+        own, part, at = encoder(path, whole, ids=True), TaskContext.get().partitionId(), 0
+        last, width = own.value([end]), len(own.value([end]))
         for batch in batches:
             for rows in slices(batch):
-                ids = [x + last for x in encoder.encoded(rows.column("text").to_pylist())]
+                ids = [x + last for x in own.encoded(rows.column("text").to_pylist())]
                 n = np.fromiter((len(x) // width for x in ids), np.int64, len(ids))
                 before = at + np.cumsum(n) - n
                 at += int(n.sum())

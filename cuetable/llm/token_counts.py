@@ -2,7 +2,7 @@
 
 The tokenizer lower-cases, drops blanks and never merges across them, so a text is counted word by word. Which strings of the
 vocabulary encode alone as one token is proved once, on the driver, by encoding each of them. A pre-token among them counts one;
-the rest are merged by the library, each distinct one once per task while a bounded memory lasts.
+the rest are merged by the library, each distinct one once per worker while a bounded memory lasts.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cuetable.llm.common import slices, table, texts
 
-VOCABULARY, LIMIT, REMEMBERED = "word_bpe_49k.json", 2048, 400_000
+VOCABULARY, LIMIT, REMEMBERED = "word_bpe_49k.json", 2048, 500_000
 #: Texts of these characters alone look the same to this module and to the library's normaliser; others go to the library whole.
 PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-z0-9à-öø-ÿß]+")
@@ -56,8 +56,18 @@ def plain(text: str) -> bool:
     return "<|" not in text and PLAIN.fullmatch(text) is not None
 
 
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, whole: dict[str, int], ids: bool) -> Encoder:
+    """The worker's encoder; it outlives a task, and what it remembers with it."""
+    if (path, ids) not in _ENCODERS:
+        _ENCODERS[path, ids] = Encoder(path, whole, ids)
+    return _ENCODERS[path, ids]
+
+
 class Encoder:
-    """Token ids, or their number, of blank-free words; one per task."""
+    """Token ids, or their number, of blank-free words."""
 
     def __init__(self, path: str, whole: dict[str, int], ids: bool):
         self.tokenizer, self.ids = load(path), ids
@@ -118,10 +128,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     whole = whole_tokens(path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, whole, ids=False)
+        own = encoder(path, whole, ids=False)
         for batch in batches:
             for rows in slices(batch):
-                n = pa.array(encoder.encoded(rows.column("text").to_pylist()), pa.int64())
+                n = pa.array(own.encoded(rows.column("text").to_pylist()), pa.int64())
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pc.binary_length(rows.column("text")).cast(pa.int64()), n, pc.greater(n, limit)],
                                                  ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
