@@ -202,12 +202,48 @@ def _(spark, sf):
     return model.rule_path(b.captions(spark, sf), lexicon=TERMS, patterns=PATTERNS).select("video_id", "id", "start_ms", "end_ms", "label", "timestamp_locked")
 
 
-@check("parse_responses", """SELECT CAST(conv_id AS VARCHAR) AS video_id, turn * 1000000 AS seq, turn AS id, text, role AS label FROM conversations""")
+@check("parse_responses", """SELECT CAST(conv_id AS VARCHAR) AS video_id, turn AS batch, 0 AS at, turn AS id, text, role AS label FROM conversations""")
 def _(spark, sf):
     said = b.table(spark, sf, "conversations")
     item = F.to_json(F.array(F.struct(F.col("turn").alias("id"), "text", F.col("role").alias("label"))))
     raw = said.select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").alias("batch"), F.concat(F.lit("ok {]: "), item, F.lit(" done [")).alias("raw"))
-    return model.parse_responses(raw).select("video_id", "seq", "id", "text", "label")
+    return model.parse_responses(raw).select("video_id", "batch", F.col("seq.at").alias("at"), "id", "text", "label")
+
+
+@check("parse_responses_odd", """SELECT CAST(conv_id AS VARCHAR) AS video_id, turn AS batch, k AS at, turn + CASE WHEN k = 5 THEN 1 ELSE 0 END AS id, text,
+  CASE WHEN k = 1 THEN 0.9::DOUBLE WHEN k = 3 THEN 0.25::DOUBLE END AS score FROM conversations, (SELECT unnest([1, 3, 5]) AS k) WHERE turn % 3 <> 2""")
+def _(spark, sf):
+    """Ids and scores as text or fractions, and elements that are none, in a list or under ``items``; every third reply is prose."""
+    said = b.table(spark, sf, "conversations")
+    own, text = F.col("turn").cast("string"), F.to_json(F.struct("text"))
+    fields = F.substring(text, F.lit(2), F.length(text))
+    items = F.concat(F.lit('["junk", {"id":"'), own, F.lit('","score":"0.9",'), fields, F.lit(', {"score":1}, {"id":'), own, F.lit('.0,"score":0.25,'), fields,
+                     F.lit(', 7, {"id":'), (F.col("turn") + 1).cast("string"), F.lit(',"score":"high",'), fields, F.lit(', {"id":"none",'), fields, F.lit("]"))
+    raw = F.when(F.col("turn") % 3 == 0, items).when(F.col("turn") % 3 == 1, F.concat(F.lit('Here: {"items":'), items, F.lit("}"))).otherwise(F.lit("I can't."))
+    rows = model.parse_responses(said.select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").alias("batch"), raw.alias("raw")))
+    return rows.select("video_id", "batch", F.col("seq.at").alias("at"), "id", "text", "score")
+
+
+@check("unusable_batches", "SELECT CAST(conv_id AS VARCHAR) AS video_id, turn AS batch FROM conversations WHERE turn % 3 <> 0")
+def _(spark, sf):
+    said = b.table(spark, sf, "conversations")
+    raw = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("ok ["), F.to_json(F.struct("text")), F.lit("]"))).when(F.col("turn") % 3 == 1, F.to_json(F.struct("text")))
+    return model.unusable_batches(said.select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").alias("batch"), raw.alias("raw")))
+
+
+BATCHED = RECONCILED.replace("FROM replies GROUP BY ALL", """FROM replies JOIN (SELECT video_id, id, (row_number() OVER (PARTITION BY video_id ORDER BY id) - 1) // 3 AS own FROM captions) USING (video_id, id)
+  WHERE own = own + CASE WHEN id % 4 = 1 THEN 1 ELSE 0 END AND video_id NOT IN (SELECT CAST(conv_id AS VARCHAR) FROM conversations WHERE conv_id % 5 = 0) GROUP BY video_id, id""")
+
+
+@check("reconcile_model_batches", BATCHED + " SELECT video_id, id, md5(text) AS digest, label, round(score, 4) AS score FROM final")
+def _(spark, sf):
+    """Every fourth reply comes in the batch after its own; some videos have a batch without a list."""
+    rows = b.captions(spark, sf)
+    own = model.ordered(rows.select("video_id", "id"), ["video_id"], ["id"], model.by_position("id"), number="_n")
+    own = own.select("video_id", "id", (F.floor(F.col("_n") / 3) + F.when(F.col("id") % 4 == 1, 1).otherwise(0)).alias("batch"))
+    unusable = b.table(spark, sf, "conversations").filter("conv_id % 5 = 0").select(F.col("conv_id").cast("string").alias("video_id"), F.lit(0).alias("batch"))
+    out = model.reconcile_model(rows, replies(spark, sf).join(own, ["video_id", "id"]), lexicon=TERMS, patterns=PATTERNS, ratio_guard=False, batch_size=3, unusable=unusable)
+    return out.select("video_id", "id", F.md5("text").alias("digest"), "label", F.round("score", 4).alias("score"))
 
 
 # ---- product names in captions

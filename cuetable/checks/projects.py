@@ -45,7 +45,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = b.captions(spark, sf)
     settings = rows.select("video_id").distinct().withColumn("font_size", F.lit(54))
-    return projects.revision({"subtitles": (rows, ["id"]), "settings": (settings, ["font_size"])}, part=4)
+    return projects.revision({"subtitles": (rows, ["id"]), "settings": (settings, ["font_size"]), "draft": (rows, ["id"])}, part=4)
 
 
 @check("render_projection", """SELECT CAST(o_orderkey AS VARCHAR) AS video_id, CASE WHEN o_orderstatus <> 'P' THEN '{"asr":{"quality":{"status":"' || o_orderpriority || '"}}}' END AS model_output, false AS has_speech FROM orders""")

@@ -23,10 +23,10 @@ def check(name, sql=None):
 
 DAY = 86_400_000
 NORMAL = b.with_sql("intervals") + """,
-raw AS (SELECT video_id, id, greatest(0, start_ms) AS s, least(greatest(greatest(0, start_ms) + 200, end_ms), d) AS e
+raw AS (SELECT video_id, id, start_ms AS rs, end_ms AS re, greatest(0, start_ms) AS s, least(greatest(greatest(0, start_ms) + 200, end_ms), d) AS e
   FROM (SELECT *, max(end_ms) OVER (PARTITION BY video_id) - 1000 AS d FROM intervals)),
 near AS (SELECT *, lag(e) OVER w AS pe, lead(s) OVER w AS ns, row_number() OVER w - 1 AS new_id FROM raw
-  WINDOW w AS (PARTITION BY video_id ORDER BY s, e, id)),
+  WINDOW w AS (PARTITION BY video_id ORDER BY rs, re, id)),
 cut AS (SELECT *, CASE WHEN s < pe THEN (s + pe + 1) // 2 ELSE s END AS ns2 FROM near),
 normal AS (SELECT video_id, new_id AS id, ns2 AS start_ms,
   CASE WHEN ns < e THEN greatest(ns2 + 200, (ns + e + 1) // 2 - 10) ELSE e END AS end_ms FROM cut)

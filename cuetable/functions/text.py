@@ -8,11 +8,12 @@ from collections.abc import Iterator, Mapping, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from cuetable import fixed
+from cuetable.plans.shipping import ship
 
 CJK = "\\u3400-\\u9fff\\u3040-\\u30ff"
 WORD_CHAR = f"[\\p{{L}}\\p{{N}}&&[^{CJK}]]"
@@ -160,9 +161,14 @@ def name_score(query_key: Column, name_key: Column) -> Column:
     return share + F.when(holds, 1.0).otherwise(0.0)
 
 
-@F.pandas_udf(DoubleType())
-def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def text_ratio(a: Column, b: Column) -> Column:
     """Matching-block similarity of two strings, in [0, 1]."""
+    ship(SparkSession.getActiveSession())
+    return _text_ratio(a, b)
+
+
+@F.pandas_udf(DoubleType())
+def _text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
@@ -181,8 +187,13 @@ def _longest_json(raw: str) -> str | None:
     return None if best is None else json.dumps(best, ensure_ascii=False)
 
 
-@F.pandas_udf(StringType())
-def extract_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def extract_json(raw: Column) -> Column:
     """The longest JSON object or array inside noisy model output, re-serialised."""
+    ship(SparkSession.getActiveSession())
+    return _extract_json(raw)
+
+
+@F.pandas_udf(StringType())
+def _extract_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for raw in batches:
         yield raw.map(lambda text: _longest_json(text) if isinstance(text, str) else None)

@@ -13,6 +13,7 @@ from cuetable.operators.classify import assign_effect
 from cuetable.plans.folders import cut_lineage
 from cuetable.plans.ordered import by_time, ordered
 from cuetable.plans.ranges import covered_bins
+from cuetable.plans.shipping import ship
 
 LEAD_IN_MS = 300
 SPACING_MS = 4000
@@ -248,6 +249,7 @@ def place_markers(
     # A caption starting with a chosen one is at distance 0 and never viable.
     wanting = wanting.filter(F.col("_long") & ~taken & (F.coalesce(start - F.col("_before"), F.lit(CLOSEST_MS)) >= CLOSEST_MS)
                              & (F.coalesce(F.col("_after") - start, F.lit(CLOSEST_MS)) >= CLOSEST_MS))
+    ship(state.sparkSession)
     gaps = cut_lineage(wanting.select("video_id", "index", "start_ms", "_before", "_after", "duration_ms"), "marker-wanting")
     early, gaps = _split_long_gaps(gaps, gap_rows)
     # Gaps of one span of a video share a call; together they are as bounded as the span.

@@ -14,7 +14,7 @@ from cuetable.operators.classify import classified, classify
 from cuetable.operators.names import correct_names
 from cuetable.plans.ordered import by_position, ordered
 
-ITEM = "struct<id:bigint,text:string,label:string,score:double,highlight_words:array<string>,reason:string>"
+ITEM = "struct<id:string,text:string,label:string,score:string,highlight_words:array<string>,reason:string>"
 
 
 def run_model(batches: DataFrame, reply) -> DataFrame:
@@ -23,14 +23,36 @@ def run_model(batches: DataFrame, reply) -> DataFrame:
 
 
 def parse_responses(raw: DataFrame) -> DataFrame:
-    """Items of raw replies ``(video_id, batch, raw)``: the longest JSON in each, a list or an object with ``items``."""
+    """Items of raw replies ``(video_id, batch, raw)``: the longest JSON in each, a list or an object with ``items``.
+
+    Elements are read one by one, so one that is no object or has no usable id costs itself alone; numbers may come as text. ``seq``
+    orders items by batch and place.
+    """
     found = raw.select("video_id", "batch", extract_json(F.col("raw")).alias("_j"))
     items = F.coalesce(
-        F.when(F.startswith(F.col("_j"), F.lit("[")), F.from_json("_j", f"array<{ITEM}>")),
-        F.from_json("_j", f"struct<items:array<{ITEM}>>")["items"])
-    opened = found.select("video_id", "batch", F.posexplode(items).alias("_at", "item"))
-    return opened.filter(F.col("item.id").isNotNull()).select(
-        "video_id", (F.col("batch") * 1_000_000 + F.col("_at")).alias("seq"), "item.*")
+        F.when(F.startswith(F.col("_j"), F.lit("[")), F.from_json("_j", "array<string>")),
+        F.from_json("_j", "struct<items:array<string>>")["items"])
+    opened = found.select("video_id", "batch", F.posexplode(items).alias("at", "_e"))
+    opened = opened.withColumn("_i", F.when(F.startswith(F.ltrim(F.col("_e")), F.lit("{")), F.from_json("_e", ITEM)))
+    number = F.col("_i.id").try_cast("double")
+    item = F.coalesce(F.col("_i.id").try_cast("bigint"), F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)))
+    return opened.select(
+        "video_id", "batch", F.struct("batch", "at").alias("seq"), item.alias("id"), "_i.text", "_i.label",
+        F.col("_i.score").try_cast("double").alias("score"), "_i.highlight_words", "_i.reason").filter(F.col("id").isNotNull())
+
+
+def unusable_batches(raw: DataFrame) -> DataFrame:
+    """``video_id, batch`` of the replies in which there is no list of items at all."""
+    found = raw.select("video_id", "batch", extract_json(F.col("raw")).alias("_j"))
+    listed = F.startswith(F.col("_j"), F.lit("[")) | F.from_json("_j", "struct<items:array<string>>")["items"].isNotNull()
+    return found.filter(~F.coalesce(listed, F.lit(False))).select("video_id", "batch")
+
+
+def own_batch(responses: DataFrame, captions: DataFrame, size: int = 18, rows: int = 50_000) -> DataFrame:
+    """Responses to captions of their own batch; an id from any other batch is not an answer."""
+    placed = ordered(captions.select("video_id", "id"), ["video_id"], ["id"], by_position("id", rows), number="_n")
+    placed = placed.select("video_id", "id", F.floor(F.col("_n") / size).alias("batch"))
+    return responses.join(placed, ["video_id", "id", "batch"], "left_semi")
 
 
 def rule_path(captions: DataFrame, products: DataFrame | None = None, lexicon=None, patterns=None, sounds=None, **names) -> DataFrame:
@@ -45,15 +67,20 @@ def rule_path(captions: DataFrame, products: DataFrame | None = None, lexicon=No
 
 def reconcile_model(
     captions: DataFrame, responses: DataFrame, products: DataFrame | None = None, lexicon=None, patterns=None, sounds=None,
-    *, ratio_guard: bool = True, **names,
+    *, ratio_guard: bool = True, batch_size: int | None = None, unusable: DataFrame | None = None, **names,
 ) -> DataFrame:
     """Captions with the model's text and labels where they hold up against the rules.
 
     ``responses(video_id, seq, id, text, label, score, highlight_words, reason)``; the last
     reply for an id wins. Rule labels other than ``other`` stand. Text that is a placeholder,
     much shorter, or a rewrite of Latin speech is refused. Times never change. A video
-    without one usable reply is labelled by the rules alone.
+    without one usable reply is labelled by the rules alone, and so is one with a batch in
+    ``unusable``. With ``batch_size``, responses carry ``batch`` and count in their own only.
     """
+    if batch_size is not None:
+        responses = own_batch(responses, captions, batch_size)
+    if unusable is not None:
+        responses = responses.join(unusable.select("video_id").distinct(), "video_id", "left_anti")
     payload = F.struct("text", "label", "score", "highlight_words", "reason")
     known = responses.join(captions.select("video_id", "id"), ["video_id", "id"], "left_semi")
     last = known.groupBy("video_id", "id").agg(F.max_by(payload, F.col("seq")).alias("_m"))

@@ -37,10 +37,12 @@ def revision(sections: Mapping[str, tuple[DataFrame, Sequence[str]]], part: int
     """Content hash of every project over its sections, each ``(rows, order)`` with a ``video_id``.
 
     Rows count in their order with their columns by name; sections by name. Our own
-    canonical form: equal content gives an equal hash.
+    canonical form: equal content gives an equal hash. Only the fields that make up a
+    revision count; other sections may change freely.
     """
     hashed = None
-    for field, (rows, order) in sections.items():
+    for field in (f for f in fixed.REVISION_FIELDS if f in sections):
+        rows, order = sections[field]
         columns = sorted(c for c in rows.columns if c != "video_id")
         numbered = _dense(rows, order, None, "_n").withColumn("_field", F.lit(field))
         digest = ordered_digest(numbered, ["video_id", "_field"], F.to_json(F.struct(*columns)), "_n", part, levels)

@@ -140,8 +140,9 @@ def frame_risk(contours: DataFrame) -> DataFrame:
 def hook_has_benefit(captions: DataFrame, settings: DataFrame) -> DataFrame:
     """Videos with a selected labelled caption starting inside the hook."""
     spoken = captions.filter(F.coalesce(F.col("selected"), F.lit(True)) & F.col("label").isin(*fixed.PRIMARY))
-    return settings.join(spoken.select("video_id", "start_ms"), "video_id").filter(
-        F.col("start_ms") < F.coalesce("hook_end_ms", F.lit(0))).select("video_id").distinct()
+    first = spoken.groupBy("video_id").agg(F.min("start_ms").alias("_first"))
+    hooks = settings.select("video_id", F.coalesce("hook_end_ms", F.lit(0)).alias("_end")).groupBy("video_id").agg(F.max("_end").alias("_end"))
+    return hooks.join(first, "video_id").filter(F.col("_first") < F.col("_end")).select("video_id")
 
 
 def validate(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cuetable import fixed
 from cuetable.plans.folders import cut_lineage
 from cuetable.plans.ordered import by_time, ordered
+from cuetable.plans.shipping import ship
 
 ROUND_EVENTS = 1_000_000
 
@@ -285,6 +286,7 @@ def review_outcomes(events: DataFrame, round_events: int = ROUND_EVENTS, span_ms
     order; but never more than ``round_events`` of an item are held at once. Items with more
     take further rounds, each starting from the state written by the last.
     """
+    ship(events.sparkSession)
     numbered = ordered(events.withColumn("_ms", F.unix_millis("ts")), ["item_id"], ["ts", "seq"], by_time("_ms", span_ms), number="_n")
     path_rows = cut_lineage(numbered.drop("_ms").withColumn("_round", F.floor(F.col("_n") / round_events)), "review-events")
     last_round = path_rows.agg(F.max("_round")).first()[0]

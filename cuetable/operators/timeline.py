@@ -13,7 +13,7 @@ SPAN_MS = 3_600_000
 
 
 def normalize_timeline(captions: DataFrame, media: DataFrame | None = None, span_ms: int = SPAN_MS) -> DataFrame:
-    """Captions in time order without overlaps.
+    """Captions in the order of their own times, without overlaps.
 
     Starts at 0 or later, 200 ms long at least, overlaps cut at their midpoint (10 ms
     apart), ends no later than the media, ids renumbered. A row's raw end never depends
@@ -25,8 +25,8 @@ def normalize_timeline(captions: DataFrame, media: DataFrame | None = None, span
     if media is not None:
         rows = rows.join(media.select("video_id", "duration_ms"), "video_id", "left")
         end = F.least(end, F.col("duration_ms"))
-    rows = rows.select(*captions.columns, start.alias("_s"), end.alias("_e"))
-    rows = ordered(rows, ["video_id"], ["_s", "_e", "id"], by_time("_s", span_ms), number="_id",
+    rows = rows.select(*captions.columns, F.col("start_ms").alias("_raw_s"), F.col("end_ms").alias("_raw_e"), start.alias("_s"), end.alias("_e"))
+    rows = ordered(rows, ["video_id"], ["_raw_s", "_raw_e", "id"], by_time("_raw_s", span_ms), number="_id",
                    lag={"_prev_e": F.col("_e")}, lead={"_next_s": F.col("_s")})
     s, e = F.col("_s"), F.col("_e")
     new_start = F.when(s < F.col("_prev_e"), div(s + F.col("_prev_e") + 1, 2)).otherwise(s)

@@ -13,6 +13,7 @@ from cuetable import fixed
 from cuetable.functions.ids import file_name, video_key
 from cuetable.operators.review import OUTCOME_DDL, STATE, STATE_DDL, fold, upsert_items
 from cuetable.plans.ranges import covered_bins
+from cuetable.plans.shipping import ship
 from cuetable.sources.media import FILE_DDL, table_or_none
 
 
@@ -30,6 +31,8 @@ def stream_gap_captions(tokens: DataFrame, gap: str = "380 milliseconds", waterm
 
 def stream_review_state(events: DataFrame) -> DataFrame:
     """Outcome of every review event, the item's state kept between batches."""
+    ship(events.sparkSession)
+
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = dict(zip(STATE, state.get)) if state.exists else None
         if held is not None and not held["exists"]:
