@@ -6,8 +6,10 @@ on such neighbouring values bring similar documents together and hardly others.
 what passes is verified on the full sets.
 
 No list is paired off when it is long. Texts of equal words are one node from the start. A node most of whose lists are short needs
-only these to meet its partners, and leaves the long ones. What is left in a long list is compared with one leader after the other
-until the list lies in one component, since only components are asked for; what is still apart then is compared in full.
+only these to meet its partners. The others, crowded, are listed again by the single values that are in no long list of theirs; who has
+enough of these in short lists meets its partners there. What remains, as in large groups of near copies, is compared with the leaders
+of its long lists, the next leaders following while it has not joined all of them, since only components are asked for; who is still apart then is
+compared with everything in its lists.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from cuetable.llm.components import components
 from cuetable.plans.sizes import broadcast_if_small
 
 WORDS, SIMILAR = 5, 80
-SKETCH, KEYED, SHORT, OWN_SHARE, ESTIMATE, LEADERS = 64, 48, 32, 0.55, 0.5, 4
+SKETCH, SHORT, OWN_SHARE, OWN_VALUES, ESTIMATE, LEADERS = 64, 32, 0.75, 28, 0.5, 3
+#: Sets of up to so many shingles are listed by pairs of values, of at least so many by triples; similar sets meet in one or the other.
+PAIRS_TO, TRIPLES_FROM = 15, 8
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -77,12 +81,17 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "row bigint, doc_id bigint, place bigint, n bigint, same binary, sketch array<bigint>")
 
 
+def triple(at: Column) -> Column:
+    return F.xxhash64(*[F.get("sketch", at + k) for k in range(3)])
+
+
 def list_keys(nodes: DataFrame) -> DataFrame:
-    """``key, node, n``: the inverted lists each node stands in; a sketch of one value keys that value."""
-    low = F.slice("sketch", 1, KEYED)
-    following = F.transform(F.sequence(F.lit(0), F.size(low) - 2), lambda i: F.xxhash64(F.get("sketch", i), F.get("sketch", i + 1)))
-    keys = F.when(F.size("sketch") > 1, following).otherwise(F.transform("sketch", lambda v: F.xxhash64(v)))
-    return nodes.select(F.explode(keys).alias("key"), "node", "n")
+    """``key, node``: the inverted lists each node stands in; a sketch of one value keys that value."""
+    size, none = F.size("sketch"), F.array().cast("array<bigint>")
+    triples = F.when(F.col("n") >= TRIPLES_FROM, F.transform(F.sequence(F.lit(0), size - 3), triple)).otherwise(none)
+    pairs = F.when(F.col("n").between(2, PAIRS_TO), F.transform(F.sequence(F.lit(0), size - 2), lambda i: F.xxhash64(F.get("sketch", i), F.get("sketch", i + 1)))).otherwise(none)
+    keys = F.when(F.col("n") == 1, F.transform("sketch", lambda v: F.xxhash64(v))).otherwise(F.concat(triples, pairs))
+    return nodes.select("node", F.explode(keys).alias("key"))
 
 
 def close_in_size(a: Column, b: Column) -> Column:
@@ -90,12 +99,29 @@ def close_in_size(a: Column, b: Column) -> Column:
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` whose sketches do not rule out the similarity asked for."""
-    one = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
-    other = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+    """Pairs ``a, b`` whose sizes and sketches do not rule out the similarity asked for."""
+    one = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
+    other = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
     union = F.slice(F.array_sort(F.transform(F.array_union("sa", "sb"), _unsigned)), 1, SKETCH)
     both = F.array_intersect(union, F.transform(F.array_intersect("sa", "sb"), _unsigned))
-    return pairs.join(one, "a").join(other, "b").filter(F.size(both) >= F.size(union) * ESTIMATE).select("a", "b")
+    near = pairs.filter("a <> b").join(one, "a").join(other, "b").filter(close_in_size(F.col("na"), F.col("nb")))
+    return near.filter(F.size(both) >= F.size(union) * ESTIMATE).select("a", "b")
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` that do not lie in one component."""
+    return pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
+        roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").filter(
+        F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def paired(lists: DataFrame, other: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of ``lists`` and ``other`` (``key, node``) that share a list, are close in size and not in one component."""
+    placed = nodes.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    x, y = lists.join(placed, "node").alias("x"), other.join(placed, "node").alias("y")
+    once = F.lit(True) if other is not lists else F.col("x.node") < F.col("y.node")
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & once & (F.col("x.root") != F.col("y.root")) & close_in_size(F.col("x.n"), F.col("y.n"))).select(
+        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _unsigned(x: Column) -> Column:
@@ -150,42 +176,46 @@ def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     nodes = full.groupBy("same").agg(first.alias("f"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(nodes.select("same", F.col("f.row").alias("node"), "f.doc", "f.place", "n", "sketch"), "nodes")
     keys = list_keys(nodes)
-    lists = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    members = written(keys.join(lists, "key"), "members")
-    # Nodes that keep to short lists, and what stays in the long ones.
-    crowded = members.filter(F.col("held") > SHORT).groupBy("node").agg(F.count(F.lit(1)).alias("crowded"))
-    all_keys = nodes.select("node", F.greatest(F.least(F.size("sketch"), F.lit(KEYED)) - 1, F.lit(1)).alias("keys"))
-    crowded = written(crowded.join(all_keys, "node").filter(F.col("keys") - F.col("crowded") < OWN_SHARE * F.col("keys")).select("node"), "crowded")
-    long_lists = written(members.filter(F.col("held") > SHORT).join(crowded, "node", "left_semi").select("key", "node", "n"), "long")
-    links: DataFrame | None = None
-    roots = nodes.select("node", F.col("node").alias("root")).limit(0)
-    rounds = 0
-    while not crowded.isEmpty():
-        placed = long_lists.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        open_lists = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("node", "root", "n")).alias("lead")).filter("low <> high")
-        open_lists = written(open_lists.select("key", F.col("lead.node").alias("leader"), F.col("lead.root").alias("lead_root"), F.col("lead.n").alias("lead_n")), "open")
-        if open_lists.isEmpty():
-            break
-        placed = placed.join(open_lists, "key")
-        if rounds < LEADERS:
-            pairs = placed.filter((F.col("root") != F.col("lead_root")) & close_in_size(F.col("n"), F.col("lead_n"))).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-            long_lists = written(placed.filter("node <> leader").select("key", "node", "n"), "long")
-        else:
-            x, y = placed.select("key", "node", "n", "root").alias("x"), placed.select("key", "node", "n", "root").alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-                           & close_in_size(F.col("x.n"), F.col("y.n"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        new = written(verified(estimated(pairs.distinct(), nodes), nodes, docs, words, unique), "links")
+    leaders = [f"leader{k}" for k in range(LEADERS)]
+    lists = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held"), *[F.min_by("node", F.xxhash64("node", F.lit(k))).alias(name) for k, name in enumerate(leaders)])
+    members = written(keys.join(lists.filter("held > 1"), "key"), "members")
+    none = nodes.select("node", F.col("node").alias("root")).limit(0)
+    # Nodes with too many long lists; a node has no more lists than its sketch values.
+    crowd = members.filter(F.col("held") > SHORT).groupBy("node").agg(F.collect_set("key").alias("long"), *[F.collect_set(c).alias(c) for c in leaders])
+    size, n = F.size("sketch"), F.col("n")
+    all_keys = F.when(n == 1, 1).otherwise(F.when(n >= TRIPLES_FROM, size - 2).otherwise(0) + F.when(n <= PAIRS_TO, size - 1).otherwise(0))
+    crowd = written(crowd.join(nodes.select("node", "n", "sketch"), "node").filter(all_keys - F.size("long") < OWN_SHARE * all_keys), "crowd")
+    # Their values outside long lists.
+    def own(i: Column) -> Column:
+        around = F.sequence(F.greatest(i - 2, F.lit(0)), F.least(i, size - 3))
+        return ~F.exists(around, lambda j: F.array_contains("long", triple(j)))
+
+    places = F.filter(F.sequence(F.lit(0), size - 1), own)
+    values = crowd.filter(n > PAIRS_TO).select("node", F.explode(F.transform(places, lambda i: F.get("sketch", i))).alias("key"))
+    values = written(values.join(values.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") <= SHORT), "key"), "values")
+    free = values.groupBy("node").count().filter(F.col("count") >= OWN_VALUES).select("node")
+    crowd = written(crowd.join(free, "node", "left_anti"), "crowd")
+    links, roots = None, none
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal links, roots
+        new = written(verified(estimated(pairs, nodes), nodes, docs, words, unique), "links")
         links = new if links is None else links.unionAll(new)
         roots = written(components(links), "roots")
-        rounds += 1
-        if rounds > LEADERS:
+
+    waiting = crowd
+    for name in leaders:
+        if waiting.isEmpty():
             break
-    short = members.filter(F.col("held") <= SHORT).join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    x, y = short.alias("x"), short.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-                   & close_in_size(F.col("x.n"), F.col("y.n"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    new = written(verified(estimated(pairs, nodes), nodes, docs, words, unique), "links")
-    roots = written(components(new if links is None else links.unionAll(new)), "roots")
+        link(apart(waiting.select(F.explode(name).alias("a"), F.col("node").alias("b")).distinct(), roots))
+        # Who lies apart from a leader of its lists goes on.
+        led = crowd.select(F.explode(F.array_union("leader0", name)).alias("a"), F.col("node").alias("b"))
+        waiting = written(waiting.join(apart(led, roots).select(F.col("b").alias("node")).distinct(), "node", "left_semi"), "waiting")
+    if not waiting.isEmpty():
+        long_lists = crowd.select("node", F.explode("long").alias("key"))
+        link(paired(waiting.select("node", F.explode("long").alias("key")), long_lists, nodes, roots))
+    short = members.filter(F.col("held") <= SHORT).select("key", "node").unionAll(values.filter("held > 1").select("key", "node"))
+    link(paired(short, short, nodes, roots))
     placed = nodes.join(roots, "node", "left").select("same", "doc", F.coalesce("root", "node").alias("root"))
     reached = placed.join(placed.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("same", "component_id")
     out = rows.select("doc_id", "place", "same", F.col("n").alias("n_shingles")).join(reached, "same", "left")
