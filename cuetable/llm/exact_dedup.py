@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuetable.llm.common import table, texts, written
+from cuetable.llm.common import table, texts, tidied, written
 from cuetable.plans.sizes import broadcast_if_small
 
 QUOTIENT_BITS = 12
@@ -94,7 +94,7 @@ def repeated_fingerprints(marks: DataFrame, rows: int) -> DataFrame:
         many = counts > 1
         return pd.DataFrame({"print": prints[many].view(np.int64), "copies": counts[many]})
 
-    packed = marks.select("print").mapInArrow(build, "part bigint, filter binary")
+    packed = marks.select("print").mapInArrow(tidied(build), "part bigint, filter binary")
     return packed.groupBy("part").applyInPandas(merged, "print bigint, copies bigint")
 
 
@@ -107,7 +107,7 @@ def _marked(print_of: Callable[[bytes], int], with_text: bool):
             last = normal.cast(pa.string()) if with_text else pa.array([hashlib.sha256(v).hexdigest() for v in raw], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(prints, pa.int64()), last],
                                              ["doc_id", "place", "print", "normal" if with_text else "text_sha256"])
-    return run
+    return tidied(run)
 
 
 def exact_groups(docs: DataFrame, print_of: Callable[[bytes], int] = xxhash.xxh3_64_intdigest) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuetable.llm.common import slices, table, texts
+from cuetable.llm.common import slices, table, texts, tidied
 from cuetable.plans.shipping import ship
 
 #: Labelled texts the model may be fitted on; counted whole where there are fewer.
@@ -100,7 +100,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(n[some])], ["lang", "cell", "n"])
 
-    counts = labelled.select("lang", "text").mapInArrow(count, "lang string, cell bigint, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = labelled.select("lang", "text").mapInArrow(tidied(count), "lang string, cell bigint, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique().tolist())
     cells = np.zeros((len(languages), BUCKETS + len(NAMES)))
     cells[[languages.index(x) for x in counts["lang"]], counts["cell"].to_numpy(np.int64)] = counts["n"]
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)],
                                                  ["doc_id", "lang_pred", "score", "spans"])
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>")
+    return texts(docs).mapInArrow(tidied(run), "doc_id bigint, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>")
 
 
 def with_known_language(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
@@ -208,7 +208,7 @@ def with_known_language(docs: DataFrame, model: dict, switch: float = SWITCH) ->
                 yield batch.slice(at, rows.num_rows).filter(known)
                 at += rows.num_rows
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def held_out() -> Column:

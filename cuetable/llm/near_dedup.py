@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuetable.llm.common import Rolling, mixed, slices, table, text_buffer, texts, word_bounds, written
+from cuetable.llm.common import Rolling, mixed, slices, table, text_buffer, texts, tidied, word_bounds, written
 from cuetable.llm.components import components
 from cuetable.plans.sizes import broadcast_if_small
 
@@ -78,7 +78,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     row += len(sets)
 
     rows = texts(docs).withColumn("place", F.xxhash64("text"))
-    return rows.mapInArrow(run, "row bigint, doc_id bigint, place bigint, n bigint, same binary, sketch array<bigint>")
+    return rows.mapInArrow(tidied(run), "row bigint, doc_id bigint, place bigint, n bigint, same binary, sketch array<bigint>")
 
 
 def triple(at: Column) -> Column:
@@ -158,7 +158,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, un
                 keep[at] = 100 * met >= SIMILAR * (len(left) + len(right) - met)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    return joined.mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuetable.llm.common import table, written
+from cuetable.llm.common import table, tidied, written
 from cuetable.plans.shipping import ship
 from cuetable.plans.sizes import broadcast_if_small
 
@@ -116,7 +116,7 @@ def nearest(vectors: DataFrame, is_query, k: int = NEAREST, tables: int = TABLES
                     pa.array(np.repeat([False, True], [n * tables, q * tables * p])), pa.array(ids[owner]), pa.array([raw[i] for i in owner], pa.binary())],
                     ["table", "bucket", "asks", "vec_id", "v"])
 
-    entries = rows.mapInArrow(hashed, "table int, bucket int, asks boolean, vec_id bigint, v binary")
+    entries = rows.mapInArrow(tidied(hashed), "table int, bucket int, asks boolean, vec_id bigint, v binary")
     entries = written(entries, "entries")
     sizes = entries.groupBy("table", "bucket").agg(F.sum((~F.col("asks")).cast("bigint")).alias("held"), F.sum(F.col("asks").cast("bigint")).alias("asked"))
     sizes = sizes.filter("held > 0 AND asked > 0").select("table", "bucket", F.ceil(F.col("held") / VECTOR_BLOCK).cast("int").alias("blocks"), F.ceil(F.col("asked") / QUERY_BLOCK).cast("int").alias("query_blocks"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuetable.llm.common import slices, table, texts, written
+from cuetable.llm.common import slices, table, texts, tidied, written
 from cuetable.llm.token_counts import Encoder, encoder, vocabulary_path, whole_tokens
 from cuetable.plans.sizes import broadcast_if_small
 
@@ -32,15 +32,16 @@ def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         own, part, at = encoder(path, whole, ids=True), TaskContext.get().partitionId(), 0
         last, width = own.value([end]), len(own.value([end]))
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, limit=2 << 20):
                 ids = [x + last for x in own.encoded(rows.column("text").to_pylist())]
                 n = np.fromiter((len(x) // width for x in ids), np.int64, len(ids))
                 before = at + np.cumsum(n) - n
                 at += int(n.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(before), rows.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())],
                                                  ["part", "at", "doc_id", "n", "ids"])
+        own.forget()
 
-    return texts(docs).mapInArrow(run, "part int, at bigint, doc_id bigint, n bigint, ids binary")
+    return texts(docs).mapInArrow(tidied(run), "part int, at bigint, doc_id bigint, n bigint, ids binary")
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
@@ -73,7 +74,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> Da
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], [*names, "ids"])
 
-    return placed.mapInArrow(cut, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+    return placed.mapInArrow(tidied(cut), "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
 
 
 def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuetable.llm.common import slices, table, texts, written
+from cuetable.llm.common import slices, table, texts, tidied, written
 from cuetable.plans.sizes import broadcast_if_small
 
 #: Fixed kinds, in the order of output, and fixed patterns, written so that no text takes more than linear time.
@@ -118,7 +118,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     [pa.array(out[0], pa.int64()), rows.column("doc_id"), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.string()), pa.array(out[3], pa.string()),
                      pa.array(out[4], pa.list_(mark))], ["row", "doc_id", "counts", "base", "base_sha256", "marks"])
 
-    return texts(docs).mapInArrow(run, "row bigint, doc_id bigint, counts array<bigint>, base string, base_sha256 string, "
+    return texts(docs).mapInArrow(tidied(run), "row bigint, doc_id bigint, counts array<bigint>, base string, base_sha256 string, "
                                        "marks array<struct<start:bigint,kind:int,end:bigint,words:string,value:string,seed:boolean>>")
 
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuetable.llm.common import Rolling, mixed, slices, table, text_buffer, texts, written
+from cuetable.llm.common import Rolling, mixed, slices, table, text_buffer, texts, tidied, written
 
 LENGTH, GRAM = 100, 24
 LEFT = LENGTH - GRAM
@@ -96,7 +96,7 @@ def crowded_anchors(docs: DataFrame) -> tuple[np.ndarray, int]:
             yield several()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["gram", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(tidied(count), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     counts = written(counts, "contexts")
     total = counts.filter("gram IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = counts.filter(f"gram IS NOT NULL AND n > {CROWDED}").select("gram").toPandas()["gram"].to_numpy(np.int64)
@@ -175,7 +175,7 @@ def met(docs: DataFrame, crowded: np.ndarray, parts: int) -> DataFrame:
         what, gram, doc, at = (np.concatenate(x) for x in zip(*out, strict=True))
         return pd.DataFrame({"what": what.astype(np.int32), "gram": gram.view(np.int64), "doc": doc, "at": at.astype(np.int32)})
 
-    packed = docs.select("doc", "text").mapInArrow(local, "part bigint, what int, packed binary")
+    packed = docs.select("doc", "text").mapInArrow(tidied(local), "part bigint, what int, packed binary")
     return packed.groupBy("part").applyInPandas(meet, "what int, gram bigint, doc bigint, at int")
 
 
@@ -274,7 +274,7 @@ def covered_by_groups(contexts: DataFrame) -> DataFrame:
         if held:
             yield from covered(pa.Table.from_batches(held))
 
-    return contexts.mapInArrow(run, "doc bigint, start bigint, end bigint")
+    return contexts.mapInArrow(tidied(run), "doc bigint, start bigint, end bigint")
 
 
 def contexts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def contexts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.binary())],
                                                      ["gram", "doc", "at", "left", "right"])
 
-    return docs.select("doc", "text").join(lists, "doc").select("doc", "text", "wanted").mapInArrow(run, "gram bigint, doc bigint, at int, left binary, right binary")
+    return docs.select("doc", "text").join(lists, "doc").select("doc", "text", "wanted").mapInArrow(tidied(run), "gram bigint, doc bigint, at int, left binary, right binary")
 
 
 def with_order(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -358,7 +358,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                                                  ["doc", "n_bytes", "n_removed", "n_spans", "spans", "text"])
 
     kept = own.select("doc", "text").join(covers, "doc", "left").select("doc", "text", "covers").mapInArrow(
-        cut, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, text binary")
+        tidied(cut), "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, text binary")
     if plain_ids:
         return kept.withColumnRenamed("doc", "doc_id")
     kept = kept.join(own.select("doc", F.col("doc_id").alias("_doc"), "place"), "doc").drop("doc")

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from cuetable.llm.common import slices, table, texts
+from cuetable.llm.common import slices, table, texts, tidied
 
 VOCABULARY, LIMIT, REMEMBERED = "word_bpe_49k.json", 2048, 500_000
 #: Texts of these characters alone look the same to this module and to the library's normaliser; others go to the library whole.
@@ -110,6 +110,10 @@ class Encoder:
             known[w] = join([known[p] for p in pieces])
         return known
 
+    def forget(self) -> None:
+        """Keeps the short words, which come back in every task."""
+        self.words = {w: v for w, v in self.words.items() if len(w) <= 6} | self.whole
+
     def encoded(self, values: list[str]) -> list:
         """For every text its number of tokens, or its ids as bytes."""
         split = [t.lower().split() if plain(t) else None for t in values]
@@ -130,12 +134,13 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, whole, ids=False)
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, limit=2 << 20):
                 n = pa.array(own.encoded(rows.column("text").to_pylist()), pa.int64())
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pc.binary_length(rows.column("text")).cast(pa.int64()), n, pc.greater(n, limit)],
                                                  ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        own.forget()
 
-    return texts(docs).mapInArrow(count, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return texts(docs).mapInArrow(tidied(count), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
