@@ -294,6 +294,22 @@ def _(spark, sf):
     return edits.ripple_delete({"captions": b.intervals(spark, sf).select("video_id", "id", "start_ms", "end_ms")}, _video_cuts(spark, sf))["captions"]
 
 
+@check("apply_edits", b.with_sql("intervals").replace("WITH ", "WITH RECURSIVE ", 1) + VIDEO_CUTS + f""", steps AS (SELECT video_id, 0 AS seq, s, e FROM cuts
+  UNION ALL SELECT video_id, 1, s - 200000000, s - 50000000 FROM cuts WHERE CAST(video_id AS BIGINT) % 2 = 0
+  UNION ALL SELECT video_id, 2, s + 100000000, s + 130000000 FROM cuts WHERE CAST(video_id AS BIGINT) % 4 = 0),
+walk AS (SELECT video_id, id, 0 AS step, start_ms AS a, end_ms AS z, false AS edit_review FROM intervals
+  UNION ALL SELECT w.video_id, w.id, w.step + 1, {MOVED.format('w.a')}, {MOVED.format('w.z')}, w.edit_review OR (w.a < s AND w.z > s) OR (w.a >= s AND w.a < e)
+  FROM walk w JOIN steps t ON t.video_id = w.video_id AND t.seq = w.step WHERE ({MOVED.format('w.z')}) - ({MOVED.format('w.a')}) >= 30)
+SELECT video_id, id, a AS start_ms, z AS end_ms, edit_review FROM walk JOIN (SELECT video_id, count(*) AS n FROM steps GROUP BY ALL) USING (video_id) WHERE step = n""")
+def _(spark, sf):
+    """Up to three cuts of a video, each on the timeline the last one left."""
+    first, number = _video_cuts(spark, sf), F.col("video_id").cast("bigint")
+    steps = first.withColumn("seq", F.lit(0)).unionByName(first.filter(number % 2 == 0).select(
+        "video_id", (F.col("cut_start_ms") - 200_000_000).alias("cut_start_ms"), (F.col("cut_start_ms") - 50_000_000).alias("cut_end_ms"), F.lit(1).alias("seq"))).unionByName(
+        first.filter(number % 4 == 0).select("video_id", (F.col("cut_start_ms") + 100_000_000).alias("cut_start_ms"), (F.col("cut_start_ms") + 130_000_000).alias("cut_end_ms"), F.lit(2).alias("seq")))
+    return edits.apply_edits({"captions": b.intervals(spark, sf).select("video_id", "id", "start_ms", "end_ms")}, steps)["captions"]
+
+
 @check("ripple_markers", b.with_sql("intervals") + VIDEO_CUTS + f""", cut AS (SELECT video_id, id, start_ms AS t, s, e,
   CASE WHEN start_ms < s AND end_ms > s THEN s - start_ms ELSE end_ms - start_ms END AS len FROM intervals JOIN cuts USING (video_id))
 SELECT video_id, id, {MOVED.format('t')} AS time_ms, len AS duration_ms FROM cut WHERE NOT (t >= s AND t < e) AND len >= 80""")

@@ -10,6 +10,7 @@ from cuetable.functions.text import PUNCT_CLASS, WORD_CHAR, char_class, normaliz
 from cuetable.operators.timeline import allocate_time
 from cuetable.plans.folders import cut_lineage
 from cuetable.plans.ordered import by_position, by_time, ordered
+from cuetable.plans.spread import spread
 
 EDGE_MARKS = "，。！？；,.!?; "
 
@@ -54,7 +55,7 @@ def estimated_captions(texts: DataFrame, limit: int = 13, rows: int = 50_000) ->
     return allocate_time(split_text(texts, limit), rows).withColumn("timestamp_source", F.lit("estimated_segment"))
 
 
-def prefix_sums(sizes: Column, block: int = 256) -> Column:
+def prefix_sums(sizes: Column, block: int = 16) -> Column:
     """Sums of all earlier elements of an array, by blocks so that long arrays stay near linear."""
     zero = lambda: F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<bigint>").alias("out"))
     add = lambda acc, x: F.struct((acc["total"] + x).alias("total"), F.array_append(acc["out"], acc["total"]).alias("out"))
@@ -71,7 +72,8 @@ def _once(value: Column, use) -> Column:
 
 
 def strip_marks(texts: DataFrame) -> DataFrame:
-    """Punctuation runs with their position in the text without punctuation. Row by row, no shuffle."""
+    """Punctuation runs with their position in the text without punctuation, row by row."""
+    texts = spread(texts)
     marks = F.regexp_extract_all("text", F.lit(f"{PUNCT_CLASS}+"), F.lit(0))
     sizes = F.transform(F.split("text", f"{PUNCT_CLASS}+", -1), lambda part: F.length(part).cast("bigint"))
     # The k-th mark follows the first k + 1 stretches of content.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -45,13 +45,13 @@ def stream_review_state(events: DataFrame) -> DataFrame:
     return events.groupBy("item_id").applyInPandasWithState(run, OUTCOME_DDL, STATE_DDL, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_new_media(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
+def stream_new_media(spark: SparkSession, root: str, max_files: int = 1000, extensions: Sequence[str] = fixed.VIDEO_EXTENSIONS) -> DataFrame:
     """Videos as they appear under a folder, with the key of their path."""
     files = (spark.readStream.format("binaryFile").schema(FILE_DDL).option("recursiveFileLookup", "true")
              .option("maxFilesPerTrigger", max_files).load(root))
     files = files.select("path", "length", "modificationTime", file_name(F.col("path")).alias("name"))
     kind = F.lower(F.regexp_extract("name", "\\.([^.]+)$", 1))
-    return files.filter(kind.isin(*fixed.VIDEO_EXTENSIONS)).withColumn("item_id", video_key(F.col("path")))
+    return files.filter(kind.isin(*extensions)).withColumn("item_id", video_key(F.col("path")))
 
 
 def keep_items(files: DataFrame, table: str, checkpoint: str, items_ddl: str = "item_id string, name string, processing string, export_status string"):
