@@ -297,7 +297,30 @@ def _(spark, sf):
 
 # ---- captions from text and characters
 
-@check("split_text", None)
+A, MARK = "[A-Za-z0-9]", "，。！？；,!?;."
+SPLIT = b.with_sql("captions").replace("WITH ", "WITH RECURSIVE ", 1) + f""", clean AS (SELECT video_id, id AS seg_id,
+  trim(regexp_replace(trim(regexp_replace(regexp_replace(text, '<\\|[^>]+\\|>', '', 'g'), '\\s+', ' ', 'g')), ' +([，。！？；、,.!?;:])', '\\1', 'g'), '，。！？；,.!?; ') AS t FROM captions WHERE end_ms > start_ms),
+sized AS (SELECT *, CASE WHEN len(regexp_extract_all(t, '[A-Za-z]')) > len(regexp_extract_all(t, '[㐀-鿿぀-ヿ]')) THEN 42 ELSE 13 END AS size FROM clean WHERE t <> ''),
+opened AS (SELECT video_id, seg_id, size, unnest(c) AS clause, generate_subscripts(c, 1) AS k FROM (SELECT *,
+  regexp_extract_all(regexp_replace(t, '\\.([0-9])', chr(1) || '\\1', 'g'), '[^{MARK}]*[{MARK}]|[^{MARK}]+$') AS c FROM sized)),
+walk AS (SELECT video_id, seg_id, k, size, 0 AS n, trim(replace(clause, chr(1), '.')) AS rest, CAST(NULL AS VARCHAR) AS piece FROM opened
+  UNION ALL SELECT video_id, seg_id, k, size, n + 1, substr(rest, cut + 1), CASE WHEN length(rest) > size THEN trim(rest[1:cut], '，；、 ') WHEN trim(rest, '，。！？；,.!?; ') <> '' THEN trim(rest) END
+  FROM (SELECT *, CASE WHEN length(rest) <= size THEN length(rest) WHEN mark >= 4 THEN mark ELSE size + word + CASE WHEN regexp_matches(rest[size + word], '[\\p{{L}}\\p{{N}}]')
+      THEN length(regexp_extract(substr(rest, size + word + 1), '^[\\p{{L}}\\p{{N}}]+')) ELSE 0 END END AS cut
+    FROM (SELECT *, length(regexp_extract(rest[1:size + 1], '^.*[，；、]')) AS mark,
+      CASE WHEN regexp_matches(rest[size - 1:size + 2], '^.({A}({A}|[''’-]{A}|\\.[0-9]))') OR regexp_matches(rest[size - 1:size + 1], '^({A}[''’-]{A}|{A}\\.[0-9])')
+        THEN length(regexp_extract(substr(rest, size + 1), '^[''’.-]?{A}*(?:[''’-]{A}+|\\.[0-9]+)*')) ELSE 0 END AS word FROM walk WHERE rest <> ''))),
+pieces AS (SELECT video_id, seg_id, CAST(row_number() OVER (PARTITION BY video_id, seg_id ORDER BY k, n) - 1 AS INTEGER) AS piece, piece AS text FROM walk WHERE piece IS NOT NULL)
+SELECT video_id, seg_id, piece, text FROM pieces"""
+
+
+@check("split_text", SPLIT)
+def _(spark, sf):
+    rows = b.captions(spark, sf).select("video_id", F.col("id").alias("seg_id"), "text", "start_ms", "end_ms")
+    return captions.split_text(rows).select("video_id", "seg_id", "piece", "text")
+
+
+@check("estimated_captions")
 def split_rows(spark, sf):
     rows = b.captions(spark, sf).select("video_id", F.col("id").alias("seg_id"), "text", "start_ms", "end_ms")
     return captions.estimated_captions(rows)
