@@ -361,7 +361,32 @@ def chars_of(spark, sf):
     return chars, texts
 
 
-@check("segment_captions")
+PUNCT = """[，。！？；、,.!?;:：…‘’“”"''（）()【】\\[\\]《》<>— -]"""
+SEGMENTED = b.with_sql("captions").replace("WITH ", "WITH RECURSIVE ", 1) + f""", src AS (SELECT *, CASE WHEN len(regexp_extract_all(t, '[A-Za-z]')) > len(regexp_extract_all(t, '[㐀-鿿぀-ヿ]')) THEN 42 ELSE 13 END AS size
+  FROM (SELECT video_id, id AS seg_id, replace(text, chr(10), '—') AS t, start_ms AS ss, end_ms + 60000 AS se FROM captions)),
+kept AS (SELECT *, row_number() OVER (PARTITION BY video_id, seg_id ORDER BY op) - 1 AS pos FROM (SELECT *, t[op:op] AS ch FROM (SELECT *, unnest(range(1, length(t) + 1)) AS op FROM src)) WHERE NOT regexp_matches(ch, '{PUNCT}')),
+timed AS (SELECT *, ss + pos * 55 + pos // 97 * 500 AS s, ss + pos * 55 + pos // 97 * 500 + 55 AS e FROM kept),
+near AS (SELECT *, lead(op) OVER w AS nop, lead(ch) OVER w AS nch, lead(s) OVER w AS ns FROM timed WINDOW w AS (PARTITION BY video_id, seg_id ORDER BY pos)),
+marked AS (SELECT *, nop IS NULL AS last, CASE WHEN nop IS NULL THEN substr(t, op + 1) ELSE t[op + 1:nop - 1] END AS mark FROM near),
+c AS MATERIALIZED (SELECT *, last OR NOT (regexp_matches(ch || nch, '^[\\p{{L}}\\p{{N}}]{{2}}') AND (mark IN ('', '''', '’', '-') OR (mark = '.' AND regexp_matches(ch || nch, '^[0-9]{{2}}')))) AS edge,
+  last OR regexp_matches(mark, '[，。！？；,.!?;]') OR ns - e >= 380 AS stop FROM marked),
+walk AS (SELECT video_id, seg_id, pos, 0 AS piece, 1 AS n, s AS began, edge AND (1 >= size OR last) AS broken FROM c WHERE pos = 0
+  UNION ALL SELECT video_id, seg_id, pos, piece, n, began, edge AND (n >= size OR last OR (n >= 2 AND (stop OR e - began >= 4200))) FROM (
+    SELECT c.video_id, c.seg_id, c.pos, c.size, c.last, c.stop, c.edge, c.e, w.piece + CASE WHEN w.broken THEN 1 ELSE 0 END AS piece,
+      CASE WHEN w.broken THEN 1 ELSE w.n + 1 END AS n, CASE WHEN w.broken THEN c.s ELSE w.began END AS began
+    FROM walk w JOIN c ON c.video_id = w.video_id AND c.seg_id = w.seg_id AND c.pos = w.pos + 1)),
+spans AS (SELECT video_id, seg_id, piece, any_value(t) AS t, any_value(ss) AS ss, any_value(se) AS se, any_value(size) AS size, min(pos) AS p, min(op) AS a, arg_max(struct_pack(z := nop), pos).z AS z, min(s) AS s, max(e) AS e,
+  arg_max(struct_pack(n := ns), pos).n AS ns FROM walk JOIN c USING (video_id, seg_id, pos) GROUP BY video_id, seg_id, piece),
+said AS (SELECT video_id, seg_id, piece, size, trim(t[CASE WHEN p = 0 THEN 1 ELSE a END:coalesce(z - 1, length(t))]) AS text, greatest(ss, s - 30) AS start_ms,
+  least(se, greatest(greatest(ss, s - 30) + 60, least(se, e + 120, coalesce(ns - 30, se)))) AS end_ms FROM spans),
+tails AS (SELECT *, count(*) OVER (PARTITION BY video_id, seg_id) AS k, lag(length(text)) OVER o AS pl, lead(text) OVER o AS tail, lead(end_ms) OVER o AS tail_end FROM said WINDOW o AS (PARTITION BY video_id, seg_id ORDER BY piece)),
+lone AS (SELECT *, piece = k - 2 AND length(regexp_replace(tail, '{PUNCT}', '', 'g')) <= 1 AND length(text) + length(tail) <= size + 3 AS takes,
+  piece = k - 1 AND k > 1 AND length(regexp_replace(text, '{PUNCT}', '', 'g')) <= 1 AND pl + length(text) <= size + 3 AS goes FROM tails)
+SELECT video_id, seg_id, CAST(piece AS BIGINT) AS piece, CASE WHEN takes THEN text || CASE WHEN regexp_matches(text[-1:] || tail[1:1], '[A-Za-z]') THEN ' ' ELSE '' END || tail ELSE text END AS text,
+  start_ms, CASE WHEN takes THEN tail_end ELSE end_ms END AS end_ms, 'sensevoice_token' AS timestamp_source FROM lone WHERE NOT coalesce(goes, false)"""
+
+
+@check("segment_captions", SEGMENTED)
 def segmented(spark, sf):
     chars, texts = chars_of(spark, sf)
     return captions.segment_captions(chars, texts)
