@@ -23,6 +23,7 @@ def main() -> None:
 
     from cuetable import bindings
     from cuetable.checks.registry import collect
+    from cuetable.plans.folders import release
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -40,6 +41,7 @@ def main() -> None:
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - began, 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
+    release(spark)
     print(json.dumps({"metric": "total seconds over headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec",
                       "queries": seconds, "sf": Path(sf_dir).name.removeprefix("sf")}))
 

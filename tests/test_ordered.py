@@ -29,3 +29,22 @@ def test_range_joins_match_nested_loops(spark, bin_ms):
     assert got == sorted((l[1], r[1]) for l in left for r in right if l[3] > r[2] and l[2] < r[3])
     got = sorted((r["a"], r["b"]) for r in point_join(a, b, ["k"], "s", ("rs", "re"), bin_ms).collect())
     assert got == sorted((l[1], r[1]) for l in left for r in right if r[2] <= l[2] < r[3])
+
+
+def test_release(tmp_path):
+    """A named folder is used as it is, and emptied of what was written there."""
+    import subprocess
+    import sys
+    script = """
+import os, sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from cuetable.plans.folders import cut_lineage, release
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[2]).getOrCreate()
+assert cut_lineage(spark.range(5)).count() == 5 and os.listdir(sys.argv[2])
+release(spark)
+assert not [n for n in os.listdir(sys.argv[2]) if n.startswith("stage")]
+"""
+    from pathlib import Path
+    done = subprocess.run([sys.executable, "-c", script, str(Path(__file__).resolve().parents[1]), str(tmp_path)], capture_output=True, text=True, timeout=200)
+    assert done.returncode == 0, done.stderr[-2000:]
