@@ -26,7 +26,7 @@ from cuetable.llm.common import Rolling, mixed, slices, table, text_buffer, text
 
 LENGTH, GRAM = 100, 24
 LEFT = LENGTH - GRAM
-CROWDED, FLUSH, PER_SLICE = 20_000, 1_000_000, 1_000_000
+CROWDED, FLUSH, PER_SLICE = 20_000, 1_000_000, 250_000
 ANCHOR, WINDOW, CONTEXTS = 0, 1, 2
 
 
