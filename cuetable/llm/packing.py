@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuetable.llm.common import slices, table, texts, tidied, written
-from cuetable.llm.token_counts import Encoder, encoder, vocabulary_path, whole_tokens
+from cuetable.llm.token_counts import Encoder, vocabulary_path, whole_tokens
 from cuetable.plans.sizes import broadcast_if_small
 
 LENGTH, END = 4096, 2
@@ -29,7 +29,7 @@ def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     whole = whole_tokens(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, at = encoder(path, whole, ids=True), TaskContext.get().partitionId(), 0
+        own, part, at = Encoder(path, whole, ids=True), TaskContext.get().partitionId(), 0
         last, width = own.value([end]), len(own.value([end]))
         for batch in batches:
             for rows in slices(batch, limit=2 << 20):
@@ -39,7 +39,6 @@ def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
                 at += int(n.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(before), rows.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())],
                                                  ["part", "at", "doc_id", "n", "ids"])
-        own.forget()
 
     return texts(docs).mapInArrow(tidied(run), "part int, at bigint, doc_id bigint, n bigint, ids binary")
 

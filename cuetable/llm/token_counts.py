@@ -2,7 +2,7 @@
 
 The tokenizer lower-cases, drops blanks and never merges across them, so a text is counted word by word. Which strings of the
 vocabulary encode alone as one token is proved once, on the driver, by encoding each of them. A pre-token among them counts one;
-the rest are merged by the library, each distinct one once per worker while a bounded memory lasts.
+the rest are merged by the library, each distinct one once per task while a bounded memory lasts.
 """
 
 from __future__ import annotations
@@ -56,18 +56,8 @@ def plain(text: str) -> bool:
     return "<|" not in text and PLAIN.fullmatch(text) is not None
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
-def encoder(path: str, whole: dict[str, int], ids: bool) -> Encoder:
-    """The worker's encoder; it outlives a task, and what it remembers with it."""
-    if (path, ids) not in _ENCODERS:
-        _ENCODERS[path, ids] = Encoder(path, whole, ids)
-    return _ENCODERS[path, ids]
-
-
 class Encoder:
-    """Token ids, or their number, of blank-free words."""
+    """Token ids, or their number, of blank-free words; one per task, so that a worker holds none between tasks."""
 
     def __init__(self, path: str, whole: dict[str, int], ids: bool):
         self.tokenizer, self.ids = load(path), ids
@@ -110,10 +100,6 @@ class Encoder:
             known[w] = join([known[p] for p in pieces])
         return known
 
-    def forget(self) -> None:
-        """Keeps the short words, which come back in every task."""
-        self.words = {w: v for w, v in self.words.items() if len(w) <= 6} | self.whole
-
     def encoded(self, values: list[str]) -> list:
         """For every text its number of tokens, or its ids as bytes."""
         split = [t.lower().split() if plain(t) else None for t in values]
@@ -132,13 +118,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     whole = whole_tokens(path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, whole, ids=False)
+        own = Encoder(path, whole, ids=False)
         for batch in batches:
             for rows in slices(batch, limit=2 << 20):
                 n = pa.array(own.encoded(rows.column("text").to_pylist()), pa.int64())
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pc.binary_length(rows.column("text")).cast(pa.int64()), n, pc.greater(n, limit)],
                                                  ["doc_id", "n_bytes", "n_tokens", "over_limit"])
-        own.forget()
 
     return texts(docs).mapInArrow(tidied(count), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
