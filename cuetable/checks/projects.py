@@ -229,7 +229,7 @@ def _(spark, sf):
 
 # ---- listings, over the events written as one folder for each kind
 
-def _library(spark, sf):
+def _written_library(spark, sf):
     folder = new_folder(spark, "library")
     b.table(spark, sf, "events").select("event_type", "event_id").repartition("event_type").write.partitionBy("event_type").parquet(folder)
     return folder
@@ -240,18 +240,18 @@ KINDS = "SELECT DISTINCT 'event_type=' || event_type AS folder FROM events"
 
 @check("media_files", KINDS)
 def _(spark, sf):
-    files = media.media_files(spark, _library(spark, sf), recursive=True, extensions=("parquet",))
+    files = media.media_files(spark, _written_library(spark, sf), recursive=True, extensions=("parquet",))
     return files.select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct()
 
 
 @check("asset_files", f"SELECT folder FROM ({KINDS}) WHERE folder <> 'event_type=view'")
 def _(spark, sf):
-    return media.asset_files(spark, _library(spark, sf), extensions=("parquet",), excluded=("event_type=view",)).select("folder").distinct()
+    return media.asset_files(spark, _written_library(spark, sf), extensions=("parquet",), excluded=("event_type=view",)).select("folder").distinct()
 
 
 @check("stream_new_media", KINDS)
 def _(spark, sf):
-    files = streams.stream_new_media(spark, _library(spark, sf), max_files=2, extensions=("parquet",))
+    files = streams.stream_new_media(spark, _written_library(spark, sf), max_files=2, extensions=("parquet",))
     rows = _drained(spark, files.select("path", "item_id"), "media-stream")
     return rows.filter(F.length("item_id") > 10).select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct()
 
