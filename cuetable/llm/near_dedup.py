@@ -9,7 +9,7 @@ No list is paired off when it is long. Texts of equal words are one node from th
 only these to meet its partners. The others, crowded, are listed again by the single values that are in no long list of theirs; who has
 enough of these in short lists meets its partners there. What remains, as in large groups of near copies, is compared with the leaders
 of its long lists, the next leaders following while it has not joined all of them, since only components are asked for; who is still apart then is
-compared with everything in its lists.
+compared with everything in its lists by bit signatures, and with what is alike in full.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from cuetable.plans.sizes import broadcast_if_small
 
 WORDS, SIMILAR = 5, 80
 SKETCH, SHORT, OWN_SHARE, OWN_VALUES, ESTIMATE, LEADERS = 64, 32, 0.75, 28, 0.5, 3
+#: Longs of signature bits, and how many bits of them similar sketches share at least.
+SIGNATURE, ALIKE = 4, 192
 #: Sets of up to so many shingles are listed by pairs of values, of at least so many by triples; similar sets meet in one or the other.
 PAIRS_TO, TRIPLES_FROM = 15, 8
 
@@ -115,15 +117,33 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def paired(lists: DataFrame, other: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of ``lists`` and ``other`` (``key, node``) that share a list, are close in size and not in one component."""
-    placed = nodes.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+def signature() -> Column:
+    """Lowest bits of the sketch's smallest values under ``64 * SIGNATURE`` hash functions."""
+    def bits(k: int) -> Column:
+        least = F.transform(F.sequence(F.lit(64 * k), F.lit(64 * k + 63)), lambda f: F.array_min(F.transform("sketch", lambda v: F.xxhash64(v, f))))
+        return F.aggregate(least, F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(x.bitwiseAND(F.lit(1).cast("bigint"))))
+
+    return F.array(*[bits(k) for k in range(SIGNATURE)])
+
+
+def paired_alike(lists: DataFrame, other: DataFrame, crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of ``lists`` and ``other`` (``key, node``) that share a list, are alike by signature and not in one component."""
+    placed = written(crowd.select("node", "n", signature().alias("s")).join(roots, "node", "left").select("node", "n", "s", F.coalesce("root", "node").alias("root")), "signed")
     x, y = lists.join(placed, "node").alias("x"), other.join(placed, "node").alias("y")
-    once = F.lit(True) if other is not lists else F.col("x.node") < F.col("y.node")
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & once & (F.col("x.root") != F.col("y.root")) & close_in_size(F.col("x.n"), F.col("y.n"))).select(
+    unlike = sum((F.bit_count(F.col("x.s")[k].bitwiseXOR(F.col("y.s")[k])) for k in range(SIGNATURE)), F.lit(0))
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & close_in_size(F.col("x.n"), F.col("y.n")) & (unlike <= 64 * SIGNATURE - ALIKE)).select(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def paired(lists: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of ``lists`` (``key, node``) that share a list, are close in size and not in one component."""
+    placed = nodes.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    placed = lists.join(placed, "node")
+    x, y = placed.alias("x"), placed.alias("y")
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & close_in_size(F.col("x.n"), F.col("y.n"))).select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def _unsigned(x: Column) -> Column:
     """Order of unsigned numbers for signed ones."""
     return x.bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))
@@ -193,7 +213,9 @@ def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     places = F.filter(F.sequence(F.lit(0), size - 1), own)
     values = crowd.filter(n > PAIRS_TO).select("node", F.explode(F.transform(places, lambda i: F.get("sketch", i))).alias("key"))
     values = written(values.join(values.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") <= SHORT), "key"), "values")
-    free = values.groupBy("node").count().filter(F.col("count") >= OWN_VALUES).select("node")
+    # A set that the sketch holds whole differs from a similar one in a quarter of its values at most.
+    enough = F.when(n <= SKETCH, F.floor(n / 4) + 1).otherwise(OWN_VALUES)
+    free = values.groupBy("node").count().join(crowd.select("node", "n"), "node").filter(F.col("count") >= enough).select("node")
     crowd = written(crowd.join(free, "node", "left_anti"), "crowd")
     links, roots = None, none
 
@@ -213,9 +235,9 @@ def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
         waiting = written(waiting.join(apart(led, roots).select(F.col("b").alias("node")).distinct(), "node", "left_semi"), "waiting")
     if not waiting.isEmpty():
         long_lists = crowd.select("node", F.explode("long").alias("key"))
-        link(paired(waiting.select("node", F.explode("long").alias("key")), long_lists, nodes, roots))
+        link(paired_alike(waiting.select("node", F.explode("long").alias("key")), long_lists, crowd, roots))
     short = members.filter(F.col("held") <= SHORT).select("key", "node").unionAll(values.filter("held > 1").select("key", "node"))
-    link(paired(short, short, nodes, roots))
+    link(paired(short, nodes, roots))
     placed = nodes.join(roots, "node", "left").select("same", "doc", F.coalesce("root", "node").alias("root"))
     reached = placed.join(placed.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("same", "component_id")
     out = rows.select("doc_id", "place", "same", F.col("n").alias("n_shingles")).join(reached, "same", "left")
