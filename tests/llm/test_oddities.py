@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cuetable.llm import exact_dedup, language, line_dedup, mixing, near_dedup, neighbours, packing, pii, repeats, token_counts
@@ -50,8 +51,10 @@ def test_near_groups(spark):
     assert near_dedup.near_groups(no_docs(spark)).count() == 0
 
 
-def test_long_lists_of_near_copies(spark):
-    """More copies than a short list takes, in two groups that share a passage, with chains of changes."""
+@pytest.mark.parametrize("leaders", [near_dedup.LEADERS, 0])
+def test_long_lists_of_near_copies(spark, monkeypatch, leaders):
+    """More copies than a short list takes, in two groups that share a passage, with chains of changes; without leaders, all meet by signatures."""
+    monkeypatch.setattr(near_dedup, "LEADERS", leaders)
     rng = random.Random(9)
     words = [f"w{k}" for k in range(4000)]
     passage = rng.sample(words, 60)
