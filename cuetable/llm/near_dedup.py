@@ -5,11 +5,12 @@ their union, so two values that stand side by side in one sketch stand side by s
 on such neighbouring values bring similar documents together and hardly others. The union of two sketches estimates the similarity, and
 what passes is verified on the full sets.
 
-No list is paired off when it is long. Texts of equal words are one node from the start. A node most of whose lists are short needs
-only these to meet its partners. The others, crowded, are listed again by the single values that are in no long list of theirs; who has
-enough of these in short lists meets its partners there. What remains, as in large groups of near copies, is compared with the leaders
-of its long lists, the next leaders following while it has not joined all of them, since only components are asked for; who is still apart then is
-compared with everything in its lists by bit signatures, and with what is alike in full.
+No list is paired off when it is long. Texts of equal words are one node from the start. Nodes that share a short list are paired. A
+partner missed by that shares long lists alone, so both are crowded: they stand in a long list. All crowded nodes are compared with
+the leaders of their long lists, the next leaders following while they have not joined all of them, since only components are asked for.
+They are also listed by every single value of their sketches: who has more values in short lists than a partner can lack meets its
+partners there. Who has not, and is still apart from a leader, is compared with the others like it in its lists by bit maps of the sketches,
+which leave out no pair that the sketches would let pass.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from cuetable.llm.components import components
 from cuetable.plans.sizes import broadcast_if_small
 
 WORDS, SIMILAR = 5, 80
-SKETCH, SHORT, OWN_SHARE, OWN_VALUES, ESTIMATE, LEADERS = 64, 32, 0.75, 28, 0.5, 3
-#: Longs of signature bits, and how many bits of them similar sketches share at least.
-SIGNATURE, ALIKE = 4, 192
+SKETCH, SHORT, OWN_VALUES, ESTIMATE, LEADERS = 64, 32, 28, 0.5, 3
+#: Longs of a bit map of a sketch.
+SIGNATURE = 8
 #: Sets of up to so many shingles are listed by pairs of values, of at least so many by triples; similar sets meet in one or the other.
 PAIRS_TO, TRIPLES_FROM = 15, 8
 
@@ -118,23 +119,50 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def signature() -> Column:
-    """Lowest bits of the sketch's smallest values under ``64 * SIGNATURE`` hash functions."""
+    """Bit map of the sketch's values."""
     def bits(k: int) -> Column:
-        least = F.transform(F.sequence(F.lit(64 * k), F.lit(64 * k + 63)), lambda f: F.array_min(F.transform("sketch", lambda v: F.xxhash64(v, f))))
-        return F.aggregate(least, F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(x.bitwiseAND(F.lit(1).cast("bigint"))))
+        own = F.filter("sketch", lambda v: F.pmod(v, F.lit(64 * SIGNATURE)).between(64 * k, 64 * k + 63))
+        return F.aggregate(own, F.lit(0).cast("bigint"), lambda a, v: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(v, F.lit(64)).cast("int"))))
 
     return F.array(*[bits(k) for k in range(SIGNATURE)])
 
 
-def paired_alike(lists: DataFrame, other: DataFrame, crowd: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of ``lists`` and ``other`` (``key, node``) that share a list, are alike by signature and not in one component."""
+def most_unlike(na: Column, nb: Column) -> Column:
+    """How many values in just one of two sketches leave the pair to ``estimated`` and the similarity asked for.
+
+    Whole sets of similarity s differ in (1 - s) / (1 + s) of their sizes together; of cut ones, the union's smallest ``SKETCH`` hold
+    ``ESTIMATE`` in both.
+    """
+    whole = F.floor((na + nb) * (100 - SIMILAR) / (100 + SIMILAR) + 1e-9)
+    return F.when(F.greatest(na, nb) <= SKETCH, whole).otherwise(F.least(na, F.lit(SKETCH)) + F.least(nb, F.lit(SKETCH)) - 2 * SKETCH * ESTIMATE)
+
+
+def paired_alike(waiting: DataFrame, lists: DataFrame, crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of ``waiting`` and ``lists`` (``key, node``) that share a list, may be alike by their bit maps and are not in one component."""
     placed = written(crowd.select("node", "n", signature().alias("s")).join(roots, "node", "left").select("node", "n", "s", F.coalesce("root", "node").alias("root")), "signed")
-    x, y = lists.join(placed, "node").alias("x"), other.join(placed, "node").alias("y")
+    x, y = waiting.join(placed, "node").alias("x"), lists.join(placed, "node").alias("y")
     unlike = sum((F.bit_count(F.col("x.s")[k].bitwiseXOR(F.col("y.s")[k])) for k in range(SIGNATURE)), F.lit(0))
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & close_in_size(F.col("x.n"), F.col("y.n")) & (unlike <= 64 * SIGNATURE - ALIKE)).select(
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & close_in_size(F.col("x.n"), F.col("y.n")) & (unlike <= most_unlike(F.col("x.n"), F.col("y.n")))).select(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def short_values(crowd: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node`` of those in ``crowd`` with enough values in short lists to meet all their partners, and the pairs ``a, b`` that meet there.
+
+    The lists hold every value of every sketch in ``crowd``. A set that the sketch holds whole differs from a similar one in a fifth of
+    its values at most; the rarest values, one more than a partner can lack, are enough.
+    """
+    enough = F.when(F.col("n") <= SKETCH, F.floor(F.col("n") / 4) + 1).otherwise(OWN_VALUES).cast("int")
+    values = crowd.select("node", "n", F.explode("sketch").alias("key"))
+    values = written(values.join(values.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") <= SHORT), "key"), "values")
+    free = values.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("held", "key"))).alias("own"))  # of one sketch
+    free = written(free.filter(F.size("own") >= enough).select("node", "n", F.slice("own", F.lit(1), enough).alias("own")), "free")
+    asked = free.select("node", "n", F.explode("own").alias("o")).filter("o.held > 1").select("node", "n", F.col("o.key").alias("key"))
+    x, y = asked.alias("x"), values.filter("held > 1").alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & close_in_size(F.col("x.n"), F.col("y.n")))
+    return free.select("node"), met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def paired(lists: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of ``lists`` (``key, node``) that share a list, are close in size and not in one component."""
     placed = nodes.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
@@ -200,23 +228,9 @@ def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     lists = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held"), *[F.min_by("node", F.xxhash64("node", F.lit(k))).alias(name) for k, name in enumerate(leaders)])
     members = written(keys.join(lists.filter("held > 1"), "key"), "members")
     none = nodes.select("node", F.col("node").alias("root")).limit(0)
-    # Nodes with too many long lists; a node has no more lists than its sketch values.
-    crowd = members.filter(F.col("held") > SHORT).groupBy("node").agg(F.collect_set("key").alias("long"), *[F.collect_set(c).alias(c) for c in leaders])
-    size, n = F.size("sketch"), F.col("n")
-    all_keys = F.when(n == 1, 1).otherwise(F.when(n >= TRIPLES_FROM, size - 2).otherwise(0) + F.when(n <= PAIRS_TO, size - 1).otherwise(0))
-    crowd = written(crowd.join(nodes.select("node", "n", "sketch"), "node").filter(all_keys - F.size("long") < OWN_SHARE * all_keys), "crowd")
-    # Their values outside long lists.
-    def own(i: Column) -> Column:
-        around = F.sequence(F.greatest(i - 2, F.lit(0)), F.least(i, size - 3))
-        return ~F.exists(around, lambda j: F.array_contains("long", triple(j)))
-
-    places = F.filter(F.sequence(F.lit(0), size - 1), own)
-    values = crowd.filter(n > PAIRS_TO).select("node", F.explode(F.transform(places, lambda i: F.get("sketch", i))).alias("key"))
-    values = written(values.join(values.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") <= SHORT), "key"), "values")
-    # A set that the sketch holds whole differs from a similar one in a quarter of its values at most.
-    enough = F.when(n <= SKETCH, F.floor(n / 4) + 1).otherwise(OWN_VALUES)
-    free = values.groupBy("node").count().join(crowd.select("node", "n"), "node").filter(F.col("count") >= enough).select("node")
-    crowd = written(crowd.join(free, "node", "left_anti"), "crowd")
+    crowd = members.filter(F.col("held") > SHORT).groupBy("node").agg(F.collect_set("key").alias("long"), *[F.collect_set(c).alias(c) for c in leaders])  # of one sketch
+    crowd = written(crowd.join(nodes.select("node", "n", "sketch"), "node"), "crowd")
+    free, met = short_values(crowd)
     links, roots = None, none
 
     def link(pairs: DataFrame) -> None:
@@ -233,11 +247,12 @@ def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
         # Who lies apart from a leader of its lists goes on.
         led = crowd.select(F.explode(F.array_union("leader0", name)).alias("a"), F.col("node").alias("b"))
         waiting = written(waiting.join(apart(led, roots).select(F.col("b").alias("node")).distinct(), "node", "left_semi"), "waiting")
+    rest = written(crowd.join(free, "node", "left_anti"), "rest")
+    waiting = waiting.join(rest.select("node"), "node", "left_semi")
     if not waiting.isEmpty():
-        long_lists = crowd.select("node", F.explode("long").alias("key"))
-        link(paired_alike(waiting.select("node", F.explode("long").alias("key")), long_lists, crowd, roots))
-    short = members.filter(F.col("held") <= SHORT).select("key", "node").unionAll(values.filter("held > 1").select("key", "node"))
-    link(paired(short, nodes, roots))
+        link(paired_alike(waiting.select("node", F.explode("long").alias("key")), rest.select("node", F.explode("long").alias("key")), rest, roots))
+    short = paired(members.filter(F.col("held") <= SHORT).select("key", "node"), nodes, roots)
+    link(short.unionAll(apart(met, roots)).distinct())
     placed = nodes.join(roots, "node", "left").select("same", "doc", F.coalesce("root", "node").alias("root"))
     reached = placed.join(placed.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("same", "component_id")
     out = rows.select("doc_id", "place", "same", F.col("n").alias("n_shingles")).join(reached, "same", "left")

@@ -83,6 +83,26 @@ def test_long_lists_of_near_copies(spark, monkeypatch, leaders):
     assert {r.doc_id: r.component_id for r in got} == {d: find(d) for d in sets}
 
 
+def test_supersets_of_a_large_group(spark):
+    """Variants of one text, and texts that hold it with a run of words put in, which are similar to 0.80-0.87 to some of the group."""
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(51)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 90):
+        own = list(base)
+        for at in rng.sample(range(51), rng.randint(1, 2)):
+            own[at] = f"v{k}x{at}"
+        rows.append((k, " ".join(own)))
+    for k in range(40):
+        at = rng.randrange(1, 50)
+        rows.append((200 + k, " ".join([*base[:at], *(f"s{k}x{i}" for i in range(rng.randint(6, 10))), *base[at:]])))
+    sets = {d: set(zip(t.split(), t.split()[1:])) for d, t in rows}
+    near = [len(sets[0] & s) / len(sets[0] | s) for s in sets.values()]
+    assert min(near) >= 0.8 and min(near[90:]) < 0.81 and max(near[90:]) < 0.87
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), words=2).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {0}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
