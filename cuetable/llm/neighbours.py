@@ -4,6 +4,10 @@ Each table turns the unit vectors by three rounds of random signs and a fast Had
 signed axis. Every vector lies in one bucket of each table, a query looks into the buckets of its nearest axes. A bucket is cut
 into blocks of vectors and blocks of queries of bounded size; every pair of blocks is one group, scored exactly by a matrix product
 of which only each query's best stay.
+
+The largest inner product is the nearest angle only among vectors of like length: where lengths differ, vectors lie in bands of length, each
+hashed for itself, and queries look into all of them. A band of few vectors is one bucket that every query looks into. A query that
+found too few goes on to its next buckets that hold any.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from cuetable.plans.sizes import broadcast_if_small
 
 TABLES, PROBES, NEAREST, QUERY_EVERY = 4, 32, 20, 20
 VECTOR_BLOCK, QUERY_BLOCK = 20_000, 4_000
+#: Bands of length to a factor of two, and the vectors up to which a band is not hashed.
+BANDS, WHOLE = 3, 1_000
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -83,18 +89,23 @@ def nearest(vectors: DataFrame, is_query, k: int = NEAREST, tables: int = TABLES
     """``query_id, rank, vec_id, score`` for the rows of ``vectors`` (``vec_id, embedding``) that meet ``is_query``.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids; shorter vectors count as
-    padded with zeros. Rows that repeat a vec_id are one id with its best product. Where lengths differ, one coordinate
-    more makes the largest inner product the nearest angle. Other columns are not read; an empty table gives no row.
+    padded with zeros. Rows that repeat a vec_id are one id with its best product. Every query
+    has ``k`` rows, or all other ids where there are fewer. Other columns are not read; an empty table gives no row.
     """
     ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("asks"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    largest = F.array_max(F.transform("v", F.abs))
+    length = F.log2(largest) + F.log2(F.aggregate(F.transform("v", lambda x: x / largest), F.lit(0.0), lambda a, x: a + x * x)) / 2
     d, shortest, longest = rows.agg(F.max(F.size("v")), F.min(length), F.max(length)).first()
     d = d or 1
-    longer = bool(longest and longest - shortest > 1e-3 * longest)
+    longer = bool(longest is not None and longest - shortest > 1.5e-3)
+    rows = rows.withColumn("band", F.floor((F.lit(longest) - length) * BANDS).cast("int") if longer else F.lit(0))
+    held = {r.band: r["count"] for r in rows.groupBy("band").count().collect()}  # as many as lengths have bands
+    whole_bands = np.array([b for b, n in held.items() if n <= WHOLE], np.int64)
+    hashing, size = len(whole_bands) < len(held), 2 << max(1, (d - 1).bit_length())
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2_000):
                 batch = whole.slice(at, 2_000)
@@ -102,29 +113,58 @@ def nearest(vectors: DataFrame, is_query, k: int = NEAREST, tables: int = TABLES
                 column = batch.column("v")
                 sizes = column.value_lengths().to_numpy(zero_copy_only=False)
                 x[np.arange(d) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
-                ids, asks = batch.column("vec_id").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
-                norm = np.linalg.norm(x, axis=1, keepdims=True)
-                stored = np.hstack([x / longest, np.sqrt(np.maximum(0, 1 - (norm / longest) ** 2))]) if longer else x / norm
-                asked = (np.hstack([x, np.zeros((len(x), 1))]) / norm)[asks] if longer else stored[asks]
-                raw = [r.tobytes() for r in x]
-                home, probe = axes(stored, tables, 1)[:, :, 0], axes(asked, tables, probes)
-                n, q, p = len(ids), len(asked), probe.shape[2]
-                owner = np.concatenate([np.repeat(np.arange(n), tables), np.repeat(np.flatnonzero(asks), tables * p)])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([np.tile(np.arange(tables), n), np.tile(np.repeat(np.arange(tables), p), q)]).astype(np.int32)),
-                    pa.array(np.concatenate([home.ravel(), probe.ravel()]).astype(np.int32)),
-                    pa.array(np.repeat([False, True], [n * tables, q * tables * p])), pa.array(ids[owner]), pa.array([raw[i] for i in owner], pa.binary())],
-                    ["table", "bucket", "asks", "vec_id", "v"])
-
-    entries = rows.mapInArrow(tidied(hashed), "table int, bucket int, asks boolean, vec_id bigint, v binary")
-    entries = written(entries, "entries")
-    sizes = entries.groupBy("table", "bucket").agg(F.sum((~F.col("asks")).cast("bigint")).alias("held"), F.sum(F.col("asks").cast("bigint")).alias("asked"))
-    sizes = sizes.filter("held > 0 AND asked > 0").select("table", "bucket", F.ceil(F.col("held") / VECTOR_BLOCK).cast("int").alias("blocks"), F.ceil(F.col("asked") / QUERY_BLOCK).cast("int").alias("query_blocks"))
-    placed = entries.join(broadcast_if_small(written(sizes, "buckets")), ["table", "bucket"])
-    every_block, every_query = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("query_blocks") - 1)
-    one = F.xxhash64("vec_id")
-    placed = placed.withColumn("block", F.explode(F.when(F.col("asks"), every_block).otherwise(F.array(F.pmod(one, "blocks").cast("int")))))
-    placed = placed.withColumn("query_block", F.explode(F.when(F.col("asks"), F.array(F.pmod(one, "query_blocks").cast("int"))).otherwise(every_query)))
+                unit = x / np.abs(x).max(1, keepdims=True)
+                yield batch, x, unit / np.linalg.norm(unit, axis=1, keepdims=True)
+
+    def listed(*parts: tuple, raw: list, ids: np.ndarray) -> pa.RecordBatch:
+        """Entries from parts of table, bucket, asks, row, band and place."""
+        tables_, buckets, asks, owner, band, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(tables_.astype(np.int32)), pa.array(buckets.astype(np.int32)), pa.array(asks.astype(bool)), pa.array(ids[owner]),
+                                           pa.array([raw[i] for i in owner], pa.binary()), pa.array(band.astype(np.int32)), pa.array(place.astype(np.int32))],
+                                          ["table", "bucket", "asks", "vec_id", "v", "band", "place"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, x, unit in read(batches):
+            ids, asks, band = batch.column("vec_id").to_numpy(), np.flatnonzero(batch.column("asks").to_numpy(zero_copy_only=False)), batch.column("band").to_numpy()
+            alone = np.isin(band, whole_bands)
+            one, many = np.flatnonzero(alone), np.flatnonzero(~alone)
+            zero = lambda n: np.zeros(n, np.int64)
+            parts = [(zero(len(one)) - 1, zero(len(one)), zero(len(one)), one, band[one], zero(len(one)))]
+            if len(whole_bands):
+                parts.append((zero(len(asks)) - 1, zero(len(asks)), zero(len(asks)) + 1, asks, zero(len(asks)), zero(len(asks))))
+            if hashing:
+                home, probe = axes(unit[many], tables, 1)[:, :, 0], axes(unit[asks], tables, probes)
+                n, q, p = len(many), len(asks), probe.shape[2]
+                parts.append((np.tile(np.arange(tables), n), home.ravel(), zero(n * tables), np.repeat(many, tables), np.repeat(band[many], tables), zero(n * tables)))
+                parts.append((np.tile(np.repeat(np.arange(tables), p), q), probe.ravel(), zero(q * tables * p) + 1, np.repeat(asks, tables * p), zero(q * tables * p), zero(q * tables * p)))
+            yield listed(*parts, raw=[r.tobytes() for r in x], ids=ids)
+
+    def every_axis(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries with all buckets of the first table in order of ``place``."""
+        for batch, x, unit in read(batches):
+            probe = axes(unit, 1, size)[:, 0]
+            n, p = probe.shape
+            yield listed((np.zeros(n * p), probe.ravel(), np.ones(n * p), np.repeat(np.arange(n), p), np.zeros(n * p), np.tile(np.arange(p), n)),
+                         raw=[r.tobytes() for r in x], ids=batch.column("vec_id").to_numpy())
+
+    form = "table int, bucket int, asks boolean, vec_id bigint, v binary, band int, place int"
+    entries = written(rows.mapInArrow(tidied(hashed), form), "entries")
+    homes = entries.filter(~F.col("asks"))
+    buckets = written(homes.groupBy("band", "table", "bucket").agg(F.count(F.lit(1)).alias("held")), "held")
+
+    def search(queries: DataFrame) -> DataFrame:
+        """``query_id, vec_id, score`` of the best in the buckets that ``queries`` look into."""
+        asked = queries.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("asked"))
+        sizes = buckets.join(asked, ["table", "bucket"])
+        sizes = sizes.select("band", "table", "bucket", F.ceil(F.col("held") / VECTOR_BLOCK).cast("int").alias("blocks"), F.ceil(F.col("asked") / QUERY_BLOCK).cast("int").alias("query_blocks"))
+        sizes = broadcast_if_small(written(sizes, "buckets"))
+        every_block, every_query = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("query_blocks") - 1)
+        one, columns = F.xxhash64("vec_id"), ["band", "table", "bucket", "asks", "vec_id", "v", "blocks", "query_blocks"]
+        placed = homes.join(sizes, ["band", "table", "bucket"]).select(*columns).unionAll(queries.drop("band").join(sizes, ["table", "bucket"]).select(*columns))
+        placed = placed.withColumn("block", F.explode(F.when(F.col("asks"), every_block).otherwise(F.array(F.pmod(one, "blocks").cast("int")))))
+        placed = placed.withColumn("query_block", F.explode(F.when(F.col("asks"), F.array(F.pmod(one, "query_blocks").cast("int"))).otherwise(every_query)))
+        pairs = placed.groupBy("band", "table", "bucket", "block", "query_block").applyInPandas(scored, "query_id bigint, vec_id bigint, score double")
+        return pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
     def scored(group: pd.DataFrame) -> pd.DataFrame:
         asks = group["asks"].to_numpy(bool)
@@ -134,10 +174,29 @@ def nearest(vectors: DataFrame, is_query, k: int = NEAREST, tables: int = TABLES
         own, found, score = best(x[asks], x[~asks], ids[asks], ids[~asks], k)
         return pd.DataFrame({"query_id": own, "vec_id": found, "score": score})
 
-    pairs = placed.groupBy("table", "bucket", "block", "query_block").applyInPandas(scored, "query_id bigint, vec_id bigint, score double")
-    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def ranked(pairs: DataFrame) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = ranked(search(entries.filter("asks")))
+    if not hashing:
+        return found
+    found, rows_held, want = written(found, "found"), sum(held.values()), k + 1
+    others = min(k, rows.select("vec_id").distinct().count() - 1)
+    asking = rows.filter("asks").select("vec_id", "v")
+    first_table = buckets.filter(F.col("table") == 0).groupBy("bucket").agg(F.sum("held").alias("held"))
+    while True:  # a few times, as what is looked into grows
+        full = found.groupBy("query_id").count().filter(F.col("count") >= others).select(F.col("query_id").alias("vec_id"))
+        lacking = written(asking.join(full, "vec_id", "left_anti"), "lacking")
+        if others <= 0 or lacking.isEmpty():
+            return found
+        before = F.sum("held").over(W.partitionBy("vec_id", "v").orderBy("place").rowsBetween(W.unboundedPreceding, -1))  # of one query
+        more = lacking.mapInArrow(tidied(every_axis), form).join(first_table, "bucket").withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < want)
+        more = search(written(more.drop("held", "before"), "more")).unionAll(found.select("query_id", "vec_id", "score"))
+        found = written(ranked(more.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))), "found")
+        if want > rows_held:
+            return found
+        want *= 4
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -285,3 +285,32 @@ def test_neighbours(spark, monkeypatch):
         assert got.query_id.nunique() == 15
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert (neighbours.nearest(df.filter("vec_id IN (0, 7)"), F.col("vec_id") == 0, probes=64).count()) == 1
+
+
+@pytest.mark.parametrize("shape", ["long", "skewed", "cluster"])
+def test_neighbours_of_any_length(spark, shape):
+    """One long vector, lengths by a lognormal law, and a narrow cluster away from the queries."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if shape == "long":
+        x[17] *= 20
+    elif shape == "skewed":
+        x *= rng.lognormal(0, 0.5, (4000, 1))
+    else:
+        x[200:] = x[200] + rng.normal(size=(3800, 64)) * 0.001
+        x[:200] = x[:10].repeat(20, 0) - 3 * x[200]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asks = F.col("vec_id").isin(list(range(0, 200, 20)) if shape == "cluster" else list(range(0, 4000, 40)))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    if shape == "cluster":
+        df = df.filter("vec_id >= 200 OR vec_id % 20 = 0")
+    got = neighbours.nearest(df, asks).toPandas()
+    assert got.groupby("query_id").size().tolist() == [20] * (10 if shape == "cluster" else 100)
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        score = x @ x[q]
+        score[[q, *([k for k in range(200) if k % 20] if shape == "cluster" else [])]] = -np.inf
+        hits += len(set(np.argsort(-score)[:20]) & set(own.vec_id))
+        assert np.allclose(own.score, score[own.vec_id])
+    assert hits >= 0.9 * len(got), hits / len(got)
