@@ -28,8 +28,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NUMBER = re.compile(r"(?<![A-Za-z0-9])[0-9](?:[ ().:-]{0,2}[0-9]){6,}+")
-QUAD = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
-ADDRESS = re.compile(r"[^\s@]{1,64}$"), re.compile(r"[^\s@]{1,64}")
+QUAD = re.compile(r"(?<![A-Za-z0-9])[0-9]++(?:\.[0-9]++){3}")
+ADDRESS = re.compile(r"[^\s@]++")
 WORD = re.compile(r"[^\W\d_]+")
 CONTEXT, ROUNDS, SUPPORT, CONFIDENT, DAMPING = 200, 3, 3, 0.8, 0.5
 
@@ -69,16 +69,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """What looks like an identifier of a kind outside the base spans."""
-    found = []
+    found = [(m.start(), 1, m.end()) for m in QUAD.finditer(text)]
     for m in NUMBER.finditer(text):
         n = sum(c.isdigit() for c in m[0])
-        kinds = [1] if QUAD.fullmatch(m[0]) else [2] * (12 <= n <= 19) + [3] * (7 <= n <= 15)
+        kinds = [] if QUAD.fullmatch(m[0]) else [2] * (12 <= n <= 19) + [3] * (7 <= n <= 15)
         found += [(m.start(), k, m.end()) for k in kinds]
     at = text.find("@")
     while at >= 0:
-        left, right = ADDRESS[0].search(text, max(0, at - 64), at), ADDRESS[1].match(text, at + 1)
-        if left and right:
-            found.append((left.start(), 0, right.end()))
+        left = at
+        while left and text[left - 1] != "@" and not text[left - 1].isspace():
+            left -= 1
+        if left < at and (right := ADDRESS.match(text, at + 1)):
+            found.append((left, 0, right.end()))
         at = text.find("@", at + 1)
     free, k = [], 0
     for c in sorted(found):

@@ -175,6 +175,14 @@ def test_personal_data_learns_contexts(spark):
     assert pii.find_personal_data(odd_docs(spark)).count() == len(odd_rows()) and pii.find_personal_data(no_docs(spark)).count() == 0
 
 
+def test_personal_data_candidates():
+    """Short quads, and addresses longer than 64 characters, whole."""
+    assert pii.candidates("host 256.1.1.1 up, 300.1.1.1:80", []) == [(5, 1, 14), (19, 1, 28), *[(19, k, 31) for k in [3]]]
+    name, place = "n" * 90, "d" * 70
+    assert pii.candidates(f"to {name}@{place} now a@b@c", []) == [(3, 0, 164), (169, 0, 172), (171, 0, 174)]
+    assert pii.candidates("7 " + "1" * 200_000 + "@" * 50 + "a" * 200_000, []) == [] and len(pii.candidates("a@" * 50_000, [])) == 49_999
+
+
 def test_personal_data_patterns():
     import re
     plain = {0: r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 1: r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 2: r"[0-9]([\x20-]?[0-9])+", 3: r"\+[0-9][\x20().0-9-]+[0-9]"}
