@@ -119,7 +119,7 @@ def viterbi(scores: np.ndarray, words: np.ndarray, switch: float) -> np.ndarray:
     first, left = first[order], words[order]
     steps = int(left[0]) if len(left) else 0
     active = np.searchsorted(-left, -np.arange(1, steps + 1), side="right")  # texts with a word at each step
-    stays, bests = np.zeros(scores.shape, bool), np.zeros(len(scores), np.int8)
+    stays, bests = np.zeros(scores.shape, bool), np.zeros(len(scores), np.int32)
     value = np.zeros((len(left), scores.shape[1]))
     for t in range(steps):
         a = active[t]
@@ -129,7 +129,7 @@ def viterbi(scores: np.ndarray, words: np.ndarray, switch: float) -> np.ndarray:
         stay = v >= jump
         value[:a] = np.where(stay, v, jump) + scores[here]
         stays[here], bests[here] = stay, best
-    out = np.zeros(len(scores), np.int8)
+    out = np.zeros(len(scores), np.int32)
     state = np.zeros(len(left), np.int64)
     for t in range(steps - 1, -1, -1):
         a = active[t]

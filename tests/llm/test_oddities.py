@@ -234,6 +234,11 @@ def test_viterbi():
         at += n
 
 
+def test_viterbi_of_many_languages():
+    want = np.array([0, 127, 128, 299, 299, 200])
+    assert language.viterbi(np.eye(300)[want] * 9, np.array([4, 2]), 2.0).tolist() == want.tolist()
+
+
 def test_mixing(spark):
     rng = random.Random(7)
     rows = [(k, " ".join(["w"] * rng.randint(0, 50)), "en", rng.choice(["a", "b", "c", "d", None, "é"])) for k in range(600)] + odd_rows()
