@@ -21,7 +21,7 @@ def docs(spark):
 
 
 def test_names():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 13))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
