@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("neighbours", "exact_dedup", "pii", "token_counts", "near_dedup", "repeats", "language", "packing", "line_dedup", "mixing", "spelling", "hard_negatives")
+MODULES = ("neighbours", "exact_dedup", "pii", "token_counts", "near_dedup", "repeats", "language", "packing", "line_dedup", "mixing", "spelling", "hard_negatives", "lexicon")
 
 
 def collect(attribute: str) -> dict:

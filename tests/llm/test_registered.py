@@ -21,7 +21,7 @@ def docs(spark):
 
 
 def test_names():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 13))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -118,3 +118,14 @@ def test_language(spark):
     held = [r for r in rows if r.held_out]
     assert {r.doc_id for r in held} == {d for d in lang if zlib.crc32(str(d).encode()) % 4 == 2}
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.95 * len(held) and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_round_trip(spark, docs):
+    import hashlib
+    from cuetable.llm.token_counts import load, vocabulary_path
+    tokenizer, want = load(vocabulary_path()), set()
+    for d, t in docs.items():
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+        back = tokenizer.decode(ids, skip_special_tokens=False)
+        want.add((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+    assert {tuple(r) for r in QUERIES["op13_bpe_round_trip"](spark, SF).collect()} == want
