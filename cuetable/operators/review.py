@@ -7,11 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuetable import fixed
-from cuetable.plans.folders import cut_lineage
-from cuetable.plans.ordered import by_time, ordered
-from cuetable.plans.shipping import ship
+from cuetable.operators.review_log import OUTCOME_DDL, review_outcomes
 
-ROUND_EVENTS = 1_000_000
+__all__ = ["OUTCOME_DDL", "review_outcomes"]
 
 
 def _busy() -> Column:
@@ -206,7 +204,6 @@ def active_jobs(jobs: DataFrame) -> DataFrame:
 STATE = ("exists", "processing", "ready", "revision", "reviewed_revision", "exported_revision", "export_status", "error", "export_error", "output")
 STATE_DDL = ("`exists` boolean, processing string, ready boolean, revision string, reviewed_revision string, exported_revision string, "
              "export_status string, error string, export_error string, output string")
-OUTCOME_DDL = f"item_id string, ts timestamp, seq bigint, action string, accepted boolean, conflict string, {STATE_DDL}"
 NEW_ITEM = {"exists": True, "processing": "pending", "ready": False, "revision": "", "reviewed_revision": "", "exported_revision": "",
             "export_status": "idle", "error": "", "export_error": "", "output": ""}
 
@@ -278,38 +275,6 @@ def fold(item_id: str, state: dict | None, events: pd.DataFrame) -> tuple[dict |
     return state, pd.DataFrame(rows, columns=["item_id", "ts", "seq", "action", "accepted", "conflict", *STATE])
 
 
-def review_outcomes(events: DataFrame, round_events: int = ROUND_EVENTS, span_ms: int = 86_400_000) -> DataFrame:
-    """Every event with its outcome and the item's state after it.
-
-    ``events(item_id, ts, seq, action, revision, expected, status, error, output)``, folded in
-    order of time. An event can hinge on all before it, so one item is worked through in
-    order; but never more than ``round_events`` of an item are held at once. Items with more
-    take further rounds, each starting from the state written by the last.
-    """
-    ship(events.sparkSession)
-    numbered = ordered(events.withColumn("_ms", F.unix_millis("ts")), ["item_id"], ["ts", "seq"], by_time("_ms", span_ms), number="_n")
-    path_rows = cut_lineage(numbered.drop("_ms").withColumn("_round", F.floor(F.col("_n") / round_events)), "review-events")
-    last_round = path_rows.agg(F.max("_round")).first()[0]
-    done = None
-    for number in range(0 if last_round is None else last_round + 1):
-        current = path_rows.filter(F.col("_round") == number).drop("_round")
-
-        def run(key, rows, state=None):
-            held = None
-            if state is not None and len(state) and bool(state["exists"].iloc[0]):
-                held = state[list(STATE)].iloc[0].to_dict()
-            return fold(key[0], held, rows.sort_values("_n"))[1] if len(rows) else pd.DataFrame(columns=["item_id", "ts", "seq", "action", "accepted", "conflict", *STATE])
-
-        if done is None:
-            out = current.groupBy("item_id").applyInPandas(lambda key, rows: run(key, rows), OUTCOME_DDL)
-        else:
-            out = current.groupBy("item_id").cogroup(review_state(done, removed=True).groupBy("item_id")).applyInPandas(run, OUTCOME_DDL)
-        if last_round:
-            out = cut_lineage(out, "review-round")
-        done = out if done is None else done.unionByName(out)
-    return events.sparkSession.createDataFrame([], OUTCOME_DDL) if done is None else done
-
-
 def review_state(outcomes: DataFrame, removed: bool = False) -> DataFrame:
     """Present state per item: the one after its latest event."""
     latest = outcomes.groupBy("item_id").agg(F.max_by(F.struct(*STATE), F.struct("ts", "seq")).alias("_s")).select("item_id", "_s.*")
