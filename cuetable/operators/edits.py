@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +12,9 @@ from cuetable import fixed
 from cuetable.functions.timing import remap, snap_to_frame
 from cuetable.operators.markers import with_duration
 from cuetable.plans.folders import cut_lineage
-from cuetable.plans.ordered import by_position, ordered
+from cuetable.plans.ordered import by_position, by_time, ordered
 from cuetable.plans.ranges import point_join
+from cuetable.plans.shipping import ship
 
 BIN_MS = 600_000
 
@@ -159,6 +163,14 @@ def cut_settings(settings: DataFrame, cuts: DataFrame) -> DataFrame:
     return _kept(rows, settings.columns, hook_end_ms=_moved("hook_end_ms"))
 
 
+def cut_quality(quality: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Quality records with ``edit_review``: those of cut videos are to be looked at again."""
+    cut = cuts.select("video_id").distinct().withColumn("_cut", F.lit(True))
+    held = F.coalesce(F.col("edit_review"), F.lit(False)) if "edit_review" in quality.columns else F.lit(False)
+    columns = quality.columns + ([] if "edit_review" in quality.columns else ["edit_review"])
+    return _kept(quality.join(cut, "video_id", "left"), columns, edit_review=held | F.coalesce(F.col("_cut"), F.lit(False)))
+
+
 def ripple_delete(project: dict[str, DataFrame], cuts: DataFrame, rows: int = 50_000) -> dict[str, DataFrame]:
     """A project's relations after ``cuts(video_id, cut_start_ms, cut_end_ms)``, one cut per video.
 
@@ -167,24 +179,225 @@ def ripple_delete(project: dict[str, DataFrame], cuts: DataFrame, rows: int = 50
     steps = {
         "clips": lambda df: cut_clips(df, cuts, rows), "captions": lambda df: cut_captions(df, cuts),
         "markers": lambda df: cut_markers(df, cuts, project.get("catalog")), "samples": lambda df: cut_samples(df, cuts),
-        "segments": lambda df: cut_segments(df, cuts), "settings": lambda df: cut_settings(df, cuts),
+        "segments": lambda df: cut_segments(df, cuts), "settings": lambda df: cut_settings(df, cuts), "quality": lambda df: cut_quality(df, cuts),
     }
     return {name: steps[name](df) if name in steps else df for name, df in project.items()}
 
 
-def apply_edits(project: dict[str, DataFrame], cuts: DataFrame, rows: int = 50_000) -> dict[str, DataFrame]:
-    """Ordered cuts ``(video_id, seq, cut_start_ms, cut_end_ms)``, each on the timeline the last one left.
+# ---- histories of cuts: composed once, applied once
+
+HISTORY, BLOCK = 512, 256
+SPAN_DDL = "video_id string, _group bigint, a bigint, b bigint, step bigint"
+
+
+def folded_cuts(cuts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Ordered cuts ``(step, start, end)``, each on the line the last one left, as disjoint removed spans ``(start, end, step)`` of the first line."""
+    spans: list[tuple[int, int, int]] = []
+    for step, start, end in cuts:
+        gone, low, new = 0, None, []
+        for a, b, _ in [*spans, (None, None, None)]:
+            x, y = start + gone, end + gone
+            x, y = x if low is None else max(x, low), y if a is None else min(y, a)
+            if y > x:
+                new.append((x, y, step))
+            if a is not None:
+                gone, low = gone + b - a, b
+        spans = sorted(spans + new)
+    return spans
+
+
+def removed_spans(cuts: DataFrame, rows: int = 50_000, history: int = HISTORY) -> DataFrame:
+    """Spans ``(video_id, a, b, step)`` of the first timeline that ordered cuts remove, disjoint, each with the step that removed it.
+
+    Up to ``history`` steps are folded in one call. Longer histories are joined two by two: the borders of the later half and the seams of
+    the earlier one lie on the same line, so one ordered pass over both gives how far each span moves back and where seams part it.
+    """
+    ship(cuts.sparkSession)
+    real = cuts.filter(F.col("cut_end_ms") > F.col("cut_start_ms")).select("video_id", "seq", "cut_start_ms", "cut_end_ms")
+    steps = ordered(real, ["video_id"], ["seq"], by_position("seq", rows), number="step").withColumn("_group", F.floor(F.col("step") / history))
+
+    def fold(key, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("step")
+        spans = folded_cuts(list(zip(own["step"], own["cut_start_ms"], own["cut_end_ms"], strict=True)))
+        return pd.DataFrame([(key[0], key[1], *x) for x in spans], columns=["video_id", "_group", "a", "b", "step"])
+
+    spans = cut_lineage(steps.groupBy("video_id", "_group").applyInPandas(fold, SPAN_DDL), "edit-spans")
+    while spans.filter("_group > 0").limit(1).count():  # halves what is left of the longest history
+        later = F.col("_group") % 2 == 1
+        halves = spans.withColumn("_pair", F.floor(F.col("_group") / 2))
+        earlier = ordered(halves.filter(~later), ["video_id", "_pair"], ["a"], by_time("a"), before={"_gone": F.col("b") - F.col("a")})
+        seams = earlier.select("video_id", "_pair", (F.col("a") - F.col("_gone")).alias("p"), F.lit(1).alias("kind"), F.col("a").alias("tie"), (F.col("b") - F.col("a")).alias("size"), F.lit(None).cast("bigint").alias("open"))
+        borders = halves.filter(later).select("video_id", "_pair", F.explode(F.array(
+            F.struct(F.col("a").alias("p"), F.lit(2).alias("kind"), F.col("step").alias("open")),
+            F.struct(F.col("b").alias("p"), F.lit(0).alias("kind"), F.lit(-1).cast("bigint").alias("open")))).alias("x"))
+        line = seams.unionByName(borders.select("video_id", "_pair", "x.p", "x.kind", F.lit(0).cast("bigint").alias("tie"), F.lit(0).cast("bigint").alias("size"), "x.open"))
+        line = ordered(line, ["video_id", "_pair"], ["p", "kind", "tie"], by_time("p"), before={"_before": F.col("size")}, last_seen={"_open": F.col("open")}, lead={"_next": F.col("p")})
+        gone = F.col("_before") + F.col("size")
+        back = line.filter((F.col("_open") >= 0) & (F.col("_next") > F.col("p"))).select(
+            "video_id", F.col("_pair").alias("_group"), (F.col("p") + gone).alias("a"), (F.col("_next") + gone).alias("b"), F.col("_open").alias("step"))
+        kept = halves.filter(~later).select("video_id", F.col("_pair").alias("_group"), "a", "b", "step")
+        spans = cut_lineage(kept.unionByName(back), "edit-spans")
+    return spans.select("video_id", "a", "b", "step")
+
+
+def span_blocks(spans: DataFrame) -> DataFrame:
+    """Spans in runs of ``BLOCK`` with the stretch of the line each run answers for: ``(video_id, _from, _to, _gone, _spans)``.
+
+    The first run's stretch begins before all times (null), the last one's never ends (null); ``_gone`` is removed before the run.
+    """
+    placed = ordered(spans, ["video_id"], ["a"], by_time("a"), number="_k", before={"_gone": F.col("b") - F.col("a")})
+    blocks = placed.groupBy("video_id", F.floor(F.col("_k") / BLOCK).alias("_block")).agg(
+        F.min("a").alias("_first"), F.min("_gone").alias("_gone"), F.sort_array(F.collect_list(F.struct("a", "b", "step"))).alias("_spans"))
+    blocks = ordered(blocks, ["video_id"], ["_block"], by_position("_block"), lead={"_to": F.col("_first")})
+    return blocks.select("video_id", F.when(F.col("_block") > 0, F.col("_first")).alias("_from"), "_to", "_gone", "_spans")
+
+
+def _at_block(rows: DataFrame, blocks: DataFrame, at: str) -> DataFrame:
+    """Rows with the block that answers for their time ``at``; null columns in videos without cuts."""
+    own = blocks.withColumnRenamed("video_id", "_video")
+    here = (F.col("_from").isNull() | (F.col(at) >= F.col("_from"))) & (F.col("_to").isNull() | (F.col(at) < F.col("_to")))
+    return rows.join(own, (F.col("video_id") == F.col("_video")) & here, "left")
+
+
+def _shifted(at: str) -> Column:
+    """Where a time lies after all cuts; inside a removed span, at its seam."""
+    t = F.col(at)
+    inside = F.aggregate("_spans", F.lit(0).cast("bigint"), lambda n, x: n + F.greatest(F.lit(0), F.least(t, x["b"]) - F.least(t, x["a"])))
+    return F.when(F.col("_video").isNull(), t).otherwise(t - F.col("_gone") - inside)
+
+
+_BLOCK_COLUMNS = ("_video", "_from", "_to", "_gone", "_spans")
+
 
-    One round per step of the longest history; the tables are written between rounds so that
-    the plan does not grow with it.
+def _moved_by(rows: DataFrame, blocks: DataFrame, **columns: str) -> DataFrame:
+    for new, at in columns.items():
+        rows = _at_block(rows, blocks, at).withColumn(new, _shifted(at)).withColumn("_cut", F.col("_video").isNotNull()).drop(*_BLOCK_COLUMNS)
+    return rows
+
+
+def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What is left of clips, from rows of a clip and a removed span in it, sorted by clip and span.
+
+    A piece is the right one of every cut that touched what lay before it then: going left from it, of each step that comes before all
+    steps met so far. The stack holds those steps.
     """
-    steps = ordered(cuts, ["video_id"], ["seq"], by_position("seq", rows), number="_step")
-    last = steps.agg(F.max("_step")).first()[0]
-    for step in range(-1 if last is None else last + 1):
-        if step:
-            project = {name: cut_lineage(df, f"edit-{name}") for name, df in project.items()}
-        project = ripple_delete(project, steps.filter(F.col("_step") == step), rows)
-    return project
+    last: tuple | None = None
+    at, n, stack, out = 0, 0, [], []
+
+    def piece(until: int) -> None:
+        nonlocal n
+        if until > at:
+            video, order, name, start, _, source = last
+            out.append((video, order, n, name + "-r" * len(stack), source + at - start, source + until - start))
+            n += 1
+
+    names = ["video_id", "_ord", "part", "clip_id", "src_start_ms", "src_end_ms"]
+    for frame in frames:
+        for video, order, name, start, end, source, a, b, step in frame.itertuples(index=False):
+            if last is None or (video, order) != last[:2]:
+                if last is not None:
+                    piece(last[4])
+                last, at, n, stack = (video, order, name, start, end, source), start, 0, []
+            piece(a)
+            while stack and stack[-1] >= step:
+                stack.pop()
+            stack.append(step)
+            at = b
+        yield pd.DataFrame(out, columns=names)
+        out = []
+    if last is not None:
+        piece(last[4])
+    yield pd.DataFrame(out, columns=names)
+
+
+def _clips_left(clips: DataFrame, blocks: DataFrame, rows: int) -> DataFrame:
+    laid = layout(clips, rows).select("video_id", "ord", "clip_id", "out_start_ms", "out_end_ms", "src_start_ms", "src_end_ms")
+    own = blocks.withColumnRenamed("video_id", "_video")
+    meets = (F.col("_from").isNull() | (F.col("out_end_ms") > F.col("_from"))) & (F.col("_to").isNull() | (F.col("out_start_ms") < F.col("_to")))
+    hit = laid.join(own, (F.col("video_id") == F.col("_video")) & meets)
+    hit = hit.select("video_id", "ord", "clip_id", "out_start_ms", "out_end_ms", "src_start_ms", F.explode("_spans").alias("x")).filter((F.col("x.a") < F.col("out_end_ms")) & (F.col("x.b") > F.col("out_start_ms")))
+    hit = cut_lineage(hit.select("video_id", "ord", "clip_id", "out_start_ms", "out_end_ms", "src_start_ms", "x.a", "x.b", "x.step"), "edit-hits")
+    left = hit.repartition("video_id", "ord").sortWithinPartitions("video_id", "ord", "a").mapInPandas(
+        _pieces, "video_id string, _ord bigint, part int, clip_id string, src_start_ms bigint, src_end_ms bigint")
+    whole = laid.join(hit.select("video_id", "ord").distinct(), ["video_id", "ord"], "left_anti").select(
+        "video_id", F.col("ord").cast("bigint").alias("_ord"), F.lit(0).alias("part"), "clip_id", "src_start_ms", "src_end_ms")
+    out = ordered(whole.unionByName(left), ["video_id"], ["_ord", "part"], by_position("_ord", rows), number="ord")
+    return out.select("video_id", F.col("ord").cast("int").alias("ord"), "clip_id", "src_start_ms", "src_end_ms")
+
+
+def _captions_left(captions: DataFrame, blocks: DataFrame) -> DataFrame:
+    rows = _moved_by(captions, blocks, _a="start_ms", _b="end_ms")
+    touched = F.col("_b") - F.col("_a") < F.col("end_ms") - F.col("start_ms")
+    flag = touched | (F.coalesce(F.col("edit_review"), F.lit(False)) if "edit_review" in captions.columns else F.lit(False))
+    columns = captions.columns + ([] if "edit_review" in captions.columns else ["edit_review"])
+    return _kept(rows.filter(~F.col("_cut") | (F.col("_b") - F.col("_a") >= 30)), columns, start_ms=F.col("_a"), end_ms=F.col("_b"), edit_review=flag)
+
+
+def _removed(at: str) -> Column:
+    return F.coalesce(F.exists("_spans", lambda x: (x["a"] <= F.col(at)) & (F.col(at) < x["b"])), F.lit(False))
+
+
+def _markers_left(markers: DataFrame, blocks: DataFrame, catalog: DataFrame | None) -> DataFrame:
+    if catalog is not None:
+        markers = with_duration(markers, catalog)
+    rows = _at_block(markers, blocks, "time_ms")
+    at, cut = F.col("time_ms"), F.col("_video").isNotNull()
+    length = F.coalesce(F.col("duration_ms"), F.lit(fixed.DEFAULT_EFFECT_MS).cast("bigint"))
+    following = F.coalesce(F.array_min(F.transform(F.filter("_spans", lambda x: x["a"] > at), lambda x: x["a"])), F.col("_to"))
+    rows = rows.withColumn("_len", F.least(length, following - at)).filter(~cut | (~_removed("time_ms") & (F.col("_len") >= 80)))
+    return _kept(rows, markers.columns, time_ms=_shifted("time_ms"), duration_ms=F.when(cut, F.col("_len")).otherwise(F.col("duration_ms")))
+
+
+def _samples_left(samples: DataFrame, blocks: DataFrame) -> DataFrame:
+    return _kept(_at_block(samples, blocks, "time_ms").filter(~_removed("time_ms")), samples.columns, time_ms=_shifted("time_ms"))
+
+
+def _segments_left(segments: DataFrame, blocks: DataFrame) -> DataFrame:
+    rows = _moved_by(segments, blocks, _a="start_ms", _b="end_ms")
+    return _kept(rows.filter(~F.col("_cut") | (F.col("_b") > F.col("_a"))), segments.columns, start_ms=F.col("_a"), end_ms=F.col("_b"))
+
+
+def _hooks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hook ends after all cuts, from a hook and its cuts in order; a hook at 0 stands for the default at the next cut, so steps cannot be joined."""
+    video, hook = None, 0
+    for frame in frames:
+        out = []
+        for own, step, start, end in frame.itertuples(index=False):
+            if own != video or step < 0:
+                if video is not None:
+                    out.append((video, hook))
+                video, hook = own, start
+            else:
+                hook = hook or 8000
+                hook = hook if hook <= start else hook - (end - start) if hook >= end else start
+        yield pd.DataFrame(out, columns=["video_id", "_hook"])
+    yield pd.DataFrame([(video, hook)] if video is not None else [], columns=["video_id", "_hook"])
+
+
+def _settings_left(settings: DataFrame, cuts: DataFrame) -> DataFrame:
+    real = cuts.filter(F.col("cut_end_ms") > F.col("cut_start_ms")).join(settings.select("video_id"), "video_id", "left_semi")
+    hooks = settings.join(real.select("video_id"), "video_id", "left_semi").select(
+        "video_id", F.lit(-1).cast("bigint").alias("seq"), F.coalesce(F.col("hook_end_ms"), F.lit(0)).cast("bigint").alias("cut_start_ms"), F.lit(0).cast("bigint").alias("cut_end_ms"))
+    line = hooks.unionByName(real.select("video_id", F.col("seq").cast("bigint").alias("seq"), "cut_start_ms", "cut_end_ms"))
+    line = cut_lineage(line, "edit-hooks")  # joined halves count as dealt by video already, but not alike
+    moved = line.repartition("video_id").sortWithinPartitions("video_id", "seq").mapInPandas(_hooks, "video_id string, _hook bigint")
+    return _kept(settings.join(moved, "video_id", "left"), settings.columns, hook_end_ms=F.coalesce("_hook", "hook_end_ms"))
+
+
+def apply_edits(project: dict[str, DataFrame], cuts: DataFrame, rows: int = 50_000, history: int = HISTORY) -> dict[str, DataFrame]:
+    """Ordered cuts ``(video_id, seq, cut_start_ms, cut_end_ms)``, each on the timeline the last one left; ``seq`` is 0 or more.
+
+    The history of a video is composed once into the spans of the first timeline that it removes; then every relation moves in one pass,
+    however many cuts there are. Cuts that remove nothing are passed over.
+    """
+    spans = cut_lineage(removed_spans(cuts, rows, history), "edit-composed")
+    blocks = cut_lineage(span_blocks(spans), "edit-blocks")
+    steps = {
+        "clips": lambda df: _clips_left(df, blocks, rows), "captions": lambda df: _captions_left(df, blocks),
+        "markers": lambda df: _markers_left(df, blocks, project.get("catalog")), "samples": lambda df: _samples_left(df, blocks),
+        "segments": lambda df: _segments_left(df, blocks), "settings": lambda df: _settings_left(df, cuts), "quality": lambda df: cut_quality(df, cuts),
+    }
+    return {name: steps[name](df) if name in steps else df for name, df in project.items()}
 
 
 def split_clip(clips: DataFrame, points: DataFrame, rows: int = 50_000) -> DataFrame:
@@ -223,10 +436,9 @@ def trim_clip(project: dict[str, DataFrame], bounds: DataFrame, media: DataFrame
         "video_id", (base + F.col("_out")).alias("cut_start_ms"), F.col("out_end_ms").alias("cut_end_ms"))
     head = laid.filter(F.col("_in") > F.col("src_start_ms") + 1).select(
         "video_id", F.col("out_start_ms").alias("cut_start_ms"), (base + F.col("_in")).alias("cut_end_ms"))
-    cuts = cut_lineage(tail.select("*", F.lit("tail").alias("part")).unionByName(head.select("*", F.lit("head").alias("part"))), "trims")
-    without_tail = ripple_delete(project, cuts.filter("part = 'tail'"), rows)
-    without_tail = {name: cut_lineage(df, f"trim-{name}") for name, df in without_tail.items()}
-    return ripple_delete(without_tail, cuts.filter("part = 'head'"), rows)
+    # The tail lies behind the head, so its going leaves the head where it was.
+    cuts = tail.select("*", F.lit(0).cast("bigint").alias("seq")).unionByName(head.select("*", F.lit(1).cast("bigint").alias("seq")))
+    return apply_edits(project, cut_lineage(cuts, "trims"), rows)
 
 
 def edit_history(snapshots: DataFrame, state: str = "state") -> DataFrame:
