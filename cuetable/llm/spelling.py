@@ -12,6 +12,7 @@ another, edits are tried in the second half alone, and no state starts at a node
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from cuetable.llm.common import table, written
 
 LETTERS, LEAST_LENGTH, LEAST_COUNT, RATIO, DAMAGED = r"A-Za-zÀ-ÿ", 7, 2, 10, 31
+#: Characters that a broadcast table may have.
+LIGHT = 4_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Marks of the two tries before a word, and of a word's end; no letters.
 FORWARD, BACKWARD, END = "<", ">", "$"
@@ -46,45 +49,62 @@ def tops(groups: DataFrame) -> DataFrame:
     return groups.filter("n > 1").select("g", parting(F.col("least"), F.col("most")).cast("int").alias("d"))
 
 
-def edited(children: Column) -> Column:
-    """The strings that one edit of ``text`` at ``d`` makes for the children that part from it there."""
-    next_own, rest = F.expr("substring(text, d + 1, 1)"), F.expr("substring(text, d + 2)")
-    before, onward = F.expr("substring(text, 1, d)"), F.expr("substring(text, d + 1)")
+def light(df: DataFrame, size: Column) -> DataFrame:
+    """``df``, written, with a broadcast hint where its rows and their strings (``size``, in characters) have been added up to little."""
+    rows, characters = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= LIGHT // 40 and characters <= LIGHT else df
 
-    def ways(child: Column) -> Column:
-        c = F.substring(child["label"], 1, 1)
-        replaced = F.when((c != END) & (next_own != END), F.concat(before, c, rest))
-        inserted = F.when(c != END, F.concat(before, c, onward))
-        deleted = F.when((next_own != END) & (F.substring(rest, 1, 1) == c), F.concat(before, rest))
-        fits = lambda s: s.isNotNull() & (F.substring(s, F.col("d") + 1, F.length(child["label"])) == child["label"])
-        return F.transform(F.filter(F.array(replaced, inserted, deleted), fits), lambda s: F.struct(s.alias("found"), child["h"].alias("h"), child["to"].alias("to"), child["leaf"].alias("leaf")))
 
-    return F.flatten(F.transform(F.filter(children, lambda x: F.substring(x["label"], 1, 1) != next_own), ways))
+def entered(paths: DataFrame) -> DataFrame:
+    """``text, found, h, to, leaf``: states of words ``text`` at ``d`` that one edit takes into another child ``label, h, to, leaf, nexts``.
 
-
-def neighbours(words: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
-    """``word, near``: both orders of all pairs of distinct ``word``s of ``least_length`` letters or more that one edit of one character parts."""
-    none = written(words.select(F.col("word").alias("text"), F.col("word").alias("found"), F.col("word").alias("g"), F.col("word").alias("c")).limit(0), "states")
+    The child must go on with the edited word's next character, so most states that would die at the next level are never made.
+    """
+    own, rest = F.expr("substring(text, d + 1, 1)"), F.expr("substring(text, d + 2)")
+    before, c = F.expr("substring(text, 1, d)"), F.expr("substring(label, 1, 1)")
+    replaced = F.when((c != END) & (own != END), F.concat(before, c, rest))
+    inserted = F.when(c != END, F.concat(before, c, own, rest))
+    deleted = F.when((own != END) & (F.substring(rest, 1, 1) == c), F.concat(before, rest))
+    made = paths.filter(c != own).select("*", F.explode(F.array(replaced, inserted, deleted)).alias("found"))
+    made = made.filter("found IS NOT NULL AND substring(found, d + 1, length(label)) = label")
+    return made.filter("leaf OR instr(nexts, substring(found, to + 1, 1)) > 0").select("text", "found", "h", "to", "leaf")
+
+
+def grown(words: DataFrame, least_length: int) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Level by level, the words' paths ``text, g, d`` and the edges ``g, d, h, to, leaf, label`` of the nodes ``g`` there."""
     both = words.select(F.explode(F.array(F.concat(F.lit(FORWARD), "word", F.lit(END)), F.concat(F.lit(BACKWARD), F.reverse("word"), F.lit(END)))).alias("text"))
-    own = both.withColumn("g", F.substring("text", 1, 1 + least_length // 2))
-    own = written(own, "paths")
+    own = written(both.withColumn("g", F.substring("text", 1, 1 + least_length // 2)), "paths")
     ends = [F.min("text").alias("least"), F.max("text").alias("most"), F.count(F.lit(1)).alias("n")]
-    nodes, states, leaves = written(tops(own.groupBy("g").agg(*ends)), "nodes"), none, []
+    nodes = written(tops(own.groupBy("g").agg(*ends)), "nodes")
     while True:  # as often as the deepest path parts
-        own = written(own.join(nodes, "g").select("text", "g", "d", F.expr("substring(text, 1, d + 1)").alias("h")), "paths")
+        own = written(own.join(light(nodes, F.length("g")), "g").select("text", "g", "d", F.expr("substring(text, 1, d + 1)").alias("h")), "paths")
         if own.isEmpty():
-            break
+            return
         kids = own.groupBy("g", "d", "h").agg(*ends)
         to = F.when(F.col("n") > 1, parting(F.col("least"), F.col("most")).cast("int")).otherwise(F.length("least"))
         kids = written(kids.withColumn("to", to).select("g", "d", "h", "to", (F.col("n") == 1).alias("leaf"), F.expr("substring(least, d + 1, to - d)").alias("label")), "edges")
-        fans = kids.groupBy("g").agg(F.collect_list(F.struct("label", "h", "to", "leaf")).alias("children"))  # a letter each
-        parted = own.filter("2 * d >= length(text) - 1").join(fans, "g").select("text", F.explode(edited(F.col("children"))).alias("s")).select("text", "s.*")
-        fits = F.expr("substring(found, d + 1, length(label)) = label")
-        followed = states.join(kids.withColumn("c", F.substring("label", 1, 1)), ["g", "c"]).filter(fits).select("text", "found", "h", "to", "leaf")
-        reached = written(parted.unionAll(followed), "states")
+        yield own, kids
+        own, nodes = own.select("text", F.col("h").alias("g")), kids.filter("NOT leaf").select(F.col("h").alias("g"), F.col("to").alias("d"))
+
+
+def neighbours(words: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
+    """``word, near``: both orders of all pairs of distinct ``word``s of ``least_length`` letters or more that one edit of one character parts."""
+    none = words.select(F.col("word").alias("text"), F.col("word").alias("found"), F.col("word").alias("g"), F.col("word").alias("c")).limit(0)
+    states, leaves, levels = none, [], grown(words, least_length)
+    level = next(levels, None)
+    while level:
+        (own, kids), level = level, next(levels, None)  # the edges of the next level say how children go on
+        onward = level[1].groupBy(F.col("g").alias("h")).agg(F.array_join(F.collect_list(F.expr("substring(label, 1, 1)")), "").alias("nexts")) if level else None
+        edges = kids.withColumn("nexts", F.lit("")) if onward is None else kids.join(onward, "h", "left")  # leaves go on with nothing
+        edges = written(edges, "edges")
+        fans = written(edges.groupBy("g").agg(F.collect_list(F.struct("label", "h", "to", "leaf", "nexts")).alias("children")), "fans")  # a letter each
+        size = F.aggregate("children", F.lit(0).cast("bigint"), lambda n, x: n + F.length(x["label"]) + F.length(x["h"]) + 40)
+        parted = own.filter("2 * d >= length(text) - 1").join(light(fans, size), "g").select("text", "d", F.inline("children"))
+        followed = states.join(edges.withColumn("c", F.expr("substring(label, 1, 1)")), ["g", "c"])
+        followed = followed.filter("substring(found, d + 1, length(label)) = label AND (leaf OR instr(nexts, substring(found, to + 1, 1)) > 0)")
+        reached = written(entered(parted).unionAll(followed.select("text", "found", "h", "to", "leaf")), "states")
         leaves.append(reached.filter("leaf").select("text", "found"))
         states = reached.filter("NOT leaf").select("text", "found", F.col("h").alias("g"), F.expr("substring(found, to + 1, 1)").alias("c"))
-        own, nodes = own.select("text", F.col("h").alias("g")), kids.filter("NOT leaf").select(F.col("h").alias("g"), F.col("to").alias("d"))
     if not leaves:
         return none.select(F.col("text").alias("word"), F.col("found").alias("near"))
     bare = lambda c: F.when(F.substring("text", 1, 1) == FORWARD, F.expr(f"substring({c}, 2, length({c}) - 2)")).otherwise(F.reverse(F.expr(f"substring({c}, 2, length({c}) - 2)")))

@@ -45,10 +45,10 @@ def in_texts(rows, least=7):
     return {w: n for w, n in counts.items() if n > 1}
 
 
-@pytest.mark.parametrize("least,alphabet,lengths", [(7, "ab", (7, 9)), (7, "abcé", (7, 8)), (1, "ab", (1, 4)), (2, "abc", (2, 4)), (6, "ab", (6, 8)), (3, "a", (3, 30))])
+@pytest.mark.parametrize("least,alphabet,lengths", [(7, "abé", (7, 8)), (1, "ab", (1, 3)), (6, "ab", (6, 8)), (3, "a", (3, 8))])
 def test_all_pairs(spark, least, alphabet, lengths):
     rng = random.Random(least)
-    words = sorted({"".join(rng.choice(alphabet) for _ in range(rng.randint(*lengths))) for _ in range(150)})
+    words = sorted({"".join(rng.choice(alphabet) for _ in range(rng.randint(*lengths))) for _ in range(120)})
     counts = {w: 2 + int(2 ** rng.uniform(0, 14)) for w in words}
     table = spark.createDataFrame(list(counts.items()), "word string, n bigint").repartition(3)
     pairs = neighbours(table, least).collect()
