@@ -108,6 +108,18 @@ def _(spark, sf):
     return found.select("video_id", "id", "label", F.array_join("terms", "|").alias("terms"))
 
 
+@check("lexicon_join_words", b.with_sql("captions") + """, lex AS (SELECT 'said' AS label, word AS term, count(*) AS ord FROM (SELECT unnest(string_split(text, ' ')) AS word FROM conversations) WHERE length(word) >= 4 GROUP BY word
+  UNION ALL SELECT DISTINCT 'product', unnest(string_split(p_name, ' ')), 1 FROM part)
+SELECT video_id, id, label, md5(string_agg(term, '|' ORDER BY ord, term)) AS terms FROM captions JOIN lex ON contains(text, term) GROUP BY ALL""")
+def _(spark, sf):
+    """Whole words as terms: those of product names and all longer ones that were ever said."""
+    word = F.explode(F.split("text", " ")).alias("term")
+    said = b.table(spark, sf, "conversations").select(word).filter(F.length("term") >= 4).groupBy("term").agg(F.count(F.lit(1)).alias("ord"))
+    made = b.table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("term")).distinct().withColumn("ord", F.lit(1).cast("bigint"))
+    lex = said.withColumn("label", F.lit("said")).unionByName(made.withColumn("label", F.lit("product")))
+    return classify.lexicon_join(b.captions(spark, sf), lex).select("video_id", "id", "label", F.md5(F.array_join("terms", "|").cast("binary")).alias("terms"))
+
+
 @check("classify", b.with_sql("captions") + f", {LABELS} SELECT video_id, id, label, round(score, 4) AS score, array_to_string(words, '|') AS words FROM labelled")
 def _(spark, sf):
     return labelled(spark, sf).select("video_id", "id", "label", F.round("score", 4).alias("score"), F.array_join("highlight_words", "|").alias("words"))
@@ -295,6 +307,30 @@ def _(spark, sf):
     return rows.select("video_id", "id", F.md5("text").alias("digest"))
 
 
+# Two letters spell the sound of a letter; two such sounds are alike when they share a letter.
+SOUND = "substr('abcdefg', ascii({0}) % 7 + 1, 1) || substr('hijkl', ascii({0}) % 5 + 1, 1)"
+HEARD = SLIPS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", spelled AS (SELECT *, list_filter(range(1, width + 1), lambda k: source[k] <> target[k])[1] AS d FROM slips),
+voiced AS (SELECT *, {SOUND.format('source[d]')} AS x, {SOUND.format('target[d]')} AS y FROM spelled),
+ok AS (SELECT video_id, id, position, width, target, source, row_number() OVER (PARTITION BY video_id, id ORDER BY width DESC, position, target, source) AS k FROM voiced WHERE is_brand OR x[1] = y[1] OR x[2] = y[2]),
+listed AS (SELECT video_id, id, list(struct_pack(p := position, w := width, t := target, s := source) ORDER BY k) AS found FROM ok GROUP BY ALL),
+fold AS (SELECT video_id, id, found, 1 AS k, found[1:1] AS taken FROM listed
+  UNION ALL SELECT video_id, id, found, k + 1, CASE WHEN len(list_filter(taken, lambda t: t.p < found[k + 1].p + found[k + 1].w AND found[k + 1].p < t.p + t.w)) > 0 THEN taken ELSE list_append(taken, found[k + 1]) END
+  FROM fold WHERE k < len(found)),
+heard AS (SELECT video_id, id, unnest(taken) AS c FROM fold WHERE k = len(found))"""
+
+
+def _sounds(spark):
+    letters = [chr(c) for c in range(97, 123)]
+    return spark.createDataFrame([(c, "abcdefg"[ord(c) % 7] + "hijkl"[ord(c) % 5]) for c in letters], "char string, sound string")
+
+
+@check("correct_names_sounds", HEARD + """ SELECT video_id, id, c.w AS width, c.s AS "from", c.t AS "to", row_number() OVER (PARTITION BY video_id, id ORDER BY c.p DESC) - 1 AS change FROM heard""")
+def _(spark, sf):
+    """Names of all widths, longest first, where letters sound alike."""
+    rows = names.correct_names(b.captions(spark, sf), products(spark, sf), _sounds(spark), LETTERS, ())
+    return names.correction_log(rows).select("video_id", "id", F.length("from").cast("bigint").alias("width"), "from", "to", F.col("change").cast("bigint").alias("change"))
+
+
 # ---- captions from text and characters
 
 A, MARK = "[A-Za-z0-9]", "，。！？；,!?;."

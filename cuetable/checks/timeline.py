@@ -310,6 +310,43 @@ def _(spark, sf):
     return edits.apply_edits({"captions": b.intervals(spark, sf).select("video_id", "id", "start_ms", "end_ms")}, steps)["captions"]
 
 
+HISTORIES = b.with_sql("intervals", "points").replace("WITH ", "WITH RECURSIVE ", 1) + """, first AS (SELECT video_id, min(time_ms) AS t0 FROM points GROUP BY video_id),
+steps AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY id) - 1 AS seq, t0 + id * 7919 * 1009 % 2000000000 AS s, t0 + id * 7919 * 1009 % 2000000000 + (id % 9) * 1500000 AS e FROM points JOIN first USING (video_id)),
+n AS (SELECT video_id, count(*) AS n FROM steps GROUP BY video_id)"""
+
+
+def _histories(spark, sf):
+    """Every event is a cut, in order of its number, on the timeline that the one before left."""
+    points = b.points(spark, sf)
+    rows = points.join(points.groupBy("video_id").agg(F.min("time_ms").alias("t")), "video_id")
+    start = F.col("t") + F.col("id") * (7919 * 1009) % 2_000_000_000
+    return rows.select("video_id", F.col("id").alias("seq"), start.alias("cut_start_ms"), (start + F.col("id") % 9 * 1_500_000).alias("cut_end_ms"))
+
+
+@check("edit_histories", HISTORIES + f""", walk AS (SELECT video_id, id, 0 AS step, start_ms AS a, end_ms AS z, false AS edit_review FROM intervals
+  UNION ALL SELECT w.video_id, w.id, w.step + 1, {MOVED.format('w.a')}, {MOVED.format('w.z')}, w.edit_review OR (e > s AND w.a < e AND w.z > s)
+  FROM walk w JOIN steps t ON t.video_id = w.video_id AND t.seq = w.step WHERE e <= s OR ({MOVED.format('w.z')}) - ({MOVED.format('w.a')}) >= 30)
+SELECT video_id, id, a AS start_ms, z AS end_ms, edit_review FROM walk JOIN n USING (video_id) WHERE step = n""")
+def _(spark, sf):
+    return edits.apply_edits({"captions": b.intervals(spark, sf).select("video_id", "id", "start_ms", "end_ms")}, _histories(spark, sf))["captions"]
+
+
+@check("edit_histories_markers", HISTORIES + f""", walk AS (SELECT video_id, id, 0 AS step, start_ms AS t, end_ms - start_ms AS len FROM intervals
+  UNION ALL SELECT w.video_id, w.id, w.step + 1, {MOVED.format('w.t')}, CASE WHEN e > s AND t < s AND t + len > s THEN s - t ELSE len END
+  FROM walk w JOIN steps c ON c.video_id = w.video_id AND c.seq = w.step WHERE e <= s OR (NOT (t >= s AND t < e) AND CASE WHEN t < s AND t + len > s THEN s - t ELSE len END >= 80))
+SELECT video_id, id, t AS time_ms, len AS duration_ms FROM walk JOIN n USING (video_id) WHERE step = n""")
+def _(spark, sf):
+    markers = b.intervals(spark, sf).select("video_id", "id", F.col("start_ms").alias("time_ms"), (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"))
+    return edits.apply_edits({"markers": markers}, _histories(spark, sf))["markers"]
+
+
+@check("edit_quality", b.with_sql("points") + ", cut AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS video_id FROM orders) SELECT DISTINCT video_id, video_id IN (SELECT video_id FROM cut) AS edit_review FROM points")
+def _(spark, sf):
+    """Orders cut the users of the same number: their quality records are to be reviewed."""
+    cuts = b.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("video_id"), F.lit(0).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("cut_start_ms"), F.lit(10).cast("bigint").alias("cut_end_ms"))
+    return edits.ripple_delete({"quality": b.points(spark, sf).select("video_id").distinct()}, cuts)["quality"]
+
+
 @check("ripple_markers", b.with_sql("intervals") + VIDEO_CUTS + f""", cut AS (SELECT video_id, id, start_ms AS t, s, e,
   CASE WHEN start_ms < s AND end_ms > s THEN s - start_ms ELSE end_ms - start_ms END AS len FROM intervals JOIN cuts USING (video_id))
 SELECT video_id, id, {MOVED.format('t')} AS time_ms, len AS duration_ms FROM cut WHERE NOT (t >= s AND t < e) AND len >= 80""")

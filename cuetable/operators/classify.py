@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuetable import fixed
-from cuetable.functions.grams import gram_rows
+from cuetable.functions.grams import contained_terms
 from cuetable.functions.text import has_signal, lexicon_hits, signal_matches
 from cuetable.plans.ordered import by_position, ordered
 from cuetable.plans.sizes import broadcast_if_small
@@ -98,14 +98,10 @@ def assign_effect(captions: DataFrame, patterns=None, cues=None) -> DataFrame:
 def lexicon_join(captions: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Terms contained in each caption, per label and in lexicon order, for a lexicon of any size.
 
-    Captions are opened into substrings of the lengths the lexicon has, so containment
-    becomes an equi-join on the term.
+    Terms meet texts at their rarest gram and are compared there; see ``contained_terms``.
     """
-    # The distinct term lengths: no more of them than the longest term has characters.
-    lengths = sorted(r[0] for r in lexicon.select(F.length("term")).distinct().collect()) or [0]
-    opened = gram_rows(captions.select("video_id", "id", "text"), "text", F.array(*[F.lit(n) for n in lengths]), F.lit(lengths[-1]))
-    opened = opened.select("video_id", "id", F.col("gram").alias("term"))
-    found = opened.join(broadcast_if_small(lexicon.select("term", "label", "ord")), "term").distinct()
+    found = contained_terms(captions, ["video_id", "id"], "text", lexicon)
+    found = found.join(broadcast_if_small(lexicon.select("term", "label", "ord")), "term").distinct()
     return (found.groupBy("video_id", "id", "label")
             .agg(F.sort_array(F.collect_list(F.struct("ord", "term"))).alias("_t"))
             .select("video_id", "id", "label", F.transform("_t", lambda t: t["term"]).alias("terms")))

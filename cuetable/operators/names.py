@@ -8,17 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuetable import fixed
-from cuetable.functions.grams import gram_rows
+from cuetable.functions.grams import BLOCK, gram_rows
 from cuetable.functions.text import text_ratio
 
 CJK_LETTERS = "\\u4e00-\\u9fff"
 
 
-def _masked(gram: Column, width: Column) -> Column:
-    """Every way to leave one character out, with the place and the character left out."""
-    return F.transform(F.sequence(F.lit(1), width), lambda d: F.struct(
-        d.cast("int").alias("diff"), F.substr(gram, d, F.lit(1)).alias("char"),
-        F.concat(F.substr(gram, F.lit(1), d - 1), F.lit("\u0000"), F.substr(gram, d + 1)).alias("mask")))
+def _halves(target: Column, width: Column) -> Column:
+    """Both halves of a target with where they begin in it; one of them is spelled right if a single character is not."""
+    left = F.floor(width / 2).cast("int")
+    return F.array(F.struct(F.substr(target, F.lit(1), left).alias("half"), F.lit(0).alias("skip")), F.struct(F.substr(target, left + 1, width).alias("half"), left.alias("skip")))
 
 
 def name_slips(
@@ -26,27 +25,29 @@ def name_slips(
 ) -> DataFrame:
     """Places where a caption differs from part of the product name in exactly one character.
 
-    Equal masked grams at the same gap differ there or nowhere; the second kind is filtered
-    out. Join keys hold the video, the width, the gap and the rest of the gram, so matches
-    are few per key.
+    One half of such a place is spelled as in the name. Captions meet the halves of their video's name within their own row, in blocks; only
+    places with such a half are compared in full, and only slips leave the row.
     """
     names = products.select("video_id", F.regexp_replace("product_name", f"[^{letters}]", "").alias("_p")).filter(F.length("_p") >= 3)
-    names = names.withColumn("_w", F.sequence(F.lit(3), F.least(F.lit(6), F.length("_p"))))
     brand = F.substring("_p", 1, 3).alias("_brand")
-    targets = gram_rows(names.select("video_id", "_p", "_w", brand), "_p", F.col("_w"), F.lit(6)).select(
+    targets = gram_rows(names.select("video_id", "_p", F.sequence(F.lit(3), F.least(F.lit(6), F.length("_p"))).alias("_w"), brand), "_p", F.col("_w"), F.lit(6)).select(
         "video_id", "width", F.col("gram").alias("target"), (F.col("gram") == F.col("_brand")).alias("is_brand")).distinct()
     if generic:
         targets = targets.filter(~F.col("target").isin(*generic))
-    opened = targets.select("*", F.explode(_masked(F.col("target"), F.col("width"))).alias("m")).select(
-        "video_id", "width", "target", "is_brand", F.col("m.diff").alias("diff"), F.col("m.char").alias("target_char"), F.col("m.mask").alias("mask"))
-
-    said = captions.select("video_id", "id", "text").join(names.select("video_id", "_w"), "video_id")
-    said = gram_rows(said, "text", F.col("_w"), F.lit(6)).select("video_id", "id", "position", "width", F.col("gram").alias("source"))
-    said = said.filter(F.col("source").rlike(f"^[{letters}]+$"))
-    said = said.select("*", F.explode(_masked(F.col("source"), F.col("width"))).alias("m")).select(
-        "video_id", "id", "position", "width", "source", F.col("m.diff").alias("diff"), F.col("m.char").alias("source_char"), F.col("m.mask").alias("mask"))
-    return (said.join(opened, ["video_id", "width", "diff", "mask"])
-            .filter(F.col("source_char") != F.col("target_char")).drop("mask"))
+    seeds = targets.select("*", F.explode(_halves(F.col("target"), F.col("width"))).alias("h"))
+    seeds = seeds.groupBy("video_id").agg(F.collect_list(F.struct("h.half", "h.skip", "width", "target", "is_brand")).alias("_seeds"))  # of one name
+
+    at_block = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text")), F.lit(BLOCK)), lambda at: F.struct(at.alias("at"), F.substr(F.col("text"), at, F.lit(BLOCK + 5)).alias("block")))
+    said = captions.select("video_id", "id", "text").join(seeds, "video_id").select("video_id", "id", "_seeds", F.explode(at_block).alias("b"))
+    said = said.select("video_id", "id", F.col("b.at").alias("_at"), F.col("b.block").alias("_block"), F.explode(F.filter("_seeds", lambda s: F.contains(F.col("b.block"), s["half"]))).alias("s"))
+    said = said.select("video_id", "id", "_at", "_block", "s.*")
+    begins = F.transform(F.sequence(F.lit(1), F.length("_block") - F.length("half") + 1), lambda i: F.when(F.substr(F.col("_block"), i, F.length("half")) == F.col("half"), i - F.col("skip")))
+    said = said.select("*", F.explode(F.filter(begins, lambda i: i.between(1, BLOCK) & (i + F.col("width") - 1 <= F.length("_block")))).alias("_i"))
+    said = said.withColumn("source", F.substr(F.col("_block"), F.col("_i"), F.col("width"))).filter(F.col("source").rlike(f"^[{letters}]+$"))
+    unlike = F.filter(F.sequence(F.lit(1), F.col("width")), lambda k: F.substr(F.col("source"), k, F.lit(1)) != F.substr(F.col("target"), k, F.lit(1)))
+    slips = said.withColumn("_d", unlike).filter(F.size("_d") == 1).withColumn("diff", F.get("_d", F.lit(0)).cast("int"))
+    return slips.select("video_id", "width", "diff", "id", (F.col("_at") + F.col("_i") - 1).cast("int").alias("position"), "source", F.substr(F.col("source"), F.col("diff"), F.lit(1)).alias("source_char"),
+                        "target", "is_brand", F.substr(F.col("target"), F.col("diff"), F.lit(1)).alias("target_char"))
 
 
 def accepted_slips(slips: DataFrame, sounds: DataFrame | None = None) -> DataFrame:
