@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import gc
 import hashlib
-import heapq
 import json
 import mmap
 import os
@@ -30,7 +29,8 @@ from cuetable.llm.common import slices, table, texts, tidied, written
 from cuetable.llm.token_counts import byte_letters, load, vocabulary_path
 
 #: Most words of the automaton, most bytes of one of them, and how many words a task remembers or counts at a time.
-LEXICON, LONGEST, REMEMBERED, STRETCH = 65_536, 64, 200_000, 1 << 18
+LEXICON, LONGEST, REMEMBERED, STRETCH = 65_536, 64, 400_000, 1 << 18
+NO_MERGE = np.iinfo(np.int32).max
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BLANKS, ODD_BLANK = re.compile(f"[{BLANK}]+"), re.compile("[\x1c-\x1f]")  # str.split takes the latter as blanks too
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
@@ -46,9 +46,15 @@ class Vocabulary:
         held = model["model"]["vocab"]
         end = model["model"]["end_of_word_suffix"] or ""
         letters = byte_letters()
-        self.inner, self.last = [held[c] for c in letters], [held[c + end] for c in letters]
+        self.inner, self.last = np.array([held[c] for c in letters], np.int32), np.array([held[c + end] for c in letters], np.int32)
         self.byte = {c: b for b, c in enumerate(letters)}
-        self.merges = {(held[a], held[b]): (rank, held[a + b]) for rank, (a, b) in enumerate(model["model"]["merges"])}
+        merges = model["model"]["merges"]
+        pairs = np.array([held[a] << 32 | held[b] for a, b in merges], np.int64)
+        order = np.argsort(pairs, kind="stable")
+        self.pairs, self.pair_rank, self.made = pairs[order], order.astype(np.int32), np.array([held[a + b] for a, b in merges], np.int32)
+        born = {a + b: rank for rank, (a, b) in enumerate(merges)}
+        if len(born) < len(merges) or any(born.get(x, -1) >= rank for rank, pair in enumerate(merges) for x in pair):
+            raise ValueError("a merge comes before the tokens that it joins")
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.tokenizer = load(path)
@@ -58,25 +64,62 @@ class Vocabulary:
             self.strings[i] = token.encode()
         self.kind = "<u2" if size <= 1 << 16 else "<u4"
 
-    def merged(self, word: bytes) -> list[int]:
-        """Ids of one word: of all neighbours that can merge, the pair of lowest rank goes first, the leftmost among equals."""
-        ids = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
-        n, merges = len(ids), self.merges
-        after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, m[1], ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, new, left, right = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != left or j >= n or ids[j] != right:
-                continue
-            ids[i], ids[j], after[i] = new, -1, after[j]
-            if after[j] < n:
-                ahead[after[j]] = i
-            for k in (ahead[i], i):
-                if k >= 0 and after[k] < n and (m := merges.get((ids[k], ids[after[k]]))):
-                    heapq.heappush(heap, (m[0], k, m[1], ids[k], ids[after[k]]))
-        return [i for i in ids if i >= 0]
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are not empty, one word after the other, and where each begins.
+
+        In every word, of all neighbours that can merge, those of lowest rank go first, the leftmost among overlapping ones. All words take
+        their next step at once: as no merge makes a pair of lower rank than its own, equal pairs of a word need not wait for each other.
+        """
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        ids = self.inner[data]
+        ids[ends - 1] = self.last[data[ends - 1]]
+        word, tail = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0)), np.zeros(len(ids), bool)
+        tail[ends - 1] = True
+        rank = self.ranks(ids, tail, np.arange(len(ids)))
+        done_ids, done_word = [], []
+        while len(ids):
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            least = np.minimum.reduceat(rank, first)
+            size = np.diff(np.append(first, len(ids)))
+            over = np.repeat(least == NO_MERGE, size)
+            if over.any():
+                done_ids.append(ids[over])
+                done_word.append(word[over])
+                left = ~over
+                ids, word, tail, rank, least = ids[left], word[left], tail[left], rank[left], np.repeat(least, size)[left]
+            else:
+                least = np.repeat(least, size)
+            at = np.flatnonzero(rank == least) if len(ids) else np.zeros(0, np.int64)
+            if not len(at):
+                break
+            run = np.arange(len(at)) - np.maximum.accumulate(np.where(np.append(True, np.diff(at) > 1), np.arange(len(at)), 0))
+            at = at[run % 2 == 0]  # of overlapping pairs every second
+            ids[at] = self.made[rank[at]]
+            tail[at] = tail[at + 1]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            changed = np.zeros(len(ids), bool)
+            changed[at] = True
+            before = at[(at > 0)] - 1
+            changed[before] = True
+            changed[before[~keep[before]] - 1] = True  # before stands for a merged pair
+            ids, word, tail, rank, changed = ids[keep], word[keep], tail[keep], rank[keep], np.flatnonzero(changed[keep])
+            rank[changed] = self.ranks(ids, tail, changed)
+        done_ids, done_word = np.concatenate(done_ids or [ids]), np.concatenate(done_word or [word])
+        order = np.argsort(done_word, kind="stable")
+        done_word = done_word[order]
+        return done_ids[order], np.searchsorted(done_word, np.arange(len(words) + 1))
+
+    def ranks(self, ids: np.ndarray, tail: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs that begin at ``at``; a word's last symbol begins none."""
+        out = np.full(len(at), NO_MERGE, np.int32)
+        inside = np.flatnonzero(~tail[at])
+        wanted = ids[at[inside]].astype(np.int64) << 32 | ids[at[inside] + 1]
+        found = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        held = self.pairs[found] == wanted
+        out[inside[held]] = self.pair_rank[found[held]]
+        return out
 
     def words(self, chunk: str) -> list[bytes]:
         """The words, as UTF-8, that the library makes of a text without blanks."""
@@ -166,8 +209,8 @@ def compiled(words: list[bytes], vocabulary: Vocabulary) -> bytes:
     own = Automaton()
     own.add(words)
     key, to, skip, final = own.tables()
-    ids = [vocabulary.merged(w) for w in words]
-    held = {"key": key, "to": to, "skip": skip, "final": final, "first": np.cumsum([0, *map(len, ids)]), "ids": np.array([i for x in ids for i in x], np.uint32)}
+    ids, first = vocabulary.merged(words)
+    held = {"key": key, "to": to, "skip": skip, "final": final, "first": first, "ids": ids}
     return np.array([len(held[name]) for name, _ in PARTS], np.int64).tobytes() + b"".join(held[name].astype(kind).tobytes() for name, kind in PARTS)
 
 
@@ -219,16 +262,25 @@ class Codec:
         split = [self.vocabulary.words(c) for c in missing]
         words = list({w for ws in split for w in ws})
         kind, own = self.vocabulary.kind, self.lexicon
-        ids = {}
-        for word, place in zip(words, own.places(words).tolist(), strict=True):
-            values = own.ids[own.first[place]:own.first[place + 1]] if place >= 0 else np.array(self.vocabulary.merged(word))
-            ids[word] = values.astype(kind).tobytes()
+        place = own.places(words)
+        held, new = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        ids: dict[bytes, bytes] = {}
+
+        def keep(which: np.ndarray, begin: np.ndarray, end: np.ndarray, values: np.ndarray) -> None:
+            raw, width = values.astype(kind).tobytes(), np.dtype(kind).itemsize
+            ids.update((words[k], raw[a:b]) for k, a, b in zip(which.tolist(), (begin * width).tolist(), (end * width).tolist(), strict=True))
+
+        begin, end = own.first[place[held]], own.first[place[held] + 1]
+        at = np.cumsum(end - begin) - (end - begin)
+        keep(held, at, at + end - begin, own.ids[np.repeat(begin - at, end - begin) + np.arange(int((end - begin).sum()))])
+        values, first = self.vocabulary.merged([words[k] for k in new.tolist()])
+        keep(new, first[:-1], first[1:], values)
         self.known.update((c, b"".join([ids[w] for w in ws])) for c, ws in zip(missing, split, strict=True))
         return self.known
 
     def parts(self, text: str) -> Iterator[str | bytes]:
         """Stretches of text, and the ids of special strings between them."""
-        for part in self.vocabulary.specials.split(text) if self.vocabulary.specials and "<" in text else [text]:
+        for part in self.vocabulary.specials.split(text) if self.vocabulary.specials else [text]:
             if part in self.vocabulary.special:
                 yield np.array([self.vocabulary.special[part]], self.vocabulary.kind).tobytes()
             else:
@@ -236,19 +288,18 @@ class Codec:
 
     def encoded(self, values: list[str]) -> list[bytes]:
         """The ids of every text, as unsigned little-endian numbers of the vocabulary's width."""
-        out: list[bytes] = []
-        if sum(map(len, values)) <= 4 * STRETCH and not any("<" in t for t in values):
-            split = [chunks(t) for t in values]
-            known = self.learn(set().union(*split))
-            return [b"".join(map(known.__getitem__, c)) for c in split]
-        for text in values:
+        specials = self.vocabulary.specials
+        split = [chunks(t) if len(t) <= 8 * STRETCH and not (specials and specials.search(t)) else None for t in values]
+        known = self.learn(set().union(*(c for c in split if c is not None)))
+        out = [b"".join(map(known.__getitem__, c)) if c is not None else b"" for c in split]
+        for k in (k for k, c in enumerate(split) if c is None):
             ids = []
-            for part in self.parts(text):
+            for part in self.parts(values[k]):
                 if isinstance(part, str):
-                    split = chunks(part)
-                    part = b"".join(map(self.learn(set(split)).__getitem__, split))
+                    own = chunks(part)
+                    part = b"".join(map(self.learn(set(own)).__getitem__, own))
                 ids.append(part)
-            out.append(b"".join(ids))
+            out[k] = b"".join(ids)
         return out
 
     def decoded(self, ids: np.ndarray) -> bytes:

@@ -51,7 +51,9 @@ def test_any_text(tokenizer, codec):
 def test_long_word_and_text(tokenizer, codec):
     rng = random.Random(3)
     word = "".join(rng.choice("abcdefghij") for _ in range(20_000))
-    assert codec.vocabulary.merged(word.encode()) == tokenizer.encode(word, add_special_tokens=False).ids
+    words = [word, "a", "aaaaaaa", "banana" * 30, word[:99]]
+    ids, first = codec.vocabulary.merged([w.encode() for w in words])
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
     text = " ".join("abc"[: rng.randint(1, 3)] for _ in range(9_000))
     assert "".join(stretches(text, 100)) == text and len(list(stretches(text, 100))) > 50
     assert [np.frombuffer(x, codec.vocabulary.kind).tolist() for x in codec.encoded([text, ""])] == [tokenizer.encode(text, add_special_tokens=False).ids, []]
