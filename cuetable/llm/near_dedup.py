@@ -6,11 +6,11 @@ on such neighbouring values bring similar documents together and hardly others.
 what passes is verified on the full sets.
 
 No list is paired off when it is long. Texts of equal words are one node from the start. Nodes that share a short list are paired. A
-partner missed by that shares long lists alone, so both are crowded: they stand in a long list. All crowded nodes are compared with
-the leaders of their long lists, the next leaders following while they have not joined all of them, since only components are asked for.
-They are also listed by every single value of their sketches: who has more values in short lists than a partner can lack meets its
-partners there. Who has not, and is still apart from a leader, is compared with the others like it in its lists by bit maps of the sketches,
-which leave out no pair that the sketches would let pass.
+partner missed by that shares long lists alone, so both are crowded: they stand in a long list. Crowded nodes are listed by every single
+value of their sketches too: who has more values in short lists than a partner can lack meets its partners there. For the rest, each long list elects
+the node whose values are the most common ones, which in a group of copies is the text that they come from, and all are compared with
+it; only components are asked for, so who lies in a list's largest component is done. Who is still apart after a few elections is compared with the others
+of its lists by bit maps of whole sets, in which similar pairs and hardly others agree.
 """
 
 from __future__ import annotations
@@ -29,9 +29,11 @@ from cuetable.llm.components import components
 from cuetable.plans.sizes import broadcast_if_small
 
 WORDS, SIMILAR = 5, 80
-SKETCH, SHORT, OWN_VALUES, ESTIMATE, LEADERS = 64, 32, 28, 0.5, 3
-#: Longs of a bit map of a sketch.
-SIGNATURE = 8
+SKETCH, SHORT, OWN_VALUES, ESTIMATE, LEADERS = 64, 32, 28, 0.5, 2
+#: Bits of a bit map, and how many of the smallest hashes it takes.
+BITS, MAPPED = 4_096, 512
+#: Texts that one leader's text is read with at a time.
+SHARE = 500
 #: Sets of up to so many shingles are listed by pairs of values, of at least so many by triples; similar sets meet in one or the other.
 PAIRS_TO, TRIPLES_FROM = 15, 8
 
@@ -58,12 +60,19 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterato
             yield np.zeros(0, np.uint64)
 
 
+def bit_map(hashes: np.ndarray) -> np.ndarray:
+    """One bit for each hash, as longs."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(hashes >> np.uint64(7)) % np.uint64(BITS)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``row, doc_id, place, n, same, sketch``: one row per row of ``docs``; ``same`` names its sequence of words."""
+    """``row, doc_id, place, n, same, sketch, map``: one row per row of ``docs``; ``same`` names its sequence of words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         with np.errstate(over="ignore"):
@@ -75,13 +84,14 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     same = [hashlib.blake2b(b" ".join(raw[a:b].split()), digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                     sets = list(shingle_hashes(data, offsets, words))
                     sketch = [h[:SKETCH].view(np.int64) for h in sets]
+                    maps = [bit_map(h[:MAPPED]) for h in sets]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.arange(row, row + len(sets))), rows.column("doc_id"), rows.column("place"), pa.array([len(h) for h in sets], pa.int64()),
-                        pa.array(same, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], ["row", "doc_id", "place", "n", "same", "sketch"])
+                        pa.array(same, pa.binary()), pa.array(sketch, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))], ["row", "doc_id", "place", "n", "same", "sketch", "map"])
                     row += len(sets)
 
     rows = texts(docs).withColumn("place", F.xxhash64("text"))
-    return rows.mapInArrow(tidied(run), "row bigint, doc_id bigint, place bigint, n bigint, same binary, sketch array<bigint>")
+    return rows.mapInArrow(tidied(run), "row bigint, doc_id bigint, place bigint, n bigint, same binary, sketch array<bigint>, map array<bigint>")
 
 
 def triple(at: Column) -> Column:
@@ -101,13 +111,22 @@ def close_in_size(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
 
 
+def of_pairs(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows of ``table`` (``node, ...``) that ``pairs`` speak of."""
+    ids = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    return table.join(broadcast_if_small(written(ids, "ids"), 500_000), "node", "left_semi")
+
+
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs ``a, b`` whose sizes and sketches do not rule out the similarity asked for."""
-    one = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
-    other = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
+    pairs = written(pairs.filter("a <> b"), "pairs")
+    held = written(of_pairs(pairs, nodes.select("node", "n", "sketch")), "sketched")
+    one = held.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
+    other = held.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
+    sized = pairs.join(one.drop("sa"), "a").join(other.drop("sb"), "b").filter(close_in_size(F.col("na"), F.col("nb"))).select("a", "b")
     union = F.slice(F.array_sort(F.transform(F.array_union("sa", "sb"), _unsigned)), 1, SKETCH)
     both = F.array_intersect(union, F.transform(F.array_intersect("sa", "sb"), _unsigned))
-    near = pairs.filter("a <> b").join(one, "a").join(other, "b").filter(close_in_size(F.col("na"), F.col("nb")))
+    near = sized.join(one.drop("na"), "a").join(other.drop("nb"), "b")
     return near.filter(F.size(both) >= F.size(union) * ESTIMATE).select("a", "b")
 
 
@@ -118,30 +137,22 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def signature() -> Column:
-    """Bit map of the sketch's values."""
-    def bits(k: int) -> Column:
-        own = F.filter("sketch", lambda v: F.pmod(v, F.lit(64 * SIGNATURE)).between(64 * k, 64 * k + 63))
-        return F.aggregate(own, F.lit(0).cast("bigint"), lambda a, v: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(v, F.lit(64)).cast("int"))))
-
-    return F.array(*[bits(k) for k in range(SIGNATURE)])
-
-
 def most_unlike(na: Column, nb: Column) -> Column:
-    """How many values in just one of two sketches leave the pair to ``estimated`` and the similarity asked for.
+    """How many bits of just one of two bit maps leave the pair to the similarity asked for.
 
-    Whole sets of similarity s differ in (1 - s) / (1 + s) of their sizes together; of cut ones, the union's smallest ``SKETCH`` hold
-    ``ESTIMATE`` in both.
+    Whole sets of similarity s differ in (1 - s) / (1 + s) of their sizes together, and bits that fall on each other only make them more alike. Sets cut
+    to their smallest hashes may differ in a fifth and by what one cut leaves out more than the other, six deviations above what is to be expected.
     """
     whole = F.floor((na + nb) * (100 - SIMILAR) / (100 + SIMILAR) + 1e-9)
-    return F.when(F.greatest(na, nb) <= SKETCH, whole).otherwise(F.least(na, F.lit(SKETCH)) + F.least(nb, F.lit(SKETCH)) - 2 * SKETCH * ESTIMATE)
+    taken = F.least(na, F.lit(MAPPED)) + F.least(nb, F.lit(MAPPED))
+    return F.when(F.greatest(na, nb) <= MAPPED, whole).otherwise(taken * 0.2 + MAPPED * (1 - F.least(na, nb) / F.greatest(na, nb)))
 
 
-def paired_alike(waiting: DataFrame, lists: DataFrame, crowd: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of ``waiting`` and ``lists`` (``key, node``) that share a list, may be alike by their bit maps and are not in one component."""
-    placed = written(crowd.select("node", "n", signature().alias("s")).join(roots, "node", "left").select("node", "n", "s", F.coalesce("root", "node").alias("root")), "signed")
-    x, y = waiting.join(placed, "node").alias("x"), lists.join(placed, "node").alias("y")
-    unlike = sum((F.bit_count(F.col("x.s")[k].bitwiseXOR(F.col("y.s")[k])) for k in range(SIGNATURE)), F.lit(0))
+def paired_alike(waiting: DataFrame, lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of ``waiting`` and ``lists`` (``key, node, n, root``) that share a list, may be alike by their bit maps and are not in one component."""
+    maps = written(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "map"), "maps")
+    x, y = waiting.join(maps, "node").alias("x"), lists.join(maps, "node").alias("y")
+    unlike = sum((F.bit_count(F.col("x.map")[k].bitwiseXOR(F.col("y.map")[k])) for k in range(BITS // 64)), F.lit(0))
     return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & close_in_size(F.col("x.n"), F.col("y.n")) & (unlike <= most_unlike(F.col("x.n"), F.col("y.n")))).select(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
@@ -178,35 +189,44 @@ def _unsigned(x: Column) -> Column:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, unique: bool) -> DataFrame:
-    """Pairs whose full shingle sets, built from the texts, have the similarity asked for."""
-    pairs = written(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc", "place"), "node")
-    needed = broadcast_if_small(written(needed, "needed"), 500_000)
+    """Pairs whose full shingle sets, built from the texts, have the similarity asked for.
+
+    The node with more partners comes first; its text is read once for ``SHARE`` of them, before theirs.
+    """
+    degree = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("held"))
+    degree = written(degree, "degrees")
+    of = lambda c: degree.select(F.col("node").alias(c), F.struct("held", "node").alias(f"d{c}"))
+    turned = pairs.join(of("a"), "a").join(of("b"), "b").select(F.greatest("da", "db").alias("x"), F.least("da", "db").alias("y"))
+    turned = turned.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.ceil(F.col("x.held") / SHARE).cast("int").alias("parts"))
+    turned = written(turned.withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int")), "turned")
+    needed = broadcast_if_small(written(of_pairs(pairs, nodes.select("node", "doc", "place")), "needed"), 500_000)
     own = texts(docs).select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_place"), "text")
     its = F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_place") == F.col("place"))
     if not unique:  # of rows alike in id and text, one
         own = own.join(needed, its, "left_semi").groupBy("_doc", "_place").agg(F.first("text").alias("text"))
     read = written(own.join(needed, its).select("node", "text"), "texts")
-    joined = pairs.join(read.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(
-        read.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    leading = turned.select("a", "part").distinct().join(read.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("bigint").alias("b"), "text")
+    partners = turned.join(read.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "text")
+    laid = leading.unionAll(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def shingles(text: str) -> set:
         w = text.encode().lower().split()
         return set(zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else {tuple(w)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, set()
+        left: set = set()
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for at, (a, ta, tb) in enumerate(zip(batch.column("a").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True)):
-                if a != last:
-                    last, left = a, shingles(ta.as_py())
-                right = shingles(tb.as_py())
+            for at, (b, text) in enumerate(zip(batch.column("b"), batch.column("text"), strict=True)):
+                if not b.is_valid:
+                    left = shingles(text.as_py())
+                    continue
+                right = shingles(text.as_py())
                 met = len(left & right)
                 keep[at] = 100 * met >= SIMILAR * (len(left) + len(right) - met)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
-    return joined.mapInArrow(tidied(run), "a bigint, b bigint")
+    return laid.mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -221,38 +241,46 @@ def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     full = rows.filter("n > 0")
     unique = rows.select("doc_id").groupBy("doc_id").count().filter("count > 1").isEmpty()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), "place", "row"))
-    nodes = full.groupBy("same").agg(first.alias("f"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = written(nodes.select("same", F.col("f.row").alias("node"), "f.doc", "f.place", "n", "sketch"), "nodes")
+    nodes = full.groupBy("same").agg(first.alias("f"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("map").alias("map"))
+    nodes = written(nodes.select("same", F.col("f.row").alias("node"), "f.doc", "f.place", "n", "sketch", "map"), "nodes")
     keys = list_keys(nodes)
-    leaders = [f"leader{k}" for k in range(LEADERS)]
-    lists = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held"), *[F.min_by("node", F.xxhash64("node", F.lit(k))).alias(name) for k, name in enumerate(leaders)])
-    members = written(keys.join(lists.filter("held > 1"), "key"), "members")
-    none = nodes.select("node", F.col("node").alias("root")).limit(0)
-    crowd = members.filter(F.col("held") > SHORT).groupBy("node").agg(F.collect_set("key").alias("long"), *[F.collect_set(c).alias(c) for c in leaders])  # of one sketch
-    crowd = written(crowd.join(nodes.select("node", "n", "sketch"), "node"), "crowd")
+    members = written(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "key"), "members")
+    long = members.filter(F.col("held") > SHORT)
+    common = long.groupBy("node").agg(F.sum(F.log2("held")).alias("common"))
+    crowd = written(nodes.select("node", "n", "sketch").join(common, "node"), "crowd")
     free, met = short_values(crowd)
-    links, roots = None, none
+    roots = nodes.select("node", F.col("node").alias("root")).limit(0)
 
     def link(pairs: DataFrame) -> None:
-        nonlocal links, roots
-        new = written(verified(estimated(pairs, nodes), nodes, docs, words, unique), "links")
-        links = new if links is None else links.unionAll(new)
-        roots = written(components(links), "roots")
-
-    waiting = crowd
-    for name in leaders:
+        """Joins the components of pairs that are links."""
+        nonlocal roots
+        pairs = written(estimated(apart(pairs, roots), nodes), "pairs")
+        if pairs.isEmpty():
+            return
+        new = written(verified(pairs, nodes, docs, words, unique), "links")
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        met = new.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        moved = components(met)  # of roots
+        old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        roots = written(old.unionAll(moved.join(roots.select("node"), "node", "left_anti")), "roots")
+
+    link(paired(members.filter(F.col("held") <= SHORT).select("key", "node"), nodes, roots).unionAll(met).distinct())
+    lists = written(long.select("key", "node").join(crowd.join(free, "node", "left_anti").select("node", "n", "common"), "node"), "lists")
+    led = None
+    for turn in range(LEADERS + 1):
+        placed = written(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+        parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("key").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.count(F.lit(1)).alias("parts"))
+        # A pair that is apart has one node outside the largest component of their list.
+        waiting = placed.join(parts.filter("parts > 1"), "key").filter("root <> main").select("key", "node", "n", "common", "root")
+        waiting = written(waiting if led is None else waiting.join(led, ["key", "node"], "left_anti"), "waiting")
         if waiting.isEmpty():
             break
-        link(apart(waiting.select(F.explode(name).alias("a"), F.col("node").alias("b")).distinct(), roots))
-        # Who lies apart from a leader of its lists goes on.
-        led = crowd.select(F.explode(F.array_union("leader0", name)).alias("a"), F.col("node").alias("b"))
-        waiting = written(waiting.join(apart(led, roots).select(F.col("b").alias("node")).distinct(), "node", "left_semi"), "waiting")
-    rest = written(crowd.join(free, "node", "left_anti"), "rest")
-    waiting = waiting.join(rest.select("node"), "node", "left_semi")
-    if not waiting.isEmpty():
-        link(paired_alike(waiting.select("node", F.explode("long").alias("key")), rest.select("node", F.explode("long").alias("key")), rest, roots))
-    short = paired(members.filter(F.col("held") <= SHORT).select("key", "node"), nodes, roots)
-    link(short.unionAll(apart(met, roots)).distinct())
+        if turn == LEADERS:
+            link(paired_alike(waiting, placed, nodes))
+            break
+        leader = written(waiting.groupBy("key").agg(F.max_by(F.struct("node", "root"), F.struct("common", F.xxhash64("node"))).alias("l")).select("key", F.col("l.node").alias("a"), F.col("l.root").alias("ra")), "leaders")
+        led = leader.select("key", F.col("a").alias("node")) if led is None else led.unionAll(leader.select("key", F.col("a").alias("node")))
+        link(placed.join(leader, "key").filter("root <> ra").select("a", F.col("node").alias("b")).distinct())
     placed = nodes.join(roots, "node", "left").select("same", "doc", F.coalesce("root", "node").alias("root"))
     reached = placed.join(placed.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("same", "component_id")
     out = rows.select("doc_id", "place", "same", F.col("n").alias("n_shingles")).join(reached, "same", "left")
