@@ -282,14 +282,18 @@ def _(spark, sf):
     return rows.select("video_id", us("first_ts").alias("first_us"), us("last_ts").alias("last_us"), "n_tokens")
 
 
-@check("stream_review_state", LOG + """ SELECT item_id, p AS processing, ready, rev AS revision, reviewed AS reviewed_revision, exported AS exported_revision, e AS export_status
-FROM fold f WHERE n = (SELECT max(n) FROM fold g WHERE g.item_id = f.item_id) AND alive""")
+PASSED = """, passed AS (SELECT CAST(user_id AS VARCHAR) AS item_id, count(*) AS n FROM events WHERE epoch_us(ts) // 1000 < (SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM events) GROUP BY user_id)"""
+
+
+@check("stream_review_state", LOG + PASSED + """ SELECT item_id, p AS processing, ready, rev AS revision, reviewed AS reviewed_revision, exported AS exported_revision, e AS export_status
+FROM fold JOIN passed USING (item_id, n) WHERE alive""")
 def _(spark, sf):
+    """What the watermark has passed by the end of the table."""
     from cuetable.checks.review import event_log
     batch = event_log(spark, sf)  # the same columns, built over the stream
     v = F.col("value")
     source = _stream(spark, sf).select(*log_columns(v, _action(v)))
-    rows = _drained(spark, streams.stream_review_state(source.select(*batch.columns)), "review-stream")
+    rows = _drained(spark, streams.stream_review_state(source.select(*batch.columns), "1 hour"), "review-stream")
     return review.review_state(rows).select("item_id", "processing", "ready", "revision", "reviewed_revision", "exported_revision", "export_status")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cuetable import fixed
 from cuetable.functions.ids import file_name, video_key
@@ -29,20 +29,66 @@ def stream_gap_captions(tokens: DataFrame, gap: str = "380 milliseconds", waterm
     return tokens.withWatermark("ts", watermark).groupBy("video_id", F.session_window("ts", gap)).agg(*aggs).drop("session_window")
 
 
-def stream_review_state(events: DataFrame) -> DataFrame:
-    """Outcome of every review event, the item's state kept between batches."""
-    ship(events.sparkSession)
-
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = dict(zip(STATE, state.get)) if state.exists else None
-        if held is not None and not held["exists"]:
-            held = None
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        held, out = fold(key[0], held, rows)
-        state.update(tuple(held[c] for c in STATE) if held else tuple([False, "pending", False, "", "", "", "idle", "", "", ""]))
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+WAITING_DDL = "at bigint, seq bigint, action string, revision string, expected string, status string, error string, output string"
+
+
+class ReviewQueue(StatefulProcessor):
+    """One item's state and the events that wait for the watermark; a removed item leaves nothing behind."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.item = handle.getValueState("item", STATE_DDL)
+        self.waiting = handle.getListState("waiting", WAITING_DDL)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed, found = timerValues.getCurrentWatermarkInMs(), []
+        for frame in rows:
+            frame = frame[[c.split()[0] for c in WAITING_DDL.split(", ")]].astype(object).where(frame.notna(), None)
+            found += [r for r in frame.itertuples(index=False, name=None) if r[0] // 1000 >= passed]
+        if found:
+            self.waiting.appendList(found)
+            self.handle.registerTimer(min(r[0] for r in found) // 1000 + 1)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        due = sorted((r for r in held if r[0] // 1000 < passed), key=lambda r: r[:2])
+        if not due:
+            yield pd.DataFrame()
+            return
+        state = dict(zip(STATE, self.item.get(), strict=True)) if self.item.exists() else None
+        state, out = fold(key[0], state, pd.DataFrame(due, columns=["ts", *[c.split()[0] for c in WAITING_DDL.split(", ")[1:]]]))
+        if state is None:
+            self.item.clear()
+        else:
+            self.item.update(tuple(state[c] for c in STATE))
+        rest = [r for r in held if r[0] // 1000 >= passed]
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(r[0] for r in rest) // 1000 + 1)
+        else:
+            self.waiting.clear()
         yield out
 
-    return events.groupBy("item_id").applyInPandasWithState(run, OUTCOME_DDL, STATE_DDL, "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def stream_review_state(events: DataFrame, delay: str = "10 seconds") -> DataFrame:
+    """Outcome of every review event, items' states kept between batches.
+
+    Events wait until the watermark, ``delay`` behind the latest one, has passed them and are then taken in order of time, so that those
+    which come late by less have the outcome of the whole log in order; later ones are dropped. State is kept in RocksDB, for which the
+    session's provider is set.
+    """
+    spark = events.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    timed = events.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    out = timed.groupBy("item_id").transformWithStateInPandas(ReviewQueue(), OUTCOME_DDL.replace("ts timestamp", "ts bigint"), "Append", "EventTime")
+    return out.withColumn("ts", F.timestamp_micros("ts"))
 
 
 def stream_new_media(spark: SparkSession, root: str, max_files: int = 1000, extensions: Sequence[str] = fixed.VIDEO_EXTENSIONS) -> DataFrame:
