@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cuetable import bindings as b
 from cuetable.checks.review import LOG, log_columns
 from cuetable.operators import assets, projects, review
+from cuetable.plans.commits import committed
 from cuetable.plans.folders import new_folder
 from cuetable.sources import documents, media
 from cuetable.streaming import streams
@@ -104,8 +105,8 @@ def _(spark, sf):
     """Documents written, half of them written again, and read back."""
     docs = assembled(spark, sf)
     folder = new_folder(spark, "documents")
-    documents.write_projects(docs, folder, 8)
-    documents.write_projects(docs.filter("path < 'Customer#000000700'"), folder, 8)
+    documents.write_projects(docs, folder, 40)
+    documents.write_projects(docs.filter("path < 'Customer#000000700'"), folder, 40)
     return _sizes(documents.read_projects(spark, folder, docs.schema))
 
 
@@ -121,7 +122,7 @@ def _(spark, sf):
     rows = b.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("video_id"), F.concat(F.lit("r"), F.floor(F.col("n_chars") / 1000)).alias("revision"), "lang")
     documents.append_snapshots(rows, folder)
     documents.append_snapshots(rows.withColumn("revision", F.when(F.col("lang") == "fr", "again").otherwise(F.col("revision"))), folder)
-    return spark.read.parquet(folder).drop("snapshot_date")
+    return committed(spark, folder).drop("snapshot_date")
 
 
 @check("training_pairs", """WITH m AS (SELECT doc_id, lang AS text, CASE WHEN n_chars > 2000 THEN 'benefit' ELSE 'remove' END AS label FROM documents WHERE source <> 'web'),

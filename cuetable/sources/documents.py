@@ -2,27 +2,50 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.types import StringType, StructType
 
 from cuetable import fixed
 from cuetable.functions.ids import file_name
+from cuetable.plans.commits import append_new, commit, commits
 from cuetable.plans.folders import cut_lineage
-from cuetable.sources.media import table_or_none
 
-BUCKETS = 64
+#: Documents of one bucket, that is of one folder of files, before it is split.
+BUCKET_DOCS = 2_000
+
+
+def _bucket(video_id: Column, depth: Column) -> Column:
+    """The bucket of a document: the last ``depth`` bits of its hash."""
+    return F.xxhash64(video_id).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), depth.cast("int")) - 1)
 
 
-def bucket_of(video_id: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(video_id), F.lit(buckets)).cast("int")
+def _buckets(spark: SparkSession, folder: str) -> DataFrame | None:
+    """``depth, bucket, version`` of the buckets that hold the documents now; none if nothing was ever written."""
+    versions = commits(spark, folder)
+    if not versions:
+        return None
+    entries = spark.read.parquet(*[f"{folder}/{v}/buckets" for v in versions])
+    last = entries.groupBy("depth", "bucket").agg(F.max_by(F.struct("version", "live"), "number").alias("e"))
+    return last.filter("e.live").select("depth", "bucket", "e.version")
+
+
+def _documents(spark: SparkSession, folder: str, schema: StructType, buckets: DataFrame) -> DataFrame:
+    """Documents of the named buckets; no other file is opened or listed."""
+    paths = [f"{folder}/{r.version}/documents/_depth={r.depth}/_bucket={r.bucket}" for r in buckets.collect()]  # as many as there are files
+    full = StructType([f for f in schema.fields if f.name != "_corrupt"])
+    return spark.read.schema(full).json(paths) if paths else spark.createDataFrame([], full)
 
 
 def read_projects(spark: SparkSession, folder: str, schema: StructType, multi_line: bool = False) -> DataFrame:
     """Project documents of a folder; the queue file and malformed documents are passed over.
 
-    ``multi_line`` reads one document per file, otherwise one per line as written here.
+    A folder written here is read by its latest commit. In any other, ``multi_line`` reads one document per file, otherwise one per line.
     """
+    if not multi_line and (buckets := _buckets(spark, folder)) is not None:
+        return _documents(spark, folder, schema, buckets)
     full = StructType([f for f in schema.fields if f.name != "_corrupt"]).add("_corrupt", StringType())
     rows = (spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
             .option("multiLine", str(multi_line).lower()).json(folder))
@@ -30,27 +53,45 @@ def read_projects(spark: SparkSession, folder: str, schema: StructType, multi_li
     return rows.filter(F.col("_corrupt").isNull() & F.col("video_id").isNotNull()).drop("_corrupt")
 
 
-def write_projects(projects: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
-    """Writes whole documents, replacing those of the same videos.
+def write_projects(projects: DataFrame, folder: str, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+    """Writes whole documents, replacing those of the same videos; returns ``depth, bucket, version`` of the buckets written.
 
-    Documents live in hashed buckets. Touched buckets are read, merged with the new
-    documents in a scratch table, and swapped in by the commit protocol; others stay.
+    Documents lie in buckets by the last bits of their hash, as many bits as their number asks for. A commit lists the buckets it wrote and those
+    that these stand for, so the buckets of a document are found by an equi-join with the list, and only they are read, merged and written anew, under
+    another version. Readers see all of a commit or nothing; if someone else commits first, the work starts again from theirs.
     """
     spark = projects.sparkSession
-    new = projects.withColumn("bucket", bucket_of(F.col("video_id"), buckets))
-    schema = StructType([*projects.schema.fields]).add("bucket", IntegerType())
-    try:
-        old = spark.read.schema(schema).json(folder)
-    except Exception as exc:  # noqa: BLE001 - only an absent folder is expected
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        old = None
-    if old is not None:
-        kept = old.join(new.select("bucket").distinct(), "bucket", "left_semi").join(new.select("video_id").distinct(), "video_id", "left_anti")
-        new = new.unionByName(kept)
-    merged = cut_lineage(new, "projects")
-    (merged.repartition("bucket", "video_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").json(folder))
+    new = cut_lineage(projects, "projects")
+    while True:
+        number = len(commits(spark, folder))
+        known = _buckets(spark, folder)
+        version = f"version-{uuid.uuid4().hex}"
+        ids = new.select("video_id").distinct()
+        if known is None:
+            touched, rows = None, new.withColumn("_old", F.lit(0))
+        else:
+            depths = [r.depth for r in known.select("depth").distinct().collect()]  # at most as many as a hash has bits
+            placed = ids.withColumn("depth", F.explode(F.array(*map(F.lit, depths)))).withColumn("bucket", _bucket(F.col("video_id"), F.col("depth")))
+            touched = cut_lineage(known.join(placed.select("depth", "bucket").distinct(), ["depth", "bucket"], "left_semi"), "touched")
+            old = _documents(spark, folder, projects.schema, touched).join(ids, "video_id", "left_anti")
+            whole = cut_lineage(new.unionByName(old), "merged")
+            depth_of = placed.join(touched, ["depth", "bucket"]).select("video_id", F.col("depth").alias("_old"))
+            olds = old.select("video_id").distinct().withColumn("depth", F.explode(F.array(*map(F.lit, depths)))).withColumn("bucket", _bucket(F.col("video_id"), F.col("depth")))
+            depth_of = depth_of.unionByName(olds.join(touched, ["depth", "bucket"]).select("video_id", F.col("depth").alias("_old")))
+            rows = whole.join(cut_lineage(depth_of, "depths"), "video_id")
+        rows = cut_lineage(rows.withColumn("_at", _bucket(F.col("video_id"), F.col("_old"))), "documents")
+        held = rows.groupBy("_old", "_at").agg(F.count_distinct("video_id").alias("_n"))
+        deeper = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / F.lit(bucket_docs)) - 1e-9)).cast("int")
+        sized = held.select("_old", "_at", (F.col("_old") + deeper).cast("int").alias("_depth"))
+        out = rows.join(sized, ["_old", "_at"]).withColumn("_bucket", _bucket(F.col("video_id"), F.col("_depth"))).drop("_old", "_at")
+        out.repartition("_depth", "_bucket").write.partitionBy("_depth", "_bucket").json(f"{folder}/{version}/documents")
+        written = rows.join(sized, ["_old", "_at"]).select(F.col("_depth").alias("depth"), _bucket(F.col("video_id"), F.col("_depth")).alias("bucket")).distinct().withColumn("live", F.lit(True))
+        if touched is not None:
+            gone = touched.select("depth", "bucket").join(written, ["depth", "bucket"], "left_anti").withColumn("live", F.lit(False))
+            written = written.unionByName(gone)
+        written.withColumn("version", F.lit(version)).withColumn("number", F.lit(number)).write.parquet(f"{folder}/{version}/buckets")
+        if commit(spark, folder, number, version):
+            return spark.read.parquet(f"{folder}/{version}/buckets").filter("live").select("depth", "bucket", "version")
 
 
 def project_relation(projects: DataFrame, section: str) -> DataFrame:
@@ -59,15 +100,9 @@ def project_relation(projects: DataFrame, section: str) -> DataFrame:
 
 
 def append_snapshots(projects: DataFrame, folder: str, date: Column | None = None) -> DataFrame:
-    """Adds model-and-human records ``(video_id, revision, …)`` whose revision is new for their video.
+    """Adds model-and-human records ``(video_id, revision, …)`` whose revision is new for their video; ``committed`` reads them.
 
-    Snapshots are never changed. Returns the rows added.
+    Snapshots are never changed, and each is there once though several saves run at a time. Returns the rows added.
     """
-    spark = projects.sparkSession
-    known = table_or_none(spark, folder)
     rows = projects.withColumn("snapshot_date", F.current_date() if date is None else date)
-    if known is not None:
-        rows = rows.join(known.select("video_id", "revision"), ["video_id", "revision"], "left_anti")
-    added = cut_lineage(rows, "snapshots")
-    added.write.mode("append").partitionBy("snapshot_date").parquet(folder)
-    return added
+    return append_new(projects.sparkSession, folder, ["video_id", "revision"], lambda known: rows)

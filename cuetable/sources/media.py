@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuetable import fixed
 from cuetable.functions.ids import file_name
+from cuetable.plans.commits import append_new, committed
 
 FILE_DDL = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -67,13 +67,6 @@ def flatten_probe(rows: DataFrame, json_col: str = "probe") -> DataFrame:
         F.coalesce("_v.codec_name", F.lit("")).alias("video_codec"), F.coalesce("_a.codec_name", F.lit("")).alias("audio_codec"))
 
 
-def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def fingerprint(key_cols: Sequence[str]):
     """Key of a stage's input: its identifying columns, in order."""
     return F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_cols]), 256)
@@ -82,16 +75,19 @@ def fingerprint(key_cols: Sequence[str]):
 def with_cached_stage(inputs: DataFrame, cache: str, key_cols: Sequence[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Results of ``stage`` for every input, computed only where the cache has none.
 
-    ``stage`` keeps the column ``stage_key``. New results are appended to the table at
-    ``cache``; the answer reads that table.
+    ``stage`` keeps the column ``stage_key``, with one row for each. New results are committed to the table at ``cache``, each key once though several
+    runs work at it; the answer reads that table. Only a table that was never written counts as empty.
     """
     spark = inputs.sparkSession
     keyed = inputs.withColumn("stage_key", fingerprint(key_cols))
-    known = table_or_none(spark, cache)
-    fresh = keyed.dropDuplicates(["stage_key"])
-    fresh = fresh if known is None else fresh.join(known.select("stage_key"), "stage_key", "left_anti")
-    stage(fresh).write.mode("append").parquet(cache)
-    return spark.read.parquet(cache).join(keyed.select("stage_key").distinct(), "stage_key", "left_semi")
+
+    def missing(known: DataFrame | None) -> DataFrame:
+        fresh = keyed.dropDuplicates(["stage_key"])
+        return stage(fresh if known is None else fresh.join(known.select("stage_key"), "stage_key", "left_anti"))
+
+    added = append_new(spark, cache, ["stage_key"], missing)
+    held = committed(spark, cache)
+    return (added if held is None else held).join(keyed.select("stage_key").distinct(), "stage_key", "left_semi")
 
 
 def cache_hits(inputs: DataFrame, known: DataFrame, key_cols: Sequence[str]) -> DataFrame:

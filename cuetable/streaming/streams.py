@@ -12,9 +12,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from cuetable import fixed
 from cuetable.functions.ids import file_name, video_key
 from cuetable.operators.review import OUTCOME_DDL, STATE, STATE_DDL, fold, upsert_items
+from cuetable.plans.commits import append_new
 from cuetable.plans.ranges import covered_bins
 from cuetable.plans.shipping import ship
-from cuetable.sources.media import FILE_DDL, table_or_none
+from cuetable.sources.media import FILE_DDL
 
 
 def stream_gap_captions(tokens: DataFrame, gap: str = "380 milliseconds", watermark: str = "2 seconds", with_text: bool = False) -> DataFrame:
@@ -101,14 +102,14 @@ def stream_new_media(spark: SparkSession, root: str, max_files: int = 1000, exte
 
 
 def keep_items(files: DataFrame, table: str, checkpoint: str, items_ddl: str = "item_id string, name string, processing string, export_status string"):
-    """Starts adding new media to the item table; items already there keep their state."""
+    """Starts adding new media to the item table at ``table``, read by ``committed``; items already there keep their state.
+
+    A batch that runs again after a failure adds nothing twice.
+    """
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        known = table_or_none(spark, table)
         none = spark.createDataFrame([], items_ddl)
-        have = none if known is None else known
-        merged = upsert_items(have, batch.select("item_id", "name"))
-        merged.join(have.select("item_id"), "item_id", "left_anti").write.mode("append").parquet(table)
+        append_new(spark, table, ["item_id"], lambda known: upsert_items(none, batch.select("item_id", "name")))
 
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
