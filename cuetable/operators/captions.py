@@ -9,7 +9,7 @@ from cuetable import fixed
 from cuetable.functions.text import PUNCT_CLASS, WORD_CHAR, char_class, normalize_text, text_limit, word_continues
 from cuetable.operators.timeline import allocate_time
 from cuetable.plans.folders import cut_lineage
-from cuetable.plans.ordered import by_position, by_time, ordered
+from cuetable.plans.ordered import EvenTime, by_position, ordered
 from cuetable.plans.spread import spread
 
 EDGE_MARKS = "，。！？；,.!?; "
@@ -219,9 +219,9 @@ def merge_short_tail(captions: DataFrame, limit: str | int = 13, rows: int = 50_
 def gap_captions(tokens: DataFrame, gap_ms: int = 380, by: list[str] | None = None, span_ms: int = 3_600_000) -> DataFrame:
     """Tokens ``(…, id, start_ms, end_ms)`` grouped at pauses alone: first start, last end and count per group."""
     by = by or ["video_id"]
-    t = ordered(tokens, by, ["start_ms", "id"], by_time("start_ms", span_ms), lag={"_prev_end": F.col("end_ms")})
+    t = ordered(tokens, by, ["start_ms", "id"], EvenTime("start_ms", span_ms), lag={"_prev_end": F.col("end_ms")})
     opens = F.when(F.coalesce(F.col("start_ms") - F.col("_prev_end") >= gap_ms, F.lit(True)), 1).otherwise(0)
-    t = ordered(t.withColumn("_opens", opens), by, ["start_ms", "id"], by_time("start_ms", span_ms), before={"_past": F.col("_opens")})
+    t = ordered(t.withColumn("_opens", opens), by, ["start_ms", "id"], EvenTime("start_ms", span_ms), before={"_past": F.col("_opens")})
     group = F.col("_past") + F.col("_opens") - 1
     return t.groupBy(*by, group.alias("piece")).agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("n_tokens"))

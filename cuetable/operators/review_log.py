@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cuetable import fixed
 from cuetable.plans.folders import cut_lineage
-from cuetable.plans.ordered import by_time, ordered
+from cuetable.plans.ordered import EvenTime, ordered
 from cuetable.plans.shipping import ship
 from cuetable.plans.sizes import broadcast_if_small
 
@@ -332,7 +332,7 @@ def review_outcomes(events: DataFrame, span_ms: int = 86_400_000) -> DataFrame:
     in pieces; only the summaries of an item with several pieces are walked through in order, and that walk holds one state.
     """
     ship(events.sparkSession)
-    numbered = ordered(events.withColumn("_ms", F.unix_millis("ts")), ["item_id"], ["ts", "seq"], by_time("_ms", span_ms), number="_n")
+    numbered = ordered(events.withColumn("_ms", F.unix_millis("ts")), ["item_id"], ["ts", "seq"], EvenTime("_ms", span_ms), number="_n")
     log = cut_lineage(prepared(numbered), "review-events")
     longer = log.groupBy("item_id").agg(F.max("_piece").alias("_last")).filter("_last > 0")
     earlier = log.join(broadcast_if_small(cut_lineage(longer, "review-items")), "item_id").filter("_piece < _last").drop("_last")

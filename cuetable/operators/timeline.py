@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuetable.functions.text import clean_token, content_chars
 from cuetable.functions.timing import div, round_div
-from cuetable.plans.ordered import by_position, by_time, ordered
+from cuetable.plans.ordered import EvenTime, by_position, ordered
 
 SPAN_MS = 3_600_000
 
@@ -26,7 +26,7 @@ def normalize_timeline(captions: DataFrame, media: DataFrame | None = None, span
         rows = rows.join(media.select("video_id", "duration_ms"), "video_id", "left")
         end = F.least(end, F.col("duration_ms"))
     rows = rows.select(*captions.columns, F.col("start_ms").alias("_raw_s"), F.col("end_ms").alias("_raw_e"), start.alias("_s"), end.alias("_e"))
-    rows = ordered(rows, ["video_id"], ["_raw_s", "_raw_e", "id"], by_time("_raw_s", span_ms), number="_id",
+    rows = ordered(rows, ["video_id"], ["_raw_s", "_raw_e", "id"], EvenTime("_raw_s", span_ms), number="_id",
                    lag={"_prev_e": F.col("_e")}, lead={"_next_s": F.col("_s")})
     s, e = F.col("_s"), F.col("_e")
     new_start = F.when(s < F.col("_prev_e"), div(s + F.col("_prev_e") + 1, 2)).otherwise(s)
@@ -39,7 +39,7 @@ def normalize_timeline(captions: DataFrame, media: DataFrame | None = None, span
 def overlaps(captions: DataFrame, span_ms: int = SPAN_MS) -> DataFrame:
     """Selected captions starting more than 20 ms before the previous one ends."""
     rows = captions.filter(_selected(captions))
-    rows = ordered(rows, ["video_id"], ["start_ms", "id"], by_time("start_ms", span_ms),
+    rows = ordered(rows, ["video_id"], ["start_ms", "id"], EvenTime("start_ms", span_ms),
                    number="position", lag={"prev_end_ms": F.col("end_ms")})
     return rows.filter(F.col("start_ms") < F.col("prev_end_ms") - 20)
 
@@ -67,7 +67,7 @@ def pad_regions(
 
     ``retry_*`` widens once more, held by the media alone.
     """
-    rows = ordered(regions, ["video_id"], ["start_ms", "region_id"], by_time("start_ms", span_ms),
+    rows = ordered(regions, ["video_id"], ["start_ms", "region_id"], EvenTime("start_ms", span_ms),
                    lag={"_prev_end": F.col("end_ms")}, lead={"_next_start": F.col("start_ms")})
     rows = rows.join(media.select("video_id", "duration_ms"), "video_id")
     start, end = F.col("start_ms"), F.col("end_ms")
@@ -175,7 +175,7 @@ def allocate_time(pieces: DataFrame, rows: int = 50_000) -> DataFrame:
 
 def nearest_gap(points: DataFrame, by: list[str] | None = None, span_ms: int = SPAN_MS) -> DataFrame:
     """Each point with its distance to the nearest neighbour on either side."""
-    rows = ordered(points, by or ["video_id"], ["time_ms", "id"], by_time("time_ms", span_ms),
+    rows = ordered(points, by or ["video_id"], ["time_ms", "id"], EvenTime("time_ms", span_ms),
                    lag={"_prev": F.col("time_ms")}, lead={"_next": F.col("time_ms")})
     return rows.select(*points.columns, F.least(F.col("time_ms") - F.col("_prev"), F.col("_next") - F.col("time_ms")).alias("nearest_ms"))
 

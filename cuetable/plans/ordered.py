@@ -10,10 +10,14 @@ smaller than the input by the chunk size, so the only per-key window left runs o
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuetable.plans.folders import cut_lineage
+from cuetable.plans.sizes import broadcast_if_small
+
 CHUNK_ROWS = 50_000
 CHUNK = "_chunk"
 
@@ -30,11 +34,42 @@ def by_time(col: str | Column, span_ms: int = 3_600_000) -> Column:
     return F.floor(col / F.lit(span_ms)).cast("bigint")
 
 
+class EvenTime(NamedTuple):
+    """Chunks by a time in milliseconds that are bound in rows, too: a span with more than ``rows`` of a key is cut at quantiles of its times."""
+
+    col: str
+    span_ms: int = 3_600_000
+    rows: int = CHUNK_ROWS
+
+    def over(self, df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, Column]:
+        """``df`` with what the chunk number needs, and that number.
+
+        Rows are counted by key and span first. Only spans beyond ``rows`` have their quantiles sketched, so the table of cuts is smaller than the input
+        by ``rows`` over the number of cuts. Rows of one and the same time are not parted.
+        """
+        span = by_time(self.col, self.span_ms)
+        counts = df.groupBy(*by, span.alias("_span")).agg(F.count(F.lit(1)).alias("_held"))
+        crowded = cut_lineage(counts.filter(F.col("_held") > self.rows), "crowded")
+        if crowded.isEmpty():
+            return df, span
+        placed = df.withColumn("_span", span)
+        within = placed.join(broadcast_if_small(crowded.drop("_held")), [*by, "_span"], "left_semi")
+        steps = [(i + 1) / CUTS for i in range(CUTS - 1)]
+        cuts = within.groupBy(*by, "_span").agg(F.array_distinct(F.percentile_approx(self.col, steps, 20 * CUTS)).alias("_cuts"))
+        placed = placed.join(broadcast_if_small(cut_lineage(cuts, "cuts"), 10_000), [*by, "_span"], "left")
+        past = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(self.col))), F.lit(0))
+        return placed, F.col("_span") * CUTS + F.when(F.col("_cuts").isNull(), 0).otherwise(past)
+
+
+#: Parts of a crowded span.
+CUTS = 256
+
+
 def ordered(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[str],
-    chunk: Column | None,
+    chunk: Column | EvenTime | None,
     *,
     number: str | None = None,
     lag: Mapping[str, Column] | None = None,
@@ -73,6 +108,8 @@ def ordered(
         for name, expr in group.items():
             inputs[f"_in_{name}"] = expr
     kept = df.columns
+    if isinstance(chunk, EvenTime):
+        df, chunk = chunk.over(df, by)
     src = df.select("*", *[expr.alias(name) for name, expr in inputs.items()],
                     (F.lit(0).cast("bigint") if chunk is None else chunk).alias(CHUNK))
 

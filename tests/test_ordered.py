@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cuetable.plans.ordered import by_time, ordered
+from cuetable.plans.ordered import EvenTime, by_time, ordered
 from cuetable.plans.ranges import overlap_join, point_join
 
 
@@ -15,8 +15,18 @@ def test_chunks_do_not_change_results(spark):
     asked = dict(number="n", lag={"l": F.col("x")}, lead={"r": F.col("x")}, before={"s": x}, last_seen={"ls": F.col("x")},
                  seen_before={"sb": F.col("x")}, next_seen={"ns": F.col("x")}, total={"tt": x}, is_last="last")
     whole = sorted(map(str, ordered(df, ["k"], ["t", "id"], None, **{k: v for k, v in asked.items()}).collect()))
-    for span in (1, 7, 100, 5000):
-        assert sorted(map(str, ordered(df, ["k"], ["t", "id"], by_time("t", span), **asked).collect())) == whole
+    for chunk in (by_time("t", 1), by_time("t", 100), EvenTime("t", 5000, 20), EvenTime("t", 400, 30), EvenTime("t", 300, 10_000)):
+        assert sorted(map(str, ordered(df, ["k"], ["t", "id"], chunk, **asked).collect())) == whole
+
+
+def test_even_chunks(spark):
+    """One key holds nearly all rows within a second of an hour: its chunks are about as large as each other."""
+    rows = spark.range(200_000).select(F.lit("v").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(1_000)) + 5_000).alias("t"), "id").unionByName(
+        spark.range(2_000).select(F.lit("w").alias("k"), (F.col("id") * 7_000).alias("t"), "id"))
+    placed, chunk = EvenTime("t", 3_600_000, 5_000).over(rows, ["k"])
+    sizes = {(r["k"], r["c"]): r["count"] for r in placed.groupBy("k", chunk.alias("c")).count().collect()}
+    assert sum(sizes.values()) == 202_000 and max(sizes.values()) < 3_000 and len([k for k, _ in sizes if k == "v"]) > 150
+    assert placed.groupBy("k", chunk.alias("c")).agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("k = 'w'").count() == 4
 
 
 @pytest.mark.parametrize("bin_ms", [1, 10, 1000])
