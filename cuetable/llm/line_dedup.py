@@ -14,21 +14,17 @@ def remove_repeated_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """``doc_id, text, n_lines, n_removed``: every document without the lines that repeat an earlier run of ``lines`` lines.
 
     Lines are what stands between line feeds, compared exactly. A run of ``lines`` consecutive lines that already began earlier (at a
-    smaller doc_id, or further up in the same document) is removed; overlapping runs remove the union of their lines. Runs of empty
-    lines alone are layout and stay. A run is known by two independent 64-bit hashes of its whole lines. Null texts are empty;
+    smaller doc_id, or further up in the same document) is removed; overlapping runs remove the union of their lines. Empty lines count
+    as any other. A run is known by two independent 64-bit hashes of its whole lines. Null texts are empty;
     a null doc_id comes after all others. Rows alike in doc_id and text are one document and get the same result each. Other columns
     are not read.
     """
     docs = texts(docs).withColumn("_text", F.xxhash64("text"))
-    hashes = docs.select("doc_id", "_text", F.transform(F.split("text", "\n"), lambda x: F.when(x != "", F.xxhash64(x))).alias("h"),
+    hashes = docs.select("doc_id", "_text", F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("h"),
                          F.transform(F.split("text", "\n"), lambda x: F.xxhash64(F.lit("second"), x)).alias("g"))
     starts = F.when(F.size("h") >= lines, F.sequence(F.lit(0), F.size("h") - lines))
     several = [F.xxhash64(*[F.col(c)[F.col("at") + k] for k in range(lines)]) for c in ("h", "g")]
-    blank = [F.col("h")[F.col("at") + k].isNull() for k in range(lines)]
-    all_blank = blank[0]
-    for b in blank[1:]:
-        all_blank = all_blank & b
-    windows = hashes.select("doc_id", "_text", "h", "g", F.explode(starts).alias("at")).filter(~all_blank).select(
+    windows = hashes.select("doc_id", "_text", "h", "g", F.explode(starts).alias("at")).select(
         "doc_id", "_text", "at", several[0].alias("w1"), several[1].alias("w2"))
     windows = written(windows, "windows")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "at")
@@ -63,7 +59,7 @@ lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM docs),
 places AS (SELECT doc_id, text, ls, unnest(range(0, len(ls) - 2)) AS p FROM lines WHERE len(ls) >= 3),
 windows AS (SELECT doc_id, text, p, ls[p + 1] || chr(10) || ls[p + 2] || chr(10) || ls[p + 3] AS w FROM places),
 marked AS (SELECT doc_id, text, p, row_number() OVER (PARTITION BY w ORDER BY doc_id NULLS LAST, p) > 1 AS again
-           FROM windows WHERE w <> chr(10) || chr(10)),
+           FROM windows),
 gone AS (SELECT doc_id, text, list_distinct(flatten(list([p, p + 1, p + 2]))) AS g FROM marked WHERE again GROUP BY doc_id, text)
 SELECT d.doc_id, CAST(len(string_split(coalesce(d.text, ''), chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(len(g.g), 0) AS BIGINT) AS n_removed,
        sha256(CASE WHEN g.g IS NULL THEN coalesce(d.text, '') ELSE coalesce(array_to_string(
