@@ -79,8 +79,13 @@ def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = SHAR
     return rows.select("doc_id", "place", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("bigint").alias("taken"))
 
 
+#: Documents of so many words are looked for more often than shorter ones.
+LONG_WORDS, LONG_LIFT, SHORT_LIFT = 200, 1.25, 0.75
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    lift = F.when(word_count(F.col("text")) >= LONG_WORDS, LONG_LIFT).otherwise(SHORT_LIFT)
+    return mix(table(spark, sf_dir, "documents"), weight=lift).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""
@@ -95,7 +100,7 @@ filling AS (
     / CAST(sum(w) OVER (ORDER BY 2 * s / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM sources),
 targets AS (SELECT source, s, least(CAST(2 * s AS DOUBLE), max(level) OVER () * w) AS target FROM filling),
 ranked AS (
-  SELECT r.*, t.s, t.target, CASE WHEN t.s > 0 THEN least(2.0::DOUBLE, t.target / t.s) ELSE 0.0::DOUBLE END AS e
+  SELECT r.*, t.s, t.target, CASE WHEN t.s > 0 THEN least(2.0::DOUBLE, t.target / t.s * CASE WHEN r.size >= 200 THEN 1.25::DOUBLE ELSE 0.75::DOUBLE END) ELSE 0.0::DOUBLE END AS e
   FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source),
 kinds AS (
   SELECT source, doc_id, size, s, target, CAST(floor(e) AS BIGINT) AS whole, count(*) AS n,
