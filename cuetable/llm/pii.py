@@ -3,7 +3,8 @@
 The fixed patterns give the seeds. The two words left of a seed are a lexical pattern of its kind. Strings that look like an
 identifier without meeting a fixed pattern are candidates; they and the seeds are the instances of a bipartite graph with the
 patterns. Spark scores it in rounds: a pattern is as good as the share of its instances believed in, an instance as good as the
-patterns it stands in taken together. Patterns that end up good, with enough different seeds, mark their candidates.
+patterns it stands in taken together. Patterns that end up good, with enough different believed instances, mark their candidates; what one
+pattern found is an instance that supports the next.
 """
 
 from __future__ import annotations
@@ -125,27 +126,31 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def good_patterns(marks: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
-    """``words, kind, confidence`` of the patterns to be trusted, from ``words, kind, value, seed``."""
-    edges = marks.filter("words <> ''").groupBy("words", "kind", "value").agg(F.max("seed").alias("seed"))
-    supported = edges.filter("seed").groupBy("words", "kind").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= support)
-    all_kinds = edges.groupBy("words").agg(F.count(F.lit(1)).alias("instances"))
-    edges = written(edges.join(supported, ["words", "kind"]).join(all_kinds, "words"), "edges")
-    belief = edges.select("kind", "value", F.col("seed").cast("double").alias("belief")).groupBy("kind", "value").agg(F.max("belief").alias("belief"))
-    patterns = None
+    """``words, kind, confidence`` of the patterns to be trusted, from ``words, kind, value, seed``.
+
+    Each round trusts the patterns that enough different believed instances support and whose instances are believed in to ``confident``; trusted
+    patterns alone lend belief, so an instance that one of them found supports further patterns in the next round, and what none found stays unbelieved.
+    """
+    edges = written(marks.filter("words <> ''").groupBy("words", "kind", "value").agg(F.max("seed").alias("seed")), "edges")
+    instances = written(edges.groupBy("words").agg(F.count(F.lit(1)).alias("instances")), "instances")
+    belief = edges.filter("seed").select("kind", "value").distinct().withColumn("belief", F.lit(1.0))
+    trusted = None
     for _ in range(rounds):
-        patterns = edges.join(belief, ["kind", "value"]).groupBy("words", "kind").agg((F.sum("belief") / (F.first("instances") + DAMPING)).alias("confidence"))
-        patterns = written(patterns, "patterns")
+        believed = edges.join(belief, ["kind", "value"])
+        patterns = believed.groupBy("words", "kind").agg(F.count_if(F.col("belief") >= confident).alias("support"), F.sum("belief").alias("belief"))
+        patterns = patterns.filter(F.col("support") >= support).join(instances, "words").select("words", "kind", (F.col("belief") / (F.col("instances") + DAMPING)).alias("confidence"))
+        trusted = written(patterns.filter(F.col("confidence") >= confident), "patterns")
         doubt = F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(1 - 1e-9)))))
-        belief = edges.join(patterns, ["words", "kind"]).groupBy("kind", "value").agg(
-            F.when(F.max("seed"), 1.0).otherwise(1 - doubt).alias("belief"))
-        belief = written(belief, "belief")
-    return patterns.filter(F.col("confidence") >= confident)
+        belief = edges.join(trusted, ["words", "kind"]).groupBy("kind", "value").agg((1 - doubt).alias("belief"))
+        seeds = edges.filter("seed").select("kind", "value").distinct().withColumn("belief", F.lit(1.0))
+        belief = written(belief.unionByName(seeds).groupBy("kind", "value").agg(F.max("belief").alias("belief")), "belief")
+    return trusted
 
 
 def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found`` for every row of ``docs``.
 
-    Counts and ``base_sha256`` are of the base spans, ``spans`` has the found ones too. A pattern needs ``support`` different seeds.
+    Counts and ``base_sha256`` are of the base spans, ``spans`` has the found ones too. A pattern needs ``support`` different instances believed in, seeds or found.
     Null and empty texts have no span; repeated rows and null ids are answered one by one; other columns are not read. Contexts are
     the last two words within 200 characters before an instance; counts of patterns and instances cover all documents.
     """
