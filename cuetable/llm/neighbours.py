@@ -6,7 +6,7 @@ into blocks of vectors and blocks of queries of bounded size; every pair of bloc
 of which only each query's best stay.
 
 The largest inner product is the nearest angle only among vectors of like length: where lengths differ, vectors lie in bands of length, each
-hashed for itself, and queries look into all of them. A band of few vectors is one bucket that every query looks into. A query that
+hashed for itself, and queries look into all of them. A query that
 found too few goes on to its next buckets that hold any.
 """
 
@@ -27,8 +27,8 @@ from cuetable.plans.sizes import broadcast_if_small
 
 TABLES, PROBES, NEAREST, QUERY_EVERY = 4, 32, 20, 20
 VECTOR_BLOCK, QUERY_BLOCK = 20_000, 4_000
-#: Bands of length to a factor of two, and the vectors up to which a band is not hashed.
-BANDS, WHOLE = 3, 1_000
+#: Bands of length to a factor of two.
+BANDS = 3
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -85,12 +85,13 @@ def best(query: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, ids: np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = NEAREST, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = NEAREST, tables: int = TABLES, probes: int = PROBES, whole: int = 0) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows of ``vectors`` (``vec_id, embedding``) that meet ``is_query``.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids; shorter vectors count as
     padded with zeros. Rows that repeat a vec_id are one id with its best product. Every query
-    has ``k`` rows, or all other ids where there are fewer. Other columns are not read; an empty table gives no row.
+    has ``k`` rows, or all other ids where there are fewer. Bands of up to ``whole`` vectors are not hashed but looked through; by default all
+    are hashed. Other columns are not read; an empty table gives no row.
     """
     ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("asks"))
@@ -102,7 +103,7 @@ def nearest(vectors: DataFrame, is_query, k: int = NEAREST, tables: int = TABLES
     longer = bool(longest is not None and longest - shortest > 1.5e-3)
     rows = rows.withColumn("band", F.floor((F.lit(longest) - length) * BANDS).cast("int") if longer else F.lit(0))
     held = {r.band: r["count"] for r in rows.groupBy("band").count().collect()}  # as many as lengths have bands
-    whole_bands = np.array([b for b, n in held.items() if n <= WHOLE], np.int64)
+    whole_bands = np.array([b for b, n in held.items() if n <= whole], np.int64)
     hashing, size = len(whole_bands) < len(held), 2 << max(1, (d - 1).bit_length())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
