@@ -175,6 +175,20 @@ def test_personal_data_learns_contexts(spark):
     assert pii.find_personal_data(odd_docs(spark)).count() == len(odd_rows()) and pii.find_personal_data(no_docs(spark)).count() == 0
 
 
+def test_personal_data_second_generation(spark):
+    """Numbers found after one phrase, and standing after another too, make that one a pattern; it finds what no seed stands near."""
+    rng = random.Random(2)
+    seeds = [(k, f"filler text call us +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} now") for k in range(40)]
+    found = [f"212 555 {1000 + k}" for k in range(8)]
+    rows = [*seeds, *[(100 + k, f"please call us {n} today") for k, n in enumerate(found)], *[(200 + k, f"or ring desk {n} later") for k, n in enumerate(found)],
+            (300, "just ring desk 313 555 4444 then"), (301, "order number 313 555 7777 came")]
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[100 + k].n_found == 1 and got[200 + k].n_found == 1 for k in range(8))
+    assert got[300].spans == "phone:15:27" and got[301].spans == ""
+    once = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string"), rounds=1).collect()}
+    assert once[100].n_found == 1 and once[300].n_found == 0  # found by the second round alone
+
+
 def test_personal_data_candidates():
     """Short quads, and addresses longer than 64 characters, whole."""
     assert pii.candidates("host 256.1.1.1 up, 300.1.1.1:80", []) == [(5, 1, 14), (19, 1, 28), *[(19, k, 31) for k in [3]]]
@@ -266,12 +280,17 @@ def test_mixing(spark):
     lifted = mixing.mix(odd_docs(spark, rows), weight=F.when(F.col("doc_id") % 2 == 0, 1.5).otherwise(0.5)).toPandas()
     even = lifted[lifted.doc_id % 2 == 0]
     assert even.taken.sum() > 0.6 * lifted.taken.sum()
+    # One source of equal documents is filled to one and a half: second copies come as often as their unequal odds ask for.
+    equal = [(k, "w " * 10, "en", "a") for k in range(6_000)]
+    drawn = mixing.mix(odd_docs(spark, equal), weight=F.when(F.col("doc_id") % 2 == 0, 1.25).otherwise(0.75)).toPandas()
+    second = (drawn.taken - 10) / 10
+    assert abs(second[drawn.doc_id % 2 == 0].mean() - 0.875) < 0.03 and abs(second[drawn.doc_id % 2 == 1].mean() - 0.125) < 0.03
     assert mixing.mix(no_docs(spark)).count() == 0
 
 
 def test_lines(spark):
     got = {(r.doc_id, r.text): r for r in line_dedup.remove_repeated_lines(odd_docs(spark)).collect()}
-    assert (10, "x\ny\nz\n\n\n\n\n") in got
+    assert got[(10, "x\ny\nz\n")].n_removed == 7  # a run of empty lines repeats itself
     rows = [(1, "a\nb\nc\nd", "", ""), (2, "q\nb\nc\nd\nr", "", ""), (3, "a\nb\nc\nd\ne", "", ""), (4, "c\nd", "", ""), (5, None, "", "")]
     got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.remove_repeated_lines(odd_docs(spark, rows)).collect()}
     assert got == {1: ("a\nb\nc\nd", 0), 2: ("q\nr", 3), 3: ("e", 4), 4: ("c\nd", 0), 5: ("", 0)}
