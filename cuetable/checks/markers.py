@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cuetable import bindings as b
 from cuetable import fixed
-from cuetable.checks.captions import CUES, LABELS, PATTERNS, TERMS, PLAIN
+from cuetable.checks.captions import CUES, EFFECT, LABELS, PATTERNS, PLAIN, TERMS, _has
 from cuetable.checks.timeline import DAY
 from cuetable.functions.timing import marker_target
 from cuetable.operators import captions, classify, markers
@@ -88,12 +88,36 @@ filled AS (SELECT p.video_id, p.target, p.taken, r.starts, r.d FROM picked p LEF
 SELECT video_id, CAST(round_even(t / 10, 0) * 10 AS BIGINT) AS time_ms FROM (SELECT video_id, unnest(arg_max(taken, len(taken))) AS t FROM filled GROUP BY video_id)"""
 
 
-@check("place_markers_times", _dense_sql())
-def _(spark, sf):
+def _dense(spark, sf):
     rows = b.captions(spark, sf).select("video_id", "id", "text", F.floor(F.col("start_ms") / 8).alias("start_ms"), F.floor(F.col("end_ms") / 8).alias("end_ms"))
     rows = classify.classify(rows, TERMS, PATTERNS)
     ends = b.media_of(rows).withColumn("hook_end_ms", F.lit(5000).cast("bigint"))
-    return markers.place_markers(rows, ends, patterns=PATTERNS, cues=CUES, candidate_pattern=CANDIDATE).select("video_id", "time_ms")
+    return markers.place_markers(rows, ends, patterns=PATTERNS, cues=CUES, candidate_pattern=CANDIDATE)
+
+
+@check("place_markers_times", _dense_sql())
+def _(spark, sf):
+    return _dense(spark, sf).select("video_id", "time_ms")
+
+
+R = fixed.EFFECT_REASONS
+REASON = f"""CASE WHEN {_has('price')} OR regexp_matches(text, '{CUES['price']}') THEN '{R['price']}' WHEN {_has('action')} OR regexp_matches(text, '{CUES['action']}') THEN '{R['action']}'
+  WHEN {_has('selling_point')} OR regexp_matches(text, '{CUES['detail']}') THEN '{R['detail']}' WHEN {_has('benefit')} OR regexp_matches(text, '{CUES['benefit']}') THEN '{R['effect']}'
+  WHEN {_has('complete')} OR regexp_matches(text, '{CUES['complete']}') THEN '{R['complete']}' WHEN {_has('surprise')} OR regexp_matches(text, '{CUES['surprise']}') THEN '{R['surprise']}'
+  WHEN label = 'selling_point' THEN '{R['point']}' WHEN label = 'benefit' THEN '{R['effect']}' ELSE '{R['rhythm']}' END"""
+
+
+def _effects_sql():
+    """The times placed, with effect and reason of the caption that starts there."""
+    times = _dense_sql()
+    at = times.rindex("SELECT video_id, CAST(round_even(t / 10, 0)")
+    return times[:at] + f"""SELECT video_id, CAST(round_even(start_ms / 10, 0) * 10 AS BIGINT) AS time_ms, {EFFECT} AS type, {REASON} AS reason, true AS enabled, 1.0::DOUBLE AS volume, 'auto' AS source
+FROM scored JOIN (SELECT video_id, unnest(arg_max(taken, len(taken))) AS start_ms FROM filled GROUP BY video_id) USING (video_id, start_ms)"""
+
+
+@check("place_markers_effects", _effects_sql())
+def _(spark, sf):
+    return _dense(spark, sf)
 
 
 def placed(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cuetable import bindings as b
 from cuetable.checks.review import LOG, log_columns
+from cuetable.functions.ids import video_key
 from cuetable.operators import assets, projects, review
 from cuetable.plans.commits import committed
 from cuetable.plans.folders import new_folder
@@ -77,22 +78,29 @@ def _(spark, sf):
 
 
 ASSEMBLED = b.with_sql("captions") + """, sizes AS (SELECT video_id, count(*) AS n FROM captions GROUP BY video_id),
-media AS (SELECT CAST(c_custkey AS VARCHAR) AS video_id, c_name AS path FROM customer),
-parts AS (SELECT video_id, unnest(range(0, greatest(1, (coalesce(n, 0) + 2) // 3))) AS part, coalesce(n, 0) AS n, path FROM media LEFT JOIN sizes USING (video_id))
-SELECT video_id, part, path, greatest(0, least(3, n - part * 3)) AS subtitles, CASE WHEN part = 0 AND n > 0 THEN 1 ELSE 0 END AS segments, CASE WHEN part = 0 THEN 54 END AS font_size FROM parts"""
+media AS (SELECT CAST(c_custkey AS VARCHAR) AS video_id, c_name AS path, c_custkey * 700 AS d, CASE WHEN c_nationkey > 4 THEN 'l' || c_nationkey END AS language FROM customer),
+hooks AS (SELECT video_id, arg_min(end_ms, id) FILTER (id % 3 = 1 AND end_ms - start_ms BETWEEN 3000 AND 10000) AS h FROM captions GROUP BY video_id),
+parts AS (SELECT video_id, unnest(range(0, greatest(1, (coalesce(n, 0) + 2) // 3))) AS part, coalesce(n, 0) AS n, path, d, language, h FROM media LEFT JOIN sizes USING (video_id) LEFT JOIN hooks USING (video_id))
+SELECT video_id, part, path, greatest(0, least(3, n - part * 3)) AS subtitles, CASE WHEN part = 0 AND n > 0 THEN 1 ELSE 0 END AS segments, 54 AS font_size,
+  CAST(CASE WHEN h IS NULL THEN 8000 ELSE greatest(3000, least(10000, h)) END AS BIGINT) AS hook_end_ms, coalesce(language, 'auto') AS asr_language,
+  CAST(CASE WHEN d <= 0 THEN 0 WHEN d < 60000 THEN greatest(1, ceil(d / 6000.0)) WHEN d <= 75000 THEN 10 WHEN d <= 100000 THEN 12 WHEN d <= 120000 THEN 14 ELSE ceil(d * 7 / 60000.0) END AS BIGINT) AS sfx_target_count FROM parts"""
 
 
 def assembled(spark, sf):
-    made = b.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("video_id"), F.col("c_name").alias("path"))
+    people = b.table(spark, sf, "customer").withColumn("video_id", F.col("c_custkey").cast("string"))
+    made = people.select("video_id", F.col("c_name").alias("path"))
+    heard = people.select("video_id", (F.col("c_custkey") * 700).alias("duration_ms"), F.when(F.col("c_nationkey") > 4, F.concat(F.lit("l"), "c_nationkey")).alias("language"))
     rows = b.captions(spark, sf)
+    derived = projects.derived_settings(heard, rows.withColumn("label", F.when(F.col("id") % 3 == 1, "benefit").otherwise("other")))
     segments = rows.groupBy("video_id").agg(F.max("end_ms").alias("end_ms")).withColumn("seg_id", F.lit(0))
     known = made.select("video_id")
     return projects.assemble_projects(made, {"subtitles": (rows.join(known, "video_id", "left_semi"), ["id"]),
-                                             "speech_segments": (segments.join(known, "video_id", "left_semi"), ["seg_id"])}, part_rows=3)
+                                             "speech_segments": (segments.join(known, "video_id", "left_semi"), ["seg_id"])}, part_rows=3, derived=derived)
 
 
 def _sizes(docs):
-    return docs.select("video_id", "part", "path", F.size("subtitles").alias("subtitles"), F.size("speech_segments").alias("segments"), F.col("settings.font_size").alias("font_size"))
+    return docs.select("video_id", "part", "path", F.size("subtitles").alias("subtitles"), F.size("speech_segments").alias("segments"),
+                       *[F.col(f"settings.{c}").alias(c) for c in ("font_size", "hook_end_ms", "asr_language", "sfx_target_count")])
 
 
 @check("assemble_projects", ASSEMBLED)
@@ -154,11 +162,18 @@ def _(spark, sf):
     return projects.caption_events(rows, settings).filter("section = 1").select("video_id", "id", "line")
 
 
-@check("caption_script_header", "SELECT CAST(c_custkey AS VARCHAR) AS video_id, 13 AS lines, 'PlayResX: 1080' AS third FROM customer")
+HEADER = ["[Script Info]", "ScriptType: v4.00+", "PlayResX: 1080", "PlayResY: 1920", "WrapStyle: 0", "ScaledBorderAndShadow: yes", "", "[V4+ Styles]",
+          "Format: Name,Fontname,Fontsize,PrimaryColour,SecondaryColour,OutlineColour,BackColour,Bold,Italic,Underline,StrikeOut,ScaleX,ScaleY,Spacing,Angle,BorderStyle,Outline,Shadow,Alignment,MarginL,MarginR,MarginV,Encoding",
+          "STYLE", "", "[Events]", "Format: Layer,Start,End,Style,Name,MarginL,MarginR,MarginV,Effect,Text"]
+STYLE = """'Style: Default,华文琥珀,' || (20 + c_nationkey) || ',&H00FFFFFF,&H00FFFFFF,&H00101010,&H44000000,-1,0,0,0,100,100,0,0,1,4,1,2,50,50,' || (c_nationkey * 7) || ',1'"""
+
+
+@check("caption_script_header", "SELECT CAST(c_custkey AS VARCHAR) AS video_id, unnest(range(0, 13)) AS id, unnest([" + ", ".join(STYLE if x == "STYLE" else f"'{x}'" for x in HEADER) + "]) AS line FROM customer")
 def _(spark, sf):
-    settings = b.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("video_id"))
-    lines = projects.caption_events(b.captions(spark, sf), settings).filter("section = 0")
-    return lines.groupBy("video_id").agg(F.count(F.lit(1)).cast("int").alias("lines"), F.max(F.when(F.col("id") == 2, F.col("line"))).alias("third"))
+    """All lines of the header, size and margin read off the customer."""
+    nation = F.col("c_nationkey")
+    settings = b.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("video_id"), (nation + 20).alias("font_size"), (nation * 7).alias("margin_v"))
+    return projects.caption_events(b.captions(spark, sf), settings).filter("section = 0").select("video_id", "id", "line")
 
 
 # ---- assets: parts as files, named folders of brand, type and name
@@ -232,29 +247,49 @@ def _(spark, sf):
 
 def _written_library(spark, sf):
     folder = new_folder(spark, "library")
-    b.table(spark, sf, "events").select("event_type", "event_id").repartition("event_type").write.partitionBy("event_type").parquet(folder)
+    b.table(spark, sf, "events").select("event_type", "event_id").repartition(12, "event_type", F.col("event_id") % 3).write.partitionBy("event_type").parquet(folder)
     return folder
 
 
-KINDS = "SELECT DISTINCT 'event_type=' || event_type AS folder FROM events"
+def _held(spark, folder, files):
+    """What lies in the listed files: a file left out, or listed twice, shows in the sums."""
+    rows = spark.read.option("basePath", folder).parquet(folder).withColumn("_path", F.input_file_name())
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "^file:/+", "/"), "%3D", "=")
+    found = rows.withColumn("_path", plain("_path")).join(files.select(plain("path").alias("_path")), "_path")
+    return found.groupBy(F.concat(F.lit("event_type="), "event_type").alias("folder")).agg(F.count(F.lit(1)).alias("events"), F.sum("event_id").alias("ids"))
+
+
+HELD = "SELECT 'event_type=' || event_type AS folder, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY event_type"
 
 
-@check("media_files", KINDS)
+@check("media_files", HELD)
 def _(spark, sf):
-    files = media.media_files(spark, _written_library(spark, sf), recursive=True, extensions=("parquet",))
-    return files.select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct()
+    folder = _written_library(spark, sf)
+    return _held(spark, folder, media.media_files(spark, folder, recursive=True, extensions=("parquet",)))
 
 
-@check("asset_files", f"SELECT folder FROM ({KINDS}) WHERE folder <> 'event_type=view'")
+@check("asset_files", f"SELECT * FROM ({HELD}) WHERE folder <> 'event_type=view'")
 def _(spark, sf):
-    return media.asset_files(spark, _written_library(spark, sf), extensions=("parquet",), excluded=("event_type=view",)).select("folder").distinct()
+    folder = _written_library(spark, sf)
+    return _held(spark, folder, media.asset_files(spark, folder, extensions=("parquet",), excluded=("event_type=view",)))
 
 
-@check("stream_new_media", KINDS)
+@check("stream_new_media", HELD)
 def _(spark, sf):
-    files = streams.stream_new_media(spark, _written_library(spark, sf), max_files=2, extensions=("parquet",))
+    folder = _written_library(spark, sf)
+    files = streams.stream_new_media(spark, folder, max_files=2, extensions=("parquet",))
     rows = _drained(spark, files.select("path", "item_id"), "media-stream")
-    return rows.filter(F.length("item_id") > 10).select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct()
+    return _held(spark, folder, rows.filter(F.length("item_id") > 10))
+
+
+@check("keep_items", HELD)
+def _(spark, sf):
+    """The stream of new media run twice from its start: the item table has each file once."""
+    folder, table = _written_library(spark, sf), new_folder(spark, "items")
+    for run in range(2):
+        streams.keep_items(streams.stream_new_media(spark, folder, max_files=4, extensions=("parquet",)), table, new_folder(spark, f"kept-{run}")).awaitTermination()
+    listed = media.media_files(spark, folder, recursive=True, extensions=("parquet",)).select("path", video_key(F.col("path")).alias("item_id"))
+    return _held(spark, folder, committed(spark, table).join(listed, "item_id"))
 
 
 # ---- streams: the events table read as a stream, run to its end

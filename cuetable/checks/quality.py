@@ -132,13 +132,15 @@ def _(spark, sf):
 
 @check("frame_risk", """SELECT l_orderkey AS video_id, l_linenumber AS time_ms, round(coalesce(max(CASE WHEN l_suppkey % 3 <> 0 AND l_quantity >= 100 * 0.035 AND l_quantity <= 100 * 0.55
   AND l_partkey % 90 / greatest(l_suppkey % 40, 1) BETWEEN 0.55 AND 3.2 AND l_partkey % 100 <= 100 * 0.86
-  THEN least(1.0, l_discount * 7.0) * CASE WHEN l_partkey % 100 + l_suppkey % 40 / 2 > 100 * 0.25 THEN 1.0 ELSE 0.7 END END), 0), 3) AS board_risk FROM lineitem GROUP BY ALL""")
+  THEN least(1.0, l_discount * 7.0) * CASE WHEN l_partkey % 100 + l_suppkey % 40 / 2 > 100 * 0.25 THEN 1.0 ELSE 0.7 END END), 0), 3) AS board_risk, coalesce(max(CASE WHEN l_suppkey % 3 <> 0 AND l_quantity >= 100 * 0.035 AND l_quantity <= 100 * 0.55
+  AND l_partkey % 90 / greatest(l_suppkey % 40, 1) BETWEEN 0.55 AND 3.2 AND l_partkey % 100 <= 100 * 0.86
+  THEN least(1.0, l_discount * 7.0) * CASE WHEN l_partkey % 100 + l_suppkey % 40 / 2 > 100 * 0.25 THEN 1.0 ELSE 0.7 END END), 0) < 0.48 AS overlay_allowed FROM lineitem GROUP BY ALL""")
 def _(spark, sf):
     contours = b.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").alias("time_ms"), F.when(F.col("l_suppkey") % 3 != 0, 4).otherwise(5).alias("corners"),
         F.col("l_quantity").alias("area"), F.lit(100).alias("image_area"), (F.col("l_partkey") % 90).alias("width"), (F.col("l_suppkey") % 40).alias("height"),
         (F.col("l_partkey") % 100).alias("y"), F.lit(100).alias("frame_height"), F.col("l_discount").alias("density"))
-    return quality.frame_risk(contours).drop("overlay_allowed")
+    return quality.frame_risk(contours)
 
 
 # ---- validation: conversations as projects, settings and quality read off the conversation number's customer
@@ -152,8 +154,8 @@ issues AS (
   SELECT video_id, 'duration' AS rule, 'error' AS level, CAST(d AS VARCHAR) AS detail FROM settings WHERE d <= 0
   UNION ALL SELECT video_id, 'hook_length', CASE WHEN has_edit THEN 'warning' ELSE 'error' END, CAST(h AS VARCHAR) FROM settings WHERE (has_model OR NOT has_edit) AND NOT h BETWEEN 3000 AND 10000
   UNION ALL SELECT video_id, 'font_size', 'error', CAST(font AS VARCHAR) FROM settings WHERE NOT font BETWEEN 16 AND 160
-  UNION ALL SELECT video_id, 'subtitle_x', 'error', NULL FROM settings WHERE NOT x BETWEEN 0 AND 100
-  UNION ALL SELECT video_id, 'subtitle_y', 'error', NULL FROM settings WHERE NOT y BETWEEN 0 AND 100
+  UNION ALL SELECT video_id, 'subtitle_x', 'error', CAST(CAST(floor(x * 1000) AS BIGINT) AS VARCHAR) FROM settings WHERE NOT x BETWEEN 0 AND 100
+  UNION ALL SELECT video_id, 'subtitle_y', 'error', CAST(CAST(floor(y * 1000) AS BIGINT) AS VARCHAR) FROM settings WHERE NOT y BETWEEN 0 AND 100
   UNION ALL SELECT video_id, 'caption_time', 'error', CAST(k AS VARCHAR) FROM n WHERE start_ms < 0 OR end_ms <= start_ms OR end_ms > d + 100
   UNION ALL SELECT video_id, 'caption_overlap', 'warning', CAST(k AS VARCHAR) FROM n WHERE start_ms < pe - 20
   UNION ALL SELECT video_id, 'edit_review', 'warning', CAST(k AS VARCHAR) FROM n WHERE length(text) > 700
@@ -182,12 +184,13 @@ def _projects(spark, sf):
     return made, rows, samples, measured
 
 
-@check("validate", PROJECTS + """ SELECT video_id, rule, level, CASE WHEN rule IN ('subtitle_x', 'subtitle_y') THEN NULL ELSE detail END AS detail FROM issues
+@check("validate", PROJECTS + """ SELECT video_id, rule, level, detail FROM issues
 UNION ALL SELECT video_id, 'ok', 'ok', '' FROM settings WHERE video_id NOT IN (SELECT video_id FROM issues)""")
 def validated(spark, sf):
     made, rows, samples, measured = _projects(spark, sf)
     found = quality.validate(made, rows, samples, measured, connectives=("n", "e"))
-    return found.withColumn("detail", F.when(~F.col("rule").isin("subtitle_x", "subtitle_y"), F.col("detail")))
+    thousandths = F.floor(F.col("detail").try_cast("double") * 1000).cast("bigint").cast("string")  # numbers are written in different ways
+    return found.withColumn("detail", F.when(F.col("rule").isin("subtitle_x", "subtitle_y"), thousandths).otherwise(F.col("detail")))
 
 
 @check("blocking_issues", PROJECTS + " SELECT video_id, count(*) AS errors FROM issues WHERE level = 'error' GROUP BY video_id")

@@ -33,13 +33,12 @@ def video_key(path: Column) -> Column:
 
 def product_from_name(path: Column) -> Column:
     """Product spoken of in a video, read off the file name."""
-    name = F.regexp_replace(raw_stem(path), "^\\d{4}[.-]\\d{1,2}[.-]\\d{1,2}", "")
-    name = F.regexp_replace(name, "^\\d+_", "")
-    name = F.regexp_replace(name, "_(功效|卖点)精剪.*$", "")
-    name = F.regexp_replace(name, "(?i)_v\\d+.*$", "")
+    name = raw_stem(path)
+    for pattern in fixed.NAME_PATTERNS:
+        name = F.regexp_replace(name, pattern, "")
     for suffix in fixed.NAME_SUFFIXES:
         name = F.regexp_replace(name, re.escape(suffix), "")
-    return F.btrim(name, F.lit("_ -（）()"))
+    return F.btrim(name, F.lit(fixed.NAME_EDGES))
 
 
 def same_path(a: Column, b: Column) -> Column:

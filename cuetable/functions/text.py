@@ -29,16 +29,16 @@ PUNCT_CLASS = char_class(fixed.PUNCTUATION)
 
 def normalize_text(text: Column) -> Column:
     """Tags out, whitespace collapsed, no spaces between CJK characters or before a mark."""
-    text = F.regexp_replace(text.cast("string"), "<\\|[^>]+\\|>", "")
+    text = F.regexp_replace(text.cast("string"), fixed.TAG_PATTERN, "")
     text = F.btrim(F.regexp_replace(text, "(?U)\\s+", " "))
     text = F.regexp_replace(text, f"(?<=[{CJK}]) +(?=[{CJK}])", "")
-    return F.regexp_replace(text, " +([，。！？；、,.!?;:])", "$1")
+    return F.regexp_replace(text, f" +({char_class(fixed.CLOSING_MARKS)})", "$1")
 
 
 def clean_token(token: Column) -> Column:
     """A recogniser token with tags dropped and sub-word markers turned into spaces."""
-    token = F.regexp_replace(token, "<\\|[^>]+\\|>", "")
-    return F.regexp_replace(F.translate(token, "▁Ġ", "  "), "(?U)\\s+", " ")
+    token = F.regexp_replace(token, fixed.TAG_PATTERN, "")
+    return F.regexp_replace(F.translate(token, fixed.SUBWORD_MARKS, "  "), "(?U)\\s+", " ")
 
 
 def content_chars(text: Column) -> Column:

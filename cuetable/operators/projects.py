@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cuetable import fixed
 from cuetable.functions.text import ass_color, ass_time, highlight_markup
-from cuetable.functions.timing import default_y_percent, position_px
+from cuetable.functions.timing import default_y_percent, marker_target, position_px
+from cuetable.operators.classify import hook_end
 from cuetable.plans.ordered import by_position, ordered
 
 PART_ROWS = 10_000
@@ -81,11 +82,20 @@ def preferred_captions(analysed: DataFrame, transcribed: DataFrame) -> DataFrame
     return analysed.unionByName(missing, allowMissingColumns=True)
 
 
-def assemble_projects(media: DataFrame, sections: Mapping[str, tuple[DataFrame, Sequence[str]]], part_rows: int = PART_ROWS) -> DataFrame:
+def derived_settings(media: DataFrame, captions: DataFrame) -> DataFrame:
+    """Settings that follow from a video: the end of its hook, how many effects its length asks for, and the language it was heard in.
+
+    ``media(video_id, duration_ms, language)``; a video without captions has the default hook, one without a language ``auto``.
+    """
+    hooks = hook_end(captions, media)
+    return media.join(hooks, "video_id").select("video_id", "hook_end_ms", marker_target(F.col("duration_ms")).alias("sfx_target_count"), F.coalesce("language", F.lit("auto")).alias("asr_language"))
+
+
+def assemble_projects(media: DataFrame, sections: Mapping[str, tuple[DataFrame, Sequence[str]]], part_rows: int = PART_ROWS, derived: DataFrame | None = None) -> DataFrame:
     """Nested project documents, one row per video and part of at most ``part_rows`` rows per section.
 
-    Part 0 always exists and carries the media columns and default settings; longer videos
-    go on in further parts, so no document outgrows a task.
+    Part 0 always exists; longer videos go on in further parts, so no document outgrows a task. Every part carries the media columns and the
+    settings: the default ones and those ``derived`` (see ``derived_settings``).
     """
     nested, spine = {}, media.select("video_id", F.lit(0).cast("bigint").alias("part"))
     for name, (rows, order) in sections.items():
@@ -100,8 +110,10 @@ def assemble_projects(media: DataFrame, sections: Mapping[str, tuple[DataFrame,
     for name, rows in nested.items():
         empty = F.array().cast(rows.schema[name].dataType)
         out = out.join(rows, ["video_id", "part"], "left").withColumn(name, F.coalesce(F.col(name), empty))
-    settings = F.struct(*[F.lit(v).alias(k) for k, v in fixed.DEFAULT_SETTINGS.items()])
-    return out.withColumn("settings", F.when(F.col("part") == 0, settings))
+    settings = [F.lit(v).alias(k) for k, v in fixed.DEFAULT_SETTINGS.items()]
+    own = [] if derived is None else [c for c in derived.columns if c != "video_id"]
+    out = out if derived is None else out.join(derived.select("video_id", *[F.col(c).alias(f"_{c}") for c in own]), "video_id", "left")
+    return out.withColumn("settings", F.struct(*settings, *[F.col(f"_{c}").alias(c) for c in own])).drop(*[f"_{c}" for c in own])
 
 
 def training_pairs(model: DataFrame, human: DataFrame) -> DataFrame:
