@@ -162,6 +162,16 @@ def _(spark, sf):
     return projects.caption_events(rows, settings).filter("section = 1").select("video_id", "id", "line")
 
 
+@check("event_scripts", SCRIPT)
+def _(spark, sf):
+    """The same lines, written as sorted files and read back."""
+    rows = b.captions(spark, sf).withColumn("highlight_words", F.array(F.lit("tion")))
+    settings = b.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("video_id"), (F.col("c_nationkey") * 4.5).alias("subtitle_x"))
+    folder = new_folder(spark, "scripts")
+    projects.write_event_scripts(projects.caption_events(rows, settings), folder)
+    return spark.read.parquet(folder).filter("section = 1").select("video_id", "id", "line")
+
+
 HEADER = ["[Script Info]", "ScriptType: v4.00+", "PlayResX: 1080", "PlayResY: 1920", "WrapStyle: 0", "ScaledBorderAndShadow: yes", "", "[V4+ Styles]",
           "Format: Name,Fontname,Fontsize,PrimaryColour,SecondaryColour,OutlineColour,BackColour,Bold,Italic,Underline,StrikeOut,ScaleX,ScaleY,Spacing,Angle,BorderStyle,Outline,Shadow,Alignment,MarginL,MarginR,MarginV,Encoding",
           "STYLE", "", "[Events]", "Format: Layer,Start,End,Style,Name,MarginL,MarginR,MarginV,Effect,Text"]

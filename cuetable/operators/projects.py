@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuetable import fixed
@@ -174,6 +174,17 @@ def caption_events(captions: DataFrame, settings: DataFrame) -> DataFrame:
 
 
 def write_event_scripts(lines: DataFrame, folder: str) -> None:
-    """One folder of text per video, its lines in order over its files."""
-    (lines.repartitionByRange("video_id", "section", "id").sortWithinPartitions("video_id", "section", "id")
-     .select("video_id", "line").write.mode("overwrite").partitionBy("video_id").text(folder))
+    """All scripts in a few files, sorted by video and line, so that the bounds of their row groups lead to a video."""
+    order = ("video_id", "section", "start_ms", "id")
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(folder)
+
+
+def event_script(spark: SparkSession, folder: str, video_id: str) -> DataFrame:
+    """The lines of one video's script in order; only row groups that may hold the video are read."""
+    rows = spark.read.parquet(folder).filter(F.col("video_id") == video_id)
+    return rows.orderBy("section", "start_ms", "id").select("line")
+
+
+def export_event_script(spark: SparkSession, folder: str, video_id: str, target: str) -> None:
+    """One video's script as a text file below ``target``."""
+    event_script(spark, folder, video_id).coalesce(1).write.mode("overwrite").text(target)

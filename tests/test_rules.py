@@ -65,9 +65,14 @@ def test_event_script(spark, tmp_path):
     lines = projects.caption_events(rows, settings)
     script = "\n".join(r["line"] for r in lines.orderBy("section", "id").collect())
     assert "\\pos(270,1440)" in script and "\\c&H" in script and "PlayResX: 1080" in script
-    projects.write_event_scripts(lines, str(tmp_path / "scripts"))
-    back = spark.read.text(str(tmp_path / "scripts" / "video_id=v"))
-    assert back.count() == lines.count()
+    many = lines.unionByName(lines.withColumn("video_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: F.concat(F.lit("w"), i)))))
+    folder = str(tmp_path / "scripts")
+    projects.write_event_scripts(many, folder)
+    for video in ("v", "w7"):
+        assert "\n".join(r["line"] for r in projects.event_script(spark, folder, video).collect()) == script
+    assert len(spark.read.parquet(folder).inputFiles()) <= 8 and projects.event_script(spark, folder, "none").count() == 0
+    projects.export_event_script(spark, folder, "v", str(tmp_path / "one"))
+    assert "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "one")).collect()) == script
 
 
 def test_edit_keys_differ(spark):
