@@ -36,7 +36,8 @@ def parting(a: Column, b: Column) -> Column:
 def counted(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT, damaged: int = DAMAGED) -> DataFrame:
     """``word, n`` of the runs of letters; every ``damaged``-th by checksum of document and run has lost a character."""
     run = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(f"[{LETTERS}]{{{least_length},}}"), F.lit(0))).alias("run"))
-    run = run.select("doc", F.translate("run", UPPER, LOWER).alias("run"))
+    plain = F.octet_length("run") == F.length("run")  # where lower() touches A-Z alone
+    run = run.select("doc", F.when(plain, F.lower("run")).otherwise(F.translate("run", UPPER, LOWER)).alias("run"))
     run = run.select("run", F.crc32(F.concat("doc", F.lit(":"), "run").cast("binary")).alias("h"))
     at = (F.col("h") % F.length("run")).cast("int")
     word = F.when(F.col("h") % damaged == 0, F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))).otherwise(F.col("run"))
@@ -89,22 +90,23 @@ def grown(words: DataFrame, least_length: int) -> Iterator[tuple[DataFrame, Data
 
 def neighbours(words: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
     """``word, near``: both orders of all pairs of distinct ``word``s of ``least_length`` letters or more that one edit of one character parts."""
-    none = words.select(F.col("word").alias("text"), F.col("word").alias("found"), F.col("word").alias("g"), F.col("word").alias("c")).limit(0)
+    none = words.select(F.col("word").alias("text"), F.col("word").alias("found"), F.col("word").alias("g")).limit(0)
     states, leaves, levels = none, [], grown(words, least_length)
     level = next(levels, None)
     while level:
         (own, kids), level = level, next(levels, None)  # the edges of the next level say how children go on
-        onward = level[1].groupBy(F.col("g").alias("h")).agg(F.array_join(F.collect_list(F.expr("substring(label, 1, 1)")), "").alias("nexts")) if level else None
-        edges = kids.withColumn("nexts", F.lit("")) if onward is None else kids.join(onward, "h", "left")  # leaves go on with nothing
-        edges = written(edges, "edges")
-        fans = written(edges.groupBy("g").agg(F.collect_list(F.struct("label", "h", "to", "leaf", "nexts")).alias("children")), "fans")  # a letter each
-        size = F.aggregate("children", F.lit(0).cast("bigint"), lambda n, x: n + F.length(x["label"]) + F.length(x["h"]) + 40)
-        parted = own.filter("2 * d >= length(text) - 1").join(light(fans, size), "g").select("text", "d", F.inline("children"))
-        followed = states.join(edges.withColumn("c", F.expr("substring(label, 1, 1)")), ["g", "c"])
-        followed = followed.filter("substring(found, d + 1, length(label)) = label AND (leaf OR instr(nexts, substring(found, to + 1, 1)) > 0)")
-        reached = written(entered(parted).unionAll(followed.select("text", "found", "h", "to", "leaf")), "states")
+        if level:
+            onward = written(level[1].groupBy(F.col("g").alias("h")).agg(F.array_join(F.collect_list(F.expr("substring(label, 1, 1)")), "").alias("nexts")), "onward")  # a letter each
+            edges = kids.join(light(onward, F.length("h") + F.length("nexts")), "h", "left")
+        else:
+            edges = kids.withColumn("nexts", F.lit(""))  # leaves go on with nothing
+        edges = light(written(edges, "edges"), F.length("label") + F.length("h") + F.length("g"))
+        goes_on = "substring(found, d + 1, length(label)) = label AND (leaf OR instr(nexts, substring(found, to + 1, 1)) > 0)"
+        followed = states.join(edges, "g").filter(goes_on).select("text", "found", "h", "to", "leaf")
+        parted = own.filter("2 * d >= length(text) - 1").select("text", "g").join(edges, "g")
+        reached = written(entered(parted).unionAll(followed), "states")
         leaves.append(reached.filter("leaf").select("text", "found"))
-        states = reached.filter("NOT leaf").select("text", "found", F.col("h").alias("g"), F.expr("substring(found, to + 1, 1)").alias("c"))
+        states = reached.filter("NOT leaf").select("text", "found", F.col("h").alias("g"))
     if not leaves:
         return none.select(F.col("text").alias("word"), F.col("found").alias("near"))
     bare = lambda c: F.when(F.substring("text", 1, 1) == FORWARD, F.expr(f"substring({c}, 2, length({c}) - 2)")).otherwise(F.reverse(F.expr(f"substring({c}, 2, length({c}) - 2)")))
