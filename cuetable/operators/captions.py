@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +15,11 @@ from cuetable.functions.text import PUNCT_CLASS, WORD_CHAR, char_class, normaliz
 from cuetable.operators.timeline import allocate_time
 from cuetable.plans.folders import cut_lineage
 from cuetable.plans.ordered import EvenTime, by_position, ordered
+from cuetable.plans.shipping import ship
 from cuetable.plans.spread import spread
 
+#: Characters of a segment that are worked through at a time.
+CHUNK_CHARS = 256
 EDGE_MARKS = "，。！？；,.!?; "
 
 
@@ -109,7 +117,7 @@ def matching_marks(chars: DataFrame, texts: DataFrame) -> DataFrame:
 
 def segment_captions(
     chars: DataFrame, texts: DataFrame, limit: int = 13, timestamp_source: str = "sensevoice_token", *,
-    gap_ms: int = 380, longest_ms: int = 4200, rows: int = 50_000, lone_tail: bool = True,
+    gap_ms: int = 380, longest_ms: int = 4200, rows: int = 50_000, lone_tail: bool = True, chunk: int = CHUNK_CHARS,
 ) -> DataFrame:
     """Timed characters grouped into captions.
 
@@ -117,41 +125,78 @@ def segment_captions(
     its segment, but never inside a word and, mark or pause, never on a single character.
     Segments without characters fall back to :func:`estimated_captions`.
 
-    Whether a mark or pause ends a caption depends only on whether one character or none
-    is waiting there. So each stretch between such places is worked out for both cases on
-    its own, and the cases are linked by running totals: no segment runs in one task.
+    A segment is cut into chunks of ``chunk`` characters wherever they fall. What a chunk does depends on how many characters wait before
+    it, up to the limit, beyond which they count alike; so a chunk of a longer segment is run for each of these numbers at once, one walk links the numbers,
+    and then each chunk is run from the right one. Captions over a cut are put together by their number.
     """
-    key = ["video_id", "seg_id"]
-    spans = texts.select(*key, F.col("start_ms").alias("seg_start_ms"), F.col("end_ms").alias("seg_end_ms"),
-                         text_limit(F.col("text"), limit).alias("_limit"))
-    marks = matching_marks(chars, texts)
-    after = marks.filter("pos > 0").select(*key, (F.col("pos") - 1).alias("pos"), F.col("mark").alias("_after"))
-    first = marks.filter("pos = 0").select(*key, F.col("pos"), F.col("mark").alias("_head"))
-    c = (chars.select(*key, F.col("pos").cast("bigint").alias("pos"), F.col("text").alias("char"), "start_ms", "end_ms")
-         .join(after, [*key, "pos"], "left").join(first, [*key, "pos"], "left").join(spans, key))
-    c = cut_lineage(c, "marked-chars")
-    c = ordered(c, key, ["pos"], by_position("pos", rows), lead={"_next_start": F.col("start_ms"), "_next_char": F.col("char")},
-                lag={"_prev_start": F.col("start_ms")})
-    mark = F.coalesce(F.col("_after"), F.lit(""))
-    ends = F.col("_next_start").isNull()
-    c = c.withColumn("_boundary", ends | ~word_continues(F.col("char"), F.col("_next_char"), mark))
-    c = c.withColumn("_signal", ends | mark.rlike(char_class(fixed.STRONG_MARKS)) | (F.col("_next_start") - F.col("end_ms") >= gap_ms))
-    c = ordered(c, key, ["pos"], by_position("pos", rows),
-                before={"_piece": F.when(F.col("_signal") & F.col("_boundary"), 1).otherwise(0)})
-    c = cut_lineage(c, "stretches")
-    breaks = _breaks(c.withColumn("_final", ends), longest_ms, rows)
-    c = cut_lineage(c.join(breaks, [*key, "pos"], "left"), "broken-chars")
-    c = ordered(c, key, ["pos"], by_position("pos", rows), before={"_caption": F.when(F.col("_break"), 1).otherwise(0)})
-
-    piece = F.concat(F.coalesce(F.col("_head"), F.lit("")), F.col("char"), mark)
-    grouped = c.groupBy(*key, F.col("_caption").alias("piece")).agg(
-        F.min_by("start_ms", "pos").alias("_s"), F.max_by("end_ms", "pos").alias("_e"), F.max_by("_next_start", "pos").alias("_n"),
-        F.first("seg_start_ms").alias("seg_start_ms"), F.first("seg_end_ms").alias("seg_end_ms"), F.first("_limit").alias("_limit"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", piece.alias("p")))), lambda s: s["p"]), "").alias("_text"))
+    ship(chars.sparkSession)
+    key, most = ["video_id", "seg_id"], max(42, limit)
+    chunk = max(chunk, most + 1)
+    spans = texts.select(*key, F.col("start_ms").alias("seg_start_ms"), F.col("end_ms").alias("seg_end_ms"), text_limit(F.col("text"), limit).alias("_limit"))
+    place = lambda pos: F.floor(pos / chunk).cast("bigint").alias("chunk")
+    pos = F.col("pos").cast("bigint")
+    heard = chars.select(*key, place(pos), F.struct(pos.alias("pos"), F.col("text").alias("char"), F.col("start_ms").cast("bigint").alias("start_ms"), F.col("end_ms").cast("bigint").alias("end_ms")).alias("c"),
+                         F.lit(None).cast("struct<pos:bigint,mark:string>").alias("m"))
+    marks = matching_marks(chars, texts).select(*key, place(F.greatest(pos - 1, F.lit(0))), F.lit(None).cast(heard.schema["c"].dataType).alias("c"), F.struct(pos.alias("pos"), "mark").alias("m"))
+    chunks = heard.unionByName(marks).groupBy(*key, "chunk").agg(F.sort_array(F.collect_list("c")).alias("_c"), F.map_from_entries(F.collect_list("m")).alias("_m")).filter(F.size("_c") > 0)
+    chunks = cut_lineage(chunks.join(spans, key), "caption-chunks")
+    starts = F.transform("_c", lambda c: c["start_ms"])
+    chunks = ordered(chunks, key, ["chunk"], by_position("chunk", rows), lead={"_next": F.get("_c", F.lit(0))}, lag={"_lead": F.slice(starts, F.greatest(F.lit(1), F.size("_c") - most + 1), most)})
+
+    def seen(c: Column, i: Column) -> Column:
+        after = F.coalesce(F.get("_c", i + 1), F.col("_next"))
+        ends, mark = after.isNull(), F.coalesce(F.try_element_at("_m", c["pos"] + 1), F.lit(""))
+        head = F.when(c["pos"] == 0, F.coalesce(F.try_element_at("_m", F.lit(0).cast("bigint")), F.lit(""))).otherwise("")
+        signal = mark.rlike(char_class(fixed.STRONG_MARKS)) | (after["start_ms"] - c["end_ms"] >= gap_ms)
+        return F.struct(c["start_ms"].alias("start"), c["end_ms"].alias("end"), F.concat(head, c["char"], mark).alias("piece"), (ends | ~word_continues(c["char"], after["char"], mark)).alias("boundary"),
+                        (ends | F.coalesce(signal, F.lit(False))).alias("signal"), ends.alias("final"), after["start_ms"].alias("next"))
+
+    chunks = chunks.select(*key, "chunk", "seg_start_ms", "seg_end_ms", "_limit", F.coalesce("_lead", F.array().cast("array<bigint>")).alias("_lead"), F.transform("_c", seen).alias("items"))
+    chunks = cut_lineage(chunks, "caption-items")
+    longer = chunks.groupBy(*key).agg(F.max("chunk").alias("_last")).filter("_last > 0")
+    inner = chunks.join(longer, key).filter("chunk < _last").select(*key, "chunk", "_limit", "_lead", "items")
+
+    def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, 200) for at in range(0, batch.num_rows, 200)):
+                run = _Chunks(part, longest_ms)
+                size = run.limit + 1
+                lane = np.repeat(np.arange(part.num_rows), size)
+                entry = np.arange(len(lane)) - np.repeat(np.cumsum(size) - size, size)
+                waiting, breaks, _ = run.through(lane, entry)
+                cuts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int64))) for x in (waiting, breaks)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*key, "chunk")), *lists], [*key, "chunk", "exits", "breaks"])
+
+    passed = inner.mapInArrow(transitions, f"{_key_ddl(chars)}, chunk bigint, exits array<bigint>, breaks array<bigint>")
+    linked = cut_lineage(passed.repartition(*key).sortWithinPartitions(*key, "chunk").mapInPandas(_entries, f"{_key_ddl(chars)}, chunk bigint, entry bigint, before bigint"), "caption-entries")
+    placed = chunks.join(linked, [*key, "chunk"], "left").withColumn("entry", F.coalesce("entry", F.lit(0))).withColumn("before", F.coalesce("before", F.lit(0)))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, 1_000) for at in range(0, batch.num_rows, 1_000)):
+                run = _Chunks(part, longest_ms)
+                _, _, number = run.through(np.arange(part.num_rows), part.column("entry").to_numpy())
+                row = np.repeat(np.arange(part.num_rows), run.size)
+                number = number + part.column("before").to_numpy()[row]
+                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (number[1:] != number[:-1]))[:len(row)])
+                last = np.append(first[1:], len(row)) - 1
+                texts_ = run.items.field("piece").to_pylist()
+                own = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays([
+                    *(part.column(c).take(own) for c in (*key, "chunk", "seg_start_ms", "seg_end_ms", "_limit")), pa.array(number[first]), pa.array(run.start[first]), pa.array(run.end[last]),
+                    run.items.field("next").take(pa.array(last)), pa.array(["".join(texts_[x:y + 1]) for x, y in zip(first.tolist(), last.tolist(), strict=True)], pa.string())],
+                    [*key, "chunk", "seg_start_ms", "seg_end_ms", "_limit", "piece", "s", "e", "n", "text"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
+    made = placed.select(*key, "chunk", "seg_start_ms", "seg_end_ms", "_limit", "_lead", "items", "entry", "before").mapInArrow(
+        pieces, ", ".join(f"{c} {kinds[c]}" for c in (*key, "chunk", "seg_start_ms", "seg_end_ms", "_limit")) + ", piece bigint, s bigint, e bigint, n bigint, text string")
+    grouped = made.groupBy(*key, "piece").agg(
+        F.min_by("s", "chunk").alias("_s"), F.max_by("e", "chunk").alias("_e"), F.max_by(F.struct("n"), F.col("chunk")).alias("_n"), F.first("seg_start_ms").alias("seg_start_ms"),
+        F.first("seg_end_ms").alias("seg_end_ms"), F.first("_limit").alias("_limit"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "").alias("_text"))
     start = F.greatest(F.col("seg_start_ms"), F.col("_s") - 30)
-    end = F.least(F.col("seg_end_ms"), F.col("_e") + 120, F.coalesce(F.col("_n") - 30, F.col("seg_end_ms")))
-    timed = grouped.select(*key, "piece", F.btrim("_text").alias("text"), start.alias("start_ms"),
-                           F.least(F.col("seg_end_ms"), F.greatest(start + 60, end)).alias("end_ms"), "_limit")
+    end = F.least(F.col("seg_end_ms"), F.col("_e") + 120, F.coalesce(F.col("_n.n") - 30, F.col("seg_end_ms")))
+    timed = grouped.select(*key, "piece", F.btrim("_text").alias("text"), start.alias("start_ms"), F.least(F.col("seg_end_ms"), F.greatest(start + 60, end)).alias("end_ms"), "_limit")
     if lone_tail:
         timed = merge_short_tail(cut_lineage(timed, "timed-captions"), "_limit", rows)
     timed = timed.select(*key, "piece", "text", "start_ms", "end_ms", F.lit(timestamp_source).alias("timestamp_source"))
@@ -159,45 +204,57 @@ def segment_captions(
     return timed.unionByName(estimated_captions(silent, limit, rows).withColumn("piece", F.col("piece").cast("bigint")))
 
 
-def _breaks(c: DataFrame, longest_ms: int, rows: int) -> DataFrame:
-    """Positions after which a caption ends."""
-    key = ["video_id", "seg_id"]
-    items = c.groupBy(*key, "_piece").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "start_ms", "end_ms", "_boundary", "_signal", "_final", "_prev_start"))).alias("_items"),
-        F.first("_limit").alias("_limit"))
-
-    def run(waiting: int) -> Column:
-        first = F.element_at("_items", 1)
-        begin = F.struct(F.lit(waiting).alias("n"), first["_prev_start"].alias("start"), F.array().cast("array<bigint>").alias("breaks"))
-
-        def step(state: Column, item: Column) -> Column:
-            n = state["n"] + 1
-            start = F.when(state["n"] == 0, item["start_ms"]).otherwise(state["start"])
-            full = (n >= F.col("_limit")) | item["_final"]
-            enough = (n >= 2) & (item["_signal"] | (item["end_ms"] - start >= longest_ms))
-            broken = item["_boundary"] & (full | enough)
-            return F.struct(F.when(broken, 0).otherwise(n).alias("n"), start.alias("start"),
-                            F.when(broken, F.array_append(state["breaks"], item["pos"])).otherwise(state["breaks"]).alias("breaks"))
-
-        return F.aggregate("_items", begin, step)
-
-    # A stretch that starts a segment has nothing waiting; running it for both cases is harmless.
-    runs = items.select(*key, "_piece", run(0).alias("_r0"), run(1).alias("_r1")).select(
-        *key, "_piece", F.col("_r0.breaks").alias("_b0"), F.col("_r1.breaks").alias("_b1"),
-        F.least(F.col("_r0.n"), F.lit(1)).alias("_x0"), F.least(F.col("_r1.n"), F.lit(1)).alias("_x1"))
-    swaps = F.when((F.col("_x0") == 1) & (F.col("_x1") == 0), 1).otherwise(0)
-    runs = ordered(cut_lineage(runs, "stretch-runs"), key, ["_piece"], by_position("_piece", rows), before={"_swaps": swaps})
-    fixed_exit = F.when(F.col("_x0") == F.col("_x1"), F.struct(F.col("_x0").alias("exit"), F.col("_swaps").alias("swaps")))
-    runs = _entry_states(runs, key, fixed_exit, rows)
-    chosen = F.when(F.col("_entry") == 0, F.col("_b0")).otherwise(F.col("_b1"))
-    return runs.select(*key, F.explode(chosen).alias("pos"), F.lit(True).alias("_break"))
-
-
-def _entry_states(runs: DataFrame, key: list[str], settled: Column, rows: int) -> DataFrame:
-    """Characters waiting at the start of each stretch: the last settled exit, flipped once per swap since."""
-    seen = ordered(runs, key, ["_piece"], by_position("_piece", rows), seen_before={"_from": settled})
-    since = F.col("_swaps") - F.coalesce(F.col("_from.swaps"), F.lit(0))
-    return seen.withColumn("_entry", (F.coalesce(F.col("_from.exit"), F.lit(0)) + since) % 2)
+def _key_ddl(chars: DataFrame) -> str:
+    return ", ".join(f"{c} {chars.schema[c].dataType.simpleString()}" for c in ("video_id", "seg_id"))
+
+
+class _Chunks:
+    """Chunks of characters as columns, and the rule for captions run over all of them side by side."""
+
+    def __init__(self, rows: pa.RecordBatch, longest_ms: int):
+        items = rows.column("items")
+        self.size = items.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.items, self.longest_ms = items.flatten(), longest_ms
+        self.start, self.end, self.boundary, self.signal, self.final = (self.items.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end", "boundary", "signal", "final"))
+        self.limit = rows.column("_limit").to_numpy(zero_copy_only=False).astype(np.int64)
+        lead = rows.column("_lead")
+        self.lead_size = lead.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.lead_end, self.lead = np.cumsum(self.lead_size), lead.flatten().to_numpy(zero_copy_only=False)
+
+    def through(self, chunk: np.ndarray, waiting: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many characters wait after each run and how many captions ended in it; with one run a chunk, also the number of each character's caption."""
+        limit = self.limit[chunk]
+        waiting, breaks, began = np.minimum(waiting, limit), np.zeros(len(chunk), np.int64), np.zeros(len(chunk), np.int64)
+        known = (waiting > 0) & (waiting <= self.lead_size[chunk])
+        began[known] = self.lead[self.lead_end[chunk[known]] - waiting[known]]
+        number = np.zeros(len(self.start), np.int64)
+        for t in range(int(self.size[chunk].max(initial=0))):
+            live = np.flatnonzero(self.size[chunk] > t)
+            at = self.begin[chunk[live]] + t
+            n = waiting[live] + 1
+            began[live] = np.where(n == 1, self.start[at], began[live])
+            full = (n >= limit[live]) | self.final[at]
+            enough = (n >= 2) & (self.signal[at] | (self.end[at] - began[live] >= self.longest_ms))
+            broken = self.boundary[at] & (full | enough)
+            number[at] = breaks[live]
+            breaks[live] += broken
+            waiting[live] = np.where(broken, 0, np.minimum(n, limit[live]))
+        return waiting, breaks, number
+
+
+def _entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many characters wait before each chunk but a segment's first, and how many captions ended earlier; rows come in order, one number is held."""
+    segment, waiting, before = None, 0, 0
+    for frame in frames:
+        out = []
+        for video, seg, chunk, exits, breaks in frame.itertuples(index=False):
+            if (video, seg) != segment:
+                segment, waiting, before = (video, seg), 0, 0
+            before += int(breaks[waiting])
+            waiting = int(exits[waiting])
+            out.append((video, seg, chunk + 1, waiting, before))
+        yield pd.DataFrame(out, columns=["video_id", "seg_id", "chunk", "entry", "before"])
 
 
 def merge_short_tail(captions: DataFrame, limit: str | int = 13, rows: int = 50_000) -> DataFrame:
