@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,8 @@ WORDS, SIMILAR = 5, 80
 SKETCH, SHORT, OWN_VALUES, ESTIMATE, LEADERS = 64, 32, 28, 0.5, 2
 #: Bits of a bit map, and how many of the smallest hashes it takes.
 BITS, MAPPED = 4_096, 512
+#: Nodes of one block of a list, and askers it meets.
+LISTED, ASKING = 8_000, 4_000
 #: Texts that one leader's text is read with at a time.
 SHARE = 500
 #: Sets of up to so many shingles are listed by pairs of values, of at least so many by triples; similar sets meet in one or the other.
@@ -137,24 +140,50 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def most_unlike(na: Column, nb: Column) -> Column:
+def most_unlike(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """How many bits of just one of two bit maps leave the pair to the similarity asked for.
 
     Whole sets of similarity s differ in (1 - s) / (1 + s) of their sizes together, and bits that fall on each other only make them more alike. Sets cut
     to their smallest hashes may differ in a fifth and by what one cut leaves out more than the other, six deviations above what is to be expected.
     """
-    whole = F.floor((na + nb) * (100 - SIMILAR) / (100 + SIMILAR) + 1e-9)
-    taken = F.least(na, F.lit(MAPPED)) + F.least(nb, F.lit(MAPPED))
-    return F.when(F.greatest(na, nb) <= MAPPED, whole).otherwise(taken * 0.2 + MAPPED * (1 - F.least(na, nb) / F.greatest(na, nb)))
+    whole = np.floor((na + nb) * (100 - SIMILAR) / (100 + SIMILAR) + 1e-9)
+    cut = (np.minimum(na, MAPPED) + np.minimum(nb, MAPPED)) * 0.2 + MAPPED * (1 - np.minimum(na, nb) / np.maximum(na, nb))
+    return np.where(np.maximum(na, nb) <= MAPPED, whole, cut)
+
+
+def alike(group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of asking and listed nodes of one block that may be alike and are not in one component."""
+    asks = group["asks"].to_numpy(bool)
+    x, y = group[asks], group[~asks]
+    if not len(x) or not len(y):
+        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+    maps, n, root, node = np.stack(y["map"].to_list()), y["n"].to_numpy(), y["root"].to_numpy(), y["node"].to_numpy()
+    out = []
+    for own, size, part, bits in zip(x["node"].to_numpy(), x["n"].to_numpy(), x["root"].to_numpy(), x["map"], strict=True):
+        near = np.flatnonzero((root != part) & (100 * np.minimum(n, size) >= SIMILAR * np.maximum(n, size)))
+        unlike = np.bitwise_count(maps[near] ^ bits).sum(1)
+        found = node[near[unlike <= most_unlike(n[near], size)]]
+        out.append(np.stack([np.minimum(found, own), np.maximum(found, own)]))
+    a, b = np.concatenate(out, 1)
+    return pd.DataFrame({"a": a, "b": b})
 
 
 def paired_alike(waiting: DataFrame, lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of ``waiting`` and ``lists`` (``key, node, n, root``) that share a list, may be alike by their bit maps and are not in one component."""
-    maps = written(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "map"), "maps")
-    x, y = waiting.join(maps, "node").alias("x"), lists.join(maps, "node").alias("y")
-    unlike = sum((F.bit_count(F.col("x.map")[k].bitwiseXOR(F.col("y.map")[k])) for k in range(BITS // 64)), F.lit(0))
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & close_in_size(F.col("x.n"), F.col("y.n")) & (unlike <= most_unlike(F.col("x.n"), F.col("y.n")))).select(
-        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    """Pairs of ``waiting`` and ``lists`` (``key, node, n, root``) that share a list, may be alike by their bit maps and are not in one component.
+
+    Each list is cut into blocks of askers and of listed nodes; a pair of blocks is one group, of which only what is alike comes back.
+    """
+    columns = ["key", "node", "n", "root"]
+    held = lists.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / LISTED).cast("int").alias("blocks"))
+    held = held.join(waiting.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / ASKING).cast("int").alias("askers")), "key")
+    held = broadcast_if_small(written(held, "blocks"))
+    one, every = F.xxhash64("node"), lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    spot = lambda c: F.array(F.pmod(one, c).cast("int"))
+    x = waiting.select(*columns, F.lit(True).alias("asks")).join(held, "key").withColumns({"block": every("blocks"), "asker": spot("askers")})
+    y = lists.select(*columns, F.lit(False).alias("asks")).join(held, "key").withColumns({"block": spot("blocks"), "asker": every("askers")})
+    placed = x.unionByName(y).withColumn("block", F.explode("block")).withColumn("asker", F.explode("asker")).drop("blocks", "askers")
+    maps = nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "map")
+    return placed.join(maps, "node").groupBy("key", "block", "asker").applyInPandas(alike, "a bigint, b bigint").distinct()
 
 
 def short_values(crowd: DataFrame) -> tuple[DataFrame, DataFrame]:
