@@ -157,11 +157,11 @@ def alike(group: pd.DataFrame) -> pd.DataFrame:
     x, y = group[asks], group[~asks]
     if not len(x) or not len(y):
         return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-    maps, n, root, node = np.stack(y["map"].to_list()), y["n"].to_numpy(), y["root"].to_numpy(), y["node"].to_numpy()
+    maps, n, root, node = np.stack(y["map"].to_list()).view(np.uint64), y["n"].to_numpy(), y["root"].to_numpy(), y["node"].to_numpy()
     out = []
     for own, size, part, bits in zip(x["node"].to_numpy(), x["n"].to_numpy(), x["root"].to_numpy(), x["map"], strict=True):
         near = np.flatnonzero((root != part) & (100 * np.minimum(n, size) >= SIMILAR * np.maximum(n, size)))
-        unlike = np.bitwise_count(maps[near] ^ bits).sum(1)
+        unlike = np.bitwise_count(maps[near] ^ bits.view(np.uint64)).sum(1)  # of signed numbers it counts the magnitude's
         found = node[near[unlike <= most_unlike(n[near], size)]]
         out.append(np.stack([np.minimum(found, own), np.maximum(found, own)]))
     a, b = np.concatenate(out, 1)
