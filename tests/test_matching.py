@@ -50,3 +50,14 @@ def test_name_slips(spark):
     found = [tuple(r) for r in got.select("video_id", "id", "position", "width", "source", "target", "is_brand").collect()]
     assert len(found) == len(set(found)) and set(found) == want
     assert got.filter(F.substring("source", F.col("diff"), F.lit(1)) != F.col("source_char")).count() == 0 and want
+
+
+def test_only_names_travel_to_captions(spark):
+    """Neither pieces of names nor the names themselves are gathered on the driver for a broadcast, whatever size they are thought to be."""
+    rows = spark.sql("SELECT * FROM VALUES ('v', 0, 'abxde abcde'), ('u', 1, 'abxde') AS c(video_id, id, text)")
+    products = spark.sql("SELECT * FROM VALUES ('v', 'abcde'), ('v', 'xabc'), ('w', 'abcde') AS p(video_id, product_name)")
+    slips = names.name_slips(rows, products, "a-z", ())
+    plan = slips._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    brand = [tuple(r) for r in names.name_slips(rows, products, "a-z", (), brand_only=True).select("position", "source", "target").collect()]
+    assert sorted(brand) == sorted(tuple(r) for r in slips.filter("is_brand").select("position", "source", "target").collect()) and brand
