@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cuetable import fixed
 from cuetable.functions.grams import contained_terms
 from cuetable.functions.text import has_signal, lexicon_hits, signal_matches
+from cuetable.plans.folders import cut_lineage
 from cuetable.plans.ordered import by_position, ordered
 from cuetable.plans.sizes import broadcast_if_small
 
@@ -95,16 +96,31 @@ def assign_effect(captions: DataFrame, patterns=None, cues=None) -> DataFrame:
     return captions.withColumn("_e", made).select(*captions.columns, F.col("_e.type"), F.col("_e.reason").alias("effect_reason"))
 
 
+WORD_ANCHOR = 8
+
+
 def lexicon_join(captions: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Terms contained in each caption, per label and in lexicon order, for a lexicon of any size.
 
-    Terms meet texts at their rarest gram and are compared there; see ``contained_terms``.
+    A term without a space is contained in a caption if it is in one of its words, the stretches between spaces. Such terms are looked for in
+    every different word once, and a word's terms reach the captions that hold it as one list a label; a term with a space meets the texts
+    themselves. See ``contained_terms``.
     """
-    found = contained_terms(captions, ["video_id", "id"], "text", lexicon)
-    found = found.join(broadcast_if_small(lexicon.select("term", "label", "ord")), "term").distinct()
-    return (found.groupBy("video_id", "id", "label")
-            .agg(F.sort_array(F.collect_list(F.struct("ord", "term"))).alias("_t"))
-            .select("video_id", "id", "label", F.transform("_t", lambda t: t["term"]).alias("terms")))
+    entries = cut_lineage(lexicon.select("term", "label", "ord").distinct(), "lexicon")  # read by several passes
+    spaced = F.contains("term", F.lit(" "))
+    said = captions.select("video_id", "id", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).filter("word <> ''")
+    words = cut_lineage(said.select("word").distinct().withColumn("text", F.col("word")), "caption-words")
+    inside = contained_terms(words, ["word"], "text", entries.filter(~spaced), WORD_ANCHOR).join(entries.hint("merge"), "term")
+    lists = inside.groupBy("word", "label").agg(F.collect_list(F.struct("ord", "term")).alias("_t"))
+    found = said.join(lists.hint("merge"), "word").select("video_id", "id", "label", "_t")  # lists are longer than their estimate
+    wide = entries.filter(spaced)
+    if not wide.isEmpty():
+        across = contained_terms(captions, ["video_id", "id"], "text", wide).join(broadcast_if_small(wide), "term")
+        found = found.unionByName(across.select("video_id", "id", "label", F.array(F.struct("ord", "term")).alias("_t")))
+    # Equal ones stand beside each other once sorted; array_distinct compares structs all with all.
+    once = lambda all_: F.filter(all_, lambda t, i: (i == 0) | ~t.eqNullSafe(F.get(all_, i - 1)))
+    found = found.groupBy("video_id", "id", "label").agg(F.sort_array(F.flatten(F.collect_list("_t"))).alias("_t"))
+    return found.select("video_id", "id", "label", F.transform(F.element_at(F.transform(F.array("_t"), once), 1), lambda t: t["term"]).alias("terms"))
 
 
 def pack_batches(captions: DataFrame, size: int = 18, rows: int = 50_000) -> DataFrame:

@@ -4,8 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from cuetable.functions.grams import contained_terms
-from cuetable.operators import assets, names
+from cuetable.functions.grams import contained_terms, term_places
+from cuetable.operators import assets, classify, names
 
 
 def test_contained_terms(spark):
@@ -61,3 +61,24 @@ def test_only_names_travel_to_captions(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     brand = [tuple(r) for r in names.name_slips(rows, products, "a-z", (), brand_only=True).select("position", "source", "target").collect()]
     assert sorted(brand) == sorted(tuple(r) for r in slips.filter("is_brand").select("position", "source", "target").collect()) and brand
+
+
+def test_lexicon_of_words(spark):
+    """Words of common syllables: what is compared in full is no more than a few times what is contained; terms with spaces, twice-listed ones and lists per label."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice(["th", "an", "er", "in", "on"]) for _ in range(rng.randint(2, 7)))
+    texts = [("v", i, " ".join(word() for _ in range(rng.choice([0, 3, 60])))) for i in range(40)] + [("v", 90, None)]
+    words = sorted({w for _, _, t in texts if t for w in t.split(" ")} - {""})
+    lexicon = [(w, "said", len(w)) for w in words] + [(" ".join(texts[k][2].split(" ")[:2]), "pair", k) for k in range(40) if " " in texts[k][2]] + [(words[3], "pair", 7), (words[3], "pair", 7), (words[3], "pair", 2)]
+    captions, terms = spark.createDataFrame(texts, "video_id string, id int, text string"), spark.createDataFrame(lexicon, "term string, label string, ord int")
+    want = {}
+    for _, i, text in texts:
+        for label in ("said", "pair"):
+            held = sorted({(o, t) for t, kind, o in lexicon if kind == label and text and t in text})
+            if held:
+                want[i, label] = [t for _, t in held]
+    got = classify.lexicon_join(captions, terms).collect()
+    assert len(got) == len(want) and {(r["id"], r["label"]): r["terms"] for r in got} == want
+    own = spark.createDataFrame([(w, w) for w in words], "word string, text string")
+    places = term_places(own, ["word"], "text", terms.filter("label = 'said'"), classify.WORD_ANCHOR).count()
+    assert places <= 2 * sum(t in w for w in words for t in words)
