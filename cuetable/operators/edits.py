@@ -206,6 +206,28 @@ def folded_cuts(cuts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return spans
 
 
+def _folded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Spans of groups of cuts, from rows sorted by group and step."""
+    key, own, out = None, [], []
+
+    def fold() -> None:
+        out.extend((*key, *x) for x in (folded_cuts(own) if len(own) > 1 else [(own[0][1], own[0][2], own[0][0])]))
+
+    names = ["video_id", "_group", "a", "b", "step"]
+    for frame in frames:
+        for video, group, step, start, end in zip(*(frame[c].tolist() for c in frame.columns), strict=True):
+            if (video, group) != key:
+                if own:
+                    fold()
+                key, own = (video, group), []
+            own.append((step, start, end))
+        yield pd.DataFrame(out, columns=names)
+        out.clear()
+    if own:
+        fold()
+    yield pd.DataFrame(out, columns=names)
+
+
 def removed_spans(cuts: DataFrame, rows: int = 50_000, history: int = HISTORY) -> DataFrame:
     """Spans ``(video_id, a, b, step)`` of the first timeline that ordered cuts remove, disjoint, each with the step that removed it.
 
@@ -216,12 +238,9 @@ def removed_spans(cuts: DataFrame, rows: int = 50_000, history: int = HISTORY) -
     real = cuts.filter(F.col("cut_end_ms") > F.col("cut_start_ms")).select("video_id", "seq", "cut_start_ms", "cut_end_ms")
     steps = ordered(real, ["video_id"], ["seq"], by_position("seq", rows), number="step").withColumn("_group", F.floor(F.col("step") / history))
 
-    def fold(key, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("step")
-        spans = folded_cuts(list(zip(own["step"], own["cut_start_ms"], own["cut_end_ms"], strict=True)))
-        return pd.DataFrame([(key[0], key[1], *x) for x in spans], columns=["video_id", "_group", "a", "b", "step"])
-
-    spans = cut_lineage(steps.groupBy("video_id", "_group").applyInPandas(fold, SPAN_DDL), "edit-spans")
+    # Most histories are short, so groups share calls: rows come sorted and are folded as they pass.
+    steps = steps.select("video_id", "_group", "step", "cut_start_ms", "cut_end_ms").repartition("video_id", "_group").sortWithinPartitions("video_id", "_group", "step")
+    spans = cut_lineage(steps.mapInPandas(_folded, SPAN_DDL), "edit-spans")
     while spans.filter("_group > 0").limit(1).count():  # halves what is left of the longest history
         later = F.col("_group") % 2 == 1
         halves = spans.withColumn("_pair", F.floor(F.col("_group") / 2))
@@ -293,7 +312,7 @@ def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     names = ["video_id", "_ord", "part", "clip_id", "src_start_ms", "src_end_ms"]
     for frame in frames:
-        for video, order, name, start, end, source, a, b, step in frame.itertuples(index=False):
+        for video, order, name, start, end, source, a, b, step in zip(*(frame[c].tolist() for c in frame.columns), strict=True):
             if last is None or (video, order) != last[:2]:
                 if last is not None:
                     piece(last[4])
@@ -391,6 +410,11 @@ def apply_edits(project: dict[str, DataFrame], cuts: DataFrame, rows: int = 50_0
     however many cuts there are. Cuts that remove nothing are passed over.
     """
     spans = cut_lineage(removed_spans(cuts, rows, history), "edit-composed")
+    return _spans_left(project, spans, cuts, rows)
+
+
+def _spans_left(project: dict[str, DataFrame], spans: DataFrame, cuts: DataFrame, rows: int) -> dict[str, DataFrame]:
+    """A project's relations without ``spans`` of its first timeline, which are what ``cuts`` remove."""
     blocks = cut_lineage(span_blocks(spans), "edit-blocks")
     steps = {
         "clips": lambda df: _clips_left(df, blocks, rows), "captions": lambda df: _captions_left(df, blocks),
@@ -436,9 +460,9 @@ def trim_clip(project: dict[str, DataFrame], bounds: DataFrame, media: DataFrame
         "video_id", (base + F.col("_out")).alias("cut_start_ms"), F.col("out_end_ms").alias("cut_end_ms"))
     head = laid.filter(F.col("_in") > F.col("src_start_ms") + 1).select(
         "video_id", F.col("out_start_ms").alias("cut_start_ms"), (base + F.col("_in")).alias("cut_end_ms"))
-    # The tail lies behind the head, so its going leaves the head where it was.
-    cuts = tail.select("*", F.lit(0).cast("bigint").alias("seq")).unionByName(head.select("*", F.lit(1).cast("bigint").alias("seq")))
-    return apply_edits(project, cut_lineage(cuts, "trims"), rows)
+    # The tail lies behind the head, so its going leaves the head where it was: both are spans of the first timeline as they are.
+    cuts = cut_lineage(tail.select("*", F.lit(0).cast("bigint").alias("seq")).unionByName(head.select("*", F.lit(1).cast("bigint").alias("seq"))), "trims")
+    return _spans_left(project, cuts.select("video_id", F.col("cut_start_ms").alias("a"), F.col("cut_end_ms").alias("b"), F.col("seq").alias("step")), cuts, rows)
 
 
 def edit_history(snapshots: DataFrame, state: str = "state") -> DataFrame:

@@ -63,3 +63,14 @@ def test_invalid_clips_reject_the_video(spark):
     assert {r["video_id"] for r in rejected.collect()} == {f"bad{i}" for i in range(5)}
     lengths = {r["video_id"]: r["edit_ms"] for r in edits.edit_duration(valid, media).collect()}
     assert lengths["whole"] == 10000 and lengths["empty"] == 0
+
+
+def test_trims_are_not_composed(spark, monkeypatch):
+    """Both ends of a trimmed clip are spans of the first timeline already."""
+    monkeypatch.setattr(edits, "removed_spans", None)
+    media = spark.createDataFrame([("v", 25, 1)], "video_id string, fps_num int, fps_den int")
+    bounds = spark.createDataFrame([("v", 0, 12010, 17990)], "video_id string, ord int, new_start_ms bigint, new_end_ms bigint")
+    after = edits.trim_clip(project(spark), bounds, media)
+    assert [(r["clip_id"], r["src_start_ms"], r["src_end_ms"]) for r in after["clips"].collect()] == [("a-r", 12000, 18000)]
+    assert sorted((r["start_ms"], r["end_ms"]) for r in after["captions"].collect()) == [(0, 5000), (1000, 3000)]
+    assert after["settings"].first()["hook_end_ms"] == 6000
