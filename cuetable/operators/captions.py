@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,31 +64,47 @@ def estimated_captions(texts: DataFrame, limit: int = 13, rows: int = 50_000) ->
     return allocate_time(split_text(texts, limit), rows).withColumn("timestamp_source", F.lit("estimated_segment"))
 
 
-def prefix_sums(sizes: Column, block: int = 16) -> Column:
-    """Sums of all earlier elements of an array, by blocks so that long arrays stay near linear."""
-    zero = lambda: F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<bigint>").alias("out"))
-    add = lambda acc, x: F.struct((acc["total"] + x).alias("total"), F.array_append(acc["out"], acc["total"]).alias("out"))
-    local = lambda all_: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(all_)), F.lit(block)), lambda at: F.aggregate(F.slice(all_, at, block), zero(), add))
-    bases = lambda parts: F.aggregate(F.transform(parts, lambda part: part["total"]), zero(), add)["out"]
-    joined = lambda parts: F.flatten(F.zip_with(parts, bases(parts), lambda part, base: F.transform(part["out"], lambda v: v + base)))
-    return _once(_once(sizes, local), joined)
-
-
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out a single time however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def strip_marks(texts: DataFrame) -> DataFrame:
     """Punctuation runs with their position in the text without punctuation, row by row."""
-    texts = spread(texts)
-    marks = F.regexp_extract_all("text", F.lit(f"{PUNCT_CLASS}+"), F.lit(0))
-    sizes = F.transform(F.split("text", f"{PUNCT_CLASS}+", -1), lambda part: F.length(part).cast("bigint"))
-    # The k-th mark follows the first k + 1 stretches of content.
-    done = _once(prefix_sums(sizes), lambda sums: F.slice(sums, 2, F.size(sums)))
-    placed = F.zip_with(marks, done, lambda mark, at: F.struct(at.alias("pos"), mark.alias("mark")))
-    return texts.select("video_id", "seg_id", F.explode(placed).alias("r")).select("video_id", "seg_id", "r.pos", "r.mark")
+    ship(texts.sparkSession)
+    rows = spread(texts).select("video_id", "seg_id", F.col("text").cast("binary").alias("text"))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _stretches(batches):
+            row, pos, marks = _mark_runs(part.column("text"))
+            own = pa.array(row)
+            yield pa.RecordBatch.from_arrays([part.column("video_id").take(own), part.column("seg_id").take(own), pa.array(pos), marks], ["video_id", "seg_id", "pos", "mark"])
+
+    return rows.mapInArrow(runs, f"{_key_ddl(texts)}, pos bigint, mark string")
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about ``most`` bytes of text."""
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False))
+        cuts = [0, *(np.flatnonzero(np.diff(sizes // most)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:]) if hi > lo)
+
+
+def _mark_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row, position and characters of every run of punctuation, over all texts at once."""
+    decoded = [(t or b"").decode("utf-8", "replace") for t in texts.to_pylist()]
+    sizes = np.array([len(t) for t in decoded], np.int64)
+    points = np.frombuffer("".join(decoded).encode("utf-32-le"), np.uint32)
+    marked = np.append(np.isin(np.arange(0x10000), [ord(c) for c in fixed.PUNCTUATION]), False)[np.minimum(points, 0x10000)]
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    opens = marked.copy()
+    opens[1:] &= ~marked[:-1]
+    opens[first] = marked[first]
+    at = np.flatnonzero(opens)
+    row = np.repeat(np.arange(len(sizes)), sizes)[at]
+    content = np.append(0, np.cumsum(~marked))
+    found = points[marked]
+    widths = np.append(0, np.cumsum(1 + (found > 0x7F).astype(np.int64) + (found > 0x7FF)))
+    offsets = np.append(widths[np.cumsum(marked)[at] - 1], widths[-1]).astype(np.int32)
+    data = found.tobytes().decode("utf-32-le").encode()
+    marks = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return row, content[at] - content[(np.cumsum(sizes) - sizes)[row]], marks
 
 
 def _fingerprint(pos: Column, char: Column) -> Column:
