@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuetable import fixed
-from cuetable.functions.text import PUNCT_CLASS, WORD_CHAR, char_class, normalize_text, text_limit, word_continues
+from cuetable.functions.text import PUNCT_CLASS, WORD_CHAR, is_word_char, normalize_text, text_limit
 from cuetable.operators.timeline import allocate_time
 from cuetable.plans.folders import cut_lineage
 from cuetable.plans.ordered import EvenTime, by_position, ordered
@@ -20,7 +20,7 @@ from cuetable.plans.shipping import ship
 from cuetable.plans.spread import spread
 
 #: Characters of a segment that are worked through at a time.
-CHUNK_CHARS = 256
+CHUNK_CHARS = 2_048
 EDGE_MARKS = "，。！？；,.!?; "
 
 
@@ -111,25 +111,22 @@ def _fingerprint(pos: Column, char: Column) -> Column:
     return F.xxhash64(pos.cast("bigint"), F.lower(char))
 
 
-def matching_marks(chars: DataFrame, texts: DataFrame) -> DataFrame:
-    """Marks to set between the characters of each segment.
+def marks_by_chunk(texts: DataFrame, chunk: int) -> DataFrame:
+    """Marks of each text as lists, those after the ``chunk`` characters of a chunk in one row."""
+    ship(texts.sparkSession)
+    rows = texts.select("video_id", "seg_id", F.col("text").cast("binary").alias("text"))
 
-    They come from the punctuated text where that, without its marks, spells the same
-    characters; otherwise, or when it has none, from the spaces the tokens carried.
-    Spelling is compared by count and a 64-bit fingerprint of positions and characters,
-    so no segment is gathered in one place.
-    """
-    content = F.filter(F.split(F.regexp_replace("text", PUNCT_CLASS, ""), ""), lambda c: c != "")
-    spelled = texts.select("video_id", "seg_id", F.size(content).cast("bigint").alias("_tn"), F.aggregate(
-        F.transform(content, lambda c, i: _fingerprint(i, c)), F.lit(0).cast("bigint"), lambda a, h: a.bitwiseXOR(h)).alias("_th"))
-    heard = chars.groupBy("video_id", "seg_id").agg(
-        F.count(F.lit(1)).alias("_cn"), F.bit_xor(_fingerprint(F.col("pos"), F.col("text"))).alias("_ch"))
-    same = spelled.join(heard, ["video_id", "seg_id"]).filter((F.col("_tn") == F.col("_cn")) & (F.col("_th") == F.col("_ch")))
-    written = strip_marks(texts).join(same.select("video_id", "seg_id"), ["video_id", "seg_id"], "left_semi")
-    spaced = chars.filter(F.coalesce(F.col("prefix"), F.lit("")) != "").select(
-        "video_id", "seg_id", F.col("pos").cast("bigint").alias("pos"), F.col("prefix").alias("mark"))
-    spaced = spaced.join(written.select("video_id", "seg_id").distinct(), ["video_id", "seg_id"], "left_anti")
-    return written.unionByName(spaced)
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _stretches(batches):
+            row, pos, marks = _mark_runs(part.column("text"))
+            place = np.maximum(pos - 1, 0) // chunk
+            first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (place[1:] != place[:-1]))[:len(row)])
+            items = pa.StructArray.from_arrays([pa.array(pos), marks], ["pos", "mark"])
+            own = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays([part.column("video_id").take(own), part.column("seg_id").take(own), pa.array(place[first]),
+                                              pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), items)], ["video_id", "seg_id", "chunk", "_m"])
+
+    return rows.mapInArrow(lists, f"{_key_ddl(texts)}, chunk bigint, _m array<struct<pos:bigint,mark:string>>")
 
 
 def segment_captions(
@@ -142,85 +139,99 @@ def segment_captions(
     its segment, but never inside a word and, mark or pause, never on a single character.
     Segments without characters fall back to :func:`estimated_captions`.
 
-    A segment is cut into chunks of ``chunk`` characters wherever they fall. What a chunk does depends on how many characters wait before
-    it, up to the limit, beyond which they count alike; so a chunk of a longer segment is run for each of these numbers at once, one walk links the numbers,
-    and then each chunk is run from the right one. Captions over a cut are put together by their number.
+    Marks come from the punctuated text where that, without its marks, spells the same characters; otherwise, or when it has none, from the spaces
+    the tokens carried. Spelling is compared by count and a 64-bit fingerprint of positions and characters.
+
+    Characters are gathered once, in chunks of ``chunk`` wherever these fall. Segments of one chunk are run at once, side by side. What a chunk of a longer
+    one does depends on how many characters wait before it, up to the limit, beyond which they count alike; so it is run for each of these numbers at once,
+    one walk links the numbers, and then each chunk is run from the right one. Captions over a cut are put together by their number.
     """
     ship(chars.sparkSession)
     key, most = ["video_id", "seg_id"], max(42, limit)
     chunk = max(chunk, most + 1)
-    spans = texts.select(*key, F.col("start_ms").alias("seg_start_ms"), F.col("end_ms").alias("seg_end_ms"), text_limit(F.col("text"), limit).alias("_limit"))
-    place = lambda pos: F.floor(pos / chunk).cast("bigint").alias("chunk")
-    pos = F.col("pos").cast("bigint")
-    heard = chars.select(*key, place(pos), F.struct(pos.alias("pos"), F.col("text").alias("char"), F.col("start_ms").cast("bigint").alias("start_ms"), F.col("end_ms").cast("bigint").alias("end_ms")).alias("c"),
-                         F.lit(None).cast("struct<pos:bigint,mark:string>").alias("m"))
-    marks = matching_marks(chars, texts).select(*key, place(F.greatest(pos - 1, F.lit(0))), F.lit(None).cast(heard.schema["c"].dataType).alias("c"), F.struct(pos.alias("pos"), "mark").alias("m"))
-    chunks = heard.unionByName(marks).groupBy(*key, "chunk").agg(F.sort_array(F.collect_list("c")).alias("_c"), F.map_from_entries(F.collect_list("m")).alias("_m")).filter(F.size("_c") > 0)
-    chunks = cut_lineage(chunks.join(spans, key), "caption-chunks")
-    starts = F.transform("_c", lambda c: c["start_ms"])
-    chunks = ordered(chunks, key, ["chunk"], by_position("chunk", rows), lead={"_next": F.get("_c", F.lit(0))}, lag={"_lead": F.slice(starts, F.greatest(F.lit(1), F.size("_c") - most + 1), most)})
-
-    def seen(c: Column, i: Column) -> Column:
-        after = F.coalesce(F.get("_c", i + 1), F.col("_next"))
-        ends, mark = after.isNull(), F.coalesce(F.try_element_at("_m", c["pos"] + 1), F.lit(""))
-        head = F.when(c["pos"] == 0, F.coalesce(F.try_element_at("_m", F.lit(0).cast("bigint")), F.lit(""))).otherwise("")
-        signal = mark.rlike(char_class(fixed.STRONG_MARKS)) | (after["start_ms"] - c["end_ms"] >= gap_ms)
-        return F.struct(c["start_ms"].alias("start"), c["end_ms"].alias("end"), F.concat(head, c["char"], mark).alias("piece"), (ends | ~word_continues(c["char"], after["char"], mark)).alias("boundary"),
-                        (ends | F.coalesce(signal, F.lit(False))).alias("signal"), ends.alias("final"), after["start_ms"].alias("next"))
-
-    chunks = chunks.select(*key, "chunk", "seg_start_ms", "seg_end_ms", "_limit", F.coalesce("_lead", F.array().cast("array<bigint>")).alias("_lead"), F.transform("_c", seen).alias("items"))
-    chunks = cut_lineage(chunks, "caption-items")
-    longer = chunks.groupBy(*key).agg(F.max("chunk").alias("_last")).filter("_last > 0")
-    inner = chunks.join(longer, key).filter("chunk < _last").select(*key, "chunk", "_limit", "_lead", "items")
-
-    def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(at, 200) for at in range(0, batch.num_rows, 200)):
-                run = _Chunks(part, longest_ms)
-                size = run.limit + 1
-                lane = np.repeat(np.arange(part.num_rows), size)
-                entry = np.arange(len(lane)) - np.repeat(np.cumsum(size) - size, size)
-                waiting, breaks, _ = run.through(lane, entry)
-                cuts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int64))) for x in (waiting, breaks)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*key, "chunk")), *lists], [*key, "chunk", "exits", "breaks"])
-
-    passed = inner.mapInArrow(transitions, f"{_key_ddl(chars)}, chunk bigint, exits array<bigint>, breaks array<bigint>")
-    linked = cut_lineage(passed.repartition(*key).sortWithinPartitions(*key, "chunk").mapInPandas(_entries, f"{_key_ddl(chars)}, chunk bigint, entry bigint, before bigint"), "caption-entries")
-    placed = chunks.join(linked, [*key, "chunk"], "left").withColumn("entry", F.coalesce("entry", F.lit(0))).withColumn("before", F.coalesce("before", F.lit(0)))
+    pos, char = F.col("pos").cast("bigint"), F.col("text")
+    kind = F.when(is_word_char(char), 1).otherwise(0) + F.when(char.rlike("^\\p{N}"), 2).otherwise(0)
+    item = F.struct(pos.alias("pos"), char.alias("char"), F.col("start_ms").cast("bigint").alias("start_ms"), F.col("end_ms").cast("bigint").alias("end_ms"),
+                    F.coalesce("prefix", F.lit("")).alias("prefix"), kind.cast("tinyint").alias("kind"))
+    chunks = chars.groupBy(*key, F.floor(pos / chunk).cast("bigint").alias("chunk")).agg(
+        F.sort_array(F.collect_list(item)).alias("_c"), F.count(F.lit(1)).alias("_n"), F.bit_xor(_fingerprint(pos, char)).alias("_h"))
+    chunks = cut_lineage(chunks, "caption-chars")
+    heard = chunks.groupBy(*key).agg(F.count(F.lit(1)).alias("_parts"), F.sum("_n").alias("_cn"), F.bit_xor("_h").alias("_ch"))
+    content = F.filter(F.split(F.regexp_replace("text", PUNCT_CLASS, ""), ""), lambda c: c != "")
+    spelled = texts.select(*key, F.posexplode(content).alias("_at", "_char")).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("_tn"), F.bit_xor(_fingerprint(F.col("_at"), F.col("_char"))).alias("_th"))
+    spans = texts.select(*key, F.col("start_ms").alias("seg_start_ms"), F.col("end_ms").alias("seg_end_ms"), text_limit(F.col("text"), limit).alias("_limit"), F.col("text").rlike(PUNCT_CLASS).alias("_has"))
+    told = F.coalesce(F.col("_has") & (F.col("_tn") == F.col("_cn")) & (F.col("_th") == F.col("_ch")), F.lit(False))
+    marks = marks_by_chunk(texts, chunk)
+    spans = spans.join(heard, key).join(spelled, key, "left").select(*key, "seg_start_ms", "seg_end_ms", "_limit", "_parts", told.alias("_told"))
+    # A told text whose characters are one chunk has all its marks in chunk 0.
+    spans = spans.join(marks.filter("chunk = 0").select(*key, "_m"), key, "left")
+    held = cut_lineage(chunks.drop("_n", "_h").join(spans, key), "caption-chunks")
+    nothing = held.schema["_c"].dataType.elementType
+    whole = held.filter("_parts = 1").withColumn("_next", F.lit(None).cast(nothing)).withColumn("_lead", F.array().cast("array<bigint>"))
+    kinds = {f.name: f.dataType.simpleString() for f in held.schema.fields}
+    made_ddl = ", ".join(f"{c} {kinds[c]}" for c in (*key, "chunk", "seg_start_ms", "seg_end_ms", "_limit")) + ", piece bigint, s bigint, e bigint, n bigint, text string"
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(at, 1_000) for at in range(0, batch.num_rows, 1_000)):
-                run = _Chunks(part, longest_ms)
+            for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
+                run = _Chunks(part, gap_ms, longest_ms)
                 _, _, number = run.through(np.arange(part.num_rows), part.column("entry").to_numpy())
                 row = np.repeat(np.arange(part.num_rows), run.size)
                 number = number + part.column("before").to_numpy()[row]
                 first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (number[1:] != number[:-1]))[:len(row)])
                 last = np.append(first[1:], len(row)) - 1
-                texts_ = run.items.field("piece").to_pylist()
                 own = pa.array(row[first])
                 yield pa.RecordBatch.from_arrays([
                     *(part.column(c).take(own) for c in (*key, "chunk", "seg_start_ms", "seg_end_ms", "_limit")), pa.array(number[first]), pa.array(run.start[first]), pa.array(run.end[last]),
-                    run.items.field("next").take(pa.array(last)), pa.array(["".join(texts_[x:y + 1]) for x, y in zip(first.tolist(), last.tolist(), strict=True)], pa.string())],
+                    pa.array(run.after[last], mask=run.final[last]), run.texts(first)],
                     [*key, "chunk", "seg_start_ms", "seg_end_ms", "_limit", "piece", "s", "e", "n", "text"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
-    made = placed.select(*key, "chunk", "seg_start_ms", "seg_end_ms", "_limit", "_lead", "items", "entry", "before").mapInArrow(
-        pieces, ", ".join(f"{c} {kinds[c]}" for c in (*key, "chunk", "seg_start_ms", "seg_end_ms", "_limit")) + ", piece bigint, s bigint, e bigint, n bigint, text string")
-    grouped = made.groupBy(*key, "piece").agg(
-        F.min_by("s", "chunk").alias("_s"), F.max_by("e", "chunk").alias("_e"), F.max_by(F.struct("n"), F.col("chunk")).alias("_n"), F.first("seg_start_ms").alias("seg_start_ms"),
-        F.first("seg_end_ms").alias("seg_end_ms"), F.first("_limit").alias("_limit"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "").alias("_text"))
+    none = F.lit(0).cast("bigint")
+    made = whole.withColumn("entry", none).withColumn("before", none).mapInArrow(pieces, made_ddl)
+    ended = made.select(*key, "piece", F.col("s").alias("_s"), F.col("e").alias("_e"), F.col("n").alias("_n"), "seg_start_ms", "seg_end_ms", "_limit", F.col("text").alias("_text"))
+    longer = held.filter("_parts > 1")
+    if not longer.isEmpty():
+        ended = ended.unionByName(_over_cuts(longer.drop("_m").join(marks, [*key, "chunk"], "left"), key, most, rows, gap_ms, longest_ms, pieces, made_ddl))
     start = F.greatest(F.col("seg_start_ms"), F.col("_s") - 30)
-    end = F.least(F.col("seg_end_ms"), F.col("_e") + 120, F.coalesce(F.col("_n.n") - 30, F.col("seg_end_ms")))
-    timed = grouped.select(*key, "piece", F.btrim("_text").alias("text"), start.alias("start_ms"), F.least(F.col("seg_end_ms"), F.greatest(start + 60, end)).alias("end_ms"), "_limit")
+    end = F.least(F.col("seg_end_ms"), F.col("_e") + 120, F.coalesce(F.col("_n") - 30, F.col("seg_end_ms")))
+    timed = ended.select(*key, "piece", F.btrim("_text").alias("text"), start.alias("start_ms"), F.least(F.col("seg_end_ms"), F.greatest(start + 60, end)).alias("end_ms"), "_limit")
     if lone_tail:
         timed = merge_short_tail(cut_lineage(timed, "timed-captions"), "_limit", rows)
     timed = timed.select(*key, "piece", "text", "start_ms", "end_ms", F.lit(timestamp_source).alias("timestamp_source"))
-    silent = texts.join(chars.select(*key).distinct(), key, "left_anti")
+    silent = texts.join(heard.select(*key), key, "left_anti")
     return timed.unionByName(estimated_captions(silent, limit, rows).withColumn("piece", F.col("piece").cast("bigint")))
 
 
+def _over_cuts(chunks: DataFrame, key: list[str], most: int, rows: int, gap_ms: int, longest_ms: int, pieces, made_ddl: str) -> DataFrame:
+    """Captions of segments of several chunks."""
+    starts = F.transform("_c", lambda c: c["start_ms"])
+    chunks = ordered(cut_lineage(chunks, "caption-cuts"), key, ["chunk"], by_position("chunk", rows), is_last="_last",
+                     lead={"_next": F.get("_c", F.lit(0))}, lag={"_lead": F.slice(starts, F.greatest(F.lit(1), F.size("_c") - most + 1), most)})
+    chunks = cut_lineage(chunks.withColumn("_lead", F.coalesce("_lead", F.array().cast("array<bigint>"))), "caption-items")
+
+    def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, 200) for at in range(0, batch.num_rows, 200)):
+                run = _Chunks(part, gap_ms, longest_ms)
+                size = run.limit + 1
+                lane = np.repeat(np.arange(part.num_rows), size)
+                entry = np.arange(len(lane)) - np.repeat(np.cumsum(size) - size, size)
+                waiting, breaks, _ = run.through(lane, entry)
+                cuts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int64))) for x in (waiting, breaks)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*key, "chunk")), *lists], [*key, "chunk", "exits", "breaks"])
+
+    ddl = _key_ddl(chunks)
+    passed = chunks.filter("NOT _last").mapInArrow(transitions, f"{ddl}, chunk bigint, exits array<bigint>, breaks array<bigint>")
+    linked = cut_lineage(passed.repartition(*key).sortWithinPartitions(*key, "chunk").mapInPandas(_entries, f"{ddl}, chunk bigint, entry bigint, before bigint"), "caption-entries")
+    placed = chunks.join(linked, [*key, "chunk"], "left").withColumn("entry", F.coalesce("entry", F.lit(0))).withColumn("before", F.coalesce("before", F.lit(0)))
+    made = placed.mapInArrow(pieces, made_ddl)
+    return made.groupBy(*key, "piece").agg(
+        F.min_by("s", "chunk").alias("_s"), F.max_by("e", "chunk").alias("_e"), F.max_by(F.struct("n"), F.col("chunk"))["n"].alias("_n"), F.first("seg_start_ms").alias("seg_start_ms"),
+        F.first("seg_end_ms").alias("seg_end_ms"), F.first("_limit").alias("_limit"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "").alias("_text"))
+
+
 def _key_ddl(chars: DataFrame) -> str:
     return ", ".join(f"{c} {chars.schema[c].dataType.simpleString()}" for c in ("video_id", "seg_id"))
 
@@ -228,17 +239,63 @@ def _key_ddl(chars: DataFrame) -> str:
 class _Chunks:
     """Chunks of characters as columns, and the rule for captions run over all of them side by side."""
 
-    def __init__(self, rows: pa.RecordBatch, longest_ms: int):
-        items = rows.column("items")
+    def __init__(self, rows: pa.RecordBatch, gap_ms: int, longest_ms: int):
+        items, after = rows.column("_c"), rows.column("_next")
         self.size = items.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         self.begin = np.cumsum(self.size) - self.size
         self.items, self.longest_ms = items.flatten(), longest_ms
-        self.start, self.end, self.boundary, self.signal, self.final = (self.items.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end", "boundary", "signal", "final"))
+        pos, self.start, self.end, kind = (self.items.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "start_ms", "end_ms", "kind"))
+        last = self.begin + self.size - 1
+
+        def following(own: np.ndarray, name: str) -> np.ndarray:
+            """The same value of the character after each."""
+            out = np.append(own[1:], own[:1])
+            out[last] = pc.struct_field(after, name).fill_null(0).to_numpy(zero_copy_only=False)
+            return out
+
+        self.after = following(self.start, "start_ms")
+        self.final = np.zeros(len(pos), bool)
+        self.final[last] = after.is_null().to_numpy(zero_copy_only=False)
+        self._mark(rows, pos, following(pos, "pos"), last)
+        joint = np.array([1 if m in ("", "'", "’", "-") else 2 if m == "." else 0 for m in self.names])[self.mark]
+        strong = np.array([any(c in fixed.STRONG_MARKS for c in m) for m in self.names])[self.mark]
+        both = kind & following(kind, "kind")
+        self.boundary = self.final | ~(((both & 1) > 0) & ((joint == 1) | ((joint == 2) & ((both & 2) > 0))))
+        self.signal = self.final | strong | (self.after - self.end >= gap_ms)
         self.limit = rows.column("_limit").to_numpy(zero_copy_only=False).astype(np.int64)
         lead = rows.column("_lead")
         self.lead_size = lead.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         self.lead_end, self.lead = np.cumsum(self.lead_size), lead.flatten().to_numpy(zero_copy_only=False)
 
+    def _mark(self, rows: pa.RecordBatch, pos: np.ndarray, next_pos: np.ndarray, last: np.ndarray) -> None:
+        """Number of the mark after each character, and before the first of a segment: the text's where it is told, else what the next one carries."""
+        told, lists, n = rows.column("_told").to_numpy(zero_copy_only=False), rows.column("_m"), len(pos)
+        prefix, written = self.items.field("prefix"), lists.flatten()
+        coded = pa.concat_arrays([pa.array([""]), prefix, pc.struct_field(rows.column("_next"), "prefix").fill_null(""), written.field("mark")]).dictionary_encode()
+        self.names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        own, carried, code = code[1:n + 1], np.append(code[2:n + 1], code[:1])[:n], code[n + 1:]
+        carried[last] = code[:len(last)]
+        row = np.repeat(np.arange(len(last)), self.size)
+        spaced = ~told[row]
+        self.mark = np.where(spaced & (next_pos == pos + 1) & ~self.final, carried, 0)
+        self.head = np.where(spaced & (pos == 0), own, 0)
+        at_row = np.repeat(np.arange(len(last)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, code = written.field("pos").to_numpy(zero_copy_only=False).astype(np.int64), code[len(last):]
+        wide = max(int(pos.max(initial=0)), int(at.max(initial=0))) + 2
+        for names, target in ((self.mark, at - 1), (self.head, np.where(at == 0, 0, -1))):
+            found = np.searchsorted(row * wide + pos, at_row * wide + target)
+            there = told[at_row] & (target >= 0) & (found < n)
+            there[there] = (row * wide + pos)[found[there]] == (at_row * wide + target)[there]
+            names[found[there]] = code[there]
+
+    def texts(self, first: np.ndarray) -> pa.Array:
+        """The captions that begin at ``first`` and reach to the next one, with their marks."""
+        names = pa.array(self.names, pa.string())
+        joined = pc.binary_join_element_wise(names.take(pa.array(self.head)), self.items.field("char").fill_null(""), names.take(pa.array(self.mark)), "")
+        _, offsets, data = joined.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[joined.offset:joined.offset + len(joined) + 1]
+        return pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(np.append(offsets[first], offsets[-1]).astype(np.int32)), data])
+
     def through(self, chunk: np.ndarray, waiting: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """How many characters wait after each run and how many captions ended in it; with one run a chunk, also the number of each character's caption."""
         limit = self.limit[chunk]
