@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -161,31 +163,41 @@ def _distance() -> Column:
     return F.coalesce(F.least(left, right), F.col("duration_ms"))
 
 
-def _fill_gaps(group: pd.DataFrame) -> pd.DataFrame:
-    """Fills gaps between chosen markers: in each, always the caption farthest from any marker."""
-    group = group.sort_values(["_before", "_after", "start_ms", "index"])
-    video = group["video_id"].iloc[0]
-    columns = [group[c].tolist() for c in ("_before", "_after", "start_ms", "index", "duration_ms")]
-    before, after, at, index, duration = columns
-    rows, lo = [], 0
-    while lo < len(at):
-        hi = lo
-        while hi < len(at) and before[hi] == before[lo] and after[hi] == after[lo]:
-            hi += 1
-        spans = [(lo, hi, None if before[lo] == OPEN else before[lo], None if after[lo] == OPEN else after[lo])]
-        while spans:
-            first, stop, left, right = spans.pop()
-            best, far = None, CLOSEST_MS - 1
-            for i in range(first, stop):
-                ends = [abs(at[i] - end) for end in (left, right) if end is not None]
-                near = min(ends) if ends else duration[i]
-                if near > far:
-                    best, far = i, near
-            if best is not None:
-                rows.append((video, index[best], far))
-                spans += [(first, best, left, at[best]), (best + 1, stop, at[best], right)]
-        lo = hi
-    return pd.DataFrame(rows, columns=["video_id", "index", "distance"])
+def _fill_gaps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fills gaps between chosen markers: in each, always the caption farthest from any marker. Rows come in order, one gap is held."""
+    columns = ["video_id", "_before", "_after", "start_ms", "index", "duration_ms"]
+    gap, held = None, []
+    for frame in frames:
+        out = []
+        for video, before, after, at, index, duration in frame[columns].itertuples(index=False, name=None):
+            if (video, before, after) != gap:
+                _fill(gap, held, out)
+                gap, held = (video, before, after), []
+            held.append((at, index, duration))
+        yield pd.DataFrame(out, columns=["video_id", "index", "distance"])
+    out = []
+    _fill(gap, held, out)
+    yield pd.DataFrame(out, columns=["video_id", "index", "distance"])
+
+
+def _fill(gap: tuple | None, held: list[tuple[int, int, int]], out: list[tuple]) -> None:
+    """Adds the captions to mark in one gap, whose own are ``(start, index, duration)`` in order."""
+    if gap is None:
+        return
+    video, before, after = gap
+    spans = [(0, len(held), None if before == OPEN else before, None if after == OPEN else after)]
+    while spans:
+        first, stop, left, right = spans.pop()
+        best, far = None, CLOSEST_MS - 1
+        for i in range(first, stop):
+            at, _, duration = held[i]
+            ends = [abs(at - end) for end in (left, right) if end is not None]
+            near = min(ends) if ends else duration
+            if near > far:
+                best, far = i, near
+        if best is not None:
+            out.append((video, held[best][1], far))
+            spans += [(first, best, left, held[best][0]), (best + 1, stop, held[best][0], right)]
 
 
 def place_markers(
@@ -252,9 +264,9 @@ def place_markers(
     ship(state.sparkSession)
     gaps = cut_lineage(wanting.select("video_id", "index", "start_ms", "_before", "_after", "duration_ms"), "marker-wanting")
     early, gaps = _split_long_gaps(gaps, gap_rows)
-    # Gaps of one span of a video share a call; together they are as bounded as the span.
-    third = (gaps.withColumn("_span", by_time("_before", span_ms)).groupBy("video_id", "_span")
-             .applyInPandas(_fill_gaps, "video_id string, index bigint, distance bigint"))
+    # Gaps are dealt by their ends and filled one after the other as they pass.
+    gap = ["video_id", "_before", "_after"]
+    third = (gaps.repartition(*gap).sortWithinPartitions(*gap, "start_ms", "index").mapInPandas(_fill_gaps, "video_id string, index bigint, distance bigint"))
     third = third if early is None else third.unionByName(early)
     third = third.join(state.select("video_id", "index", "start_ms"), ["video_id", "index"])
     third = _first_ranked(cut_lineage(third, "marker-third"), counts, [(-F.col("distance")).alias("_rank")], span_ms)
