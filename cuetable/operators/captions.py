@@ -150,13 +150,14 @@ def segment_captions(
     key, most = ["video_id", "seg_id"], max(42, limit)
     chunk = max(chunk, most + 1)
     pos, char = F.col("pos").cast("bigint"), F.col("text")
-    kind = F.when(is_word_char(char), 1).otherwise(0) + F.when(char.rlike("^\\p{N}"), 2).otherwise(0)
-    item = F.struct(pos.alias("pos"), char.alias("char"), F.col("start_ms").cast("bigint").alias("start_ms"), F.col("end_ms").cast("bigint").alias("end_ms"),
-                    F.coalesce("prefix", F.lit("")).alias("prefix"), kind.cast("tinyint").alias("kind"))
-    chunks = chars.groupBy(*key, F.floor(pos / chunk).cast("bigint").alias("chunk")).agg(
-        F.sort_array(F.collect_list(item)).alias("_c"), F.count(F.lit(1)).alias("_n"), F.bit_xor(_fingerprint(pos, char)).alias("_h"))
-    chunks = cut_lineage(chunks, "caption-chars")
-    heard = chunks.groupBy(*key).agg(F.count(F.lit(1)).alias("_parts"), F.sum("_n").alias("_cn"), F.bit_xor("_h").alias("_ch"))
+    plain = F.ascii(char)
+    word = F.when(plain.between(97, 122) | plain.between(65, 90), 1).when(plain.between(48, 57), 3).when(plain < 128, 0)
+    kind = F.coalesce(word, F.when(is_word_char(char), 1).otherwise(0) + F.when(char.rlike("^\\p{N}"), 2).otherwise(0))
+    placed = chars.select(*key, F.floor(pos / chunk).cast("bigint").alias("chunk"), pos.alias("pos"), char.alias("char"), F.col("start_ms").cast("bigint").alias("start_ms"),
+                          F.col("end_ms").cast("bigint").alias("end_ms"), F.coalesce("prefix", F.lit("")).alias("prefix"), kind.cast("tinyint").alias("kind"), _fingerprint(pos, char).alias("_h"))
+    dealt = placed.repartition(*key, "chunk").sortWithinPartitions(*key, "chunk", "pos")
+    chunks = cut_lineage(dealt.mapInArrow(lambda batches: _gathered(batches, most), f"{_key_ddl(chars)}, {PACKED}, _held bigint, _h bigint"), "caption-chars")
+    heard = chunks.groupBy(*key).agg(F.count(F.lit(1)).alias("_parts"), F.sum("_held").alias("_cn"), F.bit_xor("_h").alias("_ch"))
     content = F.filter(F.split(F.regexp_replace("text", PUNCT_CLASS, ""), ""), lambda c: c != "")
     spelled = texts.select(*key, F.posexplode(content).alias("_at", "_char")).groupBy(*key).agg(
         F.count(F.lit(1)).alias("_tn"), F.bit_xor(_fingerprint(F.col("_at"), F.col("_char"))).alias("_th"))
@@ -166,9 +167,10 @@ def segment_captions(
     spans = spans.join(heard, key).join(spelled, key, "left").select(*key, "seg_start_ms", "seg_end_ms", "_limit", "_parts", told.alias("_told"))
     # A told text whose characters are one chunk has all its marks in chunk 0.
     spans = spans.join(marks.filter("chunk = 0").select(*key, "_m"), key, "left")
-    held = cut_lineage(chunks.drop("_n", "_h").join(spans, key), "caption-chunks")
-    nothing = held.schema["_c"].dataType.elementType
-    whole = held.filter("_parts = 1").withColumn("_next", F.lit(None).cast(nothing)).withColumn("_lead", F.array().cast("array<bigint>"))
+    spans = cut_lineage(spans, "caption-spans")
+    held = chunks.drop("_h").join(spans.hint("merge"), key)
+    alone = F.lit(None).cast(held.schema["_first"].dataType).alias("_next"), F.array().cast("array<bigint>").alias("_lead")
+    whole = held.filter("_parts = 1").select("*", *alone)
     kinds = {f.name: f.dataType.simpleString() for f in held.schema.fields}
     made_ddl = ", ".join(f"{c} {kinds[c]}" for c in (*key, "chunk", "seg_start_ms", "seg_end_ms", "_limit")) + ", piece bigint, s bigint, e bigint, n bigint, text string"
 
@@ -191,8 +193,8 @@ def segment_captions(
     made = whole.withColumn("entry", none).withColumn("before", none).mapInArrow(pieces, made_ddl)
     ended = made.select(*key, "piece", F.col("s").alias("_s"), F.col("e").alias("_e"), F.col("n").alias("_n"), "seg_start_ms", "seg_end_ms", "_limit", F.col("text").alias("_text"))
     longer = held.filter("_parts > 1")
-    if not longer.isEmpty():
-        ended = ended.unionByName(_over_cuts(longer.drop("_m").join(marks, [*key, "chunk"], "left"), key, most, rows, gap_ms, longest_ms, pieces, made_ddl))
+    if not spans.filter("_parts > 1").isEmpty():
+        ended = ended.unionByName(_over_cuts(longer.drop("_m").join(marks, [*key, "chunk"], "left"), key, rows, gap_ms, longest_ms, pieces, made_ddl))
     start = F.greatest(F.col("seg_start_ms"), F.col("_s") - 30)
     end = F.least(F.col("seg_end_ms"), F.col("_e") + 120, F.coalesce(F.col("_n") - 30, F.col("seg_end_ms")))
     timed = ended.select(*key, "piece", F.btrim("_text").alias("text"), start.alias("start_ms"), F.least(F.col("seg_end_ms"), F.greatest(start + 60, end)).alias("end_ms"), "_limit")
@@ -203,11 +205,50 @@ def segment_captions(
     return timed.unionByName(estimated_captions(silent, limit, rows).withColumn("piece", F.col("piece").cast("bigint")))
 
 
-def _over_cuts(chunks: DataFrame, key: list[str], most: int, rows: int, gap_ms: int, longest_ms: int, pieces, made_ddl: str) -> DataFrame:
+#: A chunk of characters, its columns packed, with its first character and its last starts for the chunks beside it.
+PACKED = ("chunk bigint, _pos binary, _starts binary, _ends binary, _kind binary, _char string, _char_sizes binary, _prefix string, _prefix_sizes binary, "
+          "_first struct<pos:bigint,start_ms:bigint,prefix:string,kind:tinyint>, _tail array<bigint>")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Sorted characters as one row a chunk with their number and fingerprint; a chunk is held until the next one begins."""
+    keys, held = ["video_id", "seg_id", "chunk"], None
+
+    def rows(part: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
+        ends, own = np.append(first, part.num_rows), pa.array(first)
+        columns = {k: part.column(k).take(own) for k in keys}
+        for name, column in (("_pos", "pos"), ("_starts", "start_ms"), ("_ends", "end_ms"), ("_kind", "kind")):
+            columns[name] = _packed(part.column(column).to_numpy(), ends)
+        for name, column in (("_char", "char"), ("_prefix", "prefix")):
+            data, offsets = _bytes_of(pc.fill_null(part.column(column), ""))
+            columns[name] = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(offsets[ends].astype(np.int32)), pa.py_buffer(data)])
+            columns[f"{name}_sizes"] = _packed(np.diff(offsets).astype(np.int32), ends)
+        columns["_first"] = pa.StructArray.from_arrays([part.column(c).take(own) for c in ("pos", "start_ms", "prefix", "kind")], ["pos", "start_ms", "prefix", "kind"])
+        sizes = np.minimum(np.diff(ends), most)
+        cuts = np.append(0, np.cumsum(sizes))
+        tail = np.arange(cuts[-1]) + np.repeat(ends[1:] - cuts[1:], sizes)
+        columns["_tail"] = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), part.column("start_ms").take(pa.array(tail)))
+        columns["_held"], columns["_h"] = pa.array(np.diff(ends)), pa.array(np.bitwise_xor.reduceat(part.column("_h").to_numpy(), first))
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    for batch in batches:
+        part = batch if held is None else pa.concat_batches([held, batch])
+        if part.num_rows == 0:
+            continue
+        new = np.ones(part.num_rows, bool)
+        new[1:] = np.logical_or.reduce([pc.fill_null(pc.not_equal(c[1:], c[:-1]), True).to_numpy(zero_copy_only=False) for c in (part.column(k) for k in keys)])
+        first = np.flatnonzero(new)
+        cut = int(first[-1])
+        if cut:
+            yield rows(part.slice(0, cut), first[:-1])
+        held = part.slice(cut)
+    if held is not None and held.num_rows:
+        yield rows(held, np.array([0]))
+
+
+def _over_cuts(chunks: DataFrame, key: list[str], rows: int, gap_ms: int, longest_ms: int, pieces, made_ddl: str) -> DataFrame:
     """Captions of segments of several chunks."""
-    starts = F.transform("_c", lambda c: c["start_ms"])
-    chunks = ordered(cut_lineage(chunks, "caption-cuts"), key, ["chunk"], by_position("chunk", rows), is_last="_last",
-                     lead={"_next": F.get("_c", F.lit(0))}, lag={"_lead": F.slice(starts, F.greatest(F.lit(1), F.size("_c") - most + 1), most)})
+    chunks = ordered(cut_lineage(chunks, "caption-cuts"), key, ["chunk"], by_position("chunk", rows), is_last="_last", lead={"_next": F.col("_first")}, lag={"_lead": F.col("_tail")})
     chunks = cut_lineage(chunks.withColumn("_lead", F.coalesce("_lead", F.array().cast("array<bigint>"))), "caption-items")
 
     def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,15 +277,36 @@ def _key_ddl(chars: DataFrame) -> str:
     return ", ".join(f"{c} {chars.schema[c].dataType.simpleString()}" for c in ("video_id", "seg_id"))
 
 
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Stretches of an array as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column without nulls, and where each value begins and ends in them."""
+    column = column.cast(pa.binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return data[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+def _strings(data: pa.Array, sizes: pa.Array) -> pa.Array:
+    """Strings that were put together, by their sizes."""
+    cuts = np.append(0, np.cumsum(_bytes_of(sizes)[0].view(np.int32), dtype=np.int64)).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(_bytes_of(data)[0])])
+
+
 class _Chunks:
     """Chunks of characters as columns, and the rule for captions run over all of them side by side."""
 
     def __init__(self, rows: pa.RecordBatch, gap_ms: int, longest_ms: int):
-        items, after = rows.column("_c"), rows.column("_next")
-        self.size = items.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        after, self.longest_ms = rows.column("_next"), longest_ms
+        self.size = rows.column("_held").to_numpy()
         self.begin = np.cumsum(self.size) - self.size
-        self.items, self.longest_ms = items.flatten(), longest_ms
-        pos, self.start, self.end, kind = (self.items.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "start_ms", "end_ms", "kind"))
+        pos, self.start, self.end = (_bytes_of(rows.column(c))[0].view(np.int64) for c in ("_pos", "_starts", "_ends"))
+        kind = _bytes_of(rows.column("_kind"))[0].view(np.int8)
+        self.char, self.prefix = (_strings(rows.column(c), rows.column(f"{c}_sizes")) for c in ("_char", "_prefix"))
         last = self.begin + self.size - 1
 
         def following(own: np.ndarray, name: str) -> np.ndarray:
@@ -270,8 +332,8 @@ class _Chunks:
     def _mark(self, rows: pa.RecordBatch, pos: np.ndarray, next_pos: np.ndarray, last: np.ndarray) -> None:
         """Number of the mark after each character, and before the first of a segment: the text's where it is told, else what the next one carries."""
         told, lists, n = rows.column("_told").to_numpy(zero_copy_only=False), rows.column("_m"), len(pos)
-        prefix, written = self.items.field("prefix"), lists.flatten()
-        coded = pa.concat_arrays([pa.array([""]), prefix, pc.struct_field(rows.column("_next"), "prefix").fill_null(""), written.field("mark")]).dictionary_encode()
+        written = lists.flatten()
+        coded = pa.concat_arrays([pa.array([""]), self.prefix, pc.struct_field(rows.column("_next"), "prefix").fill_null(""), written.field("mark")]).dictionary_encode()
         self.names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         own, carried, code = code[1:n + 1], np.append(code[2:n + 1], code[:1])[:n], code[n + 1:]
         carried[last] = code[:len(last)]
@@ -291,7 +353,7 @@ class _Chunks:
     def texts(self, first: np.ndarray) -> pa.Array:
         """The captions that begin at ``first`` and reach to the next one, with their marks."""
         names = pa.array(self.names, pa.string())
-        joined = pc.binary_join_element_wise(names.take(pa.array(self.head)), self.items.field("char").fill_null(""), names.take(pa.array(self.mark)), "")
+        joined = pc.binary_join_element_wise(names.take(pa.array(self.head)), self.char, names.take(pa.array(self.mark)), "")
         _, offsets, data = joined.buffers()
         offsets = np.frombuffer(offsets, np.int32)[joined.offset:joined.offset + len(joined) + 1]
         return pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(np.append(offsets[first], offsets[-1]).astype(np.int32)), data])
