@@ -6,11 +6,11 @@ on such neighbouring values bring similar documents together and hardly others.
 what passes is verified on the full sets.
 
 No list is paired off when it is long. Texts of equal words are one node from the start. Nodes that share a short list are paired. A
-partner missed by that shares long lists alone, so both are crowded: they stand in a long list. Crowded nodes are listed by every single
-value of their sketches too: who has more values in short lists than a partner can lack meets its partners there. For the rest, each long list elects
+partner missed by that shares long lists alone, so both are crowded: they stand in a long list. Crowded nodes are listed by single values too, the first
+ones of their sketches that stand in no long list: who has more of them in short lists than a partner can lack meets its partners there. For the rest, each long list elects
 the node whose values are the most common ones, which in a group of copies is the text that they come from, and all are compared with
 it; only components are asked for, so who lies in a list's largest component is done. Who is still apart after a few elections is compared with the others
-of its lists by bit maps of whole sets, in which similar pairs and hardly others agree.
+of its lists by bit maps of whole sets, in which similar pairs and hardly others agree; a pair comes out of the first list that it shares.
 """
 
 from __future__ import annotations
@@ -25,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuetable.llm.common import Rolling, mixed, slices, table, text_buffer, texts, tidied, word_bounds, written
+from cuetable.llm.common import Rolling, given_back, mixed, slices, table, text_buffer, texts, tidied, word_bounds, written
 from cuetable.llm.components import components
 from cuetable.plans.sizes import broadcast_if_small
 
 WORDS, SIMILAR = 5, 80
 SKETCH, SHORT, OWN_VALUES, ESTIMATE, LEADERS = 64, 32, 28, 0.5, 2
+#: Values listed beyond those needed, and the most longs of the bit map of values in long lists.
+SPARE, LONG_MAP = 4, 16_384
 #: Bits of a bit map, and how many of the smallest hashes it takes.
 BITS, MAPPED = 4_096, 512
 #: Nodes of one block of a list, and askers it meets.
@@ -101,11 +103,15 @@ def triple(at: Column) -> Column:
     return F.xxhash64(*[F.get("sketch", at + k) for k in range(3)])
 
 
+def pair(at: Column) -> Column:
+    return F.xxhash64(*[F.get("sketch", at + k) for k in range(2)])
+
+
 def list_keys(nodes: DataFrame) -> DataFrame:
     """``key, node``: the inverted lists each node stands in; a sketch of one value keys that value."""
     size, none = F.size("sketch"), F.array().cast("array<bigint>")
     triples = F.when(F.col("n") >= TRIPLES_FROM, F.transform(F.sequence(F.lit(0), size - 3), triple)).otherwise(none)
-    pairs = F.when(F.col("n").between(2, PAIRS_TO), F.transform(F.sequence(F.lit(0), size - 2), lambda i: F.xxhash64(F.get("sketch", i), F.get("sketch", i + 1)))).otherwise(none)
+    pairs = F.when(F.col("n").between(2, PAIRS_TO), F.transform(F.sequence(F.lit(0), size - 2), pair)).otherwise(none)
     keys = F.when(F.col("n") == 1, F.transform("sketch", lambda v: F.xxhash64(v))).otherwise(F.concat(triples, pairs))
     return nodes.select("node", F.explode(keys).alias("key"))
 
@@ -152,26 +158,35 @@ def most_unlike(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 
 
 def alike(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of asking and listed nodes of one block that may be alike and are not in one component."""
+    """Pairs of asking and listed nodes of one block that may be alike, are not in one component and share no list of a smaller key."""
     asks = group["asks"].to_numpy(bool)
     x, y = group[asks], group[~asks]
     if not len(x) or not len(y):
         return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+    key = x["key"].iloc[0]
     maps, n, root, node = np.stack(y["map"].to_list()).view(np.uint64), y["n"].to_numpy(), y["root"].to_numpy(), y["node"].to_numpy()
+    before = [k[k < key] for k in y["keys"]]
+    others = np.full((len(y), max(map(len, before))), key)
+    for row, k in zip(others, before, strict=True):
+        row[:len(k)] = k
     out = []
-    for own, size, part, bits in zip(x["node"].to_numpy(), x["n"].to_numpy(), x["root"].to_numpy(), x["map"], strict=True):
+    for own, size, part, bits, keys in zip(x["node"].to_numpy(), x["n"].to_numpy(), x["root"].to_numpy(), x["map"], x["keys"], strict=True):
         near = np.flatnonzero((root != part) & (100 * np.minimum(n, size) >= SIMILAR * np.maximum(n, size)))
         unlike = np.bitwise_count(maps[near] ^ bits.view(np.uint64)).sum(1)  # of signed numbers it counts the magnitude's
-        found = node[near[unlike <= most_unlike(n[near], size)]]
+        near = near[unlike <= most_unlike(n[near], size)]
+        found = node[near[~np.isin(others[near], keys[keys < key]).any(1)]]
         out.append(np.stack([np.minimum(found, own), np.maximum(found, own)]))
     a, b = np.concatenate(out, 1)
+    del maps, others, before, out
+    given_back()
     return pd.DataFrame({"a": a, "b": b})
 
 
 def paired_alike(waiting: DataFrame, lists: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of ``waiting`` and ``lists`` (``key, node, n, root``) that share a list, may be alike by their bit maps and are not in one component.
 
-    Each list is cut into blocks of askers and of listed nodes; a pair of blocks is one group, of which only what is alike comes back.
+    Each list is cut into blocks of askers and of listed nodes; a pair of blocks is one group, of which only what is alike comes back. Who shares
+    several lists is found in the first: there one of the two waits too, or was compared with the whole list as its leader.
     """
     columns = ["key", "node", "n", "root"]
     held = lists.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / LISTED).cast("int").alias("blocks"))
@@ -182,25 +197,40 @@ def paired_alike(waiting: DataFrame, lists: DataFrame, nodes: DataFrame) -> Data
     x = waiting.select(*columns, F.lit(True).alias("asks")).join(held, "key").withColumns({"block": every("blocks"), "asker": spot("askers")})
     y = lists.select(*columns, F.lit(False).alias("asks")).join(held, "key").withColumns({"block": spot("blocks"), "asker": every("askers")})
     placed = x.unionByName(y).withColumn("block", F.explode("block")).withColumn("asker", F.explode("asker")).drop("blocks", "askers")
-    maps = nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "map")
+    maps = nodes.select("node", "map").join(lists.groupBy("node").agg(F.collect_list("key").alias("keys")), "node")
     return placed.join(maps, "node").groupBy("key", "block", "asker").applyInPandas(alike, "a bigint, b bigint").distinct()
 
 
-def short_values(crowd: DataFrame) -> tuple[DataFrame, DataFrame]:
+def long_values(long: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row ``words``: a bit map of the values that the keys of ``long`` lists are made of, of a size that follows their number."""
+    keys = lambda i: F.array(*[triple(i - k) for k in range(3)], *[pair(i - k) for k in range(2)], F.xxhash64(F.get("sketch", i)))
+    one = long.groupBy("key").agg(F.min("node").alias("node")).join(nodes.select("node", "sketch"), "node")
+    values = written(one.select(F.explode(F.filter("sketch", lambda v, i: F.array_contains(keys(i), F.col("key")))).alias("value")).distinct(), "long-values")
+    size = min(LONG_MAP, 1 << (values.count() // 4).bit_length())
+    at = F.pmod("value", F.lit(64 * size))
+    bits = values.groupBy(F.floor(at / 64).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int"))).alias("bits"))
+    filled = long.sparkSession.range(size).join(bits, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")).alias("w"))
+    return written(filled.agg(F.transform(F.sort_array(F.collect_list("w")), lambda w: w["bits"]).alias("words")), "long-map")
+
+
+def short_values(crowd: DataFrame, long: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``node`` of those in ``crowd`` with enough values in short lists to meet all their partners, and the pairs ``a, b`` that meet there.
 
-    The lists hold every value of every sketch in ``crowd``. A set that the sketch holds whole differs from a similar one in a fifth of
-    its values at most; the rarest values, one more than a partner can lack, are enough.
+    The lists hold the first values of every sketch in ``crowd`` outside ``long_values``, which come last in one order for all. A set that the sketch
+    holds whole differs from a similar one in a fifth of its values at most. Of two sketches that each lack fewer of the other's values than ``enough``, the
+    first ``enough + k`` share more than ``k`` values, for any ``k``; with at most ``k`` of a node's in longer lists, it meets the other in a short one.
     """
     enough = F.when(F.col("n") <= SKETCH, F.floor(F.col("n") / 4) + 1).otherwise(OWN_VALUES).cast("int")
-    values = crowd.select("node", "n", F.explode("sketch").alias("key"))
+    at = lambda v: F.pmod(v, F.lit(64) * F.size("words"))
+    rest = F.filter("sketch", lambda v: F.getbit(F.get("words", F.floor(at(v) / 64).cast("int")), (at(v) % 64).cast("int")) == 0)
+    values = crowd.crossJoin(F.broadcast(long_values(long, nodes))).select("node", "n", F.explode(F.slice(rest, F.lit(1), enough + SPARE)).alias("key"))
+    values = written(values, "listed")
     values = written(values.join(values.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") <= SHORT), "key"), "values")
-    free = values.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("held", "key"))).alias("own"))  # of one sketch
-    free = written(free.filter(F.size("own") >= enough).select("node", "n", F.slice("own", F.lit(1), enough).alias("own")), "free")
-    asked = free.select("node", "n", F.explode("own").alias("o")).filter("o.held > 1").select("node", "n", F.col("o.key").alias("key"))
-    x, y = asked.alias("x"), values.filter("held > 1").alias("y")
+    free = written(values.groupBy("node", "n").agg(F.count(F.lit(1)).alias("own")).filter(F.col("own") >= enough).select("node"), "free")
+    listed = values.filter("held > 1")
+    x, y = listed.join(free, "node", "left_semi").alias("x"), listed.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & close_in_size(F.col("x.n"), F.col("y.n")))
-    return free.select("node"), met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return free, met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def paired(lists: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -277,7 +307,7 @@ def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     long = members.filter(F.col("held") > SHORT)
     common = long.groupBy("node").agg(F.sum(F.log2("held")).alias("common"))
     crowd = written(nodes.select("node", "n", "sketch").join(common, "node"), "crowd")
-    free, met = short_values(crowd)
+    free, met = short_values(crowd, long, nodes)
     roots = nodes.select("node", F.col("node").alias("root")).limit(0)
 
     def link(pairs: DataFrame) -> None:

@@ -1,12 +1,15 @@
 """Nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
+import collections
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cuetable.llm import exact_dedup, language, line_dedup, mixing, near_dedup, neighbours, packing, pii, repeats, token_counts
+from cuetable.llm.common import written
 from cuetable.llm.components import components
 from llm.oddities import in_words, no_docs, odd_docs, odd_rows
 
@@ -103,6 +106,38 @@ def test_supersets_of_a_large_group(spark):
     assert len(got) == len(rows) and {r.component_id for r in got} == {0}
 
 
+def test_pairs_come_out_of_one_list():
+    """Of all lists that two nodes share, only the first one names the pair."""
+    maps = [near_dedup.bit_map(np.arange(100, dtype=np.uint64) * np.uint64(128) + np.uint64(k << 20)) for k in (0, 0, 0)]
+    own = [np.array([5, 9]), np.array([9, 5, -3]), np.array([9, 7])]
+    for key, want in ((5, {(1, 2)}), (9, {(1, 3), (2, 3)}), (-3, set())):
+        held = [k for k in range(3) if key in own[k]]
+        rows = [{"key": key, "node": k + 1, "n": 100, "root": k + 1, "asks": asks, "map": maps[k], "keys": own[k]} for k in held for asks in (True, False)]
+        got = near_dedup.alike(pd.DataFrame(rows))
+        assert set(zip(got["a"], got["b"], strict=True)) == want
+
+
+def test_few_values_of_crowded_nodes_are_listed(spark, monkeypatch):
+    """Texts around one passage, some in chains of near copies: one value more than a partner can lack and a few beside, none of the passage's."""
+    listed = []
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: (out := written(df, name), listed.extend(out.collect() if name == "listed" else []))[0])
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(9000)]
+    passage = words[:150]
+    rows = []
+    for k in range(90):
+        own = rng.sample(words[150:], 150)
+        rows.append((10 * k, " ".join([*passage, *own])))
+        for c in range(1, 1 + k % 4):
+            own[rng.randrange(150)] = f"x{k}-{c}"
+            rows.append((10 * k + c, " ".join([*own, *passage])))
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), words=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: d // 10 * 10 for d, _ in rows}
+    most = collections.Counter(r.node for r in listed)
+    assert len(most) > 80 and max(most.values()) <= near_dedup.OWN_VALUES + near_dedup.SPARE
+    assert max(collections.Counter(r.key for r in listed).values()) <= near_dedup.SHORT
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
