@@ -12,7 +12,6 @@ from cuetable.llm.mixing import mix
 from cuetable.llm.near_dedup import near_groups
 from cuetable.llm.packing import pack
 from cuetable.llm.token_counts import vocabulary_path
-from cuetable.plans.sizes import broadcast_if_small
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +36,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; the one cut at its source's target comes whole."""
-    taken = mix(docs).filter("size > 0").select(F.col("doc_id").alias("_doc"), F.col("place").alias("_place"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    taken = broadcast_if_small(written(taken.filter("_copies > 0").dropDuplicates(["_doc", "_place"]), "taken"))
-    rows = docs.join(taken, docs["doc_id"].cast("bigint").eqNullSafe(taken["_doc"]) & (place_of(docs) == taken["_place"]))
-    return rows.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.explode(F.sequence(F.lit(1), taken["_copies"])).alias("copy")).select("row.*")
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    rows = mix(docs, rows_too=True).filter("taken > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), copies)).alias("copy")).select("row.*")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

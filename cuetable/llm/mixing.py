@@ -36,10 +36,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return rows.select("source", "source_size", F.least(F.col("most").cast("double"), F.max("level").over(whole) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, weight: Column | None = None) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, place, source, size, source_size, target, taken``; reruns agree.
+def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, weight: Column | None = None, rows_too: bool = False) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, place, source, size, source_size, target, taken``, and the ``row`` itself if ``rows_too``; reruns agree.
 
-    ``place`` is a hash of the text.
+    ``place`` is a hash of the text. Rows themselves are read a second time, beside the small tables that say what is taken; no text is shuffled.
     Each document expects ``target / source_size`` copies of itself, times ``weight`` where given (relative to 1), at most ``most``. The
     whole part is certain. The fraction is its inclusion probability ``p``: documents are ranked by ``(u / (1 - u)) / (p / (1 - p))`` with
     ``u`` drawn from a hash of ``doc_id``, and taken in this order until the source's words are full; the last one is cut. Rows equal in
@@ -49,15 +49,19 @@ def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = SHAR
     part = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
                        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("place"),
-                       ((part.cast("bigint") + 0.5) / F.lit(4503599627370496.0)).alias("u"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("lift"))
-    rows = written(rows, "sizes")
-    sources = written(source_targets(rows, weights, share, most), "sources").withColumnRenamed("source", "_source")
-    rows = rows.join(broadcast_if_small(sources), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = rows.withColumn("expected", F.least(F.lit(float(most)), rate * F.col("lift"))).withColumn("whole", F.floor("expected"))
-    p, u = F.col("expected") - F.col("whole"), F.col("u")
-    rows = rows.withColumn("rank", F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))).withColumn(
-        "bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS))
+                       ((part.cast("bigint") + 0.5) / F.lit(4503599627370496.0)).alias("u"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("lift"), *([F.struct(*docs.columns).alias("row")] if rows_too else []))
+    again, rows = rows, written(rows.drop("row"), "sizes")
+    sources = broadcast_if_small(written(source_targets(rows, weights, share, most), "sources").withColumnRenamed("source", "_source"))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        rows = rows.join(sources, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+        rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+        rows = rows.withColumn("expected", F.least(F.lit(float(most)), rate * F.col("lift"))).withColumn("whole", F.floor("expected"))
+        p, u = F.col("expected") - F.col("whole"), F.col("u")
+        return rows.withColumn("rank", F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))).withColumn(
+            "bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS))
+
+    rows = ranked(rows)
     # Words still wanted beyond the certain copies, and the bin in which each source fills up.
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("certain"), F.first("target").alias("target"))
     in_source = W.partitionBy("source")
@@ -72,11 +76,12 @@ def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = SHAR
     order = in_source.orderBy("rank", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, -1)
     given = F.least(F.greatest(F.col("_room") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(order), F.lit(0)), F.lit(0)), F.col("n") * F.col("size"))
     kinds = kinds.select(F.col("source").alias("_source"), F.col("doc_id").alias("_doc"), F.col("size").alias("_size"), F.floor(given / F.col("n")).alias("_extra"))
+    rows = ranked(again) if rows_too else rows
     rows = rows.join(broadcast_if_small(written(full, "full")), F.col("source").eqNullSafe(F.col("_of")), "left")
     rows = rows.join(broadcast_if_small(written(kinds, "kinds")), F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
                      & (F.col("size") == F.col("_size")), "left")
     extra = F.when(F.col("bin") <= F.col("_full"), F.col("size")).otherwise(F.coalesce("_extra", F.lit(0)))
-    return rows.select("doc_id", "place", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("bigint").alias("taken"))
+    return rows.select("doc_id", "place", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("bigint").alias("taken"), *(["row"] if rows_too else []))
 
 
 #: Documents of so many words are looked for more often than shorter ones.

@@ -1,5 +1,7 @@
 """The pipeline stage by stage on odd rows and on the smallest tables."""
 
+import collections
+import re
 import sys
 from pathlib import Path
 
@@ -7,6 +9,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline as pipeline  # noqa: E402
 from cuetable.llm.common import written  # noqa: E402
+from cuetable.llm.mixing import mix  # noqa: E402
+from cuetable.plans import sizes  # noqa: E402
 from llm.oddities import in_words, no_docs, odd_docs, odd_rows  # noqa: E402
 
 
@@ -30,6 +34,18 @@ def test_stages(spark):
     assert sum(r.length for r in after["packing"]) >= len(texts["mixing"])
 
 
+def test_sources_without_a_shuffle_of_texts(spark, monkeypatch):
+    """However many documents are taken, only small tables are joined; rows alike in id and text have each the copies of their own source."""
+    monkeypatch.setattr(sizes, "within_rows", lambda df, limit=0: df.count() <= 20)
+    rows = [(k, f"one two three {k}", "en", "abc"[k % 3]) for k in range(300)] + [(900, "four five", "en", "b"), (900, "four five", "en", "d")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    taken = mix(docs, rows_too=True)
+    assert not re.search("SortMergeJoin|Exchange hashpartitioning", pipeline.sources(spark, docs, "")._jdf.queryExecution().executedPlan().toString())
+    want = collections.Counter({(r.row.doc_id, r.row.source): -(-r.taken // r.size) for r in taken.collect()})
+    got = collections.Counter((r.doc_id, r.source) for r in pipeline.sources(spark, docs, "").collect())
+    assert got == +want and got[900, "d"] == 2 > got[900, "b"]
+
+
 def test_empty(spark):
     docs = no_docs(spark)
     for name, stage in pipeline.STAGES:
