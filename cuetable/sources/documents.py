@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
 from cuetable import fixed
 from cuetable.functions.ids import file_name
 from cuetable.plans.commits import append_new, commit, commits
 from cuetable.plans.folders import cut_lineage
+from cuetable.plans.sizes import broadcast_if_small
 
-#: Documents of one bucket, that is of one folder of files, before it is split.
+#: Documents of one bucket before it is split.
 BUCKET_DOCS = 2_000
+#: A commit's buckets lie in files of their own, or in shelves of about so many documents where that were more files than these.
+SHELF_DOCS, SHELVES = 10_000, 64
 
 
 def _bucket(video_id: Column, depth: Column) -> Column:
@@ -23,20 +27,27 @@ def _bucket(video_id: Column, depth: Column) -> Column:
 
 
 def _buckets(spark: SparkSession, folder: str) -> DataFrame | None:
-    """``depth, bucket, version`` of the buckets that hold the documents now; none if nothing was ever written."""
+    """``depth, bucket, version, shelf`` of the buckets that hold the documents now; none if nothing was ever written."""
     versions = commits(spark, folder)
     if not versions:
         return None
     entries = spark.read.parquet(*[f"{folder}/{v}/buckets" for v in versions])
-    last = entries.groupBy("depth", "bucket").agg(F.max_by(F.struct("version", "live"), "number").alias("e"))
-    return last.filter("e.live").select("depth", "bucket", "e.version")
+    last = entries.groupBy("depth", "bucket").agg(F.max_by(F.struct("version", "live", "shelf"), "number").alias("e"))
+    return last.filter("e.live").select("depth", "bucket", "e.version", "e.shelf")
 
 
 def _documents(spark: SparkSession, folder: str, schema: StructType, buckets: DataFrame) -> DataFrame:
-    """Documents of the named buckets; no other file is opened or listed."""
-    paths = [f"{folder}/{r.version}/documents/_depth={r.depth}/_bucket={r.bucket}" for r in buckets.collect()]  # as many as there are files
+    """Documents of the named buckets; no file without one is opened or listed."""
+    files = buckets.select("version", "shelf").distinct().collect()  # as many as there are files
+    paths = [f"{folder}/{r.version}/documents/_shelf={r.shelf}" for r in files]
     full = StructType([f for f in schema.fields if f.name != "_corrupt"])
-    return spark.read.schema(full).json(paths) if paths else spark.createDataFrame([], full)
+    if not paths:
+        return spark.createDataFrame([], full)
+    rows = spark.read.schema(StructType([*full.fields]).add("_depth", IntegerType()).add("_bucket", LongType())).json(paths)
+    # What a shelf holds besides was written anew in another version.
+    rows = rows.withColumn("_version", F.regexp_extract(F.col("_metadata.file_path"), r"/(version-[0-9a-f]+)/documents/_shelf=[0-9]+/[^/]*$", 1))
+    named = broadcast_if_small(buckets.select(F.col("depth").alias("_depth"), F.col("bucket").alias("_bucket"), F.col("version").alias("_version")))
+    return rows.join(named, ["_depth", "_bucket", "_version"], "left_semi").select(*full.names)
 
 
 def read_projects(spark: SparkSession, folder: str, schema: StructType, multi_line: bool = False) -> DataFrame:
@@ -57,8 +68,8 @@ def write_projects(projects: DataFrame, folder: str, bucket_docs: int = BUCKET_D
     """Writes whole documents, replacing those of the same videos; returns ``depth, bucket, version`` of the buckets written.
 
     Documents lie in buckets by the last bits of their hash, as many bits as their number asks for. A commit lists the buckets it wrote and those
-    that these stand for, so the buckets of a document are found by an equi-join with the list, and only they are read, merged and written anew, under
-    another version. Readers see all of a commit or nothing; if someone else commits first, the work starts again from theirs.
+    that these stand for, so the buckets of a document are found by an equi-join with the list, and only they are merged and written anew, under
+    another version. Many buckets share a file, their shelf, so files follow the size of a commit and not the number of buckets; a bucket is read with its shelf. Readers see all of a commit or nothing; if someone else commits first, the work starts again from theirs.
     """
     spark = projects.sparkSession
     new = cut_lineage(projects, "projects")
@@ -82,12 +93,14 @@ def write_projects(projects: DataFrame, folder: str, bucket_docs: int = BUCKET_D
         rows = cut_lineage(rows.withColumn("_at", _bucket(F.col("video_id"), F.col("_old"))), "documents")
         held = rows.groupBy("_old", "_at").agg(F.count_distinct("video_id").alias("_n"))
         deeper = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / F.lit(bucket_docs)) - 1e-9)).cast("int")
-        sized = held.select("_old", "_at", (F.col("_old") + deeper).cast("int").alias("_depth"))
-        out = rows.join(sized, ["_old", "_at"]).withColumn("_bucket", _bucket(F.col("video_id"), F.col("_depth"))).drop("_old", "_at")
-        out.repartition("_depth", "_bucket").write.partitionBy("_depth", "_bucket").json(f"{folder}/{version}/documents")
-        written = rows.join(sized, ["_old", "_at"]).select(F.col("_depth").alias("depth"), _bucket(F.col("video_id"), F.col("_depth")).alias("bucket")).distinct().withColumn("live", F.lit(True))
+        sized = cut_lineage(held.select("_old", "_at", (F.col("_old") + deeper).cast("int").alias("_depth"), "_n"), "sized")
+        shelves = max(SHELVES, math.ceil((sized.agg(F.sum("_n")).first()[0] or 0) / SHELF_DOCS))
+        placed = rows.join(sized.drop("_n"), ["_old", "_at"]).withColumn("_bucket", _bucket(F.col("video_id"), F.col("_depth")))
+        placed = placed.withColumn("_shelf", F.pmod("_bucket", F.lit(shelves)).cast("int")).drop("_old", "_at")
+        placed.repartition(shelves, "_shelf").write.partitionBy("_shelf").json(f"{folder}/{version}/documents")
+        written = placed.select(F.col("_depth").alias("depth"), F.col("_bucket").alias("bucket"), F.col("_shelf").alias("shelf")).distinct().withColumn("live", F.lit(True))
         if touched is not None:
-            gone = touched.select("depth", "bucket").join(written, ["depth", "bucket"], "left_anti").withColumn("live", F.lit(False))
+            gone = touched.select("depth", "bucket").join(written, ["depth", "bucket"], "left_anti").withColumns({"shelf": F.lit(None).cast("int"), "live": F.lit(False)})
             written = written.unionByName(gone)
         written.withColumn("version", F.lit(version)).withColumn("number", F.lit(number)).write.parquet(f"{folder}/{version}/buckets")
         if commit(spark, folder, number, version):

@@ -56,3 +56,17 @@ def test_a_changed_document_rewrites_its_bucket(spark, tmp_path):
     assert read().count() == 5 * n and read().select("video_id").distinct().count() == 5 * n
     documents.write_projects(docs.filter("size < 0"), folder, 20)
     assert read().count() == 5 * n
+
+
+def test_files_follow_documents_and_not_buckets(spark, tmp_path, monkeypatch):
+    """Far more buckets than files; what was written anew is read in its last version alone, though its old shelf is still read for others."""
+    monkeypatch.setattr(documents, "SHELVES", 4)
+    folder, n = str(tmp_path / "docs"), 600
+    docs = spark.range(n).select(F.concat(F.lit("v"), "id").alias("video_id"), F.col("id").alias("size"))
+    first = documents.write_projects(docs, folder, 5)
+    read = lambda: documents.read_projects(spark, folder, docs.schema)
+    assert first.count() > 90 and sum("_shelf=" in f for f in read().inputFiles()) == 4 and read().columns == docs.columns
+    for turn in (1, 2):
+        again = documents.write_projects(docs.filter("size % 50 = 0").withColumn("size", -F.col("size") - turn), folder, 5)
+        assert again.count() < 20
+        assert sorted((r["video_id"], r["size"]) for r in read().collect()) == sorted((f"v{i}", -i - turn if i % 50 == 0 else i) for i in range(n))
