@@ -37,17 +37,19 @@ PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-z0-9à-öø-ÿß]+")
 
 
-class Vocabulary:
-    """Ids of the byte symbols, merges by pair of ids, special strings, and the library's normaliser and splitter."""
+def described(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)
+
+class Merges:
+    """Ids of the byte symbols and merges by pair of ids: a few arrays, which travel to tasks."""
+
+    def __init__(self, model: dict):
         held = model["model"]["vocab"]
         end = model["model"]["end_of_word_suffix"] or ""
         letters = byte_letters()
         self.inner, self.last = np.array([held[c] for c in letters], np.int32), np.array([held[c + end] for c in letters], np.int32)
-        self.byte = {c: b for b, c in enumerate(letters)}
         merges = model["model"]["merges"]
         pairs = np.array([held[a] << 32 | held[b] for a, b in merges], np.int64)
         order = np.argsort(pairs, kind="stable")
@@ -55,14 +57,7 @@ class Vocabulary:
         born = {a + b: rank for rank, (a, b) in enumerate(merges)}
         if len(born) < len(merges) or any(born.get(x, -1) >= rank for rank, pair in enumerate(merges) for x in pair):
             raise ValueError("a merge comes before the tokens that it joins")
-        self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
-        self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.tokenizer = load(path)
-        size = max([*held.values(), *self.special.values()]) + 1
-        self.strings = [b""] * size
-        for token, i in [*held.items(), *self.special.items()]:
-            self.strings[i] = token.encode()
-        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.kind = "<u2" if max([*held.values(), *(t["id"] for t in model["added_tokens"])]) < 1 << 16 else "<u4"
 
     def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words that are not empty, one word after the other, and where each begins.
@@ -121,6 +116,23 @@ class Vocabulary:
         out[inside[held]] = self.pair_rank[found[held]]
         return out
 
+
+class Vocabulary(Merges):
+    """Merges, special strings, and the library's normaliser and splitter."""
+
+    def __init__(self, path: str):
+        model = described(path)
+        super().__init__(model)
+        held = model["model"]["vocab"]
+        self.byte = {c: b for b, c in enumerate(byte_letters())}
+        self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
+        self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.tokenizer = load(path)
+        size = max([*held.values(), *self.special.values()]) + 1
+        self.strings = [b""] * size
+        for token, i in [*held.items(), *self.special.items()]:
+            self.strings[i] = token.encode()
+
     def words(self, chunk: str) -> list[bytes]:
         """The words, as UTF-8, that the library makes of a text without blanks."""
         if PLAIN.fullmatch(chunk):

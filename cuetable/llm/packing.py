@@ -18,21 +18,41 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuetable.llm.common import slices, table, texts, tidied, written
+from cuetable.llm.lexicon import Merges, described
 from cuetable.llm.token_counts import Encoder, vocabulary_path, whole_tokens
 from cuetable.plans.sizes import broadcast_if_small
 
 LENGTH, END = 4096, 2
+#: Words merged side by side, and bytes of text encoded at a time.
+TOGETHER, AT_ONCE = 20_000, 1 << 20
+
+
+class Writer(Encoder):
+    """Token ids by the vocabulary's merges, word by word; the library is loaded only for texts that go to it whole."""
+
+    def __init__(self, path: str, whole: dict[str, int], merges: Merges):
+        self.path, self.ids, self.merges, self.kind = path, True, merges, merges.kind
+        self.whole = {s: self.value([i]) for s, i in whole.items()}
+        self.words = dict(self.whole)
+
+    def merged(self, pieces: list[str]) -> list:
+        out: list = []
+        for at in range(0, len(pieces), TOGETHER):
+            ids, first = self.merges.merged([p.encode() for p in pieces[at:at + TOGETHER]])
+            raw, to = ids.astype(self.kind).tobytes(), (first * np.dtype(self.kind).itemsize).tolist()
+            out += [raw[a:b] for a, b in zip(to[:-1], to[1:], strict=True)]
+        return out
 
 
 def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """``part, at, doc_id, n, ids``: every document's ids as bytes and where they begin among those of its part."""
-    whole = whole_tokens(path)
+    whole, merges = whole_tokens(path), Merges(described(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, at = Encoder(path, whole, ids=True), TaskContext.get().partitionId(), 0
+        own, part, at = Writer(path, whole, merges), TaskContext.get().partitionId(), 0
         last, width = own.value([end]), len(own.value([end]))
         for batch in batches:
-            for rows in slices(batch, limit=2 << 20):
+            for rows in slices(batch, limit=AT_ONCE):
                 ids = [x + last for x in own.encoded(rows.column("text").to_pylist())]
                 n = np.fromiter((len(x) // width for x in ids), np.int64, len(ids))
                 before = at + np.cumsum(n) - n
@@ -50,7 +70,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> Da
     once, repeated rows and null ids too; an empty table gives no piece. Other columns are not read. One number per input split is
     summed in one task.
     """
-    wide = np.dtype(Encoder(path, {}, ids=True).kind)
+    wide = np.dtype(Merges(described(path)).kind)
     stream = written(tokenised(docs, path, end), "ids")
     totals = stream.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("total"))
     before = F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))

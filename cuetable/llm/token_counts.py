@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +60,10 @@ def plain(text: str) -> bool:
 class Encoder:
     """Token ids, or their number, of blank-free words; one per task, so that a worker holds none between tasks."""
 
+    remembered = REMEMBERED
+
     def __init__(self, path: str, whole: dict[str, int], ids: bool):
-        self.tokenizer, self.ids = load(path), ids
+        self.path, self.ids = path, ids
         size = self.tokenizer.get_vocab_size()
         self.kind = "<u2" if size <= 1 << 16 else "<u4"
         self.ends = np.zeros(size, bool)
@@ -68,6 +71,10 @@ class Encoder:
         self.whole = {s: self.value([i]) for s, i in whole.items()}
         self.words = dict(self.whole)
 
+    @cached_property
+    def tokenizer(self):
+        return load(self.path)
+
     def value(self, ids: list[int]):
         return np.array(ids, self.kind).tobytes() if self.ids else len(ids)
 
@@ -87,8 +94,8 @@ class Encoder:
 
     def learn(self, words: set[str]) -> dict:
         """Adds the words not yet known; the returned table has all of ``words``."""
-        if len(self.words) > REMEMBERED:
-            self.words = dict(self.whole)
+        if len(self.words) > self.remembered:  # what comes again is kept
+            self.words = self.whole | {w: self.words[w] for w in words if w in self.words}
         known = self.words
         missing = words.difference(known)
         split = {w: PIECES.findall(w) for w in missing if not w.isalpha()}

@@ -255,6 +255,23 @@ def test_tokens(spark):
     assert sorted({r.offset + r.length for r in pieces})[-1] == 64 and packing.pack(no_docs(spark), PATH).count() == 0
 
 
+def test_packing_merges_words_itself():
+    """The library's ids from the merges alone, while words are forgotten; it is loaded for a text beyond the plain set, and not before."""
+    tokenizer, whole = token_counts.load(PATH), token_counts.whole_tokens(PATH)
+    own = packing.Writer(PATH, whole, packing.Merges(packing.described(PATH)))
+    own.remembered = len(whole) + 100
+    rng = random.Random(8)
+    ids = lambda t: np.array([*tokenizer.encode(t, add_special_tokens=False).ids], own.kind).tobytes()
+    again = ["thonering", "l'élèvetion,", "inwhtion"]
+    for _ in range(30):
+        texts = [" ".join([*again, *("".join(rng.choice(["th", "ing", "er", "é", "ÿ", "SS", "7", "'s", ".", "--", "Q", "ou", "a"]) for _ in range(rng.randint(1, 12))) for _ in range(40))]) for _ in range(4)]
+        assert own.encoded(texts) == [ids(t) for t in texts]
+        assert set(again) <= own.words.keys() and len(own.words) < len(whole) + 1_000
+    assert "tokenizer" not in vars(own)
+    odd = ["", "日本 \u2028 語", "a<|endoftext|>b", "\x1f x"]
+    assert own.encoded(odd) == [ids(t) for t in odd] and "tokenizer" in vars(own)
+
+
 def test_language_spans(spark):
     rng = random.Random(6)
     words = {"xx": ["bar", "bor", "rab", "orb"], "yy": ["miu", "num", "umi", "nim"]}
