@@ -30,6 +30,8 @@ TOGETHER, AT_ONCE = 20_000, 1 << 20
 class Writer(Encoder):
     """Token ids by the vocabulary's merges, word by word; the library is loaded only for texts that go to it whole."""
 
+    remembered = 130_000
+
     def __init__(self, path: str, whole: dict[str, int], merges: Merges):
         self.path, self.ids, self.merges, self.kind = path, True, merges, merges.kind
         self.whole = {s: self.value([i]) for s, i in whole.items()}

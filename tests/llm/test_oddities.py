@@ -272,6 +272,17 @@ def test_packing_merges_words_itself():
     assert own.encoded(odd) == [ids(t) for t in odd] and "tokenizer" in vars(own)
 
 
+def test_packing_holds_few_words():
+    """A task meets more words than it remembers."""
+    whole = token_counts.whole_tokens(PATH)
+    own = packing.Writer(PATH, whole, packing.Merges(packing.described(PATH)))
+    letters = "abcdefghijklmnop"
+    names = ["zq" + "".join(letters[k >> s & 15] for s in (0, 4, 8, 12, 16)) for k in range(250_000)]
+    for at in range(0, len(names), 25_000):
+        own.encoded([" ".join(names[at:at + 25_000])])
+        assert len(own.words) <= 160_000
+
+
 def test_language_spans(spark):
     rng = random.Random(6)
     words = {"xx": ["bar", "bor", "rab", "orb"], "yy": ["miu", "num", "umi", "nim"]}
