@@ -7,10 +7,11 @@ what passes is verified on the full sets.
 
 No list is paired off when it is long. Texts of equal words are one node from the start. Nodes that share a short list are paired. A
 partner missed by that shares long lists alone, so both are crowded: they stand in a long list. Crowded nodes are listed by single values too, the first
-ones of their sketches that stand in no long list: who has more of them in short lists than a partner can lack meets its partners there. For the rest, each long list elects
-the node whose values are the most common ones, which in a group of copies is the text that they come from, and all are compared with
-it; only components are asked for, so who lies in a list's largest component is done. Who is still apart after a few elections is compared with the others
-of its lists by bit maps of whole sets, in which similar pairs and hardly others agree; a pair comes out of the first list that it shares.
+ones of their sketches that stand in no long list: who has more of them in short lists than a partner can lack meets its partners there. For the rest, long lists elect
+the node whose values are the most common ones, which in a group of copies is the text that they come from, and those who vote there are compared with
+it. A node votes in the first few of its lists, in one order for all, as copies share most lists and would meet one leader in each; only components are asked for, so who lies in a list's
+largest component is done. Who is still apart after a few elections is compared with all others
+of all its lists by bit maps of whole sets, in which similar pairs and hardly others agree; a pair comes out of the first list that it shares.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from cuetable.plans.sizes import broadcast_if_small
 
 WORDS, SIMILAR = 5, 80
 SKETCH, SHORT, OWN_VALUES, ESTIMATE, LEADERS = 64, 32, 28, 0.5, 2
+#: Long lists in which a node takes part in elections.
+VOTES = 8
 #: Values listed beyond those needed, and the most longs of the bit map of values in long lists.
 SPARE, LONG_MAP = 4, 16_384
 #: Bits of a bit map, and how many of the smallest hashes it takes.
@@ -186,7 +189,7 @@ def paired_alike(waiting: DataFrame, lists: DataFrame, nodes: DataFrame) -> Data
     """Pairs of ``waiting`` and ``lists`` (``key, node, n, root``) that share a list, may be alike by their bit maps and are not in one component.
 
     Each list is cut into blocks of askers and of listed nodes; a pair of blocks is one group, of which only what is alike comes back. Who shares
-    several lists is found in the first: there one of the two waits too, or was compared with the whole list as its leader.
+    several lists is found in the first: there one of the two waits too, as the largest component does not hold both.
     """
     columns = ["key", "node", "n", "root"]
     held = lists.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / LISTED).cast("int").alias("blocks"))
@@ -242,6 +245,23 @@ def paired(lists: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
         F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def voting(lists: DataFrame) -> DataFrame:
+    """Of ``lists``, the first ``VOTES`` rows of every node by ``key``, which is a hash."""
+    held = lists.groupBy("node", "n", "common").agg(F.slice(F.sort_array(F.collect_list("key")), 1, VOTES).alias("keys"))
+    return held.select(F.explode("keys").alias("key"), "node", "n", "common")
+
+
+def outside(lists: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``lists`` with the ``root`` of every node, and of these the rows outside the largest component of their list.
+
+    A pair that is apart has one node there, in every list that it shares.
+    """
+    placed = written(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("key").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    waiting = placed.join(parts.filter("parts > 1"), "key").filter("root <> main").select("key", "node", "n", "common", "root")
+    return placed, written(waiting, "waiting")
+
+
 def _unsigned(x: Column) -> Column:
     """Order of unsigned numbers for signed ones."""
     return x.bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))
@@ -325,21 +345,19 @@ def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     link(paired(members.filter(F.col("held") <= SHORT).select("key", "node"), nodes, roots).unionAll(met).distinct())
     lists = written(long.select("key", "node").join(crowd.join(free, "node", "left_anti").select("node", "n", "common"), "node"), "lists")
-    led = None
-    for turn in range(LEADERS + 1):
-        placed = written(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
-        parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("key").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.count(F.lit(1)).alias("parts"))
-        # A pair that is apart has one node outside the largest component of their list.
-        waiting = placed.join(parts.filter("parts > 1"), "key").filter("root <> main").select("key", "node", "n", "common", "root")
-        waiting = written(waiting if led is None else waiting.join(led, ["key", "node"], "left_anti"), "waiting")
+    votes, led = written(voting(lists), "votes"), None
+    for _ in range(LEADERS):
+        placed, waiting = outside(votes, roots)
+        if led is not None:  # who led a list was compared with all who vote there
+            waiting = written(waiting.join(led, ["key", "node"], "left_anti"), "waiting")
         if waiting.isEmpty():
             break
-        if turn == LEADERS:
-            link(paired_alike(waiting, placed, nodes))
-            break
         leader = written(waiting.groupBy("key").agg(F.max_by(F.struct("node", "root"), F.struct("common", F.xxhash64("node"))).alias("l")).select("key", F.col("l.node").alias("a"), F.col("l.root").alias("ra")), "leaders")
         led = leader.select("key", F.col("a").alias("node")) if led is None else led.unionAll(leader.select("key", F.col("a").alias("node")))
         link(placed.join(leader, "key").filter("root <> ra").select("a", F.col("node").alias("b")).distinct())
+    placed, waiting = outside(lists, roots)
+    if not waiting.isEmpty():
+        link(paired_alike(waiting, placed, nodes))
     placed = nodes.join(roots, "node", "left").select("same", "doc", F.coalesce("root", "node").alias("root"))
     reached = placed.join(placed.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("same", "component_id")
     out = rows.select("doc_id", "place", "same", F.col("n").alias("n_shingles")).join(reached, "same", "left")

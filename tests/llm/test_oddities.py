@@ -137,6 +137,24 @@ def test_few_values_of_crowded_nodes_are_listed(spark, monkeypatch):
     assert len(most) > 80 and max(most.values()) <= near_dedup.OWN_VALUES + near_dedup.SPARE
 
 
+def test_copies_meet_leaders_in_few_lists(spark, monkeypatch):
+    """A group of near copies shares dozens of long lists; a node asks the leaders of a few of them, in each election."""
+    placed = []
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: (out := written(df, name), placed.append(out.collect()) if name == "placed" else None)[0])
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(60)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 120):
+        own = list(base)
+        for at in rng.sample(range(60), 2):
+            own[at] = f"v{k}x{at}"
+        rows.append((k, " ".join(own)))
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), words=2).collect()
+    assert len(got) == 120 and {r.component_id for r in got} == {0}
+    most = collections.Counter(r.node for r in placed[0])
+    assert most and max(most.values()) <= 8 < max(collections.Counter(r.node for r in placed[-1]).values())
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
